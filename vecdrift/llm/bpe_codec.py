@@ -23,10 +23,12 @@ Rows are independent: ties, repeated rows and further columns do not matter.
 from __future__ import annotations
 
 import hashlib
+import warnings
 from collections.abc import Iterable
 from functools import lru_cache
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,6 +75,29 @@ WITH RECURSIVE state(w, p, k, step) AS (
 SELECT w, p, k, step FROM state QUALIFY step = max(step) OVER (PARTITION BY w)
 """
 
+#: The same for words of few bytes: one place in each step, in fewer operations.
+ENCODE_SHORT = """
+WITH RECURSIVE state(w, p, k, step) AS (
+    SELECT w, p, k, 0 FROM start
+    UNION ALL
+    (
+        WITH pairs AS (
+            SELECT w, p, k, step, lead(k) OVER o AS k2, lag(p) OVER o AS before
+            FROM state WINDOW o AS (PARTITION BY w ORDER BY p)
+        ), ranked AS (
+            SELECT w, p, k, step, before, m.made FROM pairs LEFT JOIN merges m ON m.a = k AND m.b = k2
+        ), best AS (
+            SELECT w, min((made::BIGINT << 32) | p) AS rank_place FROM ranked WHERE made IS NOT NULL GROUP BY w
+        )
+        SELECT r.w, r.p, CASE WHEN r.p = (rank_place & 4294967295) THEN r.made ELSE r.k END, r.step + 1
+        FROM ranked r JOIN best USING (w)
+        WHERE r.before IS DISTINCT FROM (rank_place & 4294967295) AND r.step < $steps
+    )
+)
+SELECT w, p, k, step FROM state QUALIFY step = max(step) OVER (PARTITION BY w)
+"""
+SHORT = 64
+
 DECODE = """
 SELECT w, list(token.bytes ORDER BY p) AS bytes FROM ids JOIN token ON token.id = ids.k GROUP BY w
 """
@@ -84,6 +109,7 @@ class BpeCodec:
     def __init__(self, file: str):
         known = ranks(file)
         self.ids = known
+        warnings.filterwarnings("ignore", "Arrow output on a DB-API result")
         a, b, made = [], [], []
         unsafe = set()  # tokens that a merge of lower rank involves
         for token, rank in known.items():
@@ -95,6 +121,7 @@ class BpeCodec:
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
         merges = pa.table({"a": pa.array(a, pa.int32()), "b": pa.array(b, pa.int32()), "made": pa.array(made, pa.int32()), "leftmost_only": pa.array([m in unsafe for m in made])})
         token = pa.table({"id": pa.array(known.values(), pa.int32()), "bytes": pa.array(known, pa.binary())})
+        self.byte_ids = np.array([known[bytes([b])] for b in range(256)], np.int32)
         for name, table in (("merges", merges), ("token", token)):
             self.db.register("given", table)
             self.db.execute(f"CREATE TABLE {name} AS FROM given")
@@ -102,32 +129,40 @@ class BpeCodec:
 
     def encode(self, words: list[bytes]) -> list[list[int]]:
         """Ids of each word. A word that is a token is that token."""
-        out = [[self.ids[w]] if w in self.ids else None for w in words]
-        todo = {i: w for i, w in enumerate(words) if out[i] is None}
-        rows = [(i, p, self.ids[w[p : p + 1]]) for i, w in todo.items() for p in range(len(w))]
-        columns = ("w", "p", "k")
-        state = pa.table({c: pa.array([r[j] for r in rows], pa.int32()) for j, c in enumerate(columns)})
-        for i in todo:
-            out[i] = []
+        out = [[self.ids[w]] if w in self.ids else [] for w in words]
+        todo = [i for i, w in enumerate(words) if w not in self.ids and w]
+        self._contract(ENCODE_SHORT, words, [i for i in todo if len(words[i]) <= SHORT], out)
+        self._contract(ENCODE, words, [i for i in todo if len(words[i]) > SHORT], out)
+        return out
+
+    def _contract(self, query: str, words: list[bytes], some: list[int], out: list[list[int]]) -> None:
+        """Appends to out the ids of the words at the places in some."""
+        if not some:
+            return
+        lengths = np.array([len(words[i]) for i in some], np.int64)
+        w = np.repeat(np.array(some, np.int32), lengths)
+        p = (np.arange(len(w)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)
+        k = self.byte_ids[np.frombuffer(b"".join(words[i] for i in some), np.uint8)]
+        state = pa.table({"w": w, "p": p, "k": k})
         while state.num_rows:
             steps = max(4, ROWS_OF_STEPS // state.num_rows)
             self.db.register("start", state)
-            result = self.db.execute(ENCODE + " ORDER BY w, p", {"steps": steps}).to_arrow_table()
+            result = self.db.execute(query + " ORDER BY w, p", {"steps": steps}).to_arrow_table()
             self.db.unregister("start")
-            step = result.column("step").to_numpy()
-            open_ = step >= steps
-            w, k = result.column("w").to_pylist(), result.column("k").to_pylist()
-            for i, token, more in zip(w, k, open_, strict=True):
-                if not more:
-                    out[i].append(token)
-            state = result.filter(pa.array(open_)).select(columns)
-        return out
+            open_ = result.column("step").to_numpy() >= steps
+            done = result.filter(pa.array(~open_)) if open_.any() else result
+            for i, token in zip(done.column("w").to_pylist(), done.column("k").to_pylist(), strict=True):
+                out[i].append(token)
+            state = result.filter(pa.array(open_)).select(["w", "p", "k"]) if open_.any() else state.slice(0, 0)
 
     def decode(self, ids: Iterable[list[int]]) -> list[bytes]:
         """Bytes of each sequence of ids."""
         ids = list(ids)
-        rows = [(i, p, k) for i, own in enumerate(ids) for p, k in enumerate(own)]
-        self.db.register("ids", pa.table({c: pa.array([r[j] for r in rows], pa.int32()) for j, c in enumerate(("w", "p", "k"))}))
+        lengths = np.array([len(own) for own in ids], np.int64)
+        w = np.repeat(np.arange(len(ids), dtype=np.int32), lengths)
+        p = (np.arange(len(w)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)
+        k = np.fromiter((k for own in ids for k in own), np.int32, len(w))
+        self.db.register("ids", pa.table({"w": w, "p": p, "k": k}))
         found = dict(self.db.execute(DECODE).fetchall())
         self.db.unregister("ids")
         return [b"".join(found.get(i, ())) for i in range(len(ids))]

@@ -7,8 +7,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe_codec import op1_bpe_codec
 from .exact_dedup import exact_duplicates
 from .mixing import mix_plan
+from .token_counts import op3_prefix_token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +27,8 @@ def op7_chunk_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bpe_codec": op1_bpe_codec,
+    "op3_prefix_token_counts": op3_prefix_token_counts,
     "op6_pivotal_mixing": op6_pivotal_mixing,
     "op7_chunk_exact_dedup": op7_chunk_exact_dedup,
 }
