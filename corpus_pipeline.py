@@ -1,27 +1,54 @@
-"""A corpus pipeline of five stages, each applying one operator of vecdrift.llm."""
+"""A corpus pipeline of five stages, each applying one operator of vecdrift.llm.
+
+A stage takes (spark, docs, sf_dir) and works on all that its predecessor kept.
+All but the last return the columns of documents; the last adds to them the
+token ids and the bytes that they decode to.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vecdrift.llm.bpe_codec import encode_decode
 from vecdrift.llm.common import materialize
 from vecdrift.llm.exact_dedup import drop_exact_duplicates
 from vecdrift.llm.mixing import mix
+from vecdrift.llm.quality_rank import keep_good
+from vecdrift.llm.simhash import drop_near_duplicates
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the pairwise quality score accepts."""
+    return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal texts, one stays."""
+    """Of documents with equal texts, the one with the largest doc_id stays."""
     return drop_exact_duplicates(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents whose sets of five-word shingles have a similarity of 0.8
+    or more, linked over any number of steps, the least doc_id stays."""
+    return drop_near_duplicates(docs, k=5, similarity=0.8)
+
+
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the target weights of the sources take them."""
     return mix(docs)
 
 
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with `ids` and `decoded`."""
+    return encode_decode(docs)
+
+
 STAGES = [
+    ("quality", quality),
     ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
     ("source_mixing", source_mixing),
+    ("tokenize", tokenize),
 ]
 
 #: The quality stage learns a model, which SQL cannot express.

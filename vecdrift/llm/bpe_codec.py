@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 import public_tokenizers
 
@@ -245,7 +246,8 @@ def encode_decode(docs: DataFrame, file: str | None = None, pattern: str = publi
     if digests:
         return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ("ids", "decoded")])
-    return docs.mapInArrow(run, docs.schema.add("ids", "array<int>").add("decoded", "binary"))
+    schema = T.StructType([*docs.schema.fields]).add("ids", T.ArrayType(T.IntegerType())).add("decoded", "binary")
+    return docs.mapInArrow(run, schema)
 
 
 def decode_ids(rows: DataFrame, ids: str = "ids", out: str = "decoded", file: str | None = None) -> DataFrame:
@@ -261,7 +263,7 @@ def decode_ids(rows: DataFrame, ids: str = "ids", out: str = "decoded", file: st
             yield pa.record_batch([*batch.columns, pa.array([None if x is None else f for x, f in zip(given, found, strict=True)], pa.binary())], [*batch.schema.names, out])
 
     rows = rows.drop(out)
-    return rows.mapInArrow(run, rows.schema.add(out, "binary"))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields]).add(out, "binary"))
 
 
 def op1_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe_codec import op1_bpe_codec
 from .exact_dedup import exact_duplicates
+from .langid import op10_lattice_langid
+from .lattice_lm import op8_lattice_lm
 from .mixing import mix_plan
+from .pii import op4_weak_supervision_pii
+from .quality_rank import op2_pairwise_quality
+from .rules_forest import op9_rules_isolation_forest
+from .simhash import op5_golay_simhash
 from .token_counts import op3_prefix_token_counts
 
 
@@ -28,9 +34,15 @@ def op7_chunk_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_codec": op1_bpe_codec,
+    "op2_pairwise_quality": op2_pairwise_quality,
     "op3_prefix_token_counts": op3_prefix_token_counts,
+    "op4_weak_supervision_pii": op4_weak_supervision_pii,
+    "op5_golay_simhash": op5_golay_simhash,
     "op6_pivotal_mixing": op6_pivotal_mixing,
     "op7_chunk_exact_dedup": op7_chunk_exact_dedup,
+    "op8_lattice_lm": op8_lattice_lm,
+    "op9_rules_isolation_forest": op9_rules_isolation_forest,
+    "op10_lattice_langid": op10_lattice_langid,
 }
 
 ORACLE_SQL: dict[str, str] = {
