@@ -1,10 +1,505 @@
-"""The registered queries and their DuckDB SQL."""
+"""The registered queries and their DuckDB SQL, over the driver's tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from ..functions import metrics as M
+from ..operators import bank as B
+from ..operators import calibration as C
+from ..operators import features as FE
+from ..operators import labels as L
+from ..operators import probe as P
+from ..operators import scoring as SC
+from ..operators import selection as X
+from ..operators import sensitivity as SE
+from ..operators import splits as SP
+from ..operators import stats as ST
+from ..operators import trajectory as T
+from ..sources import readers as R
+from . import fixtures as FX
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+N_BOOT, N_PERM = 100, 100
+TRAJ = ("lse_term", "quadratic_term", "entropy", "norm_entropy", "js", "hellinger_sq")
+FEATS = (*FE.GROUPS, *FE.DIAGNOSTICS)
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def r6(c: Column | str, name: str | None = None) -> Column:
+    """Rounded to 6 places, without a negative zero."""
+    out = F.round(F.col(c) if isinstance(c, str) else c, 6) + F.lit(0.0)
+    return out.alias(name or (c if isinstance(c, str) else "x"))
+
+
+def s6(*names: str) -> str:
+    return ", ".join(f"round({n}, 6) + 0.0::DOUBLE AS {n.split('.')[-1]}" for n in names)
+
+
+KERNEL = "WITH " + FX.SQL + ","
+DIST = "WITH " + FX.SQL + "," + FX.dist_sql()
+
+
+def _bank(spark, d, bank_id="gate"):
+    return B.build_bank(FX.weights(spark, d), bank_id)
+
+
+def _traj(spark, d):
+    return T.trajectories(FX.points(spark, d), _bank(spark, d), FX.BETA)
+
+
+def _wide(spark, d):
+    return FE.pivot_features(FE.feature_long(_traj(spark, d)), FX.LAYERS)
+
+
+def _long_features(spark, d):
+    """sample_id, feature, value, y."""
+    wide = _wide(spark, d).join(FX.sample_labels(spark, d), "sample_id")
+    columns = FE.feature_columns(FX.LAYERS)
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.round(F.col(c), 6).alias("value")) for c in columns]))
+    return wide.select("sample_id", "y", cells.alias("c")).select("sample_id", "y", "c.feature", "c.value")
+
+
+FEATURE_SQL = DIST + """,
+fl AS (SELECT sample_id, y, feature || '_l' || layer AS feature, round(value, 6) AS value FROM (
+  UNPIVOT (SELECT sample_id, layer, delta_energy, delta_norm_entropy, mean_js, mean_hellinger_sq FROM feat)
+  ON delta_energy, delta_norm_entropy, mean_js, mean_hellinger_sq INTO NAME feature VALUE value) JOIN lab USING (sample_id)),
+rk AS (SELECT *, rank() OVER (PARTITION BY feature ORDER BY value) + (count(*) OVER (PARTITION BY feature, value) - 1) / 2.0::DOUBLE AS r FROM fl),
+ft AS (SELECT feature, (sum(r * y) - sum(y) * (sum(y) + 1) / 2.0::DOUBLE) / (sum(y) * (count(*) - sum(y))) AS auroc FROM rk GROUP BY feature)"""
+
+
+# banks and scores
+
+
+@query("WITH " + FX.SQL + " SELECT layer, pattern_id, dim, " + s6("m", "row_norm") + " FROM mh")
+def bank_build(spark, d):
+    return _bank(spark, d).select("layer", F.col("pattern_id"), F.posexplode("m_hat").alias("dim", "m"), "row_norm").select("layer", "pattern_id", "dim", r6("m"), r6("row_norm"))
+
+
+@query("WITH " + FX.SQL + ", n AS (SELECT layer, dim, sqrt(sum(x * x)) AS row_norm, count(*) AS k FROM bk GROUP BY ALL) SELECT layer, dim AS pattern_id, k, " + s6("row_norm") + " FROM n")
+def bank_transpose(spark, d):
+    return _bank(spark, d, "w2").select("layer", "pattern_id", F.size("m_hat").cast("long").alias("k"), r6("row_norm"))
+
+
+@query("WITH " + FX.SQL + " SELECT layer, count(DISTINCT pattern_id) AS n_patterns, count(DISTINCT dim)::INT AS dim FROM bk GROUP BY layer")
+def bank_dims(spark, d):
+    return B.bank_dims(_bank(spark, d))
+
+
+@query("WITH " + FX.SQL + " SELECT sample_id, layer, position, pattern_id, " + s6("s") + " FROM sc")
+def retrieval_scores(spark, d):
+    bank = _bank(spark, d)
+    return SC.long_scores(SC.score(FX.points(spark, d), bank), bank).withColumn("s", r6("s"))
+
+
+@query("WITH " + FX.SQL + " SELECT sample_id, layer, position, pattern_id, " + s6("s") + " FROM sc")
+def retrieval_scores_matrix(spark, d):
+    bank = _bank(spark, d)
+    return SC.long_scores(SC.score(FX.points(spark, d), bank, "matrix"), bank).withColumn("s", r6("s"))
+
+
+@query("WITH " + FX.SQL + " SELECT sample_id, layer, position, pattern_id, round(s * row_norm, 6) + 0.0::DOUBLE AS g FROM sc JOIN nrm USING (layer, pattern_id)")
+def raw_preactivation(spark, d):
+    bank = _bank(spark, d)
+    return B.raw_preactivation(SC.long_scores(SC.score(FX.points(spark, d), bank), bank), bank).select("sample_id", "layer", "position", "pattern_id", r6("g"))
+
+
+@query(DIST + " SELECT sample_id, layer, position, pattern_id, " + s6("p") + " FROM pr")
+def retrieval_distribution(spark, d):
+    bank = _bank(spark, d)
+    p = SC.score(FX.points(spark, d), bank).withColumn("scores", M.softmax("scores", FX.BETA))
+    return SC.long_scores(p, bank).select("sample_id", "layer", "position", "pattern_id", r6("s", "p"))
+
+
+@query(DIST + " SELECT sample_id, layer, position, " + s6("lse_term", "quadratic_term") + ", round(lse_term + quadratic_term, 6) + 0.0::DOUBLE AS energy FROM traj")
+def lse_quadratic_energy(spark, d):
+    s = SC.score(FX.points(spark, d), _bank(spark, d))
+    return s.select("sample_id", "layer", "position", r6(M.lse_term("scores", FX.BETA), "lse_term"), r6(M.quadratic_term("r"), "quadratic_term"), r6(M.energy("scores", "r", FX.BETA), "energy"))
+
+
+@query(DIST + " SELECT sample_id, layer, position, " + s6("entropy", "norm_entropy") + " FROM traj")
+def entropy_norm_entropy(spark, d):
+    return _traj(spark, d).select("sample_id", "layer", "position", r6("entropy"), r6("norm_entropy"))
+
+
+@query(DIST + " SELECT sample_id, layer, position, " + s6("js", "hellinger_sq") + " FROM traj WHERE position > 0")
+def js_hellinger_vs_ref(spark, d):
+    return _traj(spark, d).where("position > 0").select("sample_id", "layer", "position", r6("js"), r6("hellinger_sq"))
+
+
+@query(DIST + " SELECT sample_id, layer, position, round(kl, 6) + 0.0::DOUBLE AS kl, round(bc, 6) + 0.0::DOUBLE AS bc, round(js, 6) + 0.0::DOUBLE AS js FROM traj WHERE position > 0")
+def kl_bhattacharyya(spark, d):
+    s = SC.score(FX.points(spark, d), _bank(spark, d)).select("sample_id", "layer", "position", M.softmax("scores", FX.BETA).alias("p"))
+    ref = s.where("position = 0").select("sample_id", "layer", F.col("p").alias("q"))
+    both = s.where("position > 0").join(ref, ["sample_id", "layer"])
+    return both.select("sample_id", "layer", "position", r6(M.kl_nats("p", "q"), "kl"), r6(M.bhattacharyya("p", "q"), "bc"), r6(M.js_by_entropy("p", "q"), "js"))
+
+
+@query(DIST + " SELECT sample_id, layer, position, dim, round(sum(p * m), 6) + 0.0::DOUBLE AS x FROM pr JOIN mh USING (layer, pattern_id) GROUP BY ALL")
+def retrieved_prototype(spark, d):
+    bank = _bank(spark, d)
+    packed = F.broadcast(B.pack(bank).select("layer", F.col("m_hat").alias("m")))
+    s = SC.score(FX.points(spark, d), bank).withColumn("p", M.softmax("scores", FX.BETA)).join(packed, "layer")
+    return s.select("sample_id", "layer", "position", F.posexplode(M.retrieved_prototype("p", "m")).alias("dim", "x")).withColumn("x", r6("x"))
+
+
+# trajectories
+
+
+@query(DIST + " SELECT sample_id, layer, position, " + s6(*TRAJ) + " FROM traj")
+def trajectory_metrics(spark, d):
+    return _traj(spark, d).select("sample_id", "layer", "position", *[r6(m) for m in TRAJ])
+
+
+def _broken(spark, d):
+    """Points where every 37th sample (from 5) has a NaN and every 37th from 6
+    lacks generated positions."""
+    p = FX.points(spark, d)
+    bad = F.transform("r", lambda x: F.when(F.col("position") == 2, F.lit(float("nan"))).otherwise(x))
+    p = p.withColumn("r", F.when(F.col("sample_id") % 37 == 5, bad).otherwise(F.col("r")))
+    return p.where((F.col("sample_id") % 37 != 6) | (F.col("position") == 0))
+
+
+@query("SELECT DISTINCT vec_id // 5 AS sample_id, CASE WHEN (vec_id // 5) % 37 = 5 THEN 'not finite' ELSE 'zero generated tokens' END AS error FROM embeddings WHERE (vec_id // 5) % 37 IN (5, 6)")
+def failure_isolation(spark, d):
+    return T.split_failures(_broken(spark, d), FX.DIM)[1]
+
+
+@query("WITH f AS (SELECT DISTINCT vec_id // 5 AS sample_id FROM embeddings WHERE (vec_id // 5) % 37 IN (5, 6)) SELECT sample_id, layer::INT AS layer, position::INT AS position, true AS is_nan, CASE WHEN position > 0 THEN true END AS js_nan FROM f, range(4) l(layer), range(2) p(position)")
+def nan_placeholders(spark, d):
+    rows = T.nan_placeholders(T.split_failures(_broken(spark, d), FX.DIM)[1], FX.LAYERS)
+    return rows.select("sample_id", "layer", "position", F.isnan("entropy").alias("is_nan"), F.when(F.col("js").isNotNull(), F.isnan("js")).alias("js_nan"))
+
+
+@query("SELECT count(DISTINCT s) FILTER (s % 37 NOT IN (5, 6) AND s % 10 <> 3) AS n_done, count(DISTINCT s) FILTER (s % 37 IN (5, 6) AND s % 10 <> 3) AS n_failed, count(DISTINCT s) FILTER (s % 10 = 3) AS n_skipped FROM (SELECT vec_id // 5 AS s FROM embeddings)")
+def run_report(spark, d):
+    p = _broken(spark, d)
+    done = p.select("sample_id").distinct().where("sample_id % 10 = 3")
+    return T.run_trajectories(p, _bank(spark, d), FX.BETA, FX.DIM, done)[2]
+
+
+# features
+
+
+@query(DIST + " SELECT sample_id, layer, " + s6(*FEATS) + " FROM feat")
+def feature_long(spark, d):
+    return FE.feature_long(_traj(spark, d)).select("sample_id", "layer", *[r6(f) for f in FEATS])
+
+
+@query(DIST + " SELECT sample_id, " + ", ".join(f"round(max({g}) FILTER (layer = {i}), 6) + 0.0::DOUBLE AS {g}_l{i}" for g in FEATS for i in range(FX.LAYERS)) + ", quality::INT AS is_hallucination FROM feat LEFT JOIN labels ON doc_id = sample_id GROUP BY ALL")
+def feature_table(spark, d):
+    labels = FX.table(spark, d, "labels").select(F.col("doc_id").alias("sample_id"), F.col("quality").cast("int").alias("is_hallucination"))
+    wide = FE.feature_table(_traj(spark, d), labels=labels)
+    return wide.select("sample_id", *[r6(f"{g}_l{i}") for g in FEATS for i in range(FX.LAYERS)], "is_hallucination")
+
+
+@query(DIST + ", n AS (UNPIVOT (SELECT sample_id, layer, delta_energy AS g0, delta_norm_entropy AS g1, mean_js AS g2, mean_hellinger_sq AS g3 FROM feat) ON g0, g1, g2, g3 INTO NAME g VALUE v) SELECT sample_id, (g[2]::INT * 4 + layer)::INT AS place, round(v, 6) + 0.0::DOUBLE AS v FROM n")
+def phi_vector(spark, d):
+    from pyspark.ml.functions import vector_to_array
+
+    return FE.phi_vector(_wide(spark, d)).select("sample_id", F.posexplode(vector_to_array("phi")).alias("place", "v")).withColumn("v", r6("v"))
+
+
+@query("""WITH t AS (SELECT user_id, event_id, unnest([value / 100.0::DOUBLE, event_id % 7, event_id % 5, event_id % 3, event_id % 2]::DOUBLE[]) AS x, unnest(range(5)) AS i FROM events),
+m AS (SELECT user_id, event_id, max(x) AS mx FROM t GROUP BY ALL), z AS (SELECT user_id, event_id, mx, sum(exp(x - mx)) AS z FROM t JOIN m USING (user_id, event_id) GROUP BY ALL),
+q AS (SELECT user_id, event_id, max(x - mx - ln(z)) FILTER (i = event_id % 5) AS lp, -sum(CASE WHEN exp(x - mx) > 0 THEN exp(x - mx) / z * ln(exp(x - mx) / z) ELSE 0 END) AS h FROM t JOIN z USING (user_id, event_id) GROUP BY ALL)
+SELECT user_id AS sample_id, round(avg(lp), 6) + 0.0::DOUBLE AS seq_logprob, round(avg(h), 6) + 0.0::DOUBLE AS token_entropy_mean FROM q GROUP BY ALL""")
+def token_baselines(spark, d):
+    return FE.token_baselines(T.token_metrics(FX.tokens(spark, d))).select("sample_id", r6("seq_logprob"), r6("token_entropy_mean"))
+
+
+# calibration and sensitivity
+
+GRID_SQL = ", g AS (SELECT unnest([1, 2, 5, 10, 15, 20, 30, 50, 100])::DOUBLE AS beta), gs AS (SELECT g.beta, sc.* FROM sc, g{where}), gz AS (SELECT beta, sample_id, position, layer, max(beta * s) AS mx, count(*) AS k FROM gs GROUP BY ALL), ge AS (SELECT gs.beta, gs.sample_id, gs.position, gs.layer, exp(gs.beta * s - mx) AS ex, k FROM gs JOIN gz USING (beta, sample_id, position, layer)), gt AS (SELECT beta, sample_id, position, layer, sum(ex) AS z FROM ge GROUP BY ALL), gh AS (SELECT beta, sample_id, position, layer, -sum(CASE WHEN ex > 0 THEN ex / z * ln(ex / z) ELSE 0 END) / ln(any_value(k)) AS h FROM ge JOIN gt USING (beta, sample_id, position, layer) GROUP BY ALL)"
+CURVE_SQL = "WITH " + FX.SQL + GRID_SQL.format(where=" WHERE position = 0") + ", gc AS (SELECT beta, avg(h) AS h FROM (SELECT beta, sample_id, avg(h) AS h FROM gh GROUP BY ALL) GROUP BY beta)"
+STAR_SQL = CURVE_SQL + ", w AS (SELECT *, lead(h) OVER (ORDER BY beta) AS h2, lead(beta) OVER (ORDER BY beta) AS b2 FROM gc), c AS (SELECT exp(ln(beta) + CASE WHEN h = h2 THEN 0 ELSE (h - {t}) / (h - h2) END * (ln(b2) - ln(beta))) AS beta_star, false AS clamped, beta AS o FROM w WHERE h >= {t} AND {t} >= h2 UNION ALL (SELECT beta, true, 1000 FROM gc ORDER BY abs(h - {t}), beta LIMIT 1)) SELECT round(beta_star, 6) AS beta_star, clamped FROM c ORDER BY clamped, o LIMIT 1"
+
+
+def _curve(spark, d):
+    return C.norm_entropy_curve(T.reference_scores(FX.points(spark, d), _bank(spark, d)))
+
+
+@query("SELECT DISTINCT vec_id // 5 AS sample_id FROM embeddings ORDER BY md5('42:' || (vec_id // 5)), 1 LIMIT 30")
+def calibration_ids(spark, d):
+    return X.calibration_ids(FX.points(spark, d).select("sample_id").distinct(), 30)
+
+
+ORACLE_SQL["calibration_ids"] = "SELECT sample_id FROM (SELECT DISTINCT vec_id // 5 AS sample_id FROM embeddings) ORDER BY md5('42:' || sample_id), sample_id LIMIT 30"
+
+
+@query(CURVE_SQL + " SELECT beta, round(h, 6) + 0.0::DOUBLE AS mean_norm_entropy FROM gc")
+def calibration_curve(spark, d):
+    return _curve(spark, d).select("beta", r6("mean_norm_entropy"))
+
+
+@query(STAR_SQL.format(t="0.55::DOUBLE"))
+def beta_star(spark, d):
+    return C.calibrate(FX.points(spark, d), _bank(spark, d), None).select(F.round("beta_star", 6).alias("beta_star"), "clamped")
+
+
+@query(STAR_SQL.format(t="2.0::DOUBLE"))
+def beta_star_clamped(spark, d):
+    return C.interpolate_beta(_curve(spark, d), 2.0).select(F.round("beta_star", 6).alias("beta_star"), "clamped")
+
+
+def _cache(spark, d):
+    return SC.score(FX.points(spark, d), _bank(spark, d)).select(*T.KEYS, "scores", M.quadratic_term("r").alias("quadratic_term"))
+
+
+SWEEP_SQL = "WITH " + FX.SQL + GRID_SQL.format(where="") + ", dh AS (SELECT beta, sample_id, layer, avg(h) FILTER (position > 0) - max(h) FILTER (position = 0) AS dh FROM gh GROUP BY ALL)"
+
+
+@query(SWEEP_SQL + " SELECT beta, sample_id, layer, round(dh, 6) + 0.0::DOUBLE AS delta_norm_entropy FROM dh")
+def entropy_beta_sweep(spark, d):
+    return SE.entropy_sweep(_cache(spark, d)).select("beta", "sample_id", "layer", r6("delta_norm_entropy"))
+
+
+@query("WITH " + FX.SQL + "," + FX.dist_sql("5.0::DOUBLE") + " SELECT sample_id, layer, " + s6(*FEATS) + " FROM feat")
+def features_at_beta(spark, d):
+    return SE.features_at_beta(_cache(spark, d), 5.0).select("sample_id", "layer", *[r6(f) for f in FEATS])
+
+
+@query()
+def full_beta_sweep(spark, d):
+    return SE.full_sweep(_cache(spark, d)).select("beta", "sample_id", "layer", *[r6(f) for f in FE.GROUPS])
+
+
+@query(SWEEP_SQL + ", mh2 AS (SELECT beta, sample_id, avg(dh) AS m FROM dh GROUP BY ALL) SELECT beta, quality::INT AS is_hallucination, round(avg(m), 6) + 0.0::DOUBLE AS mean_delta_hbar FROM mh2 JOIN labels ON doc_id = sample_id GROUP BY ALL")
+def beta_class_means(spark, d):
+    labels = FX.table(spark, d, "labels").select(F.col("doc_id").alias("sample_id"), F.col("quality").cast("int").alias("is_hallucination"))
+    return SE.beta_class_means(SE.sensitivity_table(SE.entropy_sweep(_cache(spark, d)), labels)).select("beta", "is_hallucination", r6("mean_delta_hbar"))
+
+
+@query()
+def beta_probe_sweep(spark, d):
+    wide = _wide(spark, d).join(FX.sample_labels(spark, d), "sample_id")
+    return SE.beta_probe_sweep(wide, SE.entropy_sweep(_cache(spark, d), (1.0, 10.0, 100.0)), FX.LAYERS, (1.0, 10.0, 100.0))
+
+
+# statistics
+
+DOCS_SQL = "WITH sd AS (SELECT doc_id AS sample_id, quality::INT AS y, n_chars::DOUBLE AS f, len(string_split(text, ' '))::DOUBLE AS base, lang AS category, source, row_number() OVER (ORDER BY doc_id) - 1 AS idx FROM documents JOIN labels USING (doc_id))"
+AUC = "(sum(r * y) - sum(y) * (sum(y) + 1) / 2.0::DOUBLE) / (sum(y) * (count(*) - sum(y)))"
+
+
+def _ranked(src: str, score: str, by: str = "") -> str:
+    part = f"PARTITION BY {by} " if by else ""
+    ties = f"PARTITION BY {by + ', ' if by else ''}{score}"
+    return f"SELECT *, rank() OVER ({part}ORDER BY {score}) + (count(*) OVER ({ties}) - 1) / 2.0::DOUBLE AS r FROM {src}"
+
+
+@query(DOCS_SQL + f" SELECT sum(y)::BIGINT AS n_pos, (count(*) - sum(y))::BIGINT AS n_neg, round({AUC}, 6) AS auroc FROM (" + _ranked("sd", "f") + ")")
+def auroc(spark, d):
+    return ST.auroc(FX.scored_documents(spark, d), "y", "full").withColumn("auroc", r6("auroc"))
+
+
+@query(f"WITH sd AS (SELECT (l_returnflag = 'R')::INT AS y, l_extendedprice::DOUBLE AS f FROM lineitem) SELECT sum(y)::BIGINT AS n_pos, (count(*) - sum(y))::BIGINT AS n_neg, round({AUC}, 6) AS auroc FROM (" + _ranked("sd", "f") + ")")
+def auroc_large(spark, d):
+    rows = FX.table(spark, d, "lineitem").select((F.col("l_returnflag") == "R").cast("int").alias("y"), F.col("l_extendedprice").cast("double").alias("f"))
+    return ST.auroc(rows, "y", "f").withColumn("auroc", r6("auroc"))
+
+
+def _boot_sql(attempts: int = 2) -> str:
+    return DOCS_SQL + f""", n AS (SELECT count(*) AS n FROM sd),
+cells AS (SELECT b, a, ('0x' || substr(md5('42:' || b || ':' || a || ':' || j), 1, 15))::BIGINT % n AS idx FROM n, range({N_BOOT}) t(b), range({attempts}) u(a), (SELECT unnest(range(n)) AS j FROM n) v),
+drawn AS (SELECT b, a, sd.* FROM cells JOIN sd USING (idx)),
+ok AS (SELECT b, min(a) AS a FROM (SELECT b, a FROM drawn GROUP BY b, a HAVING min(y) < max(y)) GROUP BY b),
+dr AS (SELECT drawn.* FROM drawn JOIN ok USING (b, a)),
+fa AS (SELECT b, {AUC} AS auroc FROM ({_ranked('dr', 'f', 'b')}) GROUP BY b),
+ba AS (SELECT b, {AUC} AS auroc FROM ({_ranked('dr', 'base', 'b')}) GROUP BY b),
+de AS (SELECT b, fa.auroc - ba.auroc AS delta FROM fa JOIN ba USING (b))"""
+
+
+def _ci_sql(src: str, value: str, point: str, above: str) -> str:
+    part = "SELECT {a}::DOUBLE AS alpha, round(quantile_cont({v}, {lo}), 6) + 0.0::DOUBLE AS lower, round(quantile_cont({v}, {hi}), 6) + 0.0::DOUBLE AS upper, count(*) AS n_draws FROM {s}"
+    both = " UNION ALL ".join(part.format(a=a, v=value, lo=a / 2, hi=1 - a / 2, s=src) for a in ST.ALPHAS)
+    return f" SELECT c.*, round(({point}), 6) + 0.0::DOUBLE AS estimate, lower > {above} AS above FROM ({both}) c"
+
+
+def _rounded_ci(rows: DataFrame) -> DataFrame:
+    return rows.select("alpha", r6("lower"), r6("upper"), "n_draws", r6("estimate"), "above")
+
+
+@query(_boot_sql() + _ci_sql("fa", "auroc", f"SELECT {AUC} FROM ({_ranked('sd', 'f')})", "0.5"))
+def bootstrap_auroc_ci(spark, d):
+    return _rounded_ci(ST.bootstrap_auroc_ci(FX.scored_documents(spark, d).withColumnRenamed("full", "score"), N_BOOT))
+
+
+@query(_boot_sql() + _ci_sql("de", "delta", f"SELECT {AUC} - (SELECT {AUC} FROM ({_ranked('sd', 'base')})) FROM ({_ranked('sd', 'f')})", "0"))
+def paired_bootstrap_delta(spark, d):
+    return _rounded_ci(ST.paired_bootstrap_delta(FX.scored_documents(spark, d), N_BOOT))
+
+
+@query(_boot_sql() + " SELECT bin::BIGINT AS bin, count(*) AS n FROM (SELECT CASE WHEN delta < -0.2 THEN 0 WHEN delta >= 0.2 THEN 41 ELSE floor((delta + 0.2) / 0.01) + 1 END AS bin FROM (SELECT round(delta, 6) + 0.000000123 AS delta FROM de)) GROUP BY bin")
+def bootstrap_histogram(spark, d):
+    values = ST.paired_draws(FX.scored_documents(spark, d), N_BOOT).withColumn("delta", F.round("delta", 6) + 0.000000123)
+    return ST.histogram(values, "delta", -0.2, 0.2)
+
+
+@query(FEATURE_SQL + " SELECT feature, round(auroc, 6) AS auroc, round(greatest(auroc, 1 - auroc), 6) AS folded_auroc FROM ft")
+def per_feature_folded_auroc(spark, d):
+    return ST.per_feature_folded_auroc(_long_features(spark, d)).select("feature", r6("auroc"), r6("folded_auroc"))
+
+
+@query(FEATURE_SQL + f""", pm AS (SELECT b, sample_id, row_number() OVER (PARTITION BY b ORDER BY md5('42:' || b || ':' || sample_id), sample_id) AS n FROM lab, range({N_PERM}) t(b)),
+nl AS (SELECT b, max(greatest(a, 1 - a)) AS m FROM (SELECT b, feature, (sum(r) - np * (np + 1) / 2.0::DOUBLE) / (np * (na - np)) AS a FROM pm JOIN rk USING (sample_id), (SELECT sum(y) AS np, count(*) AS na FROM lab) WHERE n <= np GROUP BY b, feature, np, na) GROUP BY b),
+th AS (SELECT quantile_cont(m, 0.95) AS t FROM nl)
+SELECT feature, round(greatest(auroc, 1 - auroc), 6) AS folded_auroc, round(t, 6) AS threshold, greatest(auroc, 1 - auroc) > t AS significant, count(*) FILTER (greatest(auroc, 1 - auroc) > t) OVER () AS n_significant FROM ft, th""")
+def permutation_scan(spark, d):
+    return ST.permutation_scan(_long_features(spark, d), N_PERM).select("feature", r6("folded_auroc"), r6("threshold"), "significant", "n_significant")
+
+
+@query(FEATURE_SQL + ", pf AS (SELECT regexp_extract(feature, '^(.*)_l([0-9]+)$', 1) AS \"group\", regexp_extract(feature, '_l([0-9]+)$', 1)::INT AS layer, round(greatest(auroc, 1 - auroc), 6) AS auroc FROM ft) SELECT \"group\", layer, auroc, auroc > 0.55 AS above FROM (SELECT *, row_number() OVER (PARTITION BY \"group\" ORDER BY auroc DESC, layer) AS n FROM pf) WHERE n = 1")
+def best_layer_per_group(spark, d):
+    profile = ST.group_profile(ST.per_feature_folded_auroc(_long_features(spark, d))).withColumn("auroc", F.round("auroc", 6))
+    return ST.best_layer_per_group(profile, 0.55)
+
+
+@query(DOCS_SQL + f" SELECT category, count(*) AS n, round(avg(y), 6) AS rate, round({AUC}, 6) AS auroc FROM (" + _ranked("sd", "f", "category") + ") GROUP BY category HAVING count(*) >= 10 AND min(y) < max(y)")
+def per_category_auroc(spark, d):
+    rows = FX.scored_documents(spark, d).withColumn("score", F.col("full"))
+    return ST.per_category_auroc(rows).select("category", "n", r6("rate"), r6("auroc"))
+
+
+# labels
+
+
+@query("SELECT count(*) AS n, round(avg((quality = 1 - toxic)::INT), 6) AS agreement, round((po - pe) / (1 - pe), 6) + 0.0::DOUBLE AS kappa, (po - pe) / (1 - pe) >= 0.6 AS reliable FROM labels, (SELECT avg((quality = 1 - toxic)::INT) AS po, avg(quality) * avg(1 - toxic) + (1 - avg(quality)) * (1 - avg(1 - toxic)) AS pe FROM labels) GROUP BY po, pe")
+def kappa(spark, d):
+    pairs = FX.table(spark, d, "labels").select(F.col("quality").alias("judge"), (1 - F.col("toxic")).alias("human"))
+    return L.kappa(pairs).select("n", r6("agreement"), r6("kappa"), "reliable")
+
+
+@query("SELECT quality::INT AS label, count(*) AS n, round(count(*) / (SELECT count(*) FROM labels), 6) AS share FROM labels GROUP BY quality")
+def label_distribution(spark, d):
+    return L.label_distribution(FX.table(spark, d, "labels"), "quality").select(F.col("label").cast("int").alias("label"), "n", r6("share"))
+
+
+@query("SELECT doc_id::VARCHAR AS sample_id, '' AS human_label FROM labels WHERE quality IS NOT NULL ORDER BY md5('42:' || doc_id), doc_id::VARCHAR LIMIT 60")
+def human_subset(spark, d):
+    return L.human_subset(FX.table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("sample_id"), F.col("quality").alias("is_hallucination")), 60)
+
+
+QA_SQL = "WITH qa AS (SELECT u.conv_id, u.turn, u.text AS question, a.text AS answer FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant')"
+PROMPT_SQL = "'" + L.TEMPLATE.replace("{question}", "' || question || '").replace("{gold}", "' || '- ' || answer || chr(10) || '- ' || answer || '!' || '").replace("{answer}", "' || answer || '").replace("\n", "' || chr(10) || '") + "'"
+
+
+@query(QA_SQL + f" SELECT conv_id, turn, sha256({PROMPT_SQL}) AS prompt_sha256 FROM qa")
+def judge_prompt(spark, d):
+    qa = FX.qa_pairs(spark, d).withColumn("gold", F.array("answer", F.concat("answer", F.lit("!"))))
+    return qa.select("conv_id", "turn", F.sha2(L.judge_prompt("question", "answer", "gold"), 256).alias("prompt_sha256"))
+
+
+RAW = ("UNSUPPORTED", " supported", "The answer is unsupported.", "no idea")
+RAW_SQL = "CASE ('0x' || substr(md5(text), 1, 15))::BIGINT % 4 " + " ".join(f"WHEN {i} THEN '{r}'" for i, r in enumerate(RAW)) + " END"
+
+
+def _verdicts(spark, d):
+    c = FX.table(spark, d, "conversations")
+    raw = F.element_at(F.array(*[F.lit(r) for r in RAW]), (F.conv(F.substring(F.md5("text"), 1, 15), 16, 10).cast("long") % 4 + 1).cast("int"))
+    return c.select("conv_id", "turn", "role", raw.alias("raw"))
+
+
+@query(f"SELECT conv_id, turn, CASE WHEN upper(trim(raw)) LIKE '%UNSUPPORTED%' THEN 1 WHEN upper(trim(raw)) LIKE '%SUPPORTED%' THEN 0 END AS verdict FROM (SELECT *, {RAW_SQL} AS raw FROM conversations)")
+def verdict_parse(spark, d):
+    return _verdicts(spark, d).select("conv_id", "turn", L.parse_verdict("raw").alias("verdict"))
+
+
+@query(f"SELECT count(*) FILTER (role = 'assistant') AS labelled, count(*) FILTER (role <> 'assistant') AS skipped_failed, count(*) FILTER (role = 'assistant' AND raw = 'no idea') AS unparseable, 0::BIGINT AS errors FROM (SELECT *, {RAW_SQL} AS raw FROM conversations)")
+def label_job_counts(spark, d):
+    v = _verdicts(spark, d).withColumn("sample_id", F.concat_ws("_", "conv_id", "turn"))
+    samples = v.select("sample_id", F.lit("x").alias("generated_text"), (F.col("role") != "assistant").alias("failed"))
+    labels = v.where("role = 'assistant'").select("sample_id", L.parse_verdict("raw").alias("is_hallucination"), F.lit(None).cast("string").alias("error"))
+    return L.label_counts(samples, labels)
+
+
+# splits and probes
+
+SPLIT_SQL = """WITH r AS (SELECT doc_id AS sample_id, quality::INT AS y, doc_id % 23 = 0 AS forced FROM labels),
+n AS (SELECT round_even(0.15 * count(*), 0) AS k FROM r), c AS (SELECT y, count(*) AS n FROM r WHERE NOT forced GROUP BY y),
+q AS (SELECT y, floor(k * n / t) + (row_number() OVER (ORDER BY k * n / t - floor(k * n / t) DESC, y) <= k - sum(floor(k * n / t)) OVER ())::INT AS q FROM (SELECT y, n::DOUBLE AS n, k, sum(n) OVER ()::DOUBLE AS t FROM c, n)),
+p AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY md5('42:' || sample_id), sample_id) AS p FROM r WHERE NOT forced),
+s AS (SELECT sample_id, y, CASE WHEN p <= q THEN 'test' WHEN p <= 2 * q THEN 'val' ELSE 'train' END AS split, false AS forced FROM p JOIN q USING (y) UNION ALL SELECT sample_id, y, 'train', true FROM r WHERE forced)"""
+
+
+def _split(spark, d):
+    rows = FX.table(spark, d, "labels").select(F.col("doc_id").alias("sample_id"), F.col("quality").cast("int").alias("y"))
+    return SP.stratified_split(rows, forced=rows.where("sample_id % 23 = 0").select("sample_id"))
+
+
+@query(SPLIT_SQL + " SELECT * FROM s")
+def stratified_split(spark, d):
+    return _split(spark, d)
+
+
+@query(SPLIT_SQL + " SELECT sha256(string_agg(sample_id::VARCHAR, ',' ORDER BY sample_id::VARCHAR)) AS hash FROM s WHERE split = 'test'")
+def split_hash(spark, d):
+    return SP.id_set_hash(_split(spark, d).where("split = 'test'"))
+
+
+@query("SELECT doc_id AS sample_id, quality::INT AS y, ((row_number() OVER (PARTITION BY quality ORDER BY md5('42:' || doc_id), doc_id) - 1) % 5)::INT AS fold FROM labels")
+def kfold_assign(spark, d):
+    return SP.kfold(FX.table(spark, d, "labels").select(F.col("doc_id").alias("sample_id"), F.col("quality").cast("int").alias("y")), 5)
+
+
+@query()
+def probe_base_full(spark, d):
+    rows = FX.scored_documents(spark, d).withColumn("words", F.col("base") / 100).withColumn("chars", F.col("full") / 1000)
+    rows = rows.join(SP.stratified_split(rows.select("sample_id", "y")).select("sample_id", "split"), "sample_id")
+    got = P.run_base_and_full(rows.withColumn("ratio", F.col("full") / F.col("base")), ["words"], ["chars", "ratio"], grid=(0.1, 1.0))
+    return spark.createDataFrame([(k, float(v["best_c"]), float(v["outer_mean"]), float(v["test_auroc"]), v["n_fits"]) for k, v in got.items()], "probe string, best_c double, outer_mean double, test_auroc double, n_fits int")
+
+
+# selection and adapters
+
+
+@query("SELECT 'doc_' || doc_id AS sample_id FROM documents ORDER BY md5('42:doc_' || doc_id), 1 LIMIT 100")
+def subsample(spark, d):
+    return X.subsample(FX.table(spark, d, "documents").select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("sample_id")), 100)
+
+
+@query("SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS n FROM documents) WHERE n % 7 = 3")
+def stride_shard(spark, d):
+    return X.stride_shard(FX.table(spark, d, "documents").select("doc_id"), 3, 7, "doc_id")
+
+
+@query("SELECT doc_id AS sample_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def pending(spark, d):
+    work = FX.table(spark, d, "documents").select(F.col("doc_id").alias("sample_id"), F.col("doc_id").alias("idx"))
+    return X.pending(work, FX.table(spark, d, "labels").select(F.col("doc_id").alias("sample_id"))).select("sample_id")
+
+
+@query("SELECT doc_id AS sample_id, quality::INT AS quality FROM documents LEFT JOIN labels USING (doc_id)")
+def realign(spark, d):
+    ids = FX.table(spark, d, "documents").select(F.col("doc_id").alias("sample_id"), F.col("doc_id").alias("idx"))
+    labels = FX.table(spark, d, "labels").select(F.col("doc_id").alias("sample_id"), F.col("quality").cast("int").alias("quality"))
+    return X.realign(labels, ids).select("sample_id", "quality")
+
+
+def _qa_rows(spark, d):
+    c = FX.table(spark, d, "conversations").where("role = 'assistant'")
+    one = c.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    texts = F.transform("t", lambda x: x["text"])
+    return one.select(F.col("conv_id").alias("idx"), F.col("conv_id").cast("string").alias("question"), F.concat(F.lit(" "), F.element_at(texts, 1)).alias("best_answer"), F.slice(F.concat(F.array(F.lit("  ")), texts), 1, 2).alias("correct_answers"), F.when(F.col("conv_id") % 2 == 0, "  ").otherwise("odd").alias("category"))
+
+
+@query("SELECT 'truthfulqa_' || conv_id AS sample_id, 1 AS n_gold, sha256(trim(min_by(text, turn), ' ')) AS first_sha256, CASE WHEN conv_id % 2 = 1 THEN 'odd' END AS category, 'truthfulqa' AS source FROM conversations WHERE role = 'assistant' GROUP BY conv_id")
+def qa_adapter(spark, d):
+    rows = R.load_samples(_qa_rows(spark, d), "truthfulqa")
+    return rows.select("sample_id", F.size("gold_answers").alias("n_gold"), F.sha2(F.element_at("gold_answers", 1), 256).alias("first_sha256"), "category", "source")
+
+
