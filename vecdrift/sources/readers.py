@@ -55,15 +55,21 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines; blank and torn lines are left out, a missing file is empty."""
     if not exists(spark, path):
         return spark.createDataFrame([], schema)
-    rows = spark.read.schema(f"{schema}, _torn string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_torn").json(path)
-    return rows.where("_torn is null").drop("_torn")
+    return _parsed(spark.read.text(path).where("trim(value) <> ''"), schema)
+
+
+def _parsed(rows: DataFrame, schema: str) -> DataFrame:
+    """rows: value (JSON) and others. The fields of those that parse."""
+    one = F.from_json("value", f"{schema}, _torn string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_torn"})
+    rows = rows.withColumn("_j", one).where("_j is not null and _j._torn is null")
+    return rows.select(*[c for c in rows.columns if c not in ("value", "_j")], "_j.*").drop("_torn")
 
 
 def read_metadata(spark: SparkSession, path: str, schema: str = META_SCHEMA) -> DataFrame:
     """One JSON file per sample; a sample is complete if its file parses. Its id
     comes from the file name."""
-    rows = spark.read.schema(f"{schema}, _torn string").option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_torn").json(path)
-    return rows.withColumn("_file", F.input_file_name()).where("_torn is null").withColumn("sample_id", F.regexp_extract("_file", r"([^/]+)\.json$", 1)).drop("_torn", "_file")
+    rows = spark.read.option("wholetext", True).text(path).withColumn("_file", F.input_file_name())
+    return _parsed(rows, schema).withColumn("sample_id", F.regexp_extract("_file", r"([^/]+)\.json$", 1)).drop("_file")
 
 
 def complete_ids(spark: SparkSession, path: str) -> DataFrame:
