@@ -55,6 +55,6 @@ def _score_matrix(points: DataFrame, bank: DataFrame) -> DataFrame:
 def long_scores(scored: DataFrame, bank: DataFrame) -> DataFrame:
     """sample_id, layer, position, pattern_id, s: one row per score (for banks
     that are narrow enough to list)."""
-    ids = F.broadcast(pack(bank).select("layer", "pattern_ids"))
+    ids = pack(bank).select("layer", "pattern_ids")
     cells = scored.join(ids, "layer").select("sample_id", "layer", "position", F.explode(F.arrays_zip("pattern_ids", "scores")).alias("c"))
     return cells.select("sample_id", "layer", "position", F.col("c.pattern_ids").alias("pattern_id"), F.col("c.scores").alias("s"))

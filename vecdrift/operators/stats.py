@@ -145,7 +145,7 @@ def permutation_null(rows: DataFrame, n_permutation: int, seed: int = 42) -> Dat
     ranked = average_ranks(median_imputed(rows)).select("sample_id", "feature", "r").cache()
     ids = rows.select("sample_id", "y").distinct()
     n, n_pos = ids.agg(F.count("*"), F.coalesce(F.sum(F.col("y").cast("long")), F.lit(0))).first()
-    cells = rows.sparkSession.range(n_permutation).withColumnRenamed("id", "b").crossJoin(F.broadcast(ids.select("sample_id")))
+    cells = ids.select("sample_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_permutation - 1).cast("long"))).alias("b"))
     order = Window.partitionBy("b").orderBy(keyed_order(seed, "b", "sample_id"), "sample_id")
     positive = cells.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n_pos).drop("_n")
     sums = positive.join(ranked, "sample_id").groupBy("b", "feature").agg(F.sum("r").alias("rank_sum"))

@@ -152,7 +152,7 @@ def kl_bhattacharyya(spark, d):
 @query(DIST + " SELECT sample_id, layer, position, dim, round(sum(p * m), 6) + 0.0::DOUBLE AS x FROM pr JOIN mh USING (layer, pattern_id) GROUP BY ALL")
 def retrieved_prototype(spark, d):
     bank = _bank(spark, d)
-    packed = F.broadcast(B.pack(bank).select("layer", F.col("m_hat").alias("m")))
+    packed = B.pack(bank).select("layer", F.col("m_hat").alias("m"))
     s = SC.score(FX.points(spark, d), bank).withColumn("p", M.softmax("scores", FX.BETA)).join(packed, "layer")
     return s.select("sample_id", "layer", "position", F.posexplode(M.retrieved_prototype("p", "m")).alias("dim", "x")).withColumn("x", r6("x"))
 
