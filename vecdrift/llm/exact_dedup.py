@@ -93,19 +93,18 @@ def _chunks(texts: list[bytes], width: int) -> list[list[tuple[bytes, bytes]]]:
     return out
 
 
-def with_recipes(docs: DataFrame, id_bytes: int, keep_text: bool) -> DataFrame:
-    """doc_id (and text), `_xd_recipe` (ordered chunk identifiers) and `_xd_sha`."""
-    fields = docs.select("doc_id", *["text"] * keep_text).schema
+def recipes(docs: DataFrame, id_bytes: int) -> DataFrame:
+    """doc_id, `_xd_recipe` (ordered chunk identifiers) and `_xd_sha`."""
 
     def run(batches):
         for batch in batches:
             for part in pieces_of(batch, rows=4096):
                 texts = [x.lower() for x in part.column("text").cast(pa.binary()).to_pylist()]
-                recipes = [b"".join(k for k, _ in own) for own in _chunks(texts, id_bytes)]
+                ids = [b"".join(k for k, _ in own) for own in _chunks(texts, id_bytes)]
                 shas = [hashlib.sha256(x).hexdigest() for x in texts]
-                yield pa.record_batch([part.column("doc_id"), pa.array(recipes, pa.binary()), pa.array(shas)], ["doc_id", "_xd_recipe", "_xd_sha"])
+                yield pa.record_batch([part.column("doc_id"), pa.array(ids, pa.binary()), pa.array(shas)], ["doc_id", "_xd_recipe", "_xd_sha"])
 
-    schema = f"{fields['doc_id'].name} {fields['doc_id'].dataType.simpleString()}, _xd_recipe binary, _xd_sha string"
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, _xd_recipe binary, _xd_sha string"
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, schema)
 
 
@@ -141,7 +140,7 @@ def exact_duplicates(docs: DataFrame, id_bytes: int = 16) -> DataFrame:
     its rows is on the recipe, and the adaptive planner splits a hot one."""
     bounded_batches(docs.sparkSession)
     width = verified_width(docs, id_bytes)
-    rows = materialize(with_recipes(docs, width, False))
+    rows = materialize(recipes(docs, width))
     groups = rows.groupBy("_xd_recipe").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     return rows.join(groups, "_xd_recipe").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("_xd_sha").alias("text_sha256"))
 

@@ -150,7 +150,7 @@ def mix_plan(docs: DataFrame, weights: tuple = WEIGHTS, most: float = MOST_COPIE
         level += 1
         if nodes == 1:
             break
-        left = nodes if level < 12 else 1
+        left = nodes
     parts.append(rows)
     d = F.col("d")
     taken = F.round(d["size"] * (d["whole"] + d["p"])).cast("long")
