@@ -83,10 +83,11 @@ class Lattice:
         out = np.zeros((len(words), logp.shape[1]))
         for group, n, cells, strange in self._cells(words):
             table = self._table(logp, strange)
-            alpha = [np.zeros((len(group), logp.shape[1]))]
-            for end in range(1, n + 1):
-                alpha.append(self._sum([alpha[s] + table[cells[s, end]] for s in range(max(0, end - self.longest), end) if (s, end) in cells]))
-            out[group] = alpha[n]
+            for c in range(logp.shape[1]):  # one column at a time: flat arrays are the fastest to gather
+                flat, alpha = np.ascontiguousarray(table[:, c]), [np.zeros(len(group))]
+                for end in range(1, n + 1):
+                    alpha.append(self._sum([alpha[s] + flat[cells[s, end]] for s in range(max(0, end - self.longest), end) if (s, end) in cells]))
+                out[group, c] = alpha[n]
         return out
 
     def expected_counts(self, words: list[str], column: np.ndarray, weight: np.ndarray, logp: np.ndarray) -> np.ndarray:
