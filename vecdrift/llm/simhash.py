@@ -44,7 +44,10 @@ SEED = 42
 MAX_BITS = 2
 TABLES, EQUAL_BITS, SEGMENT = 10, 12, 23
 WIDE_WORDS = 6
-WIDE_BITS = 56  # of 384; texts with similarity 0.8 differ in about 30
+SHOWN_WORDS = 2  # that go with each key
+WIDE_BITS = 20  # of 128; texts with similarity 0.8 differ in about 10, others in 50
+FILTER_BITS = 24
+SLOTS = 1 << 16
 TILE = 2000
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
 
@@ -128,7 +131,10 @@ def tiled(rows: DataFrame, key: str, node: str, tile: int = TILE) -> DataFrame:
     """Adds `unit`: the key's rows are compared within a unit. A key with up to
     `tile` rows is one unit; one with more is dealt into tiles, and each pair of
     tiles is a unit that holds the rows of both."""
-    big = rows.groupBy(key).count().where(F.col("count") > tile).select(F.col(key).alias("_big"), F.ceil(F.col("count") / (tile // 2)).alias("_tiles"))
+    # a key with that many rows is in a slot with that many; only such slots' keys are counted
+    slot = F.pmod(F.xxhash64(key), F.lit(SLOTS))
+    full = F.broadcast(rows.groupBy(slot.alias("_slot")).count().where(F.col("count") > tile).select("_slot"))  # SLOTS rows at most
+    big = rows.join(full, slot == F.col("_slot"), "left_semi").groupBy(key).count().where(F.col("count") > tile).select(F.col(key).alias("_big"), F.ceil(F.col("count") / (tile // 2)).alias("_tiles"))
     big = materialize(big)
     if big.isEmpty():
         return rows.withColumn("unit", F.lit(0).cast("long"))
@@ -246,7 +252,7 @@ def profiles(docs: DataFrame, k: int) -> DataFrame:
 def table_keys(nodes: DataFrame) -> DataFrame:
     """Rows key, node, f0.. for the keys of the wide fingerprint."""
     columns = [f"f{i}" for i in range(WIDE_WORDS)]
-    names = ["key", "node", *columns]
+    names = ["key", "node", *columns[:SHOWN_WORDS]]
 
     def run(batches):
         for batch in batches:
@@ -258,7 +264,7 @@ def table_keys(nodes: DataFrame) -> DataFrame:
                 equal, index = number(bits[:, at : at + EQUAL_BITS]), list_keys(number(bits[:, at + EQUAL_BITS : at + EQUAL_BITS + SEGMENT]))
                 row, column = np.nonzero(index >= 0)
                 key = (np.int64(t) << 40) | (equal[row] << 12) | index[row, column]
-                yield pa.record_batch([pa.array(key), batch.column("node").take(pa.array(row)), *[pa.array(wide.view(np.int64)[row, i]) for i in range(WIDE_WORDS)]], names)
+                yield pa.record_batch([pa.array(key), batch.column("node").take(pa.array(row)), *[pa.array(wide.view(np.int64)[row, i]) for i in range(SHOWN_WORDS)]], names)
 
     return nodes.select("node", *columns).mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
@@ -295,6 +301,18 @@ def similar_forest(nodes: list[int], sets: list[np.ndarray], similarity: float)
     return links
 
 
+def likely(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id may be among the wanted ones: a bitmap of
+    2 ** FILTER_BITS bits (2 MB at most, as rows of 4 KB) goes to every task, so
+    that other texts need not be shuffled."""
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS)) + 1
+    bits = wanted.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("_bits"))
+    at = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = docs.join(F.broadcast(bits), F.bitmap_bucket_number(place) == F.col("_bucket"))
+    return found.where(F.getbit(byte, (at % 8).cast("int")) == 1).select(*docs.columns)
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, tile: int = TILE) -> DataFrame:
     """Per row of docs: doc_id, group_id (the least doc_id of its group)."""
     bounded_batches(docs.sparkSession)
@@ -302,7 +320,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, tile:
     wide = [f"f{i}" for i in range(WIDE_WORDS)]
     node = F.xxhash64("s0", "s1")
     nodes = materialize(rows.groupBy("s0", "s1").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in wide]).withColumn("node", node))
-    loose = materialize(components(materialize(bucket_links(materialize(table_keys(nodes)), WIDE_WORDS, WIDE_BITS, tile).distinct())))
+    loose = materialize(components(materialize(bucket_links(materialize(table_keys(nodes)), SHOWN_WORDS, WIDE_BITS, tile).distinct())))
     wanted = loose.join(nodes.select("node", "least"), "node").select("node", "root", F.col("least").alias("doc_id"))
 
     def sets(batches):
@@ -311,7 +329,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, tile:
                 own = [np.unique(hashes(shingles(x.lower().split(), k))).view(np.int64) for x in part.column("text").to_pylist()]
                 yield pa.record_batch([part.column("node"), part.column("root"), pa.array(own, pa.list_(pa.int64()))], ["node", "root", "items"])
 
-    texts = docs.select("doc_id", text_bytes().alias("text")).join(wanted, "doc_id").select("node", "root", "text")
+    texts = likely(docs.select("doc_id", text_bytes().alias("text")), wanted).join(wanted, "doc_id").select("node", "root", "text")
     held = materialize(texts.mapInArrow(sets, "node long, root long, items array<long>").dropDuplicates(["node"]))
 
     def verify(pdf):
