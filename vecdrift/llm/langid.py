@@ -32,7 +32,7 @@ from .vocab import path
 
 HELD_OUT = (3, 1)
 SMOOTH = 0.05
-CACHED = 300_000
+CACHED = 400_000
 FLUSH = 200_000
 
 
@@ -76,25 +76,41 @@ def learn(docs: DataFrame, file: str) -> tuple[list[str], np.ndarray]:
 
 
 class _Words:
-    """Log probabilities of words met, (number, languages)."""
+    """Log probabilities of words met lately, (number, languages). When the
+    newer half is full it becomes the older one; words used again come back."""
 
     def __init__(self, file: str, logp: np.ndarray):
         self.model, self.logp = lattice(file), logp
-        self.place: dict[str, int] = {}
-        self.rows = np.zeros((0, logp.shape[1]))
+        self.new: dict[str, int] = {}
+        self.old: dict[str, int] = {}
+        self.new_rows = np.zeros((CACHED, logp.shape[1]))
+        self.old_rows = np.zeros((CACHED, logp.shape[1]))
+
+    def _look_up(self, words: list[str]) -> np.ndarray:
+        out = np.empty((len(words), self.logp.shape[1]))
+        at = np.fromiter((self.new.get(w, -1) for w in words), np.int64, len(words))
+        out[at >= 0] = self.new_rows[at[at >= 0]]
+        rest = np.flatnonzero(at < 0)
+        at = np.fromiter((self.old.get(words[i], -1) for i in rest), np.int64, len(rest))
+        out[rest[at >= 0]] = self.old_rows[at[at >= 0]]
+        missing = rest[at < 0]
+        for k in range(0, len(missing), 50_000):
+            some = missing[k : k + 50_000]
+            out[some] = self.model.forward([words[i] for i in some], self.logp)
+        for k in range(0, len(rest), CACHED):
+            some = rest[k : k + CACHED]
+            if len(self.new) + len(some) > CACHED:
+                self.old, self.new = self.new, {}
+                self.old_rows, self.new_rows = self.new_rows, self.old_rows
+            n = len(self.new)
+            self.new_rows[n : n + len(some)] = out[some]
+            self.new.update((words[i], n + j) for j, i in enumerate(some))
+        return out
 
     def sums(self, texts: list[list[str]]) -> np.ndarray:
-        new = {w for words in texts for w in words}.difference(self.place)
-        if len(self.place) + len(new) > CACHED:
-            self.place, self.rows = {}, self.rows[:0]
-            new = {w for words in texts for w in words}
-        order = sorted(new)
-        for at in range(0, len(order), 50_000):
-            some = order[at : at + 50_000]
-            self.place.update((w, len(self.rows) + i) for i, w in enumerate(some))
-            self.rows = np.concatenate([self.rows, self.model.forward(some, self.logp)])
-        get = self.place.__getitem__
-        return np.array([self.rows[np.fromiter(map(get, words), np.int64, len(words))].sum(0) for words in texts])
+        words = sorted({w for own in texts for w in own})
+        rows, place = self._look_up(words), {w: i for i, w in enumerate(words)}.__getitem__
+        return np.array([rows[np.fromiter(map(place, own), np.int64, len(own))].sum(0) for own in texts])
 
 
 def predict(docs: DataFrame, langs: list[str], logp: np.ndarray, file: str) -> DataFrame:
@@ -103,7 +119,7 @@ def predict(docs: DataFrame, langs: list[str], logp: np.ndarray, file: str) -> D
     def run(batches):
         known = _Words(file, logp) if langs else None
         for batch in batches:
-            for part in pieces_of(batch, rows=2048):
+            for part in pieces_of(batch, rows=4096):
                 texts = [x or "" for x in part.column("text").to_pylist()]
                 lettered = [any(map(str.isalpha, x)) and bool(langs) for x in texts]
                 names, score = ["und"] * len(texts), np.zeros(len(texts))
@@ -128,7 +144,6 @@ def identify(docs: DataFrame, file: str | None = None) -> DataFrame:
     held_out = remainder(F.col("doc_id"), HELD_OUT[0]) == HELD_OUT[1]
     train = docs.where(~held_out & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
     langs, logp = learn(train, file)
-    bounded_batches(docs.sparkSession)
     found = predict(docs, langs, logp, file)
     return found.select("doc_id", (remainder(F.col("doc_id"), HELD_OUT[0]) == HELD_OUT[1]).alias("held_out"), "lang_pred", "score")
 
