@@ -23,7 +23,6 @@ Rows are independent: ties, repeated rows and further columns do not matter.
 from __future__ import annotations
 
 import hashlib
-import warnings
 from collections.abc import Iterable
 from functools import lru_cache
 
@@ -41,9 +40,9 @@ from .pretoken import compiled, spaced_parts
 from .vocab import path, ranks
 
 FILE = "byte_bpe_50k.tiktoken"
-CACHED = 250_000
+CACHED = 300_000
 CACHED_LENGTH = 48
-ROWS_OF_STEPS = 4_000_000
+ROWS_OF_STEPS = 8_000_000
 
 ENCODE = """
 WITH RECURSIVE state(w, p, k, step) AS (
@@ -76,32 +75,39 @@ WITH RECURSIVE state(w, p, k, step) AS (
 SELECT w, p, k, step FROM state QUALIFY step = max(step) OVER (PARTITION BY w)
 """
 
-#: The same for words of few bytes: one place in each step, in fewer operations.
+#: The same for words of few bytes, one place in each step: a token's row also has
+#: its end, at which the next one begins, and a pair's rank, places and new end
+#: are one number, of which each word's least is taken.
 ENCODE_SHORT = """
-WITH RECURSIVE state(w, p, k, step) AS (
-    SELECT w, p, k, 0 FROM start
+WITH RECURSIVE state(w, p, k, q, step) AS (
+    SELECT w, p, k, p + octet_length(token.bytes)::INT, 0 FROM start JOIN token ON token.id = k
     UNION ALL
     (
-        WITH pairs AS (
-            SELECT w, p, k, step, lead(k) OVER o AS k2, lag(p) OVER o AS before
-            FROM state WINDOW o AS (PARTITION BY w ORDER BY p)
-        ), ranked AS (
-            SELECT w, p, k, step, before, m.made FROM pairs LEFT JOIN merges m ON m.a = k AND m.b = k2
-        ), best AS (
-            SELECT w, min((made::BIGINT << 32) | p) AS rank_place FROM ranked WHERE made IS NOT NULL GROUP BY w
+        WITH best AS (
+            SELECT l.w, min((m.made::BIGINT << 21) | (l.p << 14) | (r.p << 7) | r.q) AS pair
+            FROM state l JOIN state r ON r.w = l.w AND r.p = l.q JOIN merges m ON m.a = l.k AND m.b = r.k
+            GROUP BY l.w
+        ), parts AS (
+            SELECT w, (pair >> 21)::INT AS made, ((pair >> 14) & 127)::INT AS place, ((pair >> 7) & 127)::INT AS gone, (pair & 127)::INT AS new_end FROM best
         )
-        SELECT r.w, r.p, CASE WHEN r.p = (rank_place & 4294967295) THEN r.made ELSE r.k END, r.step + 1
-        FROM ranked r JOIN best USING (w)
-        WHERE r.before IS DISTINCT FROM (rank_place & 4294967295) AND r.step < $steps
+        SELECT s.w, s.p, CASE WHEN s.p = place THEN made ELSE s.k END, CASE WHEN s.p = place THEN new_end ELSE s.q END, s.step + 1
+        FROM state s JOIN parts USING (w)
+        WHERE s.p <> gone AND s.step < $steps
     )
 )
-SELECT w, p, k, step FROM state QUALIFY step = max(step) OVER (PARTITION BY w)
+SELECT w, p, k, step FROM state JOIN (SELECT w, max(step) AS step FROM state GROUP BY w) USING (w, step)
 """
 SHORT = 64
 
 DECODE = """
 SELECT w, list(token.bytes ORDER BY p) AS bytes FROM ids JOIN token ON token.id = ids.k GROUP BY w
 """
+#: Both of words that are encoded: their ids in order, in decimal, and the bytes
+#: that these decode to.
+ENCODED = """
+SELECT w, string_agg(k::VARCHAR, ' ' ORDER BY p) AS ids, count(*) AS n, list(token.bytes ORDER BY p) AS bytes
+FROM encoded JOIN token ON token.id = k GROUP BY w
+"""
 
 
 class BpeCodec:
@@ -110,7 +116,6 @@ class BpeCodec:
     def __init__(self, file: str):
         known = ranks(file)
         self.ids = known
-        warnings.filterwarnings("ignore", "Arrow output on a DB-API result")
         a, b, made = [], [], []
         unsafe = set()  # tokens that a merge of lower rank involves
         for token, rank in known.items():
@@ -130,31 +135,45 @@ class BpeCodec:
 
     def encode(self, words: list[bytes]) -> list[list[int]]:
         """Ids of each word. A word that is a token is that token."""
-        out = [[self.ids[w]] if w in self.ids else [] for w in words]
-        todo = [i for i, w in enumerate(words) if w not in self.ids and w]
-        self._contract(ENCODE_SHORT, words, [i for i in todo if len(words[i]) <= SHORT], out)
-        self._contract(ENCODE, words, [i for i in todo if len(words[i]) > SHORT], out)
+        return [[int(k) for k in ids.split()] for ids, _, _ in self.encode_decode(words)]
+
+    def encode_decode(self, words: list[bytes]) -> list[tuple[str, int, bytes]]:
+        """For each word its ids in decimal, joined by spaces, their number, and
+        the bytes that they decode to."""
+        out: list[tuple[str, int, bytes]] = [("", 0, b"")] * len(words)
+        self.db.execute("CREATE OR REPLACE TEMP TABLE encoded (w INT, p INT, k INT)")
+        todo, whole = [], []
+        for i, w in enumerate(words):
+            (whole if w in self.ids else todo).append(i)
+        if whole:
+            k = pa.array([self.ids[words[i]] for i in whole], pa.int32())
+            self.db.register("whole", pa.table({"w": pa.array(whole, pa.int32()), "k": k}))
+            self.db.execute("INSERT INTO encoded SELECT w, 0, k FROM whole")
+            self.db.unregister("whole")
+        self._contract(ENCODE_SHORT, words, [i for i in todo if 0 < len(words[i]) <= SHORT])
+        self._contract(ENCODE, words, [i for i in todo if len(words[i]) > SHORT])
+        for i, ids, n, parts in self.db.execute(ENCODED).fetchall():
+            out[i] = (ids, n, b"".join(parts))
         return out
 
-    def _contract(self, query: str, words: list[bytes], some: list[int], out: list[list[int]]) -> None:
-        """Appends to out the ids of the words at the places in some."""
+    def _contract(self, query: str, words: list[bytes], some: list[int]) -> None:
+        """Adds to the table `encoded` the words at the places in some."""
         if not some:
             return
         lengths = np.array([len(words[i]) for i in some], np.int64)
         w = np.repeat(np.array(some, np.int32), lengths)
         p = (np.arange(len(w)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)
         k = self.byte_ids[np.frombuffer(b"".join(words[i] for i in some), np.uint8)]
-        state = pa.table({"w": w, "p": p, "k": k})
-        while state.num_rows:
-            steps = max(4, ROWS_OF_STEPS // state.num_rows)
-            self.db.register("start", state)
-            result = self.db.execute(query + " ORDER BY w, p", {"steps": steps}).to_arrow_table()
-            self.db.unregister("start")
-            open_ = result.column("step").to_numpy() >= steps
-            done = result.filter(pa.array(~open_)) if open_.any() else result
-            for i, token in zip(done.column("w").to_pylist(), done.column("k").to_pylist(), strict=True):
-                out[i].append(token)
-            state = result.filter(pa.array(open_)).select(["w", "p", "k"]) if open_.any() else state.slice(0, 0)
+        left = len(w)
+        self.db.register("given", pa.table({"w": w, "p": p, "k": k}))
+        self.db.execute("CREATE OR REPLACE TEMP TABLE start AS SELECT w, p, k FROM given")
+        self.db.unregister("given")
+        while left:
+            steps = max(4, ROWS_OF_STEPS // left)
+            self.db.execute("CREATE OR REPLACE TEMP TABLE reached AS " + query.replace("$steps", str(steps)))
+            self.db.execute(f"INSERT INTO encoded SELECT w, p, k FROM reached WHERE step < {steps}")
+            self.db.execute(f"CREATE OR REPLACE TEMP TABLE start AS SELECT w, p, k FROM reached WHERE step >= {steps}")
+            ((left,),) = self.db.execute("SELECT count(*) FROM start").fetchall()
 
     def decode(self, ids: Iterable[list[int]]) -> list[bytes]:
         """Bytes of each sequence of ids."""
@@ -170,50 +189,71 @@ class BpeCodec:
 
 
 class TextCodec:
-    """Encodes and decodes texts; remembers recent words."""
+    """Encodes and decodes texts. Remembers words that it met lately: when `new` is full it becomes `old`, and what is used again comes
+    back from there."""
 
     def __init__(self, file: str, pattern: str):
         self.codec, self.words = BpeCodec(file), compiled(pattern)
-        self.known: dict[str, tuple[list[int], bytes]] = {}
-        self.parts: dict[str, tuple[str, int, bytes]] = {}
-
-    def _learn(self, words: set[str]) -> None:
-        todo = [w for w in words if w not in self.known]
-        if len(self.known) + len(todo) > CACHED:
-            self.known = {}
-            todo = list(words)
+        self.new: dict[str, tuple[str, int, bytes]] = {}
+        self.old: dict[str, tuple[str, int, bytes]] = {}
+
+    def _words(self, part: str) -> list[str]:
+        """The words of a part; those of the commonest forms without the pattern,
+        whose letters are those of isalpha()."""
+        if part[0] == " " and part[1:].isalpha():
+            return [part]
+        if part[0] == " " and part[-1] in ".,;:!?|" and part[1:-1].isalpha():
+            return [part[:-1], part[-1]]
+        return self.words.findall(part)
+
+    def _find(self, keys: set[str], into: dict) -> set[str]:
+        """Puts what is known of keys into `into`; returns the others."""
+        missing = set()
+        for key in keys:
+            found = self.new.get(key)
+            if found is None:
+                found = self.old.get(key)
+                if found is None:
+                    missing.add(key)
+                    continue
+                self.new[key] = found
+            into[key] = found
+        return missing
+
+    def _learn(self, parts: set[str]) -> dict[str, tuple[str, int, bytes]]:
+        """A result for each part of a text."""
+        if len(self.new) > CACHED:
+            self.old, self.new = self.new, {}
+        out: dict[str, tuple[str, int, bytes]] = {}
+        missing = {p: self._words(p) for p in self._find(parts, out)}
+        words: dict[str, tuple[str, int, bytes]] = {}
+        todo = list(self._find({w for own in missing.values() for w in own}, words))
         for at in range(0, len(todo), 50_000):
             some = todo[at : at + 50_000]
-            ids = self.codec.encode([w.encode() for w in some])
-            self.known.update(zip(some, zip(ids, self.codec.decode(ids), strict=True), strict=True))
-
-    def _result(self, words: list[str]) -> tuple[str, int, bytes]:
-        found = [self.known[w] for w in words]
-        ids = [k for own, _ in found for k in own]
-        return " ".join(map(str, ids)), len(ids), b"".join([b for _, b in found])
+            fresh = dict(zip(some, self.codec.encode_decode([w.encode() for w in some]), strict=True))
+            words.update(fresh)
+            self.new.update((w, x) for w, x in fresh.items() if len(w) <= CACHED_LENGTH)
+        for part, own in missing.items():
+            if len(own) == 1:
+                out[part] = words[own[0]]
+                continue
+            found = [words[w] for w in own]
+            out[part] = (" ".join([f[0] for f in found]), sum([f[1] for f in found]), b"".join([f[2] for f in found]))
+        return out
 
     def run(self, texts: list[str]) -> list[tuple[str, int, bytes]]:
         """For each text its ids in decimal, joined by spaces, their number and
         the bytes that they decode to."""
-        find, parts = self.words.findall, self.parts
-        if len(parts) > CACHED:
-            parts.clear()
         cut = [spaced_parts(x) for x in texts]
+        rest = {p for x in cut if x for p in x[1:]}
         first = {x[0] if x else t for x, t in zip(cut, texts, strict=True)}
-        new = {p for x in cut if x for p in x[1:] if p not in parts}
-        pieces = {p: find(p) for p in first} | {" " + p: find(" " + p) for p in new}
-        self._learn({w for own in pieces.values() for w in own})
-        own = {p: self._result(pieces[" " + p]) for p in new}
-        parts.update((p, v) for p, v in own.items() if len(p) <= CACHED_LENGTH)
+        found = self._learn({" " + p for p in rest} | (first - {""}))
+        found[""] = ("", 0, b"")
+        after = {p: found[" " + p] for p in rest}
         out = []
         for x, text in zip(cut, texts, strict=True):
-            if x is None:
-                out.append(self._result(pieces[text]))
-                continue
-            found = [self._result(pieces[x[0]]), *[parts[p] if p in parts else own[p] for p in x[1:]]]
-            out.append((" ".join([f[0] for f in found if f[1]]), sum([f[1] for f in found]), b"".join([f[2] for f in found])))
-        for w in [w for w in self.known if len(w) > CACHED_LENGTH]:
-            del self.known[w]
+            own = [found[x[0] if x else text], *map(after.__getitem__, x[1:] if x else ())]
+            out.append((" ".join([f[0] for f in own if f[1]]), sum([f[1] for f in own]), b"".join([f[2] for f in own])))
         return out
 
 
@@ -233,7 +273,7 @@ def encode_decode(docs: DataFrame, file: str | None = None, pattern: str = publi
     def run(batches):
         codec = text_codec(file, pattern)
         for batch in batches:
-            for part in pieces_of(batch, rows=2048):
+            for part in pieces_of(batch, rows=4096, size=8 << 20):
                 found = codec.run(part.column("text").to_pylist())
                 n = pa.array([f[1] for f in found], pa.int64())
                 if digests:
