@@ -42,7 +42,7 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bounded_batches(spark: SparkSession, records: int = 1000, megabytes: int = 8) -> None:
+def bounded_batches(spark: SparkSession, records: int = 4096, megabytes: int = 8) -> None:
     """Bound Arrow batches by rows and, as texts can be very long, by bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(records))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{megabytes}m")
@@ -67,6 +67,20 @@ def pieces_of(batch: pa.RecordBatch, rows: int = 256, size: int = 4 << 20) -> It
         yield batch.slice(start)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iterator[pa.RecordBatch]:
+    """The same rows (small ones) in batches of at least `rows`, whatever the
+    session's batch size is when the job runs."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield pa.concat_batches(held)
+            held, n = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(text, UPPER, LOWER)

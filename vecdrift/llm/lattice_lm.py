@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, materialize, pieces_of, remainder, text_bytes
+from .common import bounded_batches, gathered, materialize, pieces_of, remainder, text_bytes
 from .lattice import FILE, lattice
 from .vocab import path
 
@@ -86,7 +86,7 @@ def piece_counts(words: DataFrame, logp: np.ndarray, file: str, columns: dict |
 
     def run(batches):
         model, total = lattice(file), None
-        for batch in batches:
+        for batch in gathered(batches):
             names = batch.column("of").to_pylist() if "of" in batch.schema.names else [None] * batch.num_rows
             column = np.array([columns[x] for x in names], np.int64)
             got = model.expected_counts(batch.column("word").to_pylist(), column, batch.column("c").to_numpy().astype(float), logp)
@@ -95,7 +95,6 @@ def piece_counts(words: DataFrame, logp: np.ndarray, file: str, columns: dict |
             piece, column = np.nonzero(total)
             yield pa.record_batch([pa.array(piece), pa.array(column), pa.array(total[piece, column])], ["piece", "column", "n"])
 
-    bounded_batches(words.sparkSession, records=20_000)
     rows = words.mapInArrow(run, "piece long, column long, n double").groupBy("piece", "column").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(logp.shape)
     out[rows["piece"].to_numpy(int), rows["column"].to_numpy(int)] = rows["n"].to_numpy()
@@ -124,11 +123,10 @@ def scores(docs: DataFrame, file: str | None = None, steps: int = STEPS) -> Data
         logp, log_end = np.log((n + SMOOTH) / whole), float(np.log(ends / whole))
 
     def decode(batches):
-        for batch in batches:
+        for batch in gathered(batches):
             log10 = lattice(file).forward(batch.column("word").to_pylist(), logp)[:, 0] / np.log(10)
             yield pa.record_batch([batch.column("word"), batch.column("c"), pa.array(log10.astype(np.float32))], ["word", "c", "lm"])
 
-    bounded_batches(spark, records=20_000)
     known = lexicon.mapInArrow(decode, "word string, c long, lm float")
     back = entries.select("block", "pos", "word").join(known, "word").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("pos", "c", "lm"))).alias("found"))
     joined = blocks.select("block", "doc_ids", "train", "lengths", "codes").join(back, "block", "left")
@@ -154,7 +152,6 @@ def scores(docs: DataFrame, file: str | None = None, steps: int = STEPS) -> Data
                     names,
                 )
 
-    bounded_batches(spark)
     id_type = docs.schema["doc_id"].dataType.simpleString()
     return joined.mapInArrow(score, f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
