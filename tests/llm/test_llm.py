@@ -290,6 +290,28 @@ def test_near_duplicates_by_similarity(spark, docs, odd, none):
     assert simhash.drop_near_duplicates(odd).columns == odd.columns
 
 
+def test_near_duplicates_with_passages(spark):
+    """Passages appended, cut off and replaced, at similarities of 0.78 to 0.9."""
+    rng = random.Random(5)
+    rows = []
+    line = [f"license{i}" for i in range(30)]
+    for g in range(60):
+        n = (100, 200, 600)[g % 3]
+        words = [f"g{g}w{i}" for i in range(n)] + line
+        m = int(n * rng.choice((0.1, 0.15, 0.2, 0.24)))
+        new = [f"g{g}new{i}" for i in range(m)]
+        at = rng.randrange(n - m)
+        for kind, own in enumerate((words, words + new, words[m:], words[:at] + new[: m // 2] + words[at + m // 2 :])):
+            rows.append((g * 10 + kind, " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    like = [[len(a & b) / len(a | b) >= 0.8 for b in sets[:i]] for i, a in enumerate(sets)]
+    want = _groups(len(rows), [(i, j) for i, own in enumerate(like) for j, yes in enumerate(own) if yes])
+    assert len(rows) // 4 < len(set(want)) < len(rows)
+    got = {r.doc_id: r.group_id for r in simhash.near_duplicates(df).collect()}
+    assert [got[i] for i, _ in rows] == [rows[k][0] for k in want]
+
+
 def test_components_of_a_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 50)] + [(7, 7)]
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}

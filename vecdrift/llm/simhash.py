@@ -11,9 +11,14 @@ and the next one holds at most one error if the right one is taken; the three
 keys (first, second), (second, third), (third, first) cover every case.
 
 near_duplicates() links texts whose sets of word shingles have a Jaccard
-similarity of at least `similarity`. Candidates come from ten keys of 12 equal
-bits and a Golay index over a 384-bit fingerprint of the text's words, which
-changes little where a text does; every link is verified on the shingles.
+similarity of at least `similarity`, and loses none. Candidates come from ten
+keys of 12 equal bits and a Golay index over a 384-bit fingerprint of the
+text's words, which changes little where single words do, and from the prefixes
+of the shingle sets: in any one order of all shingles, sets that are so similar
+share one of their first |x| - ceil(similarity * |x|) + 1. Common shingles come
+last in the order. Of two texts that share a key, a bound on the similarity that
+holds for certain (see may_be_similar) decides whether they are candidates;
+every link is verified on the shingles.
 
 Hot keys and hot groups: equal fingerprints are one row before any key is made.
 The rows of a key are compared where they meet, and give a spanning forest of
@@ -44,8 +49,9 @@ SEED = 42
 MAX_BITS = 2
 TABLES, EQUAL_BITS, SEGMENT = 10, 12, 23
 WIDE_WORDS = 6
-SHOWN_WORDS = 2  # that go with each key
-WIDE_BITS = 20  # of 128; texts with similarity 0.8 differ in about 10, others in 50
+TOKEN = 1 << 62  # added to the keys that are shingles
+COUNT_WORDS = 8  # of 16 counts each
+COMMON_SAMPLE, COMMON_LEAST, COMMON_MOST = 4000, 4, 50_000
 FILTER_BITS = 24
 SLOTS = 1 << 16
 TILE = 2000
@@ -146,14 +152,35 @@ def tiled(rows: DataFrame, key: str, node: str, tile: int = TILE) -> DataFrame:
     return rows.withColumn("unit", unit).drop("_own", "_other", "_big", "_tiles")
 
 
-def _forest(fps: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """A spanning forest of the rows of fps (n, words) within `most` bits."""
+def counted(items: np.ndarray) -> np.ndarray:
+    """128 counts of a set of items, by 7 bits of each, modulo 16, as words."""
+    n = np.bincount((items >> np.uint64(57)).astype(np.int64), minlength=COUNT_WORDS * 16) & 15
+    return (n[0::2] | n[1::2] << 4).astype(np.uint8).view(np.uint64)
+
+
+def may_be_similar(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """Rows of counted() words and the set's size. False only where the Jaccard
+    similarity is certainly less: sets of similarity t differ in at most
+    (1 - t) / (1 + t) * (|x| + |y|) items, and counts modulo 16 differ by no
+    more, around the circle, than the sets do."""
+    x, y = a[..., -1].astype(np.int64), b[..., -1].astype(np.int64)
+    near = np.minimum(x, y) >= similarity * np.maximum(x, y) - 1e-9
+    bytes_ = [np.ascontiguousarray(v[..., :-1]).view(np.uint8) for v in (a, b)]
+    apart = 0
+    for one, other in (tuple(v & 15 for v in bytes_), tuple(v >> 4 for v in bytes_)):
+        d = (one - other) & 15
+        apart = apart + np.minimum(d, 16 - d).sum(-1, dtype=np.int64)
+    return near & (apart <= (1 - similarity) / (1 + similarity) * (x + y) + 1e-9)
+
+
+def _forest(fps: np.ndarray, is_near) -> list[tuple[int, int]]:
+    """A spanning forest of the rows of fps (n, words) that are near."""
     open_, links = np.arange(len(fps)), []
     while len(open_):
         todo, open_ = [int(open_[0])], open_[1:]
         while todo and len(open_):
             at = todo.pop()
-            near = np.bitwise_count(fps[open_] ^ fps[at]).sum(1) <= most
+            near = is_near(fps[open_], fps[at])
             found = open_[near]
             links += [(at, int(x)) for x in found]
             todo += found.tolist()
@@ -161,11 +188,15 @@ def _forest(fps: np.ndarray, most: int) -> list[tuple[int, int]]:
     return links
 
 
-def bucket_links(keyed: DataFrame, words: int, most: int, tile: int = TILE) -> DataFrame:
+def bucket_links(keyed: DataFrame, words: int, most: int, tile: int = TILE, is_near=None) -> DataFrame:
     """keyed: key, node, f0.. (long). Links a, b between nodes that share a key
-    and differ in at most `most` bits: all of them for keys with few rows, a
-    spanning forest for the others."""
+    and differ in at most `most` bits, or are near by is_near(rows, rows): all of
+    them for keys with few rows, a spanning forest for the others."""
     columns = [f"f{i}" for i in range(words)]
+    if is_near is None:
+
+        def is_near(a, b):
+            return np.bitwise_count(a ^ b).sum(1) <= most
 
     def links_of(key, unit, node, fps):
         out_a, out_b = [], []
@@ -180,10 +211,10 @@ def bucket_links(keyed: DataFrame, words: int, most: int, tile: int = TILE) -> D
             at = at[group[at] == group[at + shift]]
             if not len(at):
                 break
-            at = at[np.bitwise_count(fps[at] ^ fps[at + shift]).sum(1) <= most]
+            at = at[is_near(fps[at], fps[at + shift])]
             out_a.append(node[at]), out_b.append(node[at + shift])
         for s, m in zip(start[size > 8], size[size > 8], strict=True):
-            found = np.array(_forest(fps[s : s + m], most), np.int64).reshape(-1, 2) + s
+            found = np.array(_forest(fps[s : s + m], is_near), np.int64).reshape(-1, 2) + s
             out_a.append(node[found[:, 0]]), out_b.append(node[found[:, 1]])
         return np.concatenate(out_a or [node[:0]]), np.concatenate(out_b or [node[:0]])
 
@@ -226,37 +257,89 @@ def near_fingerprints(docs: DataFrame, k: int = 3) -> DataFrame:
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def profiles(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, set_id (digest of the shingle set, as 2 longs), f0.. (wide
-    fingerprint of the words)."""
+def common_items(docs: DataFrame, k: int) -> np.ndarray:
+    """Shingles that several of some COMMON_SAMPLE texts have, at most COMMON_MOST
+    of them, as rows (hash, rank by number of texts), by hash. They only set the
+    order of shingles, and any order finds every link."""
+    share = max(1, docs.count() // COMMON_SAMPLE)
+
+    def run(batches):
+        for batch in batches:
+            for part in pieces_of(batch, rows=512):
+                own = [np.unique(hashes(shingles(x.lower().split(), k))) for x in part.column("text").to_pylist()]
+                items, n = np.unique(np.concatenate(own).astype(np.uint64), return_counts=True)
+                yield pa.record_batch([pa.array(items.view(np.int64)), pa.array(n)], ["item", "n"])
+
+    picked = docs.select(text_bytes().alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0)
+    found = picked.mapInArrow(run, "item long, n long").groupBy("item").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON_LEAST)
+    rows = found.orderBy(F.desc("n"), "item").limit(COMMON_MOST).collect()
+    items = np.array([r.item for r in rows], np.int64).view(np.uint64)
+    order = np.argsort(items)
+    return np.stack([items[order], (len(items) - order).astype(np.uint64)], 1)
+
+
+def prefix(own: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
+    """The first items of a set (distinct, by hash), common ones last, of which
+    every set of that similarity has one among its own first."""
+    n = len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1
+    if not len(common) or not len(own):
+        return own[:n]
+    at = np.minimum(np.searchsorted(common[:, 0], own), len(common) - 1)
+    late = common[at, 0] == own
+    first = own[~late]
+    if len(first) < n:
+        first = np.concatenate([first, own[late][np.argsort(common[at[late], 1])]])
+    return first[:n]
+
+
+def profiles(docs: DataFrame, k: int, similarity: float) -> DataFrame:
+    """doc_id, t0, t1 (two hashes of the text), set_id (digest of the shingle
+    set, as 2 longs), f0.. (wide fingerprint of the words), c0.. (counted()
+    shingles and their number), first (the set's prefix)."""
+    common = common_items(docs, k)
 
     def run(batches):
         for batch in batches:
             for part in pieces_of(batch, rows=2048):
-                ids, wide = [], []
+                ids, wide, sizes, first = [], [], [], []
                 for x in part.column("text").to_pylist():
                     words = x.lower().split()
                     own = np.unique(hashes(shingles(words, k)))
                     ids.append(xxhash.xxh3_128_digest(own.tobytes()))
+                    sizes.append(np.append(counted(own), np.uint64(len(own))))
+                    first.append(prefix(own, common, similarity).view(np.int64))
                     h = hashes(list(set(words)))
                     wide.append(packed(majority(spread(h, WIDE_WORDS))) if len(h) else np.zeros(WIDE_WORDS, np.uint64))
-                wide = np.stack(wide).view(np.int64)
+                longs = np.concatenate([np.stack(wide), np.stack(sizes)], 1).view(np.int64)
                 pair = np.frombuffer(b"".join(ids), np.int64).reshape(-1, 2)
-                yield pa.record_batch([part.column("doc_id"), pa.array(pair[:, 0]), pa.array(pair[:, 1]), *[pa.array(wide[:, i]) for i in range(WIDE_WORDS)]], names)
+                same = [part.column(c) for c in ("doc_id", "t0", "t1")]
+                yield pa.record_batch([*same, pa.array(pair[:, 0]), pa.array(pair[:, 1]), *[pa.array(longs[:, i]) for i in range(longs.shape[1])], pa.array(first, pa.list_(pa.int64()))], [*names, "first"])
 
-    names = ["doc_id", "s0", "s1", *[f"f{i}" for i in range(WIDE_WORDS)]]
+    names = ["doc_id", "t0", "t1", "s0", "s1", *WIDE, *COUNTED]
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_bytes().alias("text")).mapInArrow(run, f"doc_id {id_type}, " + ", ".join(f"{n} long" for n in names[1:]))
+    given = docs.select("doc_id", *text_key(), text_bytes().alias("text"))
+    return given.mapInArrow(run, f"doc_id {id_type}, " + ", ".join(f"{n} long" for n in names[1:]) + ", first array<long>")
+
+
+WIDE = tuple(f"f{i}" for i in range(WIDE_WORDS))
+COUNTED = tuple(f"c{i}" for i in range(COUNT_WORDS + 1))
+
+
+def text_key() -> list:
+    """Columns t0, t1: two hashes of the text, which tell rows of one doc_id, or
+    of none, apart."""
+    return [F.xxhash64(text_bytes()).alias("t0"), F.xxhash64(F.lit(1), text_bytes()).alias("t1")]
 
 
 def table_keys(nodes: DataFrame) -> DataFrame:
-    """Rows key, node, f0.. for the keys of the wide fingerprint."""
-    columns = [f"f{i}" for i in range(WIDE_WORDS)]
-    names = ["key", "node", *columns[:SHOWN_WORDS]]
+    """Rows key, node for the keys of the wide fingerprint and of the prefix."""
 
     def run(batches):
         for batch in batches:
-            wide = np.stack([batch.column(c).to_numpy() for c in columns], 1).view(np.uint64)
+            first = batch.column("first").flatten().to_numpy().view(np.uint64)
+            owner = batch.column("node").take(batch.column("first").value_parent_indices()) if len(first) else batch.column("node").slice(0, 0)
+            yield pa.record_batch([pa.array(((first >> np.uint64(2)) | np.uint64(TOKEN)).view(np.int64)), owner], ["key", "node"])
+            wide = np.stack([batch.column(c).to_numpy() for c in WIDE], 1).view(np.uint64)
             bits = np.unpackbits(np.ascontiguousarray(wide.astype(">u8")).view(np.uint8).reshape(len(wide), -1), axis=1)
             number = lambda part: part.astype(np.int64) @ (1 << np.arange(part.shape[1], dtype=np.int64))
             for t in range(TABLES):
@@ -264,9 +347,37 @@ def table_keys(nodes: DataFrame) -> DataFrame:
                 equal, index = number(bits[:, at : at + EQUAL_BITS]), list_keys(number(bits[:, at + EQUAL_BITS : at + EQUAL_BITS + SEGMENT]))
                 row, column = np.nonzero(index >= 0)
                 key = (np.int64(t) << 40) | (equal[row] << 12) | index[row, column]
-                yield pa.record_batch([pa.array(key), batch.column("node").take(pa.array(row)), *[pa.array(wide.view(np.int64)[row, i]) for i in range(SHOWN_WORDS)]], names)
+                yield pa.record_batch([pa.array(key), batch.column("node").take(pa.array(row))], ["key", "node"])
+
+    return nodes.select("node", "first", *WIDE).mapInArrow(run, "key long, node long")
+
 
-    return nodes.select("node", *columns).mapInArrow(run, ", ".join(f"{n} long" for n in names))
+def shared_keys(keyed: DataFrame) -> DataFrame:
+    """The rows of keys that two nodes or more have. Keys of the same nodes are
+    one: the new key is a digest of its nodes."""
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = np.stack([batch.column(c).to_numpy() for c in ("key", "node")], 1)
+            rows = rows if held is None else np.concatenate([held, rows])
+            cut = len(rows) - int((rows[:, 0] == rows[-1, 0]).sum())
+            held = rows[cut:]
+            yield digest(rows[:cut])
+        if held is not None:
+            yield digest(held)
+
+    def digest(rows):
+        key, node = rows[:, 0], np.ascontiguousarray(rows[:, 1])
+        start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+        size = np.diff(np.r_[start, len(key)])
+        sums = np.add.reduceat(spread(node.view(np.uint64), 1)[:, 0], start) if len(key) else np.zeros(0, np.uint64)
+        many = np.repeat(size > 1, size)
+        return pa.record_batch([pa.array(np.repeat(sums, size)[many].view(np.int64)), pa.array(node[many])], ["key", "node"])
+
+    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, node long").distinct()
 
 
 def similar_forest(nodes: list[int], sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
@@ -302,10 +413,10 @@ def similar_forest(nodes: list[int], sets: list[np.ndarray], similarity: float)
 
 
 def likely(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id may be among the wanted ones: a bitmap of
+    """The rows of docs whose t0 may be among the wanted ones: a bitmap of
     2 ** FILTER_BITS bits (2 MB at most, as rows of 4 KB) goes to every task, so
     that other texts need not be shuffled."""
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS)) + 1
+    place = F.pmod(F.xxhash64("t0"), F.lit(1 << FILTER_BITS)) + 1
     bits = wanted.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("_bits"))
     at = F.bitmap_bit_position(place)
     byte = F.conv(F.hex(F.substring("_bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
@@ -313,15 +424,19 @@ def likely(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.where(F.getbit(byte, (at % 8).cast("int")) == 1).select(*docs.columns)
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, tile: int = TILE) -> DataFrame:
-    """Per row of docs: doc_id, group_id (the least doc_id of its group)."""
+def near_sets(docs: DataFrame, k: int, similarity: float, tile: int) -> tuple[DataFrame, DataFrame]:
+    """Per row of docs: doc_id, t0, t1, s0, s1; and per set s0, s1: root (of its
+    group), least (its least doc_id)."""
     bounded_batches(docs.sparkSession)
-    rows = materialize(profiles(docs, k))
-    wide = [f"f{i}" for i in range(WIDE_WORDS)]
+    rows = materialize(profiles(docs, k, similarity))
     node = F.xxhash64("s0", "s1")
-    nodes = materialize(rows.groupBy("s0", "s1").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in wide]).withColumn("node", node))
-    loose = materialize(components(materialize(bucket_links(materialize(table_keys(nodes)), SHOWN_WORDS, WIDE_BITS, tile).distinct())))
-    wanted = loose.join(nodes.select("node", "least"), "node").select("node", "root", F.col("least").alias("doc_id"))
+    one = F.min(F.struct("doc_id", "t0", "t1")).alias("one")
+    nodes = materialize(rows.groupBy("s0", "s1").agg(F.min("doc_id").alias("least"), one, *[F.first(c).alias(c) for c in (*WIDE, *COUNTED, "first")]).withColumn("node", node))
+    counts = nodes.select("node", *[F.col(c).alias(f"f{i}") for i, c in enumerate(COUNTED)])
+    keyed = materialize(shared_keys(table_keys(nodes)).join(counts, "node"))
+    links = bucket_links(keyed, len(COUNTED), 0, tile, lambda a, b: may_be_similar(a, b, similarity))
+    loose = materialize(components(materialize(links.distinct())))
+    wanted = loose.join(nodes.select("node", "one"), "node").select("node", "root", F.col("one.doc_id").alias("_id"), F.col("one.t0").alias("t0"), F.col("one.t1").alias("t1"))
 
     def sets(batches):
         for batch in batches:
@@ -329,7 +444,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, tile:
                 own = [np.unique(hashes(shingles(x.lower().split(), k))).view(np.int64) for x in part.column("text").to_pylist()]
                 yield pa.record_batch([part.column("node"), part.column("root"), pa.array(own, pa.list_(pa.int64()))], ["node", "root", "items"])
 
-    texts = likely(docs.select("doc_id", text_bytes().alias("text")), wanted).join(wanted, "doc_id").select("node", "root", "text")
+    given = docs.select("doc_id", *text_key(), text_bytes().alias("text"))
+    texts = likely(given, wanted).join(wanted, ["t0", "t1"]).where(F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "root", "text")
     held = materialize(texts.mapInArrow(sets, "node long, root long, items array<long>").dropDuplicates(["node"]))
 
     def verify(pdf):
@@ -341,6 +457,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, tile:
     links = tiled(held, "root", "node", tile).groupBy("root", "unit").applyInPandas(verify, "a long, b long")
     roots = components(materialize(links.distinct()))
     grouped = nodes.select("s0", "s1", "node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return rows.select("doc_id", "t0", "t1", "s0", "s1"), grouped
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, tile: int = TILE) -> DataFrame:
+    """Per row of docs: doc_id, group_id (the least doc_id of its group)."""
+    rows, grouped = near_sets(docs, k, similarity, tile)
     least = grouped.groupBy("root").agg(F.min("least").alias("group_id"))
     named = grouped.join(least, "root").select("s0", "s1", "group_id")
     return rows.join(named, ["s0", "s1"]).select("doc_id", "group_id")
@@ -348,7 +470,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, tile:
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs without the rows that are near-duplicates of a kept one: of each
-    group the least doc_id stays. Columns are those of docs."""
+    group one row with the least doc_id stays. Columns are those of docs."""
     groups = materialize(near_duplicates(docs, k, similarity))
     drop = groups.where(~F.col("doc_id").eqNullSafe(F.col("group_id"))).select(F.col("doc_id").alias("_nd_id")).distinct()
     left = docs.join(drop, docs["doc_id"].eqNullSafe(drop["_nd_id"]), "left_anti")
