@@ -312,6 +312,18 @@ def test_near_duplicates_with_passages(spark):
     assert [got[i] for i, _ in rows] == [rows[k][0] for k in want]
 
 
+def test_bound_never_rejects_a_similar_pair():
+    rng = np.random.default_rng(6)
+    for n in (3, 40, 300, 5000):
+        x = rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)
+        row = lambda s: np.append(simhash.counted(s), np.uint64(len(s)))
+        for share in (0.8, 0.9, 1.0):
+            part = x[: int(np.ceil(share * n))]
+            assert simhash.may_be_similar(row(x)[None], row(part), 0.8).all()
+        other = rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)
+        assert n > 2000 or not simhash.may_be_similar(row(x)[None], row(other), 0.8).any()
+
+
 def test_components_of_a_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 50)] + [(7, 7)]
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
