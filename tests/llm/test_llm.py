@@ -324,6 +324,22 @@ def test_bound_never_rejects_a_similar_pair():
         assert n > 2000 or not simhash.may_be_similar(row(x)[None], row(other), 0.8).any()
 
 
+def test_near_duplicates_with_null_and_repeated_ids(spark):
+    text = lambda g, n=60: " ".join(f"g{g}w{i}" for i in range(n))
+    rows = [
+        (1, text(1)), (None, text(1, 58)), (None, text(2)), (None, text(3)), (None, text(3, 57)),  # null near an id, alone, near null
+        (5, text(4)), (5, text(5)), (5, text(5).upper()), (6, text(6)), (6, text(6)), (4, text(5, 59)), (7, text(7)),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    left = sorted(((r.doc_id, r.text) for r in simhash.drop_near_duplicates(df).collect()), key=repr)
+    threes = [x for x in left if x[1] in (text(3), text(3, 57))]
+    assert len(threes) == 1
+    rest = [(1, text(1)), (None, text(2)), (5, text(4)), (6, text(6)), (4, text(5, 59)), (7, text(7))]
+    assert [x for x in left if x not in threes] == sorted(rest, key=repr)
+    nulls = spark.createDataFrame([(None, t) for _, t in rows[2:5]], "doc_id long, text string")
+    assert simhash.drop_near_duplicates(nulls).count() == 2
+
+
 def test_components_of_a_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 50)] + [(7, 7)]
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}

@@ -28,7 +28,8 @@ dealt out as pairs of tiles, each a task-sized unit of its own.
 Defined results: a null text is the empty text; texts without words have
 fingerprint zero, linked like any other; repeated rows are in one component;
 a null doc_id takes part in links but is never the id of a component unless all
-are null. An empty table gives an empty result; further columns pass through
+are null; rows with a null or repeated doc_id are rows of their own, told apart
+by their texts. An empty table gives an empty result; further columns pass through
 drop_near_duplicates() and do not matter to the rest.
 """
 
@@ -470,14 +471,33 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, tile:
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs without the rows that are near-duplicates of a kept one: of each
-    group one row with the least doc_id stays. Columns are those of docs."""
-    groups = materialize(near_duplicates(docs, k, similarity))
-    drop = groups.where(~F.col("doc_id").eqNullSafe(F.col("group_id"))).select(F.col("doc_id").alias("_nd_id")).distinct()
-    left = docs.join(drop, docs["doc_id"].eqNullSafe(drop["_nd_id"]), "left_anti")
-    repeated = groups.where(F.col("doc_id").eqNullSafe(F.col("group_id"))).groupBy("doc_id").count().where("count > 1")
+    group one row stays, with the least doc_id (null only if all are); of several
+    such rows, the one whose shingle set, then text, has the least digest. Rows
+    are told apart by doc_id and text: a null or repeated doc_id links nothing.
+    Columns are those of docs."""
+    rows, grouped = near_sets(docs, k, similarity, TILE)
+    order = F.struct(F.col("least").isNull().alias("none"), "least", "s0", "s1")
+    kept = grouped.groupBy("root").agg(F.min(order).alias("kept")).select("kept.least", "kept.s0", "kept.s1")
+    kept = rows.join(kept, ["s0", "s1"]).where(F.col("doc_id").eqNullSafe(F.col("least"))).groupBy("s0", "s1", "least", "t0", "t1").agg(F.count("*").alias("n"))
+    kept = kept.groupBy("s0", "s1", "least").agg(F.min(F.struct("t0", "t1", "n")).alias("one"))
+    kept = materialize(kept.select("s0", "s1", F.col("least").alias("_nd_id"), F.col("one.t0").alias("_nd_0"), F.col("one.t1").alias("_nd_1"), F.col("one.n").alias("n")))
+    names = ["_nd_id", "_nd_0", "_nd_1"]
+    same = F.col("doc_id").eqNullSafe(F.col("_nd_id")) & (F.col("t0") == F.col("_nd_0")) & (F.col("t1") == F.col("_nd_1"))
+    drop = rows.join(kept, ["s0", "s1"], "left").where(~F.coalesce(same, F.lit(False))).select(*[F.col(c).alias(n) for c, n in zip(("doc_id", "t0", "t1"), names, strict=True)]).distinct()
+
+    keyed = docs.withColumns(dict(zip(("_nd_2", "_nd_3"), text_key(), strict=True)))
+
+    def on(other):
+        return keyed["doc_id"].eqNullSafe(other["_nd_id"]) & (keyed["_nd_2"] == other["_nd_0"]) & (keyed["_nd_3"] == other["_nd_1"])
+
+    drop = materialize(drop)
+    repeated = kept.where("n > 1").select(*names)
     if repeated.isEmpty():
-        return left
-    return left.dropDuplicates(["doc_id"])
+        return keyed.join(drop, on(drop), "left_anti").select(*docs.columns)
+    repeated = materialize(repeated)
+    several = keyed.join(repeated, on(repeated), "left_semi").dropDuplicates(["doc_id", "_nd_2", "_nd_3"])
+    gone = drop.unionAll(repeated)
+    return keyed.join(gone, on(gone), "left_anti").unionAll(several).select(*docs.columns)
 
 
 def op5_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
