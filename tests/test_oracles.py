@@ -34,6 +34,17 @@ def test_query_equals_sql(spark, db, small, name):
     assert got == want
 
 
+def test_probe_queries_run_the_whole_protocol(spark, small, monkeypatch):
+    seen = []
+    made = {"best_c": 1.0, "outer_mean": 0.5, "test_auroc": 0.5, "n_fits": 0}
+    protocol = lambda rows, columns, **how: seen.append(("split" in rows.columns, how)) or made
+    monkeypatch.setattr(registry.SE, "run_protocol", protocol)
+    monkeypatch.setattr(registry.P, "run_protocol", protocol)
+    registry.QUERIES["probe_base_full"](spark, small)
+    betas = [r.beta for r in registry.QUERIES["beta_probe_sweep"](spark, small).collect()]
+    assert betas == list(registry.SE.BETA_GRID) and seen == [(True, {})] * (2 + len(betas))
+
+
 def test_entry(spark):
     import __spark_entry__
 

@@ -286,8 +286,9 @@ def beta_class_means(spark, d):
 
 @query()
 def beta_probe_sweep(spark, d):
-    wide = _wide(spark, d).join(FX.sample_labels(spark, d), "sample_id")
-    return SE.beta_probe_sweep(wide, SE.entropy_sweep(_cache(spark, d), (1.0, 10.0, 100.0)), FX.LAYERS, (1.0, 10.0, 100.0))
+    labels = FX.sample_labels(spark, d)
+    wide = _wide(spark, d).join(labels, "sample_id").join(SP.stratified_split(labels).select("sample_id", "split"), "sample_id")
+    return SE.beta_probe_sweep(wide, SE.entropy_sweep(_cache(spark, d)), FX.LAYERS)
 
 
 # statistics
@@ -460,7 +461,7 @@ def kfold_assign(spark, d):
 def probe_base_full(spark, d):
     rows = FX.scored_documents(spark, d).withColumn("words", F.col("base") / 100).withColumn("chars", F.col("full") / 1000)
     rows = rows.join(SP.stratified_split(rows.select("sample_id", "y")).select("sample_id", "split"), "sample_id")
-    got = P.run_base_and_full(rows.withColumn("ratio", F.col("full") / F.col("base")), ["words"], ["chars", "ratio"], grid=(0.1, 1.0))
+    got = P.run_base_and_full(rows.withColumn("ratio", F.col("full") / F.col("base")), ["words"], ["chars", "ratio"])
     return spark.createDataFrame([(k, float(v["best_c"]), float(v["outer_mean"]), float(v["test_auroc"]), v["n_fits"]) for k, v in got.items()], "probe string, best_c double, outer_mean double, test_auroc double, n_fits int")
 
 
