@@ -68,13 +68,59 @@ def test_bpe_long_words_take_the_general_query():
     ranks = vocab.ranks(vocab.path(bpe_codec.FILE))
     enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     rng = random.Random(0)
-    words = ["".join(rng.choice(["th", "e", "in", "er", "a", "aa", "q", "é"]) for _ in range(n)) for n in (1, 5, 40, 90, 400, 3000)] + ["=" * 501, "a" * 999]
+    words = ["".join(rng.choice(["th", "e", "in", "er", "a", "aa", "q", "é"]) for _ in range(n)) for n in (1, 5, 40, 90, 400, 3000, 100_000)] + ["=" * 501, "a" * 999, "a" * 100_000, "ab" * 40]
     codec = bpe_codec.BpeCodec(vocab.path(bpe_codec.FILE))
     ids = codec.encode([w.encode() for w in words])
     assert ids == [enc.encode_ordinary(w) for w in words]
     assert codec.decode(ids) == [w.encode() for w in words]
 
 
+def _hard_texts(seed=3):
+    """Texts whose spaces, marks and words are hard to cut, and one of over 1 MB."""
+    rng = random.Random(seed)
+    some = [" ", "  ", "\n", "\t", "a", "b", "'s", "'", "1", ".", "é", "日", "\u00a0", "\u3000", "\x1c", "x" * 70, " the", "<|endoftext|>", "!!"]
+    out = ["".join(rng.choice(some) for _ in range(rng.randint(0, 40))) for _ in range(400)]
+    return [*out, "".join(rng.choice(["th", "e", "in", "er", "a", "on", "q", "é", " ", " "]) for _ in range(800_000))]
+
+
+def test_hard_and_long_texts_equal_the_libraries():
+    import pyarrow as pa
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    given = _hard_texts()
+    assert len(given[-1].encode()) > 1e6
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=vocab.ranks(vocab.path(bpe_codec.FILE)), special_tokens={})
+    codec = bpe_codec.TextCodec(vocab.path(bpe_codec.FILE), public_tokenizers.PATTERN)
+    ids, n, data = codec.run(pa.array(given))
+    for text, own, k, back in zip(given, ids.to_pylist(), n.to_pylist(), data.to_pylist(), strict=True):
+        want = enc.encode_ordinary(text)
+        assert (own, k, back) == (" ".join(map(str, want)), len(want), text.encode())
+    tokenizer = Tokenizer.from_file(vocab.path("byte_bpe_50k.json"))
+    count = lambda x: len(tokenizer.encode(x, add_special_tokens=False).ids)
+    totals, leads = token_counts._counts(pa.array(given), token_counts._counter(vocab.path("byte_bpe_50k.json")), 20)
+    for text, total, lead in zip(given, totals, leads, strict=True):
+        assert total == count(text) and count(text.encode()[:lead].decode()) <= 20 and (total > 20) == (lead < len(text.encode()))
+
+
+def test_known_forgets_and_finds():
+    import pyarrow as pa
+
+    from vecdrift.llm import pretoken
+
+    known = pretoken.Known(pa.schema([("key", pa.string()), ("n", pa.int64())]), most=5, longest=3)
+    asked = []
+
+    def make(keys):
+        asked.extend(keys.to_pylist())
+        return pa.table([keys, pa.array([len(k) for k in keys.to_pylist()], pa.int64())], names=["key", "n"])
+
+    for own in (["a", "bb"], ["bb", "a", "cccc"], [], ["d", "ee", "fff", "bb"], ["a", "bb", "gg"]):
+        assert known.get(pa.array(own, pa.string()), make).column("n").to_pylist() == [len(k) for k in own]
+        assert len(known.table) <= 6
+    assert asked.count("bb") == 1 and asked.count("cccc") == 1
+
+
 def test_encode_keeps_columns_and_decode_reverses(odd, none):
     made = bpe_codec.encode_decode(odd)
     assert made.columns == [*odd.columns, "ids", "decoded"]

@@ -4,20 +4,25 @@ A text is cut into words by a fixed pattern. A task gathers the words of a few
 megabytes of text that it has not met yet and encodes them with one recursive
 query: rows (word, position, token) meet the table of merges on adjacent
 tokens; each word's pair of least rank is contracted, and so on until no pair
-is left. Where no merge that involves the new token has a lower rank, all
-places of that pair are contracted in one step, leftmost first, which is what
-contracting them one by one comes to; for the other tokens, only the leftmost
-place. The query stops after a number of steps that bounds its rows and starts
-again from where it was, so that very long words need no more memory.
+is left. The query stops after a number of steps that bounds its rows and
+starts again from where it was.
+
+A word of more than SHORT bytes is encoded in blocks. A sequence of tokens is
+the encoding of its bytes exactly when every two neighbours are the encoding of
+theirs, so only the seams between blocks are looked at: where two neighbours
+are not, some tokens around them are encoded again as one block, twice as many
+each time, until no such seam is left. The cost follows the word's length.
 
 Decoding joins (word, position, token) with the token table and gathers the
 bytes in the order of the positions, again in DuckDB.
 
-Words repeat, so a task keeps the results of recent ones, up to a fixed number.
-Nothing is shuffled, and the memory of a task does not depend on the table.
+A task turns its texts into distinct parts and numbers into them (pretoken.py)
+and keeps the results of recent ones, up to a fixed number. Nothing is shuffled,
+and the memory of a task does not depend on the table.
 
 Defined results: a null text is the empty text, of 0 tokens, and decodes to it.
-Rows are independent: ties, repeated rows and further columns do not matter.
+Rows are independent: ties and repeated rows do not matter. Columns of docs named
+ids or decoded give way to those of the result; others pass through.
 """
 
 from __future__ import annotations
@@ -29,6 +34,7 @@ from functools import lru_cache
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,14 +42,20 @@ from pyspark.sql import types as T
 import public_tokenizers
 
 from .common import bounded_batches, pieces_of
-from .pretoken import compiled, spaced_parts
+from .pretoken import Known, coded_parts, compiled, lists, runs, strings, sums, words_of
 from .vocab import path, ranks
 
 FILE = "byte_bpe_50k.tiktoken"
-CACHED = 300_000
+CACHED = 400_000
 CACHED_LENGTH = 48
+SLICE = 8 << 20
+SHORT, BLOCK = 64, 24
+AT_ONCE = 25_000
 ROWS_OF_STEPS = 8_000_000
 
+#: Where no merge that involves the new token has a lower rank, all places of a
+#: pair are contracted in one step, leftmost first, which is what contracting
+#: them one by one comes to; for the other tokens, only the leftmost place.
 ENCODE = """
 WITH RECURSIVE state(w, p, k, step) AS (
     SELECT w, p, k, 0 FROM start
@@ -53,7 +65,7 @@ WITH RECURSIVE state(w, p, k, step) AS (
             SELECT w, p, k, step, lead(k) OVER o AS k2, lag(p) OVER o AS before, row_number() OVER o AS place
             FROM state WINDOW o AS (PARTITION BY w ORDER BY p)
         ), ranked AS (
-            SELECT pairs.*, m.made, m.leftmost_only FROM pairs LEFT JOIN merges m ON m.a = pairs.k AND m.b = pairs.k2
+            SELECT pairs.*, m.made, m.leftmost_only FROM pairs LEFT JOIN merges m ON m.pair = (pairs.k::BIGINT << 32) | pairs.k2
         ), best AS (
             SELECT w, min(made) AS made FROM ranked WHERE made IS NOT NULL GROUP BY w
         ), places AS (
@@ -85,7 +97,7 @@ WITH RECURSIVE state(w, p, k, q, step) AS (
     (
         WITH best AS (
             SELECT l.w, min((m.made::BIGINT << 21) | (l.p << 14) | (r.p << 7) | r.q) AS pair
-            FROM state l JOIN state r ON r.w = l.w AND r.p = l.q JOIN merges m ON m.a = l.k AND m.b = r.k
+            FROM state l JOIN state r ON r.w = l.w AND r.p = l.q JOIN merges m ON m.pair = (l.k::BIGINT << 32) | r.k
             GROUP BY l.w
         ), parts AS (
             SELECT w, (pair >> 21)::INT AS made, ((pair >> 14) & 127)::INT AS place, ((pair >> 7) & 127)::INT AS gone, (pair & 127)::INT AS new_end FROM best
@@ -97,17 +109,11 @@ WITH RECURSIVE state(w, p, k, q, step) AS (
 )
 SELECT w, p, k, step FROM state JOIN (SELECT w, max(step) AS step FROM state GROUP BY w) USING (w, step)
 """
-SHORT = 64
-
+#: Ordered aggregation: a word's ids and the bytes that they decode to.
 DECODE = """
-SELECT w, list(token.bytes ORDER BY p) AS bytes FROM ids JOIN token ON token.id = ids.k GROUP BY w
-"""
-#: Both of words that are encoded: their ids in order, in decimal, and the bytes
-#: that these decode to.
-ENCODED = """
-SELECT w, string_agg(k::VARCHAR, ' ' ORDER BY p) AS ids, count(*) AS n, list(token.bytes ORDER BY p) AS bytes
-FROM encoded JOIN token ON token.id = k GROUP BY w
+SELECT w, list(k ORDER BY p) AS ids, list(token.bytes ORDER BY p) AS bytes FROM encoded JOIN token ON token.id = k GROUP BY w ORDER BY w
 """
+FOUND = pa.schema([("key", pa.string()), ("ids", pa.string()), ("n", pa.int64()), ("bytes", pa.binary())])
 
 
 class BpeCodec:
@@ -115,7 +121,6 @@ class BpeCodec:
 
     def __init__(self, file: str):
         known = ranks(file)
-        self.ids = known
         a, b, made = [], [], []
         unsafe = set()  # tokens that a merge of lower rank involves
         for token, rank in known.items():
@@ -124,137 +129,172 @@ class BpeCodec:
                 if left is not None and right is not None:
                     a.append(left), b.append(right), made.append(rank)
                     unsafe.update(x for x in (left, right) if x > rank)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
-        merges = pa.table({"a": pa.array(a, pa.int32()), "b": pa.array(b, pa.int32()), "made": pa.array(made, pa.int32()), "leftmost_only": pa.array([m in unsafe for m in made])})
-        token = pa.table({"id": pa.array(known.values(), pa.int32()), "bytes": pa.array(known, pa.binary())})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
+        pair = (np.array(a, np.int64) << 32) | np.array(b, np.int64)
+        merges = pa.table({"pair": pair, "made": pa.array(made, pa.int32()), "leftmost_only": pa.array([m in unsafe for m in made])})
+        self.ids, self.tokens = pa.array(known.values(), pa.int32()), pa.array(known, pa.binary())
+        self.by_id = {i: token for token, i in known.items()}
         self.byte_ids = np.array([known[bytes([b])] for b in range(256)], np.int32)
-        for name, table in (("merges", merges), ("token", token)):
-            self.db.register("given", table)
-            self.db.execute(f"CREATE TABLE {name} AS FROM given")
-            self.db.unregister("given")
-
-    def encode(self, words: list[bytes]) -> list[list[int]]:
-        """Ids of each word. A word that is a token is that token."""
-        return [[int(k) for k in ids.split()] for ids, _, _ in self.encode_decode(words)]
+        for name, table in (("merges", merges), ("token", pa.table({"id": self.ids, "bytes": self.tokens}))):
+            self._table(name, table)
 
-    def encode_decode(self, words: list[bytes]) -> list[tuple[str, int, bytes]]:
-        """For each word its ids in decimal, joined by spaces, their number, and
-        the bytes that they decode to."""
-        out: list[tuple[str, int, bytes]] = [("", 0, b"")] * len(words)
-        self.db.execute("CREATE OR REPLACE TEMP TABLE encoded (w INT, p INT, k INT)")
-        todo, whole = [], []
-        for i, w in enumerate(words):
-            (whole if w in self.ids else todo).append(i)
-        if whole:
-            k = pa.array([self.ids[words[i]] for i in whole], pa.int32())
-            self.db.register("whole", pa.table({"w": pa.array(whole, pa.int32()), "k": k}))
-            self.db.execute("INSERT INTO encoded SELECT w, 0, k FROM whole")
-            self.db.unregister("whole")
-        self._contract(ENCODE_SHORT, words, [i for i in todo if 0 < len(words[i]) <= SHORT])
-        self._contract(ENCODE, words, [i for i in todo if len(words[i]) > SHORT])
-        for i, ids, n, parts in self.db.execute(ENCODED).fetchall():
-            out[i] = (ids, n, b"".join(parts))
-        return out
-
-    def _contract(self, query: str, words: list[bytes], some: list[int]) -> None:
-        """Adds to the table `encoded` the words at the places in some."""
-        if not some:
-            return
-        lengths = np.array([len(words[i]) for i in some], np.int64)
-        w = np.repeat(np.array(some, np.int32), lengths)
-        p = (np.arange(len(w)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)
-        k = self.byte_ids[np.frombuffer(b"".join(words[i] for i in some), np.uint8)]
-        left = len(w)
-        self.db.register("given", pa.table({"w": w, "p": p, "k": k}))
-        self.db.execute("CREATE OR REPLACE TEMP TABLE start AS SELECT w, p, k FROM given")
+    def _table(self, name: str, table: pa.Table) -> None:
+        self.db.register("given", table)
+        self.db.execute(f"CREATE OR REPLACE TABLE {name} AS FROM given")
         self.db.unregister("given")
+
+    def encode(self, words: list[bytes]) -> list[list[int]]:
+        """Ids of each word."""
+        if not words:
+            return []
+        w, k = self._encoded(pa.array(words, pa.binary()))
+        return [x.tolist() for x in np.split(k, np.cumsum(np.bincount(w, minlength=len(words)))[:-1])]
+
+    def encode_decode(self, words: pa.Array) -> tuple[pa.Array, np.ndarray, pa.Array]:
+        """For each word (binary) its ids in decimal, joined by spaces, their
+        number, and the bytes that they decode to."""
+        w, k = self._encoded(words)
+        n = np.bincount(w, minlength=len(words))
+        self._table("encoded", pa.table({"w": w, "p": np.arange(len(w)), "k": k}))
+        found = self.db.sql(DECODE).to_arrow_table().combine_chunks()
+        ids, parts = (found.column(c).combine_chunks() for c in ("ids", "bytes"))
+        text = pc.binary_join(pa.ListArray.from_arrays(ids.offsets, pc.cast(ids.values, pa.string())), " ")
+        out = pa.table({"ids": text, "bytes": pc.binary_join(parts, b"")})
+        if len(out) < len(words):  # empty words have no row
+            at = np.where(n > 0, np.cumsum(n > 0) - 1, 0)
+            out = pa.concat_tables([out, pa.table({"ids": pa.array([""]), "bytes": pa.array([b""])})]).combine_chunks().take(pa.array(np.where(n > 0, at, len(out))))
+        return out.column("ids").combine_chunks(), n, out.column("bytes").combine_chunks()
+
+    def _encoded(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(word's place, id) of every token, in order. A word that is a token is
+        that token."""
+        lengths = pc.binary_length(words).to_numpy(zero_copy_only=False)
+        token = pc.index_in(words, value_set=self.tokens)
+        whole = token.is_valid().to_numpy(zero_copy_only=False)
+        parts = [(np.flatnonzero(whole), self.ids.take(token.drop_null()).to_numpy())]
+        short = np.flatnonzero(~whole & (lengths > 0) & (lengths <= SHORT))
+        for at in range(0, len(short), AT_ONCE):
+            some = short[at : at + AT_ONCE]
+            w, k = self._contract(ENCODE_SHORT, words.take(pa.array(some)))
+            parts.append((some[w], k))
+        long = np.flatnonzero(~whole & (lengths > SHORT))
+        if len(long):
+            w, k = self._long(words.take(pa.array(long)).to_pylist())
+            parts.append((long[w], k))
+        w, k = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(w, kind="stable")
+        return w[order], k[order]
+
+    def _contract(self, query: str, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(word's place, id) of every token of words that aren't empty, by the
+        recursive query."""
+        lengths = pc.binary_length(words).to_numpy()
+        joined = np.frombuffer(pc.binary_join(lists(words, np.array([len(words)])), b"")[0].as_buffer(), np.uint8)
+        w, p = np.repeat(np.arange(len(words), dtype=np.int32), lengths), runs(np.zeros(len(words), np.int64), lengths).astype(np.int32)
+        self._table("start", pa.table({"w": w, "p": p, "k": self.byte_ids[joined]}))
+        parts, left = [], len(w)
         while left:
             steps = max(4, ROWS_OF_STEPS // left)
-            self.db.execute("CREATE OR REPLACE TEMP TABLE reached AS " + query.replace("$steps", str(steps)))
-            self.db.execute(f"INSERT INTO encoded SELECT w, p, k FROM reached WHERE step < {steps}")
-            self.db.execute(f"CREATE OR REPLACE TEMP TABLE start AS SELECT w, p, k FROM reached WHERE step >= {steps}")
+            self.db.execute("CREATE OR REPLACE TABLE reached AS " + query.replace("$steps", str(steps)))
+            parts.append(self.db.sql(f"SELECT w, p, k FROM reached WHERE step < {steps}").to_arrow_table())
+            self.db.execute(f"CREATE OR REPLACE TABLE start AS SELECT w, p, k FROM reached WHERE step >= {steps}")
             ((left,),) = self.db.execute("SELECT count(*) FROM start").fetchall()
+        w, p, k = (pa.concat_tables(parts).column(c).to_numpy() for c in ("w", "p", "k"))
+        order = np.lexsort((p, w))
+        return w[order], k[order]
+
+    def _blocks(self, blocks: list[bytes]) -> list[np.ndarray]:
+        """Ids of each block; equal blocks are contracted once."""
+        distinct = pa.array(blocks, pa.binary()).dictionary_encode()
+        given, found = distinct.dictionary, {}
+        length = pc.binary_length(given)
+        for query, some in ((ENCODE_SHORT, pc.less_equal(length, SHORT)), (ENCODE, pc.greater(length, SHORT))):
+            place = np.flatnonzero(some.to_numpy(zero_copy_only=False))
+            for at in range(0, len(place), AT_ONCE):
+                own = place[at : at + AT_ONCE]
+                w, k = self._contract(query, given.take(pa.array(own)))
+                found.update(zip(own.tolist(), np.split(k, np.cumsum(np.bincount(w))[:-1]), strict=True))
+        return [found[i] for i in distinct.indices.to_pylist()]
+
+    def _long(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(word's place, id) of every token of long words: blocks, then whatever
+        the seams between them ask for."""
+        blocks = [(w, word[i : i + BLOCK]) for w, word in enumerate(words) for i in range(0, len(word), BLOCK)]
+        parts = self._blocks([x for _, x in blocks])
+        k, n = np.concatenate(parts), np.array([len(x) for x in parts])
+        w = np.repeat(np.array([i for i, _ in blocks]), n)
+        seams = np.cumsum(n)[:-1]  # before the token at that place
+        reach = 2
+        while True:
+            seams = seams[w[seams] == w[seams - 1]]
+            pairs, which = np.unique(np.stack([k[seams - 1], k[seams]], 1), axis=0, return_inverse=True)
+            again = self._blocks([self.by_id[a] + self.by_id[b] for a, b in pairs.tolist()])
+            holds = np.array([len(x) == 2 and x[0] == a and x[1] == b for x, (a, b) in zip(again, pairs, strict=True)], bool)
+            seams = seams[~holds[which.ravel()]]
+            if not len(seams):
+                return w, k
+            start = np.maximum(seams - reach, np.searchsorted(w, w[seams]))
+            end = np.minimum(seams + reach, np.searchsorted(w, w[seams], "right"))
+            begins = np.flatnonzero(np.r_[True, start[1:] >= np.maximum.accumulate(end)[:-1]])
+            start, end = start[begins], np.r_[end[begins[1:] - 1], end[-1]]
+            fresh = self._blocks([b"".join([self.by_id[x] for x in k[s:e].tolist()]) for s, e in zip(start, end, strict=True)])
+            n = np.array([len(x) for x in fresh])
+            # what stays, with the new tokens in between
+            stays = np.ones(len(k), bool)
+            stays[runs(start, end - start)] = False
+            order = np.argsort(np.concatenate([np.flatnonzero(stays), np.repeat(start, n)]), kind="stable")
+            k, w = (np.concatenate([old[stays], new])[order] for old, new in ((k, np.concatenate(fresh)), (w, np.repeat(w[start], n))))
+            ends = end + np.cumsum(n - (end - start))
+            seams = np.unique(np.concatenate([ends - n, ends]))
+            seams = seams[(seams > 0) & (seams < len(k))]
+            reach *= 2
 
     def decode(self, ids: Iterable[list[int]]) -> list[bytes]:
         """Bytes of each sequence of ids."""
         ids = list(ids)
         lengths = np.array([len(own) for own in ids], np.int64)
-        w = np.repeat(np.arange(len(ids), dtype=np.int32), lengths)
-        p = (np.arange(len(w)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)
-        k = np.fromiter((k for own in ids for k in own), np.int32, len(w))
-        self.db.register("ids", pa.table({"w": w, "p": p, "k": k}))
-        found = dict(self.db.execute(DECODE).fetchall())
-        self.db.unregister("ids")
-        return [b"".join(found.get(i, ())) for i in range(len(ids))]
+        k = np.fromiter((k for own in ids for k in own), np.int32, lengths.sum())
+        self._table("encoded", pa.table({"w": np.repeat(np.arange(len(ids)), lengths), "p": np.arange(len(k)), "k": k}))
+        found = {w: b"".join(parts) for w, _, parts in self.db.sql(DECODE).fetchall()}
+        return [found.get(i, b"") for i in range(len(ids))]
 
 
 class TextCodec:
-    """Encodes and decodes texts. Remembers words that it met lately: when `new` is full it becomes `old`, and what is used again comes
-    back from there."""
+    """Encodes and decodes texts; remembers parts and words that it met lately."""
 
     def __init__(self, file: str, pattern: str):
-        self.codec, self.words = BpeCodec(file), compiled(pattern)
-        self.new: dict[str, tuple[str, int, bytes]] = {}
-        self.old: dict[str, tuple[str, int, bytes]] = {}
-
-    def _words(self, part: str) -> list[str]:
-        """The words of a part; those of the commonest forms without the pattern,
-        whose letters are those of isalpha()."""
-        if part[0] == " " and part[1:].isalpha():
-            return [part]
-        if part[0] == " " and part[-1] in ".,;:!?|" and part[1:-1].isalpha():
-            return [part[:-1], part[-1]]
-        return self.words.findall(part)
-
-    def _find(self, keys: set[str], into: dict) -> set[str]:
-        """Puts what is known of keys into `into`; returns the others."""
-        missing = set()
-        for key in keys:
-            found = self.new.get(key)
-            if found is None:
-                found = self.old.get(key)
-                if found is None:
-                    missing.add(key)
-                    continue
-                self.new[key] = found
-            into[key] = found
-        return missing
-
-    def _learn(self, parts: set[str]) -> dict[str, tuple[str, int, bytes]]:
-        """A result for each part of a text."""
-        if len(self.new) > CACHED:
-            self.old, self.new = self.new, {}
-        out: dict[str, tuple[str, int, bytes]] = {}
-        missing = {p: self._words(p) for p in self._find(parts, out)}
-        words: dict[str, tuple[str, int, bytes]] = {}
-        todo = list(self._find({w for own in missing.values() for w in own}, words))
-        for at in range(0, len(todo), 50_000):
-            some = todo[at : at + 50_000]
-            fresh = dict(zip(some, self.codec.encode_decode([w.encode() for w in some]), strict=True))
-            words.update(fresh)
-            self.new.update((w, x) for w, x in fresh.items() if len(w) <= CACHED_LENGTH)
-        for part, own in missing.items():
-            if len(own) == 1:
-                out[part] = words[own[0]]
-                continue
-            found = [words[w] for w in own]
-            out[part] = (" ".join([f[0] for f in found]), sum([f[1] for f in found]), b"".join([f[2] for f in found]))
-        return out
-
-    def run(self, texts: list[str]) -> list[tuple[str, int, bytes]]:
+        self.codec, self.pattern = BpeCodec(file), pattern
+        self.parts, self.words = (Known(FOUND, CACHED, CACHED_LENGTH) for _ in range(2))
+
+    def forget(self) -> None:
+        """Lets go of what is remembered, for what the process does next."""
+        self.parts, self.words = (Known(FOUND, CACHED, CACHED_LENGTH) for _ in range(2))
+        pa.default_memory_pool().release_unused()
+
+    def _encode(self, words: pa.Array) -> pa.Table:
+        ids, n, data = self.codec.encode_decode(words.cast(pa.binary()))
+        return pa.table([words, ids, pa.array(n), data], schema=FOUND)
+
+    def _cut(self, parts: pa.Array) -> pa.Table:
+        flat, lengths = words_of(parts, self.pattern)
+        words = flat.dictionary_encode()
+        found = self.words.get(words.dictionary, self._encode)
+        return pa.table([parts, *_gathered(found, words.indices.to_numpy(), lengths)], schema=FOUND)
+
+    def run(self, texts: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
         """For each text its ids in decimal, joined by spaces, their number and
         the bytes that they decode to."""
-        cut = [spaced_parts(x) for x in texts]
-        rest = {p for x in cut if x for p in x[1:]}
-        first = {x[0] if x else t for x, t in zip(cut, texts, strict=True)}
-        found = self._learn({" " + p for p in rest} | (first - {""}))
-        found[""] = ("", 0, b"")
-        after = {p: found[" " + p] for p in rest}
-        out = []
-        for x, text in zip(cut, texts, strict=True):
-            own = [found[x[0] if x else text], *map(after.__getitem__, x[1:] if x else ())]
-            out.append((" ".join([f[0] for f in own if f[1]]), sum([f[1] for f in own]), b"".join([f[2] for f in own])))
-        return out
+        parts, codes, lengths = coded_parts(texts, compiled(self.pattern).findall)
+        return _gathered(self.parts.get(parts, self._cut), codes, lengths)
+
+
+def _gathered(found: pa.Table, codes: np.ndarray, lengths: np.ndarray) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """The results of runs of `lengths` codes, numbers into the rows of found.
+    Only a run's single code may have no tokens."""
+    n = found.column("n").to_numpy()[codes]
+    at = pa.array(codes)
+    ids, data = (found.column(c).combine_chunks().take(at) for c in ("ids", "bytes"))
+    return pc.binary_join(lists(ids, lengths), " "), pa.array(sums(n, lengths)), pc.binary_join(lists(data, lengths), b"")
 
 
 @lru_cache(maxsize=2)
@@ -263,6 +303,10 @@ def text_codec(file: str, pattern: str) -> TextCodec:
     return TextCodec(file, pattern)
 
 
+def sha256s(values: pa.Array) -> pa.Array:
+    return pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in values], pa.string())
+
+
 def encode_decode(docs: DataFrame, file: str | None = None, pattern: str = public_tokenizers.PATTERN, digests: bool = False) -> DataFrame:
     """Adds to docs the columns ids (array of int) and decoded (binary); with
     digests, returns doc_id, n_tokens, ids_sha256 and decoded_sha256 instead."""
@@ -273,15 +317,14 @@ def encode_decode(docs: DataFrame, file: str | None = None, pattern: str = publi
     def run(batches):
         codec = text_codec(file, pattern)
         for batch in batches:
-            for part in pieces_of(batch, rows=4096, size=8 << 20):
-                found = codec.run(part.column("text").to_pylist())
-                n = pa.array([f[1] for f in found], pa.int64())
+            for part in pieces_of(batch, rows=4096, size=SLICE):
+                ids, n, data = codec.run(strings(part.column("text")))
                 if digests:
-                    ids = pa.array([hashlib.sha256(f[0].encode()).hexdigest() for f in found])
-                    yield pa.record_batch([part.column("doc_id"), n, ids, pa.array([hashlib.sha256(f[2]).hexdigest() for f in found])], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                    yield pa.record_batch([part.column("doc_id"), n, sha256s(ids), sha256s(data)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
                 else:
-                    ids = pa.array([[int(k) for k in f[0].split()] for f in found], pa.list_(pa.int32()))
-                    yield pa.record_batch([*part.columns, ids, pa.array([f[2] for f in found], pa.binary())], [*part.schema.names, "ids", "decoded"])
+                    numbers = pc.cast(pc.split_pattern(ids.filter(pc.greater(n, 0)), " ").flatten(), pa.int32())
+                    yield pa.record_batch([*part.columns, lists(numbers, n.to_numpy()), data], [*part.schema.names, "ids", "decoded"])
+        codec.forget()
 
     if digests:
         return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -19,7 +19,9 @@ from __future__ import annotations
 from functools import lru_cache
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,12 +29,16 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from .common import bounded_batches, pieces_of
-from .pretoken import compiled, spaced_parts
+from .pretoken import Known, coded_parts, compiled, offsets, strings, sums, words_of
+from .trie import Trie
 from .vocab import merges, path
 
 LIMIT = 1024
-CACHED_WORDS, CACHED_PARTS = 300_000, 600_000
-CACHED_BYTES = 64
+CACHED, CACHED_LENGTH = 1_000_000, 64
+SLICE = 8 << 20
+AT_ONCE = 100_000
+APART, FEW = 1_000_000, 8
+FOUND = pa.schema([("key", pa.string()), ("n", pa.int64())])
 
 
 class PrefixCounter:
@@ -40,12 +46,10 @@ class PrefixCounter:
 
     def __init__(self, file: str):
         ids, self.pairs, self.added = merges(file)
-        self.ids, self.longest = ids, max(map(len, ids))
-        self.bytes = {i: b for b, i in ids.items()}
+        self.trie = Trie(ids.items())
         self.made_of = {made: (place, pair) for pair, (place, made) in sorted(self.pairs.items(), key=lambda x: -x[1][0])}
-        self.apart = lru_cache(maxsize=500_000)(self._apart)
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.parts: dict[str, int] = {}
+        self.apart: dict[int, bool] = {}
+        self.parts, self.words = (Known(FOUND, CACHED, CACHED_LENGTH) for _ in range(2))
 
     def _apart(self, left: int, right: int) -> bool:
         """Whether the tokens stay as they are when next to each other: going
@@ -68,53 +72,86 @@ class PrefixCounter:
             else:
                 limit, right = b[0] + 1, b[1][0]
 
+    def _stay_apart(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """_apart() of each pair; distinct pairs are looked at once."""
+        pairs, which = np.unique((left.astype(np.int64) << 32) | right, return_inverse=True)
+        if len(self.apart) > APART:
+            self.apart = {}
+        return np.array([self._is_apart(p >> 32, p & 0xFFFFFFFF) for p in pairs.tolist()], bool)[which]
+
+    def _is_apart(self, left: int, right: int) -> bool:
+        """_apart(), remembered."""
+        pair = (left << 32) | right
+        found = self.apart.get(pair)
+        if found is None:
+            self.apart[pair] = found = self._apart(left, right)
+        return found
+
+    def prefix_tables(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """words: binary. The tokens of every prefix of every word, from 0 bytes
+        on, one word after the other, and where each word's table begins."""
+        lengths = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        at, base = offsets(lengths)[:-1], offsets(lengths + 1)
+        symbols = np.frombuffer(b"".join(words.to_pylist()), np.uint8).astype(np.int64)
+        start, end, token = self.trie.matches(symbols, np.repeat(at + lengths, lengths))
+        word = np.repeat(np.arange(len(words)), lengths)[start]
+        inside = end - at[word]  # a prefix's length
+        # by length of the prefix; of one prefix the longest last token first
+        order = np.lexsort((start, word, inside))
+        to, of, token, inside = (end + word)[order], (start + word)[order], token[order], inside[order]
+        counts, last = np.zeros(base[-1], np.int64), np.full(base[-1], -1, np.int64)
+        first = np.flatnonzero(np.r_[True, to[1:] != to[:-1]]) if len(to) else np.zeros(0, np.int64)
+        many = np.diff(np.r_[first, len(to)])
+        cut = np.searchsorted(inside[first], np.arange(1, lengths.max(initial=0) + 2))
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            edge, left = first[a:b], many[a:b]
+            if b - a <= FEW:  # the rest of long words
+                for e in edge.tolist():
+                    while last[of[e]] >= 0 and not self._is_apart(int(last[of[e]]), int(token[e])):
+                        e += 1
+                    last[to[e]], counts[to[e]] = token[e], counts[of[e]] + 1
+                continue
+            while len(edge):
+                before = last[of[edge]]
+                holds = before < 0
+                known = np.flatnonzero(~holds)
+                holds[known] = self._stay_apart(before[known], token[edge[known]])
+                done = edge[holds]
+                last[to[done]], counts[to[done]] = token[done], counts[of[done]] + 1
+                more = ~holds & (left > 1)
+                edge, left = edge[more] + 1, left[more] - 1
+        return counts, base[:-1]
+
     def prefix_counts(self, word: str) -> tuple[int, ...]:
         """Tokens of each prefix of the word's bytes, from 0 bytes on."""
-        known = self.words.get(word)
-        if known is not None:
-            return known
-        data = word.encode("utf-8")
-        last, counts, get = [-1], [0], self.ids.get
-        for end in range(1, len(data) + 1):
-            for start in range(max(0, end - self.longest), end):
-                token = get(data[start:end])
-                if token is not None and (start == 0 or self.apart(last[start], token)):
-                    last.append(token)
-                    counts.append(counts[start] + 1)
-                    break
-        found = tuple(counts)
-        if len(data) <= CACHED_BYTES:
-            if len(self.words) >= CACHED_WORDS:
-                self.words.clear()
-            self.words[word] = found
-        return found
+        return tuple(self.prefix_tables(pa.array([word.encode()], pa.binary()))[0].tolist())
+
+    def _count_words(self, words: pa.Array) -> pa.Table:
+        n = np.zeros(len(words), np.int64)
+        for i in range(0, len(words), AT_ONCE):
+            some = words.slice(i, AT_ONCE).cast(pa.binary())
+            counts, base = self.prefix_tables(some)
+            n[i : i + AT_ONCE] = counts[base + pc.binary_length(some).to_numpy(zero_copy_only=False)]
+        return pa.table([words, pa.array(n)], schema=FOUND)
+
+    def count_words(self, words: pa.Array) -> np.ndarray:
+        """Tokens of each word."""
+        distinct = words.dictionary_encode()
+        return self.words.get(distinct.dictionary, self._count_words).column("n").to_numpy()[distinct.indices.to_numpy()]
+
+    def _count_parts(self, parts: pa.Array) -> pa.Table:
+        words, lengths = words_of(parts, public_tokenizers.PATTERN)
+        return pa.table([parts, pa.array(sums(self.count_words(words), lengths))], schema=FOUND)
 
+    def count_parts(self, parts: pa.Array) -> np.ndarray:
+        """Tokens of each of the distinct parts (see coded_parts)."""
+        return self.parts.get(parts, self._count_parts).column("n").to_numpy()
 
-    def tokens_of_words(self, text: str) -> list[int]:
-        return [1 if is_added else self.prefix_counts(w)[-1] for w, is_added in text_words(text, self.added)]
-
-    def tokens_of_part(self, part: str) -> int:
-        """Tokens of the part with a space in front."""
-        if part.isalpha():
-            return self.prefix_counts(" " + part)[-1]
-        if part[:-1].isalpha() and part[-1] in ".,;:!?|":
-            return self.prefix_counts(" " + part[:-1])[-1] + self.prefix_counts(part[-1])[-1]
-        return sum(self.prefix_counts(w)[-1] for w in compiled(public_tokenizers.PATTERN).findall(" " + part))
-
-    def tokens_of_parts(self, parts: list[str]) -> list[int]:
-        """Tokens of each of the parts joined by spaces (see spaced_parts)."""
-        rest, known = parts[1:], self.parts
-        counts = list(map(known.get, rest))
-        if None in counts:
-            for k, n in enumerate(counts):
-                if n is None:
-                    part = rest[k]
-                    counts[k] = n = self.tokens_of_part(part)
-                    if len(part) <= CACHED_BYTES:
-                        if len(known) >= CACHED_PARTS:
-                            known.clear()
-                        known[part] = n
-        return [sum(self.tokens_of_words(parts[0])), *counts]
+    def tokens_of_words(self, words: list[tuple[str, bool]]) -> np.ndarray:
+        """Tokens of each of text_words()."""
+        distinct = pa.array([w for w, _ in words], pa.string()).dictionary_encode()
+        n = self._count_words(distinct.dictionary).column("n").to_numpy()[distinct.indices.to_numpy()]
+        return np.where(np.array([is_added for _, is_added in words], bool), 1, n)
 
 
 @lru_cache(maxsize=2)
@@ -145,33 +182,46 @@ def prefix_table(text: str, file: str) -> list[tuple[int, int]]:
     counter = _counter(file)
     words = text_words(text, counter.added)
     ends = accumulate(len(w.encode("utf-8")) for w, _ in words)
-    tokens = accumulate(1 if is_added else counter.prefix_counts(w)[-1] for w, is_added in words)
-    return list(zip(ends, tokens, strict=True))
-
-
-def _count(text: str, counter: PrefixCounter, limit: int) -> tuple[int, int]:
-    """Tokens of the text, and the bytes of the longest run of whole words from
-    its start that holds at most `limit` tokens."""
-    parts = None if any(a in text for a in counter.added) else spaced_parts(text)
-    if parts:
-        counts = counter.tokens_of_parts(parts)
-    else:
-        parts, counts = [text], [sum(counter.tokens_of_words(text))]
-    total = sum(counts)
-    if total <= limit:
-        return total, len(text.encode())
-    held, k = 0, 0
-    while held + counts[k] <= limit:
-        held += counts[k]
-        k += 1
-    lead = " ".join(parts[:k])
-    rest = " " + parts[k] if k else parts[k]
-    for (word, _), n in zip(text_words(rest, counter.added), counter.tokens_of_words(rest), strict=True):
-        held += n
-        if held > limit:
-            break
-        lead += word
-    return total, len(lead.encode())
+    return list(zip(ends, accumulate(counter.tokens_of_words(words)), strict=True))
+
+
+def _leads(texts: list[str], limits: list[int], counter: PrefixCounter) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text the tokens, and the bytes of the longest run of whole words
+    from its start that holds at most `limit` tokens."""
+    words = [text_words(t, counter.added) for t in texts]
+    n = counter.tokens_of_words([w for own in words for w in own])
+    at = offsets(np.array([len(own) for own in words], np.int64))
+    totals, leads = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+    for i, own in enumerate(words):
+        held = np.cumsum(n[at[i] : at[i + 1]])
+        totals[i] = held[-1] if len(held) else 0
+        leads[i] = sum(len(w.encode()) for w, _ in own[: int(np.searchsorted(held, limits[i], "right"))])
+    return totals, leads
+
+
+def _counts(texts: pa.Array, counter: PrefixCounter, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same of each text. What adds up over parts is summed; words are only
+    looked at in the part in which the limit is reached."""
+    added = np.zeros(len(texts), bool)
+    for a in counter.added:
+        added |= pc.match_substring(texts, a).to_numpy(zero_copy_only=False)
+    plain = np.flatnonzero(~added)
+    parts, codes, lengths = coded_parts(texts.take(pa.array(plain)), compiled(public_tokenizers.PATTERN).findall)
+    n, size = counter.count_parts(parts), pc.binary_length(parts).to_numpy(zero_copy_only=False)
+    totals, leads = np.zeros(len(texts), np.int64), pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+    totals[plain] = sums(n[codes], lengths)
+    at, over = offsets(lengths), np.flatnonzero(totals[plain] > limit)
+    last, left = [], []
+    for i in over:
+        own = codes[at[i] : at[i + 1]]
+        held = np.cumsum(n[own])
+        k = int(np.searchsorted(held, limit, "right"))
+        last.append(parts[int(own[k])].as_py())
+        left.append(limit - (int(held[k - 1]) if k else 0))
+        leads[plain[i]] = size[own[:k]].sum()
+    leads[plain[over]] += _leads(last, left, counter)[1]
+    totals[added], leads[added] = _leads(texts.filter(pa.array(added)).to_pylist(), [limit] * int(added.sum()), counter)
+    return totals, leads
 
 
 def token_counts(docs: DataFrame, file: str | None = None, limit: int = LIMIT) -> DataFrame:
@@ -183,13 +233,11 @@ def token_counts(docs: DataFrame, file: str | None = None, limit: int = LIMIT) -
     def run(batches):
         counter = _counter(file)
         for batch in batches:
-            for part in pieces_of(batch):
-                texts = part.column("text").to_pylist()
-                found = [_count(x, counter, limit) for x in texts]
-                yield pa.record_batch(
-                    [part.column("doc_id"), pa.array([len(x.encode()) for x in texts], pa.int64()), pa.array([n for n, _ in found], pa.int64()), pa.array([n > limit for n, _ in found]), pa.array([b for _, b in found], pa.int64())],
-                    ["doc_id", "n_bytes", "n_tokens", "over_limit", "bytes_in_limit"],
-                )
+            for part in pieces_of(batch, rows=4096, size=SLICE):
+                texts = strings(part.column("text"))
+                n, lead = _counts(texts, counter, limit)
+                size = pc.cast(pc.binary_length(texts), pa.int64())
+                yield pa.record_batch([part.column("doc_id"), size, pa.array(n), pa.array(n > limit), pa.array(lead)], ["doc_id", "n_bytes", "n_tokens", "over_limit", "bytes_in_limit"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, f"doc_id {id_type}, n_bytes long, n_tokens long, over_limit boolean, bytes_in_limit long")
