@@ -510,8 +510,108 @@ def test_lattice_sums_all_segmentations():
     words = ["the", "onesen", "q", "日本", "naïve", "\U0001f600x", "a" * 40]
     got = model.forward(words, np.stack([logp, logp], 1))
     assert np.allclose(got[:6, 0], [brute(w) for w in words[:6]]) and np.allclose(got[:, 0], got[:, 1]) and np.isfinite(got).all()
-    n = model.expected_counts(["ab"], np.zeros(1, int), np.array([2.0]), logp[:, None])
-    assert 2 <= n.sum() <= 6
+    assert model.forward(["ab" * 2000, "x"], logp[:, None]).shape == (2, 1) and model.forward([], logp[:, None]).shape == (0, 1)
+
+
+def plain(model, w, logp):
+    """log P(w) and the expected pieces, by loops over characters."""
+    m = lattice.MARK + w
+    cells = []
+    for i in range(len(m)):
+        own = [(i, j, [model.ids[m[i:j]]]) for j in range(i + 1, min(len(m), i + 40) + 1) if m[i:j] in model.ids]
+        cells += own if any(j == i + 1 for _, j, _ in own) else [(i, i + 1, [model.bytes[b] for b in m[i].encode()]), *own]
+    p = [sum(logp[k] for k in ks) for _, _, ks in cells]
+    alpha, beta = [0.0] + [-math.inf] * len(m), [-math.inf] * len(m) + [0.0]
+    plus = lambda a, b: max(a, b) + math.log1p(math.exp(-abs(a - b))) if min(a, b) > -math.inf else max(a, b)
+    for (i, j, _), q in sorted(zip(cells, p, strict=True), key=lambda x: x[0][1]):
+        alpha[j] = plus(alpha[j], alpha[i] + q)
+    for (i, j, _), q in sorted(zip(cells, p, strict=True), key=lambda x: -x[0][0]):
+        beta[i] = plus(beta[i], beta[j] + q)
+    n = collections.Counter()
+    for (i, j, ks), q in zip(cells, p, strict=True):
+        for k in ks:
+            n[k] += math.exp(alpha[i] + q + beta[j] - alpha[-1])
+    return alpha[-1], n
+
+
+def plain_em(model, words, logp):
+    """Expected pieces of counted words."""
+    n = np.zeros(len(logp))
+    for w, c in words.items():
+        for k, x in plain(model, w, logp)[1].items():
+            n[k] += c * x
+    return n
+
+
+def test_expected_counts_equal_enumeration():
+    model = lattice.lattice(vocab.path(lattice.FILE))
+    logp = model.start()
+
+    def every(m):
+        if not m:
+            yield ()
+        for j in range(1, len(m) + 1):
+            own = [model.ids[m[:j]]] if m[:j] in model.ids else [model.bytes[b] for b in m[:j].encode()] if j == 1 else None
+            if own:
+                yield from ((*own, *rest) for rest in every(m[j:]))
+
+    words, weight = ["ab", "there", "q日", "naïve", "ab"], np.array([2.0, 1.0, 3.0, 1.0, 5.0])
+    column = np.array([0, 1, 0, 1, 1])
+    got = model.expected_counts(words, column, weight, np.stack([logp, logp[::-1]], 1))
+    want = np.zeros_like(got)
+    for w, c, n in zip(words, column, weight, strict=True):
+        own = logp if c == 0 else logp[::-1]
+        ways = list(every(lattice.MARK + w))
+        p = np.array([math.exp(sum(own[k] for k in way)) for way in ways])
+        for way, share in zip(ways, p / p.sum(), strict=True):
+            for k in way:
+                want[k, c] += n * share
+    assert np.allclose(got, want)
+
+
+def test_lattice_lm_scores_equal_plain_loops(docs, odd):
+    model = lattice.lattice(vocab.path(lattice.FILE))
+    words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", exact(t))
+    for df in (odd, docs.where("doc_id < 60")):
+        rows = df.select("doc_id", "text").collect()
+        train = [r for r in rows if zlib.crc32(str("" if r.doc_id is None else r.doc_id).encode()) % 5 != 1]
+        count, logp = collections.Counter(w for r in train for w in words(r.text)), model.start()
+        for _ in range(lattice_lm.STEPS):
+            n = plain_em(model, count, logp)
+            whole = n.sum() + lattice_lm.SMOOTH * len(n) + len(train)
+            logp = np.log((n + lattice_lm.SMOOTH) / whole)
+        end = math.log(len(train) / whole)
+        want = {(r.doc_id, len(words(r.text))): (sum(plain(model, w, logp)[0] for w in words(r.text)) + end) / math.log(10) for r in rows}
+        for r in lattice_lm.scores(df).collect():
+            assert r.score == pytest.approx(want[r.doc_id, r.n_tokens - 1], rel=1e-9)
+
+
+def test_langid_equals_plain_loops(docs, odd, spark):
+    model = lattice.lattice(vocab.path(lattice.FILE))
+    one = spark.createDataFrame([(5, "only one language", "en", "s"), (4, "only", None, "s"), (None, None, "en", "s")], "doc_id long, text string, lang string, source string")
+    for df in (odd, docs.where("doc_id < 60"), one):
+        rows = df.select("doc_id", "text", "lang").collect()
+        words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t.lower())
+        count = collections.defaultdict(collections.Counter)
+        for r in rows:
+            if zlib.crc32(str("" if r.doc_id is None else r.doc_id).encode()) % 3 != 1 and r.lang is not None and r.text is not None:
+                count[r.lang].update(words(r.text))
+        logp = {}
+        for lang in sorted(x for x in count if count[x]):
+            n = plain_em(model, count[lang], model.start()) + langid.SMOOTH
+            logp[lang] = np.log(n / n.sum())
+        got = {(r.doc_id, i): r for i, r in enumerate(langid.identify(df).collect())}
+        given = {}
+        for r in rows:
+            given.setdefault(r.doc_id, r.text)
+        for r in got.values():
+            t = given[r.doc_id] or ""
+            if not any(map(str.isalpha, t)) or not logp:
+                assert (r.lang_pred, r.score) == ("und", 0.0)
+                continue
+            mean = {lang: np.mean([plain(model, w, own)[0] for w in words(t)]) for lang, own in logp.items()}
+            best = max(mean.values())
+            assert mean[r.lang_pred] == pytest.approx(best, rel=1e-9) and r.score == pytest.approx(1 / sum(math.exp(x - best) for x in mean.values()))
 
 
 def test_lattice_lm(docs, odd, none):

@@ -22,43 +22,43 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, materialize, pieces_of, remainder
 from .lattice import FILE, lattice
-from .lattice_lm import piece_counts
+from .lattice_lm import BLOCK, piece_counts
+from .pretoken import Known, coded_words, strings, totals
 from .vocab import path
 
 HELD_OUT = (3, 1)
 SMOOTH = 0.05
-CACHED = 400_000
-FLUSH = 200_000
+CACHED, CACHED_LENGTH = 400_000, 64
+AT_ONCE = 50_000
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """docs: lang, text. of (the language), word, c."""
 
-    def run(batches):
-        counts: dict[str, dict[str, int]] = {}
-        held = 0
-
-        def flush():
-            rows = [(lang, w, n) for lang, own in counts.items() for w, n in own.items()]
-            return pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["of", "word", "c"])
+    def counted(lang, texts):
+        words, codes, lengths = coded_words(pc.utf8_lower(texts))
+        langs = lang.dictionary_encode()
+        own = np.repeat(langs.indices.to_numpy().astype(np.int64), lengths) * len(words) + codes
+        found, n = np.unique(own, return_counts=True)
+        return pa.table([langs.dictionary.take(pa.array(found // max(1, len(words)))), words.take(pa.array(found % max(1, len(words)))), pa.array(n)], ["of", "word", "c"])
 
+    def run(batches):
+        held, size = [], 0
         for batch in batches:
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                own = counts.setdefault(lang, {})
-                held -= len(own)
-                for w in text.lower().split():
-                    own[w] = own.get(w, 0) + 1
-                held += len(own)
-                if held >= FLUSH:
-                    yield flush()
-                    counts, held = {}, 0
-        if counts:
-            yield flush()
+            for part in pieces_of(batch, rows=4096):
+                held.append(part)
+                size += part.column("text").nbytes
+                if size >= BLOCK:
+                    yield from counted(*pa.concat_batches(held).columns).to_batches()
+                    held, size = [], 0
+        if held:
+            yield from counted(*pa.concat_batches(held).columns).to_batches()
 
     rows = docs.mapInArrow(run, "of string, word string, c long")
     return rows.groupBy("of", "word").agg(F.sum("c").alias("c"))
@@ -71,46 +71,31 @@ def learn(docs: DataFrame, file: str) -> tuple[list[str], np.ndarray]:
     if not langs:
         return [], np.zeros((0, 0))
     start = np.repeat(lattice(file).start()[:, None], len(langs), 1)
-    n = piece_counts(counts, start, file, {name: i for i, name in enumerate(langs)})
+    n = piece_counts(counts, start, file, langs)
     return langs, np.log((n + SMOOTH) / (n.sum(0) + SMOOTH * len(n)))
 
 
 class _Words:
-    """Log probabilities of words met lately, (number, languages). When the
-    newer half is full it becomes the older one; words used again come back."""
+    """Log probabilities of words under each language; remembers those of words
+    met lately."""
 
     def __init__(self, file: str, logp: np.ndarray):
         self.model, self.logp = lattice(file), logp
-        self.new: dict[str, int] = {}
-        self.old: dict[str, int] = {}
-        self.new_rows = np.zeros((CACHED, logp.shape[1]))
-        self.old_rows = np.zeros((CACHED, logp.shape[1]))
-
-    def _look_up(self, words: list[str]) -> np.ndarray:
-        out = np.empty((len(words), self.logp.shape[1]))
-        at = np.fromiter((self.new.get(w, -1) for w in words), np.int64, len(words))
-        out[at >= 0] = self.new_rows[at[at >= 0]]
-        rest = np.flatnonzero(at < 0)
-        at = np.fromiter((self.old.get(words[i], -1) for i in rest), np.int64, len(rest))
-        out[rest[at >= 0]] = self.old_rows[at[at >= 0]]
-        missing = rest[at < 0]
-        for k in range(0, len(missing), 50_000):
-            some = missing[k : k + 50_000]
-            out[some] = self.model.forward([words[i] for i in some], self.logp)
-        for k in range(0, len(rest), CACHED):
-            some = rest[k : k + CACHED]
-            if len(self.new) + len(some) > CACHED:
-                self.old, self.new = self.new, {}
-                self.old_rows, self.new_rows = self.new_rows, self.old_rows
-            n = len(self.new)
-            self.new_rows[n : n + len(some)] = out[some]
-            self.new.update((words[i], n + j) for j, i in enumerate(some))
-        return out
-
-    def sums(self, texts: list[list[str]]) -> np.ndarray:
-        words = sorted({w for own in texts for w in own})
-        rows, place = self._look_up(words), {w: i for i, w in enumerate(words)}.__getitem__
-        return np.array([rows[np.fromiter(map(place, own), np.int64, len(own))].sum(0) for own in texts])
+        self.columns = [f"p{i}" for i in range(logp.shape[1])]
+        self.schema = pa.schema([("key", pa.string()), *((c, pa.float64()) for c in self.columns)])
+        self.known = Known(self.schema, CACHED, CACHED_LENGTH)
+
+    def _learn(self, words: pa.Array) -> pa.Table:
+        parts = [self.model.forward(words.slice(i, AT_ONCE).to_pylist(), self.logp) for i in range(0, len(words), AT_ONCE)]
+        rows = np.concatenate([np.zeros((0, len(self.columns))), *parts])
+        return pa.table([words, *(pa.array(np.ascontiguousarray(rows[:, i])) for i in range(len(self.columns)))], schema=self.schema)
+
+    def means(self, texts: pa.Array) -> np.ndarray:
+        """(texts, languages): the mean over a text's words."""
+        words, codes, lengths = coded_words(pc.utf8_lower(texts))
+        found = self.known.get(words, self._learn)
+        each = [totals(found.column(c).to_numpy()[codes], lengths) for c in self.columns]
+        return np.stack(each, 1) / np.maximum(1, lengths)[:, None]
 
 
 def predict(docs: DataFrame, langs: list[str], logp: np.ndarray, file: str) -> DataFrame:
@@ -120,17 +105,13 @@ def predict(docs: DataFrame, langs: list[str], logp: np.ndarray, file: str) -> D
         known = _Words(file, logp) if langs else None
         for batch in batches:
             for part in pieces_of(batch, rows=4096):
-                texts = [x or "" for x in part.column("text").to_pylist()]
-                lettered = [any(map(str.isalpha, x)) and bool(langs) for x in texts]
-                names, score = ["und"] * len(texts), np.zeros(len(texts))
-                some = [i for i, ok in enumerate(lettered) if ok]
-                if some:
-                    words = [texts[i].lower().split() for i in some]
-                    sums = known.sums(words) / np.array([[max(1, len(w))] for w in words])
-                    best = sums.argmax(1)
-                    share = 1 / np.exp(sums - sums.max(1, keepdims=True)).sum(1)
-                    for i, k, s in zip(some, best, share, strict=True):
-                        names[i], score[i] = langs[k], s
+                texts = strings(part.column("text"))
+                lettered = np.array([any(map(str.isalpha, x)) for x in texts.to_pylist()], bool) & bool(langs)
+                names, score = np.full(len(texts), "und", object), np.zeros(len(texts))
+                if lettered.any():
+                    mean = known.means(texts.filter(pa.array(lettered)))
+                    names[lettered] = np.array(langs, object)[mean.argmax(1)]
+                    score[lettered] = 1 / np.exp(mean - mean.max(1, keepdims=True)).sum(1)
                 yield pa.record_batch([part.column("doc_id"), pa.array(names), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()

@@ -7,17 +7,19 @@ forward recursion in log space over the characters; expected_counts() adds the
 backward recursion for expectation-maximisation. Characters that are no piece
 are the product of their bytes' pieces.
 
-Words of equal length are handled together: one numpy operation per pair of
-start and end, whatever the number of words or of models (columns).
+The pieces in all words are found by one walk of a trie (trie.py) and serve all
+models (columns). The recursions go on in all words at once: a round handles
+the pieces that end (or begin) at the same distance from the words' starts.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from functools import lru_cache
 
 import numpy as np
 
+from .pretoken import offsets
+from .trie import Trie
 from .vocab import pieces
 
 MARK = "▁"
@@ -28,7 +30,7 @@ class Lattice:
     def __init__(self, file: str):
         self.ids, self.scores, self.bytes = pieces(file)
         self.size = len(self.scores) + 256
-        self.longest = max(map(len, self.ids))
+        self.trie = Trie((map(ord, piece), i) for piece, i in self.ids.items())
 
     def start(self) -> np.ndarray:
         """Log probabilities from the vocabulary's own scores, which are
@@ -38,82 +40,80 @@ class Lattice:
         p = 1 / (rank + 10)
         return np.log(p / p.sum())
 
-    def _cells(self, words: list[str]):
-        """Places of the words by length; for each length and pair of start and
-        end the pieces, self.size and up for characters that are none."""
-        by_length = defaultdict(list)
-        for i, w in enumerate(words):
-            by_length[len(w)].append(i)
-        get, strange, none = self.ids.get, {}, -1
-        for n, places in sorted(by_length.items()):
-            # long words in smaller groups, so that a group's cells stay bounded
-            step = max(1, 2_000_000 // (16 * (n + 1)))
-            for at in range(0, len(places), step):
-                group = places[at : at + step]
-                marked = [MARK + words[i] for i in group]
-                cells = {}
-                for end in range(1, n + 2):
-                    for start in range(max(0, end - self.longest), end):
-                        ids = np.array([get(w[start:end], none) for w in marked], np.int32)
-                        if end == start + 1 and (ids < 0).any():
-                            for k in np.flatnonzero(ids < 0):
-                                ids[k] = strange.setdefault(marked[k][start], self.size + len(strange))
-                        if (ids >= 0).any():
-                            cells[start, end] = ids
-                yield np.array(group), n + 1, cells, strange
-
-    def _table(self, logp: np.ndarray, strange: dict[str, int]) -> np.ndarray:
-        """logp (size, columns), then a row for each strange character, then -inf."""
-        rows = [logp[[self.bytes[b] for b in c.encode("utf-8", "replace")]].sum(0) for c in strange]
-        return np.concatenate([logp, np.array(rows).reshape(-1, logp.shape[1]), np.full((1, logp.shape[1]), -np.inf)])
+    def _cells(self, words: list[str]) -> _Cells:
+        joined = MARK.join(["", *words]).encode("utf-32-le", "replace")
+        symbols = np.frombuffer(joined, np.uint32).astype(np.int64)
+        lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        word, at = np.repeat(np.arange(len(words)), lengths), offsets(lengths)
+        start, end, piece = self.trie.matches(symbols, at[1:][word])
+        alone = np.ones(len(symbols), bool)
+        alone[start[end == start + 1]] = False
+        alone = np.flatnonzero(alone)
+        chars, which = np.unique(symbols[alone], return_inverse=True)
+        start, end = np.concatenate([start, alone]), np.concatenate([end, alone + 1])
+        return _Cells(start, end, np.concatenate([piece, self.size + which]), word[start], at, [self._own_bytes(int(c)) for c in chars])
+
+    def _own_bytes(self, char: int) -> list[int]:
+        return [self.bytes[b] for b in chr(char).encode("utf-8", "replace")]
 
     @staticmethod
-    def _sum(terms: list[np.ndarray]) -> np.ndarray:
-        """log of the sum of exps; -inf where there is none."""
-        if len(terms) == 1:
-            return terms[0]
-        x = np.stack(terms)
-        top = x.max(0)
-        top[np.isneginf(top)] = 0
-        with np.errstate(divide="ignore"):
-            return np.log(np.exp(x - top).sum(0)) + top
+    def _table(logp: np.ndarray, strange: list[list[int]]) -> np.ndarray:
+        """logp (size, columns), then a row for each strange character."""
+        return np.concatenate([logp, np.array([logp[own].sum(0) for own in strange]).reshape(-1, logp.shape[1])])
 
     def forward(self, words: list[str], logp: np.ndarray) -> np.ndarray:
         """(words, columns): the natural log of each word's probability."""
-        out = np.zeros((len(words), logp.shape[1]))
-        for group, n, cells, strange in self._cells(words):
-            table = self._table(logp, strange)
-            for c in range(logp.shape[1]):  # one column at a time: flat arrays are the fastest to gather
-                flat, alpha = np.ascontiguousarray(table[:, c]), [np.zeros(len(group))]
-                for end in range(1, n + 1):
-                    alpha.append(self._sum([alpha[s] + flat[cells[s, end]] for s in range(max(0, end - self.longest), end) if (s, end) in cells]))
-                out[group, c] = alpha[n]
-        return out
+        cells = self._cells(words)
+        p = self._table(logp, cells.strange)
+        return cells.recursion(lambda edges: p[cells.piece[edges]], logp.shape[1], True)[cells.last]
 
     def expected_counts(self, words: list[str], column: np.ndarray, weight: np.ndarray, logp: np.ndarray) -> np.ndarray:
         """(size, columns): how often each piece is expected, words taken
         `weight` times under the model in `column`."""
-        total = np.zeros(logp.shape)
-        for group, n, cells, strange in self._cells(words):
-            table, c = self._table(logp, strange), column[group]
-            p = {cell: table[ids, c] for cell, ids in cells.items()}
-            alpha, beta = [np.zeros(len(group))], {n: np.zeros(len(group))}
-            for end in range(1, n + 1):
-                alpha.append(self._sum([alpha[s] + p[s, end] for s in range(max(0, end - self.longest), end) if (s, end) in p]))
-            for start in range(n - 1, -1, -1):
-                terms = [beta[e] + p[start, e] for e in range(start + 1, min(n, start + self.longest) + 1) if (start, e) in p]
-                beta[start] = self._sum(terms)
-            name = {i: ch for ch, i in strange.items()}
-            for (s, e), ids in cells.items():
-                with np.errstate(invalid="ignore"):
-                    got = np.exp(alpha[s] + p[s, e] + beta[e] - alpha[n]) * weight[group]
-                ok = ids >= 0
-                known = ok & (ids < self.size)
-                np.add.at(total, (ids[known], c[known]), got[known])
-                for k in np.flatnonzero(ok & ~known):
-                    for b in name[int(ids[k])].encode("utf-8", "replace"):
-                        total[self.bytes[b], c[k]] += got[k]
-        return total
+        cells = self._cells(words)
+        own = column[cells.word]
+        p = self._table(logp, cells.strange)[cells.piece, own]
+        alpha, beta = (cells.recursion(lambda edges: p[edges, None], 1, onward)[:, 0] for onward in (True, False))
+        got = np.exp(alpha[cells.of] + p + beta[cells.to] - alpha[cells.last][cells.word]) * weight[cells.word]
+        n = logp.shape[1]
+        total = np.bincount(cells.piece * n + own, got, (self.size + len(cells.strange)) * n).reshape(-1, n)
+        for bytes_, own in zip(cells.strange, total[self.size :], strict=True):
+            for b in bytes_:
+                total[b] += own
+        return total[: self.size]
+
+
+class _Cells:
+    """The pieces in words as edges between nodes, the places between characters:
+    of, to (nodes), piece, word; the words' last nodes."""
+
+    def __init__(self, start, end, piece, word, at, strange):
+        self.of, self.to, self.piece, self.word, self.strange = start + word, end + word, piece, word, strange
+        self.first = (at + np.arange(len(at)))[:-1]
+        self.last = (at[1:] + np.arange(len(at) - 1)) if len(at) > 1 else self.first
+
+    def recursion(self, p, columns: int, onward: bool) -> np.ndarray:
+        """(nodes, columns): logs of the sums over all ways from a word's first
+        node, or to its last one; p(edges) are the edges' own logs."""
+        here, there = (self.to, self.of) if onward else (self.of, self.to)
+        far = here - self.first[self.word] if onward else self.last[self.word] - here
+        order = np.lexsort((here, far))
+        node, far = here[order], far[order]
+        out = np.zeros((int(self.last[-1]) + 1 if len(self.last) else 0, columns))
+        start = np.flatnonzero(np.r_[True, node[1:] != node[:-1]]) if len(node) else np.zeros(0, np.int64)
+        ends = np.r_[start[1:], len(node)]
+        cut = np.searchsorted(far[start], np.arange(1, far.max(initial=0) + 2))
+        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            low, high = start[a], ends[b - 1]
+            edges = order[low:high]
+            x = out[there[edges]] + p(edges)
+            if b - a < high - low:
+                own, n = start[a:b] - low, ends[a:b] - start[a:b]
+                top = np.maximum.reduceat(x, own)
+                x -= np.repeat(top, n, 0)
+                x = np.log(np.add.reduceat(np.exp(x, out=x), own)) + top
+            out[node[start[a:b]]] = x
+        return out
 
 
 @lru_cache(maxsize=2)

@@ -25,13 +25,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, gathered, materialize, pieces_of, remainder, text_bytes
+from .common import bounded_batches, gathered, materialize, pieces_of, remainder
 from .lattice import FILE, lattice
+from .pretoken import coded_words, lists, strings, sums, totals
 from .vocab import path
 
 BLOCK = 16 << 20
@@ -41,54 +43,44 @@ HELD_OUT = (5, 1)
 
 
 def _blocks(docs: DataFrame) -> DataFrame:
-    """docs: doc_id, train, text (bytes). One row per block of documents."""
+    """docs: doc_id, train, text. One row per block of documents."""
     id_type = docs.schema["doc_id"].dataType
     schema = T.StructType().add("block", "long").add("doc_ids", T.ArrayType(id_type)).add("train", T.ArrayType(T.BooleanType())).add("lengths", T.ArrayType(T.IntegerType())).add("codes", "binary").add("words", T.ArrayType(T.StringType())).add("counts", T.ArrayType(T.LongType()))
 
-    def run(batches):
-        number, arrow_id = 0, None
-        task = TaskContext.get().partitionId()
-
-        def row():
-            codes = np.concatenate(held) if held else np.zeros(0, np.int32)
-            trained = np.repeat(np.array(train, bool), np.array(lengths, np.int64))
-            counts = np.bincount(codes[trained], minlength=len(place))
-            words = [w.decode() for w in place]
-            return pa.record_batch([pa.array([(task << 24) | number], pa.int64()), pa.array([ids], pa.list_(arrow_id)), pa.array([train]), pa.array([lengths], pa.list_(pa.int32())), pa.array([codes.tobytes()], pa.binary()), pa.array([words], pa.list_(pa.string())), pa.array([counts], pa.list_(pa.int64()))], schema.names)
+    def row(number, held):
+        """One block's row."""
+        batch = pa.concat_batches(held)
+        ids, train = batch.column("doc_id"), batch.column("train")
+        words, codes, lengths = coded_words(pc.ascii_lower(strings(batch.column("text"))))
+        counts = np.bincount(codes[np.repeat(train.to_numpy(zero_copy_only=False), lengths)], minlength=len(words))
+        one = lambda values: lists(values, np.array([len(values)]))
+        return pa.record_batch([pa.array([number]), one(ids), one(train), one(pa.array(lengths, pa.int32())), pa.array([codes.astype(np.int32).tobytes()], pa.binary()), one(words), one(pa.array(counts, pa.int64()))], schema.names)
 
-        place, ids, train, lengths, held, size = {}, [], [], [], [], 0
+    def run(batches):
+        number, held, size = TaskContext.get().partitionId() << 24, [], 0
         for batch in batches:
-            arrow_id = batch.schema.field("doc_id").type
             for part in pieces_of(batch, rows=4096):
-                for doc_id, is_train, text in zip(*(part.column(c).to_pylist() for c in ("doc_id", "train", "text")), strict=True):
-                    words = text.lower().split()
-                    for w in words:
-                        if w not in place:
-                            place[w] = len(place)
-                    ids.append(doc_id), train.append(is_train), lengths.append(len(words))
-                    held.append(np.fromiter(map(place.__getitem__, words), np.int32, len(words)))
-                    size += len(text)
-                    if size >= BLOCK or len(ids) >= 200_000:
-                        yield row()
-                        place, ids, train, lengths, held, size = {}, [], [], [], [], 0
-                        number += 1
-        if ids:
-            yield row()
+                held.append(part)
+                size += part.column("text").nbytes
+                if size >= BLOCK or sum(x.num_rows for x in held) >= 200_000:
+                    yield row(number, held)
+                    number, held, size = number + 1, [], 0
+        if held:
+            yield row(number, held)
 
     return docs.mapInArrow(run, schema)
 
 
-def piece_counts(words: DataFrame, logp: np.ndarray, file: str, columns: dict | None = None) -> np.ndarray:
+def piece_counts(words: DataFrame, logp: np.ndarray, file: str, columns: list[str] | None = None) -> np.ndarray:
     """words: word, c (and `of`, a name in columns). Expected piece counts
     (pieces, columns) under logp: a partial table per task, then a sum per
     piece; the result has a row for each piece and column at most."""
-    columns = columns or {None: 0}
-
     def run(batches):
         model, total = lattice(file), None
         for batch in gathered(batches):
-            names = batch.column("of").to_pylist() if "of" in batch.schema.names else [None] * batch.num_rows
-            column = np.array([columns[x] for x in names], np.int64)
+            column = np.zeros(batch.num_rows, np.int64)
+            if "of" in batch.schema.names:
+                column = pc.index_in(batch.column("of"), value_set=pa.array(columns, pa.string())).to_numpy()
             got = model.expected_counts(batch.column("word").to_pylist(), column, batch.column("c").to_numpy().astype(float), logp)
             total = got if total is None else total + got
         if total is not None:
@@ -108,7 +100,7 @@ def scores(docs: DataFrame, file: str | None = None, steps: int = STEPS) -> Data
     bounded_batches(spark)
     file = file or path(FILE)
     held_out = remainder(F.col("doc_id"), HELD_OUT[0]) == HELD_OUT[1]
-    blocks = materialize(_blocks(docs.select("doc_id", (~held_out).alias("train"), text_bytes().alias("text"))))
+    blocks = materialize(_blocks(docs.select("doc_id", (~held_out).alias("train"), "text")))
     entries = blocks.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("pos", "e")).select("block", "pos", F.col("e.words").alias("word"), F.col("e.counts").alias("c"))
     lexicon = materialize(entries.groupBy("word").agg(F.sum("c").alias("c")))
     of_words = lexicon.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
@@ -125,35 +117,31 @@ def scores(docs: DataFrame, file: str | None = None, steps: int = STEPS) -> Data
     def decode(batches):
         for batch in gathered(batches):
             log10 = lattice(file).forward(batch.column("word").to_pylist(), logp)[:, 0] / np.log(10)
-            yield pa.record_batch([batch.column("word"), batch.column("c"), pa.array(log10.astype(np.float32))], ["word", "c", "lm"])
+            yield pa.record_batch([batch.column("word"), batch.column("c"), pa.array(log10)], ["word", "c", "lm"])
 
-    known = lexicon.mapInArrow(decode, "word string, c long, lm float")
+    known = lexicon.mapInArrow(decode, "word string, c long, lm double")
     back = entries.select("block", "pos", "word").join(known, "word").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("pos", "c", "lm"))).alias("found"))
     joined = blocks.select("block", "doc_ids", "train", "lengths", "codes").join(back, "block", "left")
     scale = total + 0.5 * (distinct + 1)
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
-    def score(batches):
+    def scored(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                lengths = np.array(batch.column("lengths")[i].as_py(), np.int64)
-                codes = np.frombuffer(batch.column("codes")[i].as_py(), np.int32)
+                lengths = batch.column("lengths")[i].values.to_numpy().astype(np.int64)
+                codes = np.frombuffer(batch.column("codes")[i].as_buffer(), np.int32)
                 found = batch.column("found")[i]
                 c = found.values.field("c").to_numpy() if found.is_valid else np.zeros(0, np.int64)
-                lm = found.values.field("lm").to_numpy().astype(float) if found.is_valid else np.zeros(0)
-                doc = np.repeat(np.arange(len(lengths)), lengths)
-                sums = lambda x, doc=doc, n=len(lengths): np.bincount(doc, x, n)
-                base = sums(np.log10((c + 0.5) / scale)[codes]) + np.log10((ends + 0.5) / scale) if total else None
+                lm = found.values.field("lm").to_numpy() if found.is_valid else np.zeros(0)
+                base = totals(np.log10((c + 0.5) / scale)[codes], lengths) + np.log10((ends + 0.5) / scale) if total else [None] * len(lengths)
+                n_known = sums((c > 0)[codes].astype(np.int64), lengths) + int(ends > 0)
+                score = totals(lm[codes], lengths) + log_end / np.log(10)
                 yield pa.record_batch(
-                    [
-                        batch.column("doc_ids")[i].values, pa.array([not x for x in batch.column("train")[i].as_py()]), pa.array(lengths + 1), pa.array(sums((c > 0)[codes].astype(float)).astype(np.int64) + int(ends > 0)),
-                        pa.array(np.full(len(lengths), total, np.int64)), pa.array(base if total else [None] * len(lengths), pa.float64()), pa.array(sums(lm[codes]) + log_end / np.log(10)),
-                    ],
-                    names,
-                )
+                    [batch.column("doc_ids")[i].values, pc.invert(batch.column("train")[i].values), pa.array(lengths + 1), pa.array(n_known), pa.array(np.full(len(lengths), total)), pa.array(base, pa.float64()), pa.array(score)], names
+                )
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return joined.mapInArrow(score, f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return joined.mapInArrow(scored, f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op8_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

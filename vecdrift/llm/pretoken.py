@@ -1,6 +1,6 @@
-"""Cutting texts into the words that byte-pair merges stay within, in Arrow
-columns: a batch of texts becomes its distinct parts and numbers into them, so
-that Python only handles parts that are new."""
+"""Cutting texts in Arrow columns: a batch of texts becomes its distinct words,
+or the parts that byte-pair merges stay within, and numbers into them, so that
+Python only handles what is new."""
 
 from __future__ import annotations
 
@@ -35,6 +35,11 @@ def offsets(lengths: np.ndarray) -> np.ndarray:
     return np.concatenate([np.zeros(1, np.int64), np.cumsum(lengths, dtype=np.int64)])
 
 
+def totals(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The same of doubles, each run on its own, so that none takes another's error."""
+    return np.bincount(np.repeat(np.arange(len(lengths)), lengths), values, len(lengths))
+
+
 def runs(start: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The numbers start[i], start[i] + 1, ... (lengths[i] of them), for each i."""
     at = offsets(lengths)
@@ -51,6 +56,16 @@ def sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return total[at[1:]] - total[at[:-1]]
 
 
+def coded_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct words of the texts (see common.WORD), the words of all texts
+    in order as numbers into them, and each text's number of words."""
+    cut = pc.ascii_split_whitespace(texts)
+    flat, n = cut.flatten(), pc.list_value_length(cut).to_numpy(zero_copy_only=False)
+    some = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)  # next to space at an end
+    words = flat.filter(pa.array(some)).dictionary_encode()
+    return words.dictionary, words.indices.to_numpy(zero_copy_only=False).astype(np.int64), sums(some.astype(np.int64), n.astype(np.int64))
+
+
 def coded_parts(texts: pa.Array, findall: Callable[[str], list[str]], whole: np.ndarray | None = None) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """The distinct parts of the texts, the parts of all texts in order as
     numbers into them, and each text's number of parts.
