@@ -588,7 +588,7 @@ def test_lattice_lm_scores_equal_plain_loops(docs, odd):
 
 def test_langid_equals_plain_loops(docs, odd, spark):
     model = lattice.lattice(vocab.path(lattice.FILE))
-    one = spark.createDataFrame([(5, "only one language", "en", "s"), (4, "only", None, "s"), (None, None, "en", "s")], "doc_id long, text string, lang string, source string")
+    one = spark.createDataFrame([(7, "only one language", "en", "s"), (4, "only", None, "s"), (None, None, "en", "s")], "doc_id long, text string, lang string, source string")
     for df in (odd, docs.where("doc_id < 60"), one):
         rows = df.select("doc_id", "text", "lang").collect()
         words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t.lower())

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, materialize, pieces_of, remainder
 from .lattice import FILE, lattice
 from .lattice_lm import BLOCK, piece_counts
-from .pretoken import Known, coded_words, strings, totals
+from .pretoken import CodedWords, Known, coded_words, strings, totals
 from .vocab import path
 
 HELD_OUT = (3, 1)
@@ -41,24 +41,25 @@ AT_ONCE = 50_000
 def word_counts(docs: DataFrame) -> DataFrame:
     """docs: lang, text. of (the language), word, c."""
 
-    def counted(lang, texts):
-        words, codes, lengths = coded_words(pc.utf8_lower(texts))
-        langs = lang.dictionary_encode()
-        own = np.repeat(langs.indices.to_numpy().astype(np.int64), lengths) * len(words) + codes
-        found, n = np.unique(own, return_counts=True)
-        return pa.table([langs.dictionary.take(pa.array(found // max(1, len(words)))), words.take(pa.array(found % max(1, len(words)))), pa.array(n)], ["of", "word", "c"])
+    def counted(lang, coded):
+        words, codes, lengths = coded.result()
+        langs = pa.concat_arrays(lang).dictionary_encode()
+        n = max(1, len(words))
+        found, c = np.unique(np.repeat(langs.indices.to_numpy().astype(np.int64), lengths) * n + codes, return_counts=True)
+        return pa.table([langs.dictionary.take(pa.array(found // n)), words.take(pa.array(found % n)), pa.array(c)], ["of", "word", "c"])
 
     def run(batches):
-        held, size = [], 0
+        lang, coded, size = [], CodedWords(), 0
         for batch in batches:
             for part in pieces_of(batch, rows=4096):
-                held.append(part)
+                lang.append(part.column("lang"))
+                coded.add(pc.utf8_lower(part.column("text")))
                 size += part.column("text").nbytes
                 if size >= BLOCK:
-                    yield from counted(*pa.concat_batches(held).columns).to_batches()
-                    held, size = [], 0
-        if held:
-            yield from counted(*pa.concat_batches(held).columns).to_batches()
+                    yield from counted(lang, coded).to_batches()
+                    lang, coded, size = [], CodedWords(), 0
+        if lang:
+            yield from counted(lang, coded).to_batches()
 
     rows = docs.mapInArrow(run, "of string, word string, c long")
     return rows.groupBy("of", "word").agg(F.sum("c").alias("c"))

@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from .common import bounded_batches, gathered, materialize, pieces_of, remainder
 from .lattice import FILE, lattice
-from .pretoken import coded_words, lists, strings, sums, totals
+from .pretoken import CodedWords, lists, strings, sums, totals
 from .vocab import path
 
 BLOCK = 16 << 20
@@ -42,31 +42,45 @@ SMOOTH = 0.05
 HELD_OUT = (5, 1)
 
 
+def packed(codes: np.ndarray) -> bytes:
+    """int32 numbers, their bytes of one place together, compressed."""
+    return pa.compress(np.ascontiguousarray(codes.astype("<i4").view(np.uint8).reshape(-1, 4).T), "zstd", asbytes=True) if len(codes) else b""
+
+
+def unpacked(data: pa.Buffer, n: int) -> np.ndarray:
+    if not n:
+        return np.zeros(0, np.int32)
+    planes = np.frombuffer(pa.decompress(data, 4 * n, "zstd"), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view("<i4")[:, 0]
+
+
 def _blocks(docs: DataFrame) -> DataFrame:
     """docs: doc_id, train, text. One row per block of documents."""
     id_type = docs.schema["doc_id"].dataType
     schema = T.StructType().add("block", "long").add("doc_ids", T.ArrayType(id_type)).add("train", T.ArrayType(T.BooleanType())).add("lengths", T.ArrayType(T.IntegerType())).add("codes", "binary").add("words", T.ArrayType(T.StringType())).add("counts", T.ArrayType(T.LongType()))
 
-    def row(number, held):
+    def row(number, ids, train, coded):
         """One block's row."""
-        batch = pa.concat_batches(held)
-        ids, train = batch.column("doc_id"), batch.column("train")
-        words, codes, lengths = coded_words(pc.ascii_lower(strings(batch.column("text"))))
+        words, codes, lengths = coded.result()
+        ids, train = pa.concat_arrays(ids), pa.concat_arrays(train)
         counts = np.bincount(codes[np.repeat(train.to_numpy(zero_copy_only=False), lengths)], minlength=len(words))
         one = lambda values: lists(values, np.array([len(values)]))
-        return pa.record_batch([pa.array([number]), one(ids), one(train), one(pa.array(lengths, pa.int32())), pa.array([codes.astype(np.int32).tobytes()], pa.binary()), one(words), one(pa.array(counts, pa.int64()))], schema.names)
+        return pa.record_batch([pa.array([number]), one(ids), one(train), one(pa.array(lengths, pa.int32())), pa.array([packed(codes)], pa.binary()), one(words), one(pa.array(counts, pa.int64()))], schema.names)
 
     def run(batches):
-        number, held, size = TaskContext.get().partitionId() << 24, [], 0
+        number, size, held = TaskContext.get().partitionId() << 24, 0, ([], [], CodedWords())
         for batch in batches:
             for part in pieces_of(batch, rows=4096):
-                held.append(part)
+                held[0].append(part.column("doc_id"))
+                held[1].append(part.column("train"))
+                held[2].add(pc.ascii_lower(strings(part.column("text"))))
                 size += part.column("text").nbytes
-                if size >= BLOCK or sum(x.num_rows for x in held) >= 200_000:
-                    yield row(number, held)
-                    number, held, size = number + 1, [], 0
-        if held:
-            yield row(number, held)
+                if size >= BLOCK or sum(map(len, held[0])) >= 200_000:
+                    yield row(number, *held)
+                    number, size, held = number + 1, 0, ([], [], CodedWords())
+                    pa.default_memory_pool().release_unused()
+        if held[0]:
+            yield row(number, *held)
 
     return docs.mapInArrow(run, schema)
 
@@ -129,7 +143,7 @@ def scores(docs: DataFrame, file: str | None = None, steps: int = STEPS) -> Data
         for batch in batches:
             for i in range(batch.num_rows):
                 lengths = batch.column("lengths")[i].values.to_numpy().astype(np.int64)
-                codes = np.frombuffer(batch.column("codes")[i].as_buffer(), np.int32)
+                codes = unpacked(batch.column("codes")[i].as_buffer(), int(lengths.sum()))
                 found = batch.column("found")[i]
                 c = found.values.field("c").to_numpy() if found.is_valid else np.zeros(0, np.int64)
                 lm = found.values.field("lm").to_numpy() if found.is_valid else np.zeros(0)

@@ -66,6 +66,26 @@ def coded_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return words.dictionary, words.indices.to_numpy(zero_copy_only=False).astype(np.int64), sums(some.astype(np.int64), n.astype(np.int64))
 
 
+class CodedWords:
+    """coded_words() of many texts, a slice at a time: a slice's own numbers are
+    held until the end, its texts are not."""
+
+    def __init__(self):
+        self.words, self.codes, self.lengths = [], [], []
+
+    def add(self, texts: pa.Array) -> None:
+        words, codes, lengths = coded_words(texts)
+        self.words.append(words)
+        self.codes.append(codes.astype(np.int32))
+        self.lengths.append(lengths)
+
+    def result(self) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        distinct = pa.concat_arrays([pa.array([], pa.string()), *self.words]).dictionary_encode()
+        place, at = distinct.indices.to_numpy(zero_copy_only=False), offsets(np.array([len(w) for w in self.words], np.int64))
+        codes = [place[a:b][own] for a, b, own in zip(at[:-1], at[1:], self.codes, strict=True)]
+        return distinct.dictionary, np.concatenate([np.zeros(0, np.int32), *codes]), np.concatenate([np.zeros(0, np.int64), *self.lengths])
+
+
 def coded_parts(texts: pa.Array, findall: Callable[[str], list[str]], whole: np.ndarray | None = None) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """The distinct parts of the texts, the parts of all texts in order as
     numbers into them, and each text's number of parts.
