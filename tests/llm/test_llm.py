@@ -328,7 +328,7 @@ def test_near_duplicates_by_similarity(spark, docs, odd, none):
     like = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8
     want = _groups(len(ids), [(i, j) for i in range(len(ids)) for j in range(i) if like(ids[i], ids[j])])
     for tile in (4, 2000):
-        got = {r.doc_id: r.group_id for r in simhash.near_duplicates(df, tile=tile).collect()}
+        got = {r.doc_id: r.group_id for r in simhash.near_duplicates(df, tile=tile, items=tile * 250).collect()}
         assert [got[i] for i in ids] == [ids[k] for k in want]
     kept = simhash.drop_near_duplicates(df)
     assert kept.count() == len(set(want)) and kept.columns == df.columns

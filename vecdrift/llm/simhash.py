@@ -23,7 +23,8 @@ every link is verified on the shingles.
 Hot keys and hot groups: equal fingerprints are one row before any key is made.
 The rows of a key are compared where they meet, and give a spanning forest of
 their links instead of all pairs. A key or group with more than TILE rows is
-dealt out as pairs of tiles, each a task-sized unit of its own.
+dealt out as pairs of tiles, each a task-sized unit of its own; groups that are
+verified are dealt by the number of their shingles.
 
 Defined results: a null text is the empty text; texts without words have
 fingerprint zero, linked like any other; repeated rows are in one component;
@@ -38,13 +39,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, materialize, pieces_of, text_bytes
 from .golay import list_keys
 from .graph import components
+from .pretoken import coded_words, offsets, runs, strings
 
 SEED = 42
 MAX_BITS = 2
@@ -54,7 +57,8 @@ TOKEN = 1 << 62  # added to the keys that are shingles
 COUNT_WORDS = 8  # of 16 counts each
 COMMON_SAMPLE, COMMON_LEAST, COMMON_MOST = 4000, 4, 50_000
 FILTER_BITS = 24
-SLOTS = 1 << 16
+HOT_KEY = 20_000
+TILE_ITEMS = 2_000_000
 TILE = 2000
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
 
@@ -103,6 +107,26 @@ def spread(h: np.ndarray, n: int) -> np.ndarray:
     return y ^ (y >> np.uint64(31))
 
 
+def hashed_shingles(texts: pa.Array, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of each text (A-Z lower-cased) its distinct shingles and its distinct
+    words, as hashes. A shingle's hash is made of its words' ones."""
+    words, codes, lengths = coded_words(pc.ascii_lower(strings(texts)))
+    of = hashes(words.cast(pa.binary()).to_pylist())
+    each = of[codes]
+    n = max(0, len(each) - k + 1)
+    run = each[:n]
+    for j in range(1, k):
+        run = spread(run, 1)[:, 0] + each[j : n + j]
+    run, out = spread(run, 1)[:, 0], []
+    for start, m in zip((np.cumsum(lengths) - lengths).tolist(), lengths.tolist(), strict=True):
+        if m >= k:
+            own = np.unique(run[start : start + m - k + 1])
+        else:
+            own = hashes([each[start : start + m].tobytes()][:m])
+        out.append((own, of[np.unique(codes[start : start + m])]))
+    return out
+
+
 def fingerprints(docs: DataFrame, k: int = 3) -> DataFrame:
     """doc_id, fp (the fingerprint's 64 bits as a long)."""
     bounded_batches(docs.sparkSession)
@@ -134,14 +158,18 @@ def golay_keys(nodes: DataFrame) -> DataFrame:
     return nodes.select("fp").mapInArrow(run, "key long, node long, f0 long")
 
 
-def tiled(rows: DataFrame, key: str, node: str, tile: int = TILE) -> DataFrame:
-    """Adds `unit`: the key's rows are compared within a unit. A key with up to
-    `tile` rows is one unit; one with more is dealt into tiles, and each pair of
-    tiles is a unit that holds the rows of both."""
-    # a key with that many rows is in a slot with that many; only such slots' keys are counted
-    slot = F.pmod(F.xxhash64(key), F.lit(SLOTS))
-    full = F.broadcast(rows.groupBy(slot.alias("_slot")).count().where(F.col("count") > tile).select("_slot"))  # SLOTS rows at most
-    big = rows.join(full, slot == F.col("_slot"), "left_semi").groupBy(key).count().where(F.col("count") > tile).select(F.col(key).alias("_big"), F.ceil(F.col("count") / (tile // 2)).alias("_tiles"))
+def slots_of(rows: int, most: int) -> int:
+    """Slots of which a full one (over `most` rows) is rare: a power of two, 4
+    million at most."""
+    return 1 << min(22, max(16, (8 * rows // most).bit_length()))
+
+
+def tiled(rows: DataFrame, key: str, node: str, tile: int = TILE, weight: str | None = None) -> DataFrame:
+    """Adds `unit`: the key's rows are compared within a unit. A key of up to
+    `tile` rows (or so much weight) is one unit; one with more is dealt into
+    tiles, and each pair of tiles is a unit that holds the rows of both."""
+    amount = F.sum(weight) if weight else F.count("*")
+    big = heavy(rows, key, tile, amount.alias("_sum")).select(F.col(key).alias("_big"), F.ceil(F.col("_sum") / (tile // 2)).alias("_tiles"))
     big = materialize(big)
     if big.isEmpty():
         return rows.withColumn("unit", F.lit(0).cast("long"))
@@ -153,6 +181,14 @@ def tiled(rows: DataFrame, key: str, node: str, tile: int = TILE) -> DataFrame:
     return rows.withColumn("unit", unit).drop("_own", "_other", "_big", "_tiles")
 
 
+def heavy(rows: DataFrame, key: str, most: int, amount: Column, *more: Column, n_rows: int | None = None) -> DataFrame:
+    """The keys whose `amount` (named _sum) is over `most`. A key is in a slot
+    with that much, so that only the keys of full slots are summed one by one."""
+    slot = F.pmod(F.xxhash64(key), F.lit(slots_of(rows.count() if n_rows is None else n_rows, most)))
+    full = F.broadcast(rows.groupBy(slot.alias("_slot")).agg(amount).where(F.col("_sum") > most).select("_slot"))  # a row per slot at most
+    return rows.join(full, slot == F.col("_slot"), "left_semi").groupBy(key).agg(amount, *more).where(F.col("_sum") > most)
+
+
 def counted(items: np.ndarray) -> np.ndarray:
     """128 counts of a set of items, by 7 bits of each, modulo 16, as words."""
     n = np.bincount((items >> np.uint64(57)).astype(np.int64), minlength=COUNT_WORDS * 16) & 15
@@ -267,11 +303,11 @@ def common_items(docs: DataFrame, k: int) -> np.ndarray:
     def run(batches):
         for batch in batches:
             for part in pieces_of(batch, rows=512):
-                own = [np.unique(hashes(shingles(x.lower().split(), k))) for x in part.column("text").to_pylist()]
+                own = [x for x, _ in hashed_shingles(part.column("text"), k)]
                 items, n = np.unique(np.concatenate(own).astype(np.uint64), return_counts=True)
                 yield pa.record_batch([pa.array(items.view(np.int64)), pa.array(n)], ["item", "n"])
 
-    picked = docs.select(text_bytes().alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0)
+    picked = docs.select(F.coalesce("text", F.lit("")).alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0)
     found = picked.mapInArrow(run, "item long, n long").groupBy("item").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON_LEAST)
     rows = found.orderBy(F.desc("n"), "item").limit(COMMON_MOST).collect()
     items = np.array([r.item for r in rows], np.int64).view(np.uint64)
@@ -303,13 +339,10 @@ def profiles(docs: DataFrame, k: int, similarity: float) -> DataFrame:
         for batch in batches:
             for part in pieces_of(batch, rows=2048):
                 ids, wide, sizes, first = [], [], [], []
-                for x in part.column("text").to_pylist():
-                    words = x.lower().split()
-                    own = np.unique(hashes(shingles(words, k)))
+                for own, h in hashed_shingles(part.column("text"), k):
                     ids.append(xxhash.xxh3_128_digest(own.tobytes()))
                     sizes.append(np.append(counted(own), np.uint64(len(own))))
                     first.append(prefix(own, common, similarity).view(np.int64))
-                    h = hashes(list(set(words)))
                     wide.append(packed(majority(spread(h, WIDE_WORDS))) if len(h) else np.zeros(WIDE_WORDS, np.uint64))
                 longs = np.concatenate([np.stack(wide), np.stack(sizes)], 1).view(np.int64)
                 pair = np.frombuffer(b"".join(ids), np.int64).reshape(-1, 2)
@@ -318,7 +351,7 @@ def profiles(docs: DataFrame, k: int, similarity: float) -> DataFrame:
 
     names = ["doc_id", "t0", "t1", "s0", "s1", *WIDE, *COUNTED]
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    given = docs.select("doc_id", *text_key(), text_bytes().alias("text"))
+    given = docs.select("doc_id", *text_key(), "text")
     return given.mapInArrow(run, f"doc_id {id_type}, " + ", ".join(f"{n} long" for n in names[1:]) + ", first array<long>")
 
 
@@ -332,8 +365,16 @@ def text_key() -> list:
     return [F.xxhash64(text_bytes()).alias("t0"), F.xxhash64(F.lit(1), text_bytes()).alias("t1")]
 
 
+def equal_bits(nodes: int) -> int:
+    """Bits of a key that are taken as they are: with the index, enough that a
+    key's rows stay few when there are more nodes."""
+    return max(EQUAL_BITS, int(nodes).bit_length() - 11)
+
+
 def table_keys(nodes: DataFrame) -> DataFrame:
     """Rows key, node for the keys of the wide fingerprint and of the prefix."""
+    bits_taken = equal_bits(nodes.count())
+    tables = min(TABLES, WIDE_WORDS * 64 // (bits_taken + SEGMENT))
 
     def run(batches):
         for batch in batches:
@@ -343,19 +384,28 @@ def table_keys(nodes: DataFrame) -> DataFrame:
             wide = np.stack([batch.column(c).to_numpy() for c in WIDE], 1).view(np.uint64)
             bits = np.unpackbits(np.ascontiguousarray(wide.astype(">u8")).view(np.uint8).reshape(len(wide), -1), axis=1)
             number = lambda part: part.astype(np.int64) @ (1 << np.arange(part.shape[1], dtype=np.int64))
-            for t in range(TABLES):
-                at = t * (EQUAL_BITS + SEGMENT)
-                equal, index = number(bits[:, at : at + EQUAL_BITS]), list_keys(number(bits[:, at + EQUAL_BITS : at + EQUAL_BITS + SEGMENT]))
+            for t in range(tables):
+                at = t * (bits_taken + SEGMENT)
+                middle = at + bits_taken
+                equal, index = number(bits[:, at:middle]), list_keys(number(bits[:, middle : middle + SEGMENT]))
                 row, column = np.nonzero(index >= 0)
-                key = (np.int64(t) << 40) | (equal[row] << 12) | index[row, column]
+                key = (np.int64(t) << 56) | (equal[row] << 12) | index[row, column]
                 yield pa.record_batch([pa.array(key), batch.column("node").take(pa.array(row))], ["key", "node"])
 
     return nodes.select("node", "first", *WIDE).mapInArrow(run, "key long, node long")
 
 
-def shared_keys(keyed: DataFrame) -> DataFrame:
+def shared_keys(keyed: DataFrame, n_rows: int) -> DataFrame:
     """The rows of keys that two nodes or more have. Keys of the same nodes are
-    one: the new key is a digest of its nodes."""
+    one: the new key is a digest of its nodes. Rows of a key meet in a task for
+    it; those of hot keys are summed map-side instead, and get it by a join."""
+    mixed = F.sum(F.xxhash64("node", F.lit(5)).cast("decimal(38,0)"))
+    hot = materialize(heavy(keyed, "key", HOT_KEY, F.count("*").alias("_sum"), mixed.alias("_mixed"), n_rows=n_rows).select(F.col("key").alias("_hot"), F.xxhash64("_mixed", "_sum").alias("_digest")))
+    some = None
+    if not hot.isEmpty():  # fewer than the rows by HOT_KEY times
+        own = F.broadcast(hot) if hot.count() <= 100_000 else hot
+        some = keyed.join(own, keyed["key"] == hot["_hot"]).select(F.col("_digest").alias("key"), "node")
+        keyed = keyed.join(own, keyed["key"] == hot["_hot"], "left_anti")
 
     def run(batches):
         held = None
@@ -378,39 +428,42 @@ def shared_keys(keyed: DataFrame) -> DataFrame:
         many = np.repeat(size > 1, size)
         return pa.record_batch([pa.array(np.repeat(sums, size)[many].view(np.int64)), pa.array(node[many])], ["key", "node"])
 
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, node long").distinct()
+    shared = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, node long")
+    return (shared.unionAll(some) if some is not None else shared).distinct()
 
 
-def similar_forest(nodes: list[int], sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+def similar_forest(nodes: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """Spanning forest of the links with a Jaccard similarity of at least
-    `similarity`. The intersections are products of 0/1 rows over the items
-    that more than one set holds."""
-    size = np.array([len(s) for s in sets])
-    items, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(len(sets)), size)
-    shared = count > 1
-    column = np.cumsum(shared) - 1
-    inside = shared[place]
-    parts = np.zeros((len(sets), max(1, int(shared.sum()))), np.float32) if len(sets) * shared.sum() < 60e6 else None
-    links, parent = [], list(range(len(sets)))
-
-    def root(x):
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    if parts is not None:
-        parts[row[inside], column[place[inside]]] = 1
-    for i in range(len(sets)):
-        both = parts[i + 1 :] @ parts[i] if parts is not None else np.array([len(np.intersect1d(sets[i], s, assume_unique=True)) for s in sets[i + 1 :]])
-        union = size[i] + size[i + 1 :] - both
-        for j in np.flatnonzero(both >= similarity * union - 1e-9) + i + 1:
-            a, b = root(i), root(int(j))
-            if a != b:
-                parent[b] = a
-                links.append((nodes[i], nodes[int(j)]))
-    return links
+    `similarity`: from each set that was reached on to those that were not. The
+    sets that hold an item are listed by item, and a set's intersections with
+    all others are counted from the lists of its items. The lists are made anew
+    when half of the sets in them are reached."""
+    size = np.array([len(x) for x in sets], np.int64)
+    owner = np.repeat(np.arange(len(sets)), size)
+    item = np.unique(np.concatenate(sets), return_inverse=True)[1].ravel() if len(owner) else np.zeros(0, np.int64)
+    n_items = int(item.max(initial=-1)) + 1
+    at = offsets(size)
+    by_item = np.argsort(item, kind="stable")
+    left, listed = np.ones(len(sets), bool), -1
+    links, todo = [], []
+    while left.any():
+        if 2 * int(left.sum()) <= listed or listed < 0:
+            listed = int(left.sum())
+            own = by_item[left[owner[by_item]]]
+            lists_at, members = offsets(np.bincount(item[own], minlength=n_items)), owner[own]
+        if not todo:
+            todo = [int(np.argmax(left))]
+            left[todo[0]] = False
+        i = todo.pop()
+        own = item[at[i] : at[i + 1]]
+        both = np.bincount(members[runs(lists_at[own], lists_at[own + 1] - lists_at[own])], minlength=len(sets))
+        near = left & (both >= similarity * (size[i] + size - both) - 1e-9)
+        found = np.flatnonzero(near)
+        left[found] = False
+        todo += found.tolist()
+        links.append(np.stack([np.full(len(found), i), found], 1))
+    pairs = np.concatenate([np.zeros((0, 2), np.int64), *links])
+    return nodes[pairs[:, 0]], nodes[pairs[:, 1]]
 
 
 def likely(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -425,16 +478,29 @@ def likely(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.where(F.getbit(byte, (at % 8).cast("int")) == 1).select(*docs.columns)
 
 
-def near_sets(docs: DataFrame, k: int, similarity: float, tile: int) -> tuple[DataFrame, DataFrame]:
+def numbered(sets: DataFrame) -> DataFrame:
+    """Adds `node`, a number of 64 bits for each (s0, s1). Where two sets get the
+    same one, all of these get others."""
+    nodes, seed = materialize(sets.withColumn("node", F.xxhash64("s0", "s1"))), 0
+    while True:
+        twice = materialize(nodes.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select(F.col("node").alias("_twice")))
+        if twice.isEmpty():
+            return nodes
+        seed += 1
+        again = nodes.join(twice, nodes["node"] == twice["_twice"], "left")
+        nodes = materialize(again.withColumn("node", F.when(F.col("_twice").isNull(), F.col("node")).otherwise(F.xxhash64("s1", "s0", F.lit(seed)))).drop("_twice"))
+
+
+def near_sets(docs: DataFrame, k: int, similarity: float, tile: int, items: int) -> tuple[DataFrame, DataFrame]:
     """Per row of docs: doc_id, t0, t1, s0, s1; and per set s0, s1: root (of its
     group), least (its least doc_id)."""
     bounded_batches(docs.sparkSession)
     rows = materialize(profiles(docs, k, similarity))
-    node = F.xxhash64("s0", "s1")
     one = F.min(F.struct("doc_id", "t0", "t1")).alias("one")
-    nodes = materialize(rows.groupBy("s0", "s1").agg(F.min("doc_id").alias("least"), one, *[F.first(c).alias(c) for c in (*WIDE, *COUNTED, "first")]).withColumn("node", node))
+    nodes = numbered(rows.groupBy("s0", "s1").agg(F.min("doc_id").alias("least"), one, *[F.first(c).alias(c) for c in (*WIDE, *COUNTED, "first")]))
     counts = nodes.select("node", *[F.col(c).alias(f"f{i}") for i, c in enumerate(COUNTED)])
-    keyed = materialize(shared_keys(table_keys(nodes)).join(counts, "node"))
+    n_keys = nodes.agg(F.coalesce(F.sum(F.size("first") + 3 * TABLES), F.lit(0))).first()[0]
+    keyed = materialize(shared_keys(table_keys(nodes), n_keys).join(counts, "node"))
     links = bucket_links(keyed, len(COUNTED), 0, tile, lambda a, b: may_be_similar(a, b, similarity))
     loose = materialize(components(materialize(links.distinct())))
     wanted = loose.join(nodes.select("node", "one"), "node").select("node", "root", F.col("one.doc_id").alias("_id"), F.col("one.t0").alias("t0"), F.col("one.t1").alias("t1"))
@@ -442,28 +508,28 @@ def near_sets(docs: DataFrame, k: int, similarity: float, tile: int) -> tuple[Da
     def sets(batches):
         for batch in batches:
             for part in pieces_of(batch, rows=2048):
-                own = [np.unique(hashes(shingles(x.lower().split(), k))).view(np.int64) for x in part.column("text").to_pylist()]
-                yield pa.record_batch([part.column("node"), part.column("root"), pa.array(own, pa.list_(pa.int64()))], ["node", "root", "items"])
+                own = [x.view(np.int64) for x, _ in hashed_shingles(part.column("text"), k)]
+                yield pa.record_batch([part.column("node"), part.column("root"), pa.array(own, pa.list_(pa.int64())), pa.array([len(x) + 100 for x in own])], ["node", "root", "items", "n"])
 
-    given = docs.select("doc_id", *text_key(), text_bytes().alias("text"))
+    given = docs.select("doc_id", *text_key(), "text")
     texts = likely(given, wanted).join(wanted, ["t0", "t1"]).where(F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "root", "text")
-    held = materialize(texts.mapInArrow(sets, "node long, root long, items array<long>").dropDuplicates(["node"]))
-
-    def verify(pdf):
-        import pandas as pd
+    held = materialize(texts.mapInArrow(sets, "node long, root long, items array<long>, n long").dropDuplicates(["node"]))
 
-        found = similar_forest(pdf["node"].tolist(), [np.asarray(x, np.int64) for x in pdf["items"]], similarity)
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+    def verify(group: pa.Table) -> pa.Table:
+        items = group.column("items").combine_chunks()
+        sets = np.split(items.flatten().to_numpy(), np.cumsum(pc.list_value_length(items).to_numpy())[:-1])
+        a, b = similar_forest(group.column("node").to_numpy(), sets, similarity)
+        return pa.table({"a": a, "b": b})
 
-    links = tiled(held, "root", "node", tile).groupBy("root", "unit").applyInPandas(verify, "a long, b long")
+    links = tiled(held, "root", "node", items, "n").groupBy("root", "unit").applyInArrow(verify, "a long, b long")
     roots = components(materialize(links.distinct()))
     grouped = nodes.select("s0", "s1", "node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     return rows.select("doc_id", "t0", "t1", "s0", "s1"), grouped
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, tile: int = TILE) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, tile: int = TILE, items: int = TILE_ITEMS) -> DataFrame:
     """Per row of docs: doc_id, group_id (the least doc_id of its group)."""
-    rows, grouped = near_sets(docs, k, similarity, tile)
+    rows, grouped = near_sets(docs, k, similarity, tile, items)
     least = grouped.groupBy("root").agg(F.min("least").alias("group_id"))
     named = grouped.join(least, "root").select("s0", "s1", "group_id")
     return rows.join(named, ["s0", "s1"]).select("doc_id", "group_id")
@@ -475,7 +541,7 @@ def drop_near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8) -
     such rows, the one whose shingle set, then text, has the least digest. Rows
     are told apart by doc_id and text: a null or repeated doc_id links nothing.
     Columns are those of docs."""
-    rows, grouped = near_sets(docs, k, similarity, TILE)
+    rows, grouped = near_sets(docs, k, similarity, TILE, TILE_ITEMS)
     order = F.struct(F.col("least").isNull().alias("none"), "least", "s0", "s1")
     kept = grouped.groupBy("root").agg(F.min(order).alias("kept")).select("kept.least", "kept.s0", "kept.s1")
     kept = rows.join(kept, ["s0", "s1"]).where(F.col("doc_id").eqNullSafe(F.col("least"))).groupBy("s0", "s1", "least", "t0", "t1").agg(F.count("*").alias("n"))
