@@ -97,7 +97,7 @@ class _Cells:
         node, or to its last one; p(edges) are the edges' own logs."""
         here, there = (self.to, self.of) if onward else (self.of, self.to)
         far = here - self.first[self.word] if onward else self.last[self.word] - here
-        order = np.lexsort((here, far))
+        order = np.argsort((far << 40) | here)
         node, far = here[order], far[order]
         out = np.zeros((int(self.last[-1]) + 1 if len(self.last) else 0, columns))
         start = np.flatnonzero(np.r_[True, node[1:] != node[:-1]]) if len(node) else np.zeros(0, np.int64)

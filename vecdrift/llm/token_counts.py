@@ -97,7 +97,7 @@ class PrefixCounter:
         word = np.repeat(np.arange(len(words)), lengths)[start]
         inside = end - at[word]  # a prefix's length
         # by length of the prefix; of one prefix the longest last token first
-        order = np.lexsort((start, word, inside))
+        order = np.argsort((inside << 40) | start)  # starts of one word are together
         to, of, token, inside = (end + word)[order], (start + word)[order], token[order], inside[order]
         counts, last = np.zeros(base[-1], np.int64), np.full(base[-1], -1, np.int64)
         first = np.flatnonzero(np.r_[True, to[1:] != to[:-1]]) if len(to) else np.zeros(0, np.int64)
