@@ -23,8 +23,8 @@ every link is verified on the shingles.
 Hot keys and hot groups: equal fingerprints are one row before any key is made.
 The rows of a key are compared where they meet, and give a spanning forest of
 their links instead of all pairs. A key or group with more than TILE rows is
-dealt out as pairs of tiles, each a task-sized unit of its own; groups that are
-verified are dealt by the number of their shingles.
+dealt out as pairs of tiles, each a task-sized unit of its own; see verified()
+for large groups of candidates.
 
 Defined results: a null text is the empty text; texts without words have
 fingerprint zero, linked like any other; repeated rows are in one component;
@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, materialize, pieces_of, text_bytes
 from .golay import list_keys
 from .graph import components
-from .pretoken import coded_words, offsets, runs, strings
+from .pretoken import coded_words, offsets, runs, strings, sums
 
 SEED = 42
 MAX_BITS = 2
@@ -164,12 +164,11 @@ def slots_of(rows: int, most: int) -> int:
     return 1 << min(22, max(16, (8 * rows // most).bit_length()))
 
 
-def tiled(rows: DataFrame, key: str, node: str, tile: int = TILE, weight: str | None = None) -> DataFrame:
+def tiled(rows: DataFrame, key: str, node: str, tile: int = TILE) -> DataFrame:
     """Adds `unit`: the key's rows are compared within a unit. A key of up to
-    `tile` rows (or so much weight) is one unit; one with more is dealt into
-    tiles, and each pair of tiles is a unit that holds the rows of both."""
-    amount = F.sum(weight) if weight else F.count("*")
-    big = heavy(rows, key, tile, amount.alias("_sum")).select(F.col(key).alias("_big"), F.ceil(F.col("_sum") / (tile // 2)).alias("_tiles"))
+    `tile` rows is one unit; one with more is dealt into tiles, and each pair of
+    tiles is a unit that holds the rows of both."""
+    big = heavy(rows, key, tile, F.count("*").alias("_sum")).select(F.col(key).alias("_big"), F.ceil(F.col("_sum") / (tile // 2)).alias("_tiles"))
     big = materialize(big)
     if big.isEmpty():
         return rows.withColumn("unit", F.lit(0).cast("long"))
@@ -371,9 +370,9 @@ def equal_bits(nodes: int) -> int:
     return max(EQUAL_BITS, int(nodes).bit_length() - 11)
 
 
-def table_keys(nodes: DataFrame) -> DataFrame:
+def table_keys(nodes: DataFrame, n_rows: int) -> DataFrame:
     """Rows key, node for the keys of the wide fingerprint and of the prefix."""
-    bits_taken = equal_bits(nodes.count())
+    bits_taken = equal_bits(n_rows)
     tables = min(TABLES, WIDE_WORDS * 64 // (bits_taken + SEGMENT))
 
     def run(batches):
@@ -413,6 +412,7 @@ def shared_keys(keyed: DataFrame, n_rows: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             rows = np.stack([batch.column(c).to_numpy() for c in ("key", "node")], 1)
+            rows = rows[np.r_[True, (rows[1:] != rows[:-1]).any(1)]]
             rows = rows if held is None else np.concatenate([held, rows])
             cut = len(rows) - int((rows[:, 0] == rows[-1, 0]).sum())
             held = rows[cut:]
@@ -421,6 +421,7 @@ def shared_keys(keyed: DataFrame, n_rows: int) -> DataFrame:
             yield digest(held)
 
     def digest(rows):
+        rows = rows[np.r_[True, (rows[1:] != rows[:-1]).any(1)]] if len(rows) else rows  # rows of equal sets
         key, node = rows[:, 0], np.ascontiguousarray(rows[:, 1])
         start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
         size = np.diff(np.r_[start, len(key)])
@@ -428,7 +429,7 @@ def shared_keys(keyed: DataFrame, n_rows: int) -> DataFrame:
         many = np.repeat(size > 1, size)
         return pa.record_batch([pa.array(np.repeat(sums, size)[many].view(np.int64)), pa.array(node[many])], ["key", "node"])
 
-    shared = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, node long")
+    shared = keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "key long, node long")
     return (shared.unionAll(some) if some is not None else shared).distinct()
 
 
@@ -478,31 +479,81 @@ def likely(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.where(F.getbit(byte, (at % 8).cast("int")) == 1).select(*docs.columns)
 
 
-def numbered(sets: DataFrame) -> DataFrame:
-    """Adds `node`, a number of 64 bits for each (s0, s1). Where two sets get the
-    same one, all of these get others."""
+def numbered(sets: DataFrame) -> tuple[DataFrame, bool]:
+    """Adds `node`, a number of 64 bits for each (s0, s1): a hash, and whether
+    any number is another one, as all sets whose hash is not theirs alone get."""
     nodes, seed = materialize(sets.withColumn("node", F.xxhash64("s0", "s1"))), 0
     while True:
         twice = materialize(nodes.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select(F.col("node").alias("_twice")))
         if twice.isEmpty():
-            return nodes
+            return nodes, seed > 0
         seed += 1
         again = nodes.join(twice, nodes["node"] == twice["_twice"], "left")
         nodes = materialize(again.withColumn("node", F.when(F.col("_twice").isNull(), F.col("node")).otherwise(F.xxhash64("s1", "s0", F.lit(seed)))).drop("_twice"))
 
 
+def _sets_of(group: pa.Table) -> list[np.ndarray]:
+    items = group.column("items").combine_chunks()
+    return np.split(items.flatten().to_numpy(), np.cumsum(pc.list_value_length(items).to_numpy())[:-1]) if len(items) else []
+
+
+def verified(held: DataFrame, edges: DataFrame, similarity: float, most: int) -> DataFrame:
+    """held: node, root, items, n; edges: candidate links a, b. Links a, b that
+    hold, enough of them to connect what any links within a root connect.
+
+    A root of up to `most` items is one unit. In a larger one, all nodes meet its
+    hub, the node with most candidate links, in tiles. Those similar to it need
+    not meet each other; the others, few in a group of near copies, meet all of
+    the root's nodes in pairs of tiles."""
+
+    def whole(group: pa.Table) -> pa.Table:
+        a, b = similar_forest(group.column("node").to_numpy(), _sets_of(group), similarity)
+        return pa.table({"a": a, "b": b})
+
+    def starred(tile: pa.Table, hub: pa.Table) -> pa.Table:
+        center, sets = hub.column("center").combine_chunks().flatten().to_numpy(), _sets_of(tile)
+        size = np.array([len(x) for x in sets], np.int64)
+        both = sums(np.isin(np.concatenate([np.zeros(0, np.int64), *sets]), center).astype(np.int64), size)
+        near = both >= similarity * (size + len(center) - both) - 1e-9
+        hubs = np.full(len(sets), hub.column("hub")[0].as_py())
+        return pa.table([tile.column("root"), tile.column("node"), hubs, near], ["root", "node", "hub", "near"])
+
+    big = materialize(heavy(held, "root", most, F.sum("n").alias("_sum")).select(F.col("root").alias("_big"), F.ceil(F.col("_sum") / (most // 2)).alias("_tiles")))
+    if big.isEmpty():
+        return held.groupBy("root").applyInArrow(whole, "a long, b long")
+    small = held.join(big, held["root"] == big["_big"], "left_anti").groupBy("root").applyInArrow(whole, "a long, b long")
+    dealt = held.join(big, held["root"] == big["_big"]).withColumn("tile", F.pmod(F.xxhash64("node", F.lit(11)), F.col("_tiles")))
+    degree = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("d"))
+    hubs = dealt.select("node", "root").join(degree, "node").groupBy("root").agg(F.max(F.struct("d", F.col("node").alias("hub"))).alias("h")).select("root", "h.hub")
+    centers = dealt.join(hubs.withColumnRenamed("root", "_root"), F.col("node") == F.col("hub")).select(F.col("root").alias("_of"), "hub", F.col("items").alias("center"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_tiles") - 1)).alias("_tile"))
+    star = materialize(dealt.select("root", "tile", "node", "items").groupBy("root", "tile").cogroup(centers.groupBy("_of", "_tile")).applyInArrow(starred, "root long, node long, hub long, near boolean"))
+    found = small.unionAll(star.where("near and node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")))
+    apart = star.where("not near").select(F.col("node").alias("_apart"))
+    if apart.isEmpty():
+        return found
+    rest = dealt.join(apart, F.col("node") == F.col("_apart"), "left_semi")
+    parts = materialize(rest.groupBy("root").agg(F.ceil(F.sum("n") / (most // 2)).alias("_parts")).withColumnRenamed("root", "_rest"))
+    all_ = dealt.join(parts, F.col("root") == F.col("_rest"))
+    rest = rest.join(parts, F.col("root") == F.col("_rest"))
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1))
+    ones = all_.select("root", "tile", each.alias("part"), "node", "items")
+    others = rest.select("root", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_tiles") - 1)).alias("tile"), F.pmod(F.xxhash64("node", F.lit(12)), F.col("_parts")).alias("part"), "node", "items")
+    return found.unionAll(ones.unionAll(others).groupBy("root", "tile", "part").applyInArrow(whole, "a long, b long"))
+
+
 def near_sets(docs: DataFrame, k: int, similarity: float, tile: int, items: int) -> tuple[DataFrame, DataFrame]:
     """Per row of docs: doc_id, t0, t1, s0, s1; and per set s0, s1: root (of its
     group), least (its least doc_id)."""
     bounded_batches(docs.sparkSession)
     rows = materialize(profiles(docs, k, similarity))
     one = F.min(F.struct("doc_id", "t0", "t1")).alias("one")
-    nodes = numbered(rows.groupBy("s0", "s1").agg(F.min("doc_id").alias("least"), one, *[F.first(c).alias(c) for c in (*WIDE, *COUNTED, "first")]))
+    nodes, moved = numbered(rows.groupBy("s0", "s1").agg(F.min("doc_id").alias("least"), one, *[F.first(c).alias(c) for c in COUNTED]))
+    wide = rows.join(nodes.select("s0", "s1", "node"), ["s0", "s1"]) if moved else rows.withColumn("node", F.xxhash64("s0", "s1"))
     counts = nodes.select("node", *[F.col(c).alias(f"f{i}") for i, c in enumerate(COUNTED)])
-    n_keys = nodes.agg(F.coalesce(F.sum(F.size("first") + 3 * TABLES), F.lit(0))).first()[0]
-    keyed = materialize(shared_keys(table_keys(nodes), n_keys).join(counts, "node"))
-    links = bucket_links(keyed, len(COUNTED), 0, tile, lambda a, b: may_be_similar(a, b, similarity))
-    loose = materialize(components(materialize(links.distinct())))
+    n_rows, n_keys = rows.agg(F.count("*"), F.coalesce(F.sum(F.size("first") + 3 * TABLES), F.lit(0))).first()
+    keyed = materialize(shared_keys(table_keys(wide, n_rows), n_keys).join(counts, "node"))
+    edges = materialize(bucket_links(keyed, len(COUNTED), 0, tile, lambda a, b: may_be_similar(a, b, similarity)).distinct())
+    loose = materialize(components(edges))
     wanted = loose.join(nodes.select("node", "one"), "node").select("node", "root", F.col("one.doc_id").alias("_id"), F.col("one.t0").alias("t0"), F.col("one.t1").alias("t1"))
 
     def sets(batches):
@@ -512,17 +563,9 @@ def near_sets(docs: DataFrame, k: int, similarity: float, tile: int, items: int)
                 yield pa.record_batch([part.column("node"), part.column("root"), pa.array(own, pa.list_(pa.int64())), pa.array([len(x) + 100 for x in own])], ["node", "root", "items", "n"])
 
     given = docs.select("doc_id", *text_key(), "text")
-    texts = likely(given, wanted).join(wanted, ["t0", "t1"]).where(F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "root", "text")
-    held = materialize(texts.mapInArrow(sets, "node long, root long, items array<long>, n long").dropDuplicates(["node"]))
-
-    def verify(group: pa.Table) -> pa.Table:
-        items = group.column("items").combine_chunks()
-        sets = np.split(items.flatten().to_numpy(), np.cumsum(pc.list_value_length(items).to_numpy())[:-1])
-        a, b = similar_forest(group.column("node").to_numpy(), sets, similarity)
-        return pa.table({"a": a, "b": b})
-
-    links = tiled(held, "root", "node", items, "n").groupBy("root", "unit").applyInArrow(verify, "a long, b long")
-    roots = components(materialize(links.distinct()))
+    texts = likely(given, wanted).join(wanted, ["t0", "t1"]).where(F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "root", "text").dropDuplicates(["node"])
+    held = materialize(texts.mapInArrow(sets, "node long, root long, items array<long>, n long"))
+    roots = components(materialize(verified(held, edges, similarity, items).distinct()))
     grouped = nodes.select("s0", "s1", "node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     return rows.select("doc_id", "t0", "t1", "s0", "s1"), grouped
 
