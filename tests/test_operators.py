@@ -1,11 +1,16 @@
+import collections
+import hashlib
 import json
 import math
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from vecdrift.operators import bank, calibration, features, labels, probe, scoring, selection, sensitivity, splits, stats, trajectory
+from vecdrift.functions import metrics as M
+from vecdrift.functions.metrics import keyed_order
+from vecdrift.operators import bank, calibration, features, kernel, labels, probe, scoring, selection, sensitivity, splits, stats, trajectory
 from vecdrift.sources import readers, writers
 from vecdrift.streaming import incremental
 
@@ -57,8 +62,55 @@ def test_features_and_recompute(world):
     assert features.feature_columns(2)[:3] == ["delta_energy_l0", "delta_energy_l1", "delta_norm_entropy_l0"]
     with pytest.raises(ValueError):
         features.infer_n_layers(world[0])
-    full = sensitivity.full_sweep(trajectory.score_cache(world[0], b), (4.0, 8.0)).where("beta = 4.0")
-    assert full.count() == 12
+    full = sensitivity.full_sweep(trajectory.score_cache(world[0], b), (4.0, 8.0)).where("beta = 4.0").collect()
+    one = {(r.sample_id, r.layer): r for r in sensitivity.features_at_beta(trajectory.score_cache(world[0], b), 4.0).collect()}
+    assert len(full) == 12
+    for r in full:
+        assert all(r[f] == pytest.approx(one[r.sample_id, r.layer][f]) for f in features.GROUPS)
+
+
+def test_kernel_equals_the_column_functions(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(40):  # rows of different lengths, NaN, no reference, no order, and more cells than a block
+        k = (3, 5, 9000)[i % 3]
+        for t in range(1 if i == 7 else 0, 4):
+            s = rng.normal(size=k) * (40 if i % 5 == 0 else 1)
+            if i == 4 and t == 2:
+                s[0] = np.nan
+            rows.append((f"s{i % 20}", i // 20, t, s.tolist(), 0.5))
+    rng.shuffle(rows)
+    df = spark.createDataFrame([(a, b, c, d, e) for a, b, c, d, e in rows], "sample_id string, layer int, position int, scores array<double>, quadratic_term double").repartition(3).cache()
+    betas = (1.0, 20.0)
+    got = {(r.sample_id, r.layer, r.position, r.beta): r for r in kernel.metric_rows(df, betas).collect()}
+    h = {(r.sample_id, r.layer, r.position, r.beta): r.h for r in kernel.norm_entropies(df, betas, ("sample_id", "layer", "position")).collect()}
+    assert len(got) == len(h) == 2 * len(rows)
+    ref = df.where("position = 0").select("sample_id", "layer", F.col("scores").alias("q"))
+    for b in betas:
+        both = df.join(ref, ["sample_id", "layer"], "left").withColumn("p", M.softmax("scores", b)).withColumn("r", M.softmax("q", b))
+        want = both.select(
+            "sample_id", "layer", "position", "quadratic_term", M.lse_term("scores", b).alias("lse_term"), M.entropy("p").alias("entropy"), M.norm_entropy("p").alias("norm_entropy"),
+            F.when((F.col("position") > 0) & F.col("q").isNotNull(), M.js_nats("p", "r")).alias("js"), F.when((F.col("position") > 0) & F.col("q").isNotNull(), M.hellinger_sq("p", "r")).alias("hellinger_sq"),
+        )
+        for w in want.collect():
+            key = (w.sample_id, w.layer, w.position, b)
+            for name in kernel.NUMBERS:
+                x, y = got[key][name], w[name]
+                assert (x is None) == (y is None), (key, name)
+                assert x is None or x == pytest.approx(y, abs=1e-12, rel=1e-9, nan_ok=True), (key, name)
+            assert h[key] == pytest.approx(w.norm_entropy, abs=1e-12, nan_ok=True)
+
+
+def test_no_scores_are_exchanged(world):
+    b = bank.build_bank(world[1])
+    for way in ("array", "matrix"):
+        plan = trajectory.trajectories(world[0], b, 4.0, way)._jdf.queryExecution().optimizedPlan().toString()
+        above = plan[: plan.index("MapInArrow")]
+        assert "Join" not in above and "Repartition" not in above
+        got = {(r.sample_id, r.layer, r.position): r for r in trajectory.trajectories(world[0], b, 4.0, way).collect()}
+        want = {(r.sample_id, r.layer, r.position): r for r in trajectory.metrics_of_scores(scoring.score(world[0], b, "array"), 4.0).collect()}
+        assert got.keys() == want.keys()
+        assert all(got[k][n] == pytest.approx(want[k][n]) for k in got for n in kernel.NUMBERS)
 
 
 def test_beta_interpolation(spark):
@@ -86,6 +138,9 @@ def test_auroc_with_ties(spark):
     assert stats.auroc_by(df.withColumn("g", F.lit(1)), ["g"]).first().auroc == pytest.approx(_pairwise(y, s))
     assert stats.auroc(df.where("y = 1")).first().auroc is None
     assert stats.auroc(df.limit(0)).first().n_pos == 0
+    nan = spark.createDataFrame([(1, 0.9), (0, 0.1), (1, 0.8), (0, float("nan"))], "y int, score double")
+    assert math.isnan(stats.auroc(nan).first().auroc) and math.isnan(stats.auroc_by(nan.withColumn("g", F.lit(1)), ["g"]).first().auroc)
+    assert stats.auroc(nan.where("y = 0")).first().auroc is None
 
 
 def test_bootstrap_redraws_single_class_draws(spark):
@@ -93,6 +148,25 @@ def test_bootstrap_redraws_single_class_draws(spark):
     ci = stats.bootstrap_auroc_ci(rows, 60)
     assert {r.n_draws for r in ci.collect()} == {60} and all(r.above for r in ci.collect())
     assert stats.bonferroni(ci).first().significant
+    for one in (rows.where("y = 0"), rows.limit(0)):
+        with pytest.raises(ValueError):
+            stats.bootstrap_auroc_ci(one, 5)
+    rare = spark.createDataFrame([(i, int(i == 0)) for i in range(4)], "idx long, y int")
+    drawn = stats.draws(rare, 200).groupBy("b").agg(F.count("*").alias("n"), F.min("y").alias("lo"), F.max("y").alias("hi")).collect()
+    assert len(drawn) == 200 and {(r.n, r.lo, r.hi) for r in drawn} == {(4, 0, 1)}
+
+
+def test_draws_equal_a_plain_loop(spark):
+    rows = spark.createDataFrame([(i, i % 2) for i in range(7)], "idx long, y int")
+    got = collections.defaultdict(list)
+    for r in stats.draws(rows, 5).collect():
+        got[r.b].append(r.idx)
+    for b in range(5):
+        for a in range(1000):
+            own = [int(hashlib.md5(f"42:{b}:{a}:{j}".encode()).hexdigest()[:15], 16) % 7 for j in range(7)]
+            if len({i % 2 for i in own}) == 2:
+                break
+        assert sorted(got[b]) == sorted(own)
 
 
 def test_scan_finds_a_planted_column(spark):
@@ -121,6 +195,14 @@ def test_split_sizes_lock_and_folds(spark, tmp_path):
     assert splits.kfold(rows, 4).groupBy("y", "fold").count().count() == 8
 
 
+def test_places_in_a_giant_class_are_those_of_one_window(spark):
+    rows = spark.range(30_000).select(F.col("id").alias("sample_id"), (F.col("id") == 5).cast("int").alias("y"))
+    one = F.row_number().over(Window.partitionBy("y").orderBy(keyed_order(42, "sample_id"), "sample_id"))
+    assert splits.place_in_class(rows, 42).withColumn("q", one).where("_p <> q").count() == 0
+    plan = splits.place_in_class(rows, 42)._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(y" in plan and ", _b" in plan.split("windowspecdefinition(y", 1)[1][:60]
+
+
 def test_probe_matches_newton_and_leaks_nothing(spark):
     rng = np.random.default_rng(3)
     n = 90
@@ -204,10 +286,118 @@ def test_selection(spark):
     with pytest.raises(ValueError):
         selection.stride_shard(rows, 3, 3)
     assert selection.subsample(rows, None).count() == 25 and selection.subsample(rows, 4).count() == 4
+    odd = spark.createDataFrame([(i, None if i in (3, 8) else float("nan") if i == 5 else float(i % 4)) for i in range(20)], "sample_id long, idx double")
+    parts = [{r.sample_id for r in selection.stride_shard(odd, k, 2).collect()} for k in range(2)]
+    assert parts[0] | parts[1] == set(range(20)) and len(parts[0]) == len(parts[1]) == 10
+    order = {r.sample_id: r._pos for r in selection.with_position(odd, "idx").collect()}
+    assert {order[3], order[8]} == {0, 1} and order[5] == 19 and sorted(order.values()) == list(range(20))
+    assert order == {r.sample_id: r._pos for r in selection.with_position(odd.repartition(7), "idx").collect()}
+    assert selection.with_position(odd.limit(0), "idx").count() == 0
     done = rows.where("idx < 4")
     assert [r.idx for r in selection.work_list(rows, done, 0, 2, limit=5, most=2).collect()] == [4, 6]
 
 
+def test_rows_to_label_and_to_recompute(spark):
+    rows = spark.createDataFrame([("a", False, "x", 1), ("b", True, "x", None), ("c", None, "", 0), ("d", None, "y", None)], "sample_id string, failed boolean, generated_text string, is_hallucination int")
+    assert [r.sample_id for r in selection.gradable(rows).collect()] == ["a", "d"]
+    assert {r.sample_id for r in selection.labelled(rows).collect()} == {"a", "c"}
+    have, skipped = selection.having_scores(rows, rows.where("sample_id in ('a', 'd')").select("sample_id"))
+    assert {r.sample_id for r in have.collect()} == {"a", "d"} and skipped == 2
+    again = selection.realign(rows, spark.createDataFrame([("d", 0), ("z", 1), ("a", 2)], "sample_id string, idx int"))
+    assert [(r.sample_id, r.generated_text) for r in again.collect()] == [("d", "y"), ("z", None), ("a", "x")]
+
+
+def test_positions_become_relative(spark):
+    rows = spark.createDataFrame([("a", t, 3) for t in range(6)], "sample_id string, position int, n_prompt int")
+    assert [(r.position, r.is_ref) for r in trajectory.tag_positions(rows).orderBy("position").collect()] == [(0, True), (1, False), (2, False), (3, False)]
+
+
+def test_feature_table_joins_metadata_and_splits(spark, world):
+    traj = trajectory.trajectories(world[0], bank.build_bank(world[1]), 4.0).cache()
+    meta = spark.createDataFrame([("s_0", "q0"), ("s_1", "q1"), ("s_9", "q9")], "sample_id string, question string")
+    base = spark.createDataFrame([("s_0", -1.0, 2.0)], "sample_id string, seq_logprob double, token_entropy_mean double")
+    truth = spark.createDataFrame([("s_1", 1)], "sample_id string, is_hallucination int")
+    wide = features.feature_table(traj, meta, base, truth)
+    got = {r.sample_id: (r.question, r.seq_logprob, r.is_hallucination) for r in wide.collect()}
+    assert got == {"s_0": ("q0", -1.0, None), "s_1": ("q1", None, 1)}
+    assert features.baseline_matrix(wide).columns == ["sample_id", *features.BASELINES]
+    with pytest.raises(ValueError):
+        features.feature_table(traj.where("sample_id <> 's_0' or layer = 0"))
+    split = spark.createDataFrame([("s_0", "train"), ("s_1", "val"), ("s_8", "test")], "sample_id string, split string")
+    assert {r.sample_id for r in splits.rows_of_split(wide, split, "train", "val").collect()} == {"s_0", "s_1"}
+    assert splits.rows_of_split(wide, split, "test").count() == 0
+    cache = trajectory.score_cache(world[0].where("sample_id <> 's_1'"), bank.build_bank(world[1]))
+    again, skipped = sensitivity.feature_table_at_beta(cache, meta, 4.0, 2, truth, base)
+    assert [r.sample_id for r in again.collect()] == ["s_0"] and skipped == 2
+    with pytest.raises(ValueError):
+        sensitivity.cached_scores(cache.limit(0))
+
+
+def test_sweep_tables(spark):
+    sweep = spark.createDataFrame([(b, s, layer, b + layer) for b in (1.0, 2.0) for s in ("a", "b") for layer in (0, 1)], "beta double, sample_id string, layer int, delta_norm_entropy double")
+    truth, probes = spark.createDataFrame([("a", 1)], "sample_id string, is_hallucination int"), spark.createDataFrame([(1.0, 0.7), (2.0, 0.6)], "beta double, probe_auroc double")
+    table = sensitivity.sensitivity_table(sweep, truth, probes)
+    assert {(r.beta, r.sample_id, r.mean_delta_hbar, r.is_hallucination, r.probe_auroc) for r in table.collect()} == {(b, s, b + 0.5, 1 if s == "a" else None, p) for b, p in ((1.0, 0.7), (2.0, 0.6)) for s in "ab"}
+    assert [tuple(r) for r in sensitivity.auroc_curve(table).collect()] == [(1.0, 0.7), (2.0, 0.6)]
+    assert sensitivity.beta_class_means(table).count() == 2
+
+
+def test_prompts_hash_and_agreement(spark):
+    one = spark.range(1)
+    assert one.select(labels.prompt_hash("abc")).first()[0] == hashlib.sha256(b"abc").hexdigest()
+    judge = spark.createDataFrame([("a", 1), ("b", 0), ("c", None), ("d", 1)], "sample_id string, is_hallucination int")
+    human = spark.createDataFrame([("a", 1), ("b", 0), ("c", 1), ("z", 1)], "sample_id string, human_label int")
+    r = labels.judge_human_kappa(judge, human).first()
+    assert (r.n, r.agreement, r.kappa, r.reliable) == (2, 1.0, 1.0, True)
+    waits = []
+    with pytest.raises(RuntimeError):
+        labels.asked(lambda p: (_ for _ in ()).throw(RuntimeError("x")), "p", 3, 2.0, waits.append)
+    assert len(waits) == 2 and 2 <= waits[0] <= 4 and 4 <= waits[1] <= 8
+
+
+def test_smoke_run_fits_in_sample(spark):
+    rows = spark.createDataFrame([(f"s{i}", i % 2, float(i % 2) + i / 100, float(i)) for i in range(12)], "sample_id string, y int, a double, b double")
+    got = probe.run_base_and_full(rows, ["b"], ["a"])
+    assert got["base"]["smoke"] and got["full"]["test_auroc"] == 1.0
+    assert math.isnan(probe.in_sample(rows.where("y = 1"), ["a"])["test_auroc"])
+
+
+def test_tables_round_trip(spark, world, tmp_path):
+    base = f"file://{tmp_path}"
+    b = bank.build_bank(world[1])
+    traj, cache = trajectory.trajectories(world[0], b, 4.0).cache(), trajectory.score_cache(world[0], b)
+    meta = spark.createDataFrame([("s_0", "q")], "sample_id string, question string")
+    writers.write_trajectories(traj, f"{base}/run", cache, meta)
+    back = readers.read_trajectories(spark, f"{base}/run/trajectories")
+    assert back.select(*traj.columns).exceptAll(traj).count() == 0 and back.count() == traj.count()
+    assert readers.read_score_cache(spark, f"{base}/run/scores").count() == cache.count()
+    assert spark.read.json(f"{base}/run/meta").count() == 1
+    (tmp_path / "meta").mkdir()
+    (tmp_path / "meta/s_2.json").write_text(json.dumps({"question": "q"}))
+    assert {r.sample_id for r in readers.read_trajectories(spark, f"{base}/run/trajectories", f"{base}/meta").collect()} == {"s_2"}
+    b.write.parquet(f"{base}/bank")
+    assert readers.read_bank(spark, f"{base}/bank").count() == 18
+    b.drop("row_norm").write.parquet(f"{base}/bad")
+    with pytest.raises(ValueError):
+        readers.read_bank(spark, f"{base}/bad")
+    spark.createDataFrame([], cache.schema).write.parquet(f"{base}/none")
+    with pytest.raises(ValueError):
+        readers.read_score_cache(spark, f"{base}/none")
+    table = spark.createDataFrame([("a", 1, 0.5), ("b", None, 1.5)], "sample_id string, is_hallucination int, x double")
+    for name in ("t.csv", "t"):
+        writers.write_table(table, f"{base}/{name}")
+        assert [tuple(r) for r in readers.read_features(spark, f"{base}/{name}").collect()] == [("a", 1, 0.5)]
+    (tmp_path / "labels.jsonl").write_text('{"sample_id": "a", "is_hallucination": 1}\n{"sample_id": "b", "is_hallucination": null}\n')
+    assert [tuple(r) for r in readers.read_labels(spark, f"{base}/labels.jsonl").collect()] == [("a", 1)]
+    writers.write_human_template(table, f"{base}/human", 5)
+    assert [tuple(r) for r in spark.read.option("header", True).csv(f"{base}/human").collect()] == [("a", None)]
+    record = calibration.calibrate(world[0], b, 3)
+    writers.write_calibration(record, trajectory.reference_scores(world[0], b), f"{base}/cal")
+    stored = spark.read.json(f"{base}/cal/record").first()
+    assert stored.n == 3 and len(stored.ids) == 3 and len(stored.curve) == len(calibration.BETA_GRID)
+    assert spark.read.parquet(f"{base}/cal/scores").count() == 12
+
+
 def test_incremental_rerun_adds_nothing(spark, world, tmp_path):
     src, out, check = (f"file://{tmp_path}/{x}" for x in ("in", "out", "check"))
     world[0].where("sample_id < 's_3'").write.parquet(src)

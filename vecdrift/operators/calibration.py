@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import metrics as M
+from .kernel import norm_entropies
 from .selection import calibration_ids
 from .trajectory import reference_scores
 
@@ -14,16 +14,10 @@ TARGET = 0.55
 N_CALIBRATION = 30
 
 
-def with_grid(rows: DataFrame, grid: tuple[float, ...] = BETA_GRID) -> DataFrame:
-    """Each row once per beta, after the scan: rows are read once for all."""
-    return rows.withColumn("beta", F.explode(F.array(*[F.lit(float(b)) for b in grid])))
-
-
 def norm_entropy_curve(scored: DataFrame, grid: tuple[float, ...] = BETA_GRID) -> DataFrame:
     """scored: sample_id, layer, scores (reference positions). beta,
     mean_norm_entropy: the mean over samples of the mean over layers."""
-    rows = with_grid(scored, grid).select("beta", "sample_id", M.let(M.softmax("scores", F.col("beta")), M.norm_entropy).alias("h"))
-    per = rows.groupBy("beta", "sample_id").agg(F.avg("h").alias("h"))
+    per = norm_entropies(scored, grid, ("sample_id",)).groupBy("beta", "sample_id").agg(F.avg("h").alias("h"))
     return per.groupBy("beta").agg(F.avg("h").alias("mean_norm_entropy"))
 
 

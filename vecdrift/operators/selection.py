@@ -35,18 +35,23 @@ def stride_shard(rows: DataFrame, k: int, n: int, by: str = "idx") -> DataFrame:
     return with_position(rows, by).where(F.col("_pos") % n == k).drop("_pos")
 
 
-def with_position(rows: DataFrame, by: str, buckets: int = 64) -> DataFrame:
-    """Adds _pos, from 0 in the order of `by`: range buckets, their running
-    totals (one row per bucket), and a window inside each."""
-    edges = rows.approxQuantile(by, [i / buckets for i in range(1, buckets)], 0.001)
-    bucket = F.lit(0)
-    for e in sorted(set(edges)):
-        bucket = bucket + (F.col(by) > e).cast("int")
-    rows = rows.withColumn("_b", bucket)
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = rows.groupBy("_b").count().select("_b", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
-    inside = F.row_number().over(Window.partitionBy("_b").orderBy(by)) - 1
-    return rows.join(F.broadcast(starts), "_b").withColumn("_pos", F.col("_start") + inside).drop("_b", "_start")
+def with_position(rows: DataFrame, by: str, buckets: int = 64, within: tuple[str, ...] = ()) -> DataFrame:
+    """Adds _pos, from 0 in the order of `by` (nulls first, then NaN last; equal
+    ones in the order of a digest of the row), within each group of `within`.
+    Range buckets, their running totals (one row per group and bucket), and a
+    window inside each, so that no group meets in one task."""
+    edges = sorted({e for e in rows.approxQuantile(by, [i / buckets for i in range(1, buckets)], 0.001)})
+    bucket = F.when(F.col(by).isNull(), -1)
+    for i, e in enumerate(edges):
+        bucket = bucket.when(F.col(by) <= e, i)
+    rows = rows.withColumn("_b", bucket.otherwise(len(edges)))
+    before = Window.partitionBy(*within).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy(*within, "_b").count().select(*[F.col(w).alias(f"_w_{w}") for w in within], F.col("_b").alias("_w_b"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy(*within, "_b").orderBy(F.col(by).asc_nulls_first(), F.xxhash64(*rows.columns))) - 1
+    same = F.col("_b") == F.col("_w_b")
+    for w in within:
+        same = same & F.col(w).eqNullSafe(F.col(f"_w_{w}"))
+    return rows.withColumn("_in", inside).join(F.broadcast(starts), same).withColumn("_pos", F.col("_start") + F.col("_in")).drop("_b", "_in", "_start", "_w_b", *[f"_w_{w}" for w in within])
 
 
 def pending(work: DataFrame, complete: DataFrame) -> DataFrame:

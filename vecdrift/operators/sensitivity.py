@@ -1,5 +1,5 @@
-"""How results change with the inverse temperature. Rows are scanned once and
-repeated per beta afterwards."""
+"""How results change with the inverse temperature. Rows are scanned once for
+all of them."""
 
 from __future__ import annotations
 
@@ -8,9 +8,9 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import metrics as M
-from .calibration import BETA_GRID, with_grid
+from .calibration import BETA_GRID
 from .features import BASELINES, GROUPS, feature_columns, feature_long, pivot_features
+from .kernel import metric_rows, norm_entropies
 from .probe import in_sample, run_protocol
 from .selection import having_scores
 from .trajectory import metrics_of_scores
@@ -43,14 +43,13 @@ def feature_table_at_beta(cache: DataFrame, meta: DataFrame, beta: float, n_laye
 
 def full_sweep(cache: DataFrame, grid: tuple[float, ...] = BETA_GRID) -> DataFrame:
     """Long features for every beta, from one pass: (beta, sample_id, layer)."""
-    return feature_long(metrics_of_scores(with_grid(cached_scores(cache), grid), "beta", by=("beta",)), by=("beta",))
+    return feature_long(metric_rows(cached_scores(cache), grid), by=("beta",))
 
 
 def entropy_sweep(cache: DataFrame, grid: tuple[float, ...] = BETA_GRID) -> DataFrame:
-    """Only delta_norm_entropy for every beta: (beta, sample_id, layer). The
-    K-wide arrays stay in their task; one number per row and beta leaves it."""
-    rows = with_grid(cached_scores(cache).select("sample_id", "layer", "position", "scores"), grid)
-    h = rows.select("beta", "sample_id", "layer", "position", M.let(M.softmax("scores", F.col("beta")), M.norm_entropy).alias("h"))
+    """Only delta_norm_entropy for every beta: (beta, sample_id, layer). Scores
+    stay in their task; one number per row and beta leaves it."""
+    h = norm_entropies(cached_scores(cache), grid, ("sample_id", "layer", "position"))
     mean = F.avg(F.when(F.col("position") > 0, F.col("h"))) - F.max(F.when(F.col("position") == 0, F.col("h")))
     return h.groupBy("beta", "sample_id", "layer").agg(mean.alias("delta_norm_entropy"))
 

@@ -8,11 +8,27 @@ from pyspark.sql import functions as F
 from ..functions.metrics import keyed_order
 
 RATIOS = (0.70, 0.15, 0.15)
+MOST_IDS = 20_000_000
+
+
+def place_in_class(rows: DataFrame, seed: int) -> DataFrame:
+    """Adds _p: the row's place, from 1, in the md5 order of its class. The md5's
+    leading digits are the bucket, whose size is known beforehand; a class of any
+    size is dealt over 4096 of them."""
+    keyed = rows.withColumn("_o", keyed_order(seed, "sample_id")).withColumn("_b", F.conv(F.substring("_o", 1, 3), 16, 10).cast("int"))
+    before = Window.partitionBy("y").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = keyed.groupBy("y", "_b").count().select(F.col("y").alias("_y"), F.col("_b").alias("_c"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy("y", "_b").orderBy("_o", "sample_id"))
+    placed = keyed.withColumn("_in", inside).join(F.broadcast(starts), F.col("y").eqNullSafe(F.col("_y")) & (F.col("_b") == F.col("_c")))
+    return placed.withColumn("_p", F.col("_start") + F.col("_in")).drop("_o", "_b", "_in", "_start", "_y", "_c")
 
 
 def id_set_hash(ids: DataFrame) -> DataFrame:
-    """One row: the sha256 of the sorted ids joined by commas. The ids of one
-    split meet in one row; an id is a few bytes."""
+    """One row: the sha256 of the sorted ids joined by commas. The hash is of one
+    string, so that the ids of the split meet in one row; more than MOST_IDS of
+    them raise."""
+    if ids.limit(MOST_IDS + 1).count() > MOST_IDS:
+        raise ValueError(f"more than {MOST_IDS} ids cannot be hashed as one string")
     return ids.agg(F.sha2(F.concat_ws(",", F.sort_array(F.collect_list(F.col("sample_id").cast("string")))), 256).alias("hash"))
 
 
@@ -42,8 +58,7 @@ def stratified_split(rows: DataFrame, seed: int = 42, ratios: tuple[float, float
     pool = marked.where("not forced")
     sizes = pool.groupBy("y").agg(F.count("*").alias("n"))
     quotas = _quota(_quota(sizes, n_test, "n", "_test"), n_val, "n", "_val").select("y", "_test", "_val")
-    place = F.row_number().over(Window.partitionBy("y").orderBy(keyed_order(seed, "sample_id"), "sample_id"))
-    dealt = pool.withColumn("_p", place).join(F.broadcast(quotas), "y")
+    dealt = place_in_class(pool, seed).join(F.broadcast(quotas), "y")
     split = F.when(F.col("_p") <= F.col("_test"), "test").when(F.col("_p") <= F.col("_test") + F.col("_val"), "val").otherwise("train")
     return dealt.select("sample_id", "y", split.alias("split"), "forced").unionByName(marked.where("forced").select("sample_id", "y", F.lit("train").alias("split"), "forced"))
 
@@ -72,8 +87,7 @@ def locked_split(rows: DataFrame, path: str, seed: int = 42, ratios: tuple[float
 
 def kfold(rows: DataFrame, k: int, seed: int = 42, out: str = "fold") -> DataFrame:
     """rows: sample_id, y. Adds a stratified fold from 0 to k-1."""
-    place = F.row_number().over(Window.partitionBy("y").orderBy(keyed_order(seed, "sample_id"), "sample_id"))
-    return rows.withColumn(out, F.pmod(place - 1, F.lit(k)).cast("int"))
+    return place_in_class(rows, seed).withColumn(out, F.pmod(F.col("_p") - 1, F.lit(k)).cast("int")).drop("_p")
 
 
 def rows_of_split(rows: DataFrame, split: DataFrame, *names: str) -> DataFrame:

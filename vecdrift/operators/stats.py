@@ -6,6 +6,8 @@ inside a bucket); the resampled forms are partitioned by replicate."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,11 +18,18 @@ MOST_REDRAWS = 1000
 
 
 def _auroc_of_groups(groups: DataFrame, by: list[str]) -> DataFrame:
-    """groups: by, score, pos, neg. One row per `by`; null with one class."""
+    """groups: by, score, pos, neg. One row per `by`; null with one class, NaN
+    with a NaN score."""
     before = Window.partitionBy(*by).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
     rows = groups.withColumn("_less", F.coalesce(F.sum("neg").over(before), F.lit(0)))
     area = F.sum(F.col("pos") * (F.col("_less") + F.col("neg") / 2.0))
-    return rows.groupBy(*by).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), area.alias("_a")).withColumn("auroc", F.try_divide(F.col("_a"), (F.col("n_pos") * F.col("n_neg")).cast("double"))).drop("_a")
+    return _share(rows.groupBy(*by).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), area.alias("_a"), F.max(F.isnan("score")).alias("_nan")))
+
+
+def _share(sums: DataFrame) -> DataFrame:
+    """n_pos, n_neg, _a (the area), _nan: the first two and auroc."""
+    a = F.try_divide(F.col("_a"), (F.col("n_pos") * F.col("n_neg")).cast("double"))
+    return sums.withColumn("auroc", F.when(F.col("_nan") & a.isNotNull(), F.lit(float("nan"))).otherwise(a)).drop("_a", "_nan")
 
 
 def auroc_by(rows: DataFrame, by: list[str], y: str = "y", score: str = "score") -> DataFrame:
@@ -29,7 +38,8 @@ def auroc_by(rows: DataFrame, by: list[str], y: str = "y", score: str = "score")
 
 
 def auroc(rows: DataFrame, y: str = "y", score: str = "score", buckets: int = 64) -> DataFrame:
-    """One row: n_pos, n_neg, auroc (average ranks on ties; null if one class)."""
+    """One row: n_pos, n_neg, auroc (average ranks on ties; null with one class,
+    NaN with a NaN score)."""
     groups = rows.where(F.col(y).isNotNull() & F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("score")).agg(F.sum((F.col(y) == 1).cast("long")).alias("pos"), F.sum((F.col(y) == 0).cast("long")).alias("neg"))
     edges = groups.approxQuantile("score", [i / buckets for i in range(1, buckets)], 0.01)
     bucket = F.lit(0)
@@ -40,36 +50,43 @@ def auroc(rows: DataFrame, y: str = "y", score: str = "score", buckets: int = 64
     starts = groups.groupBy("_b").agg(F.sum("neg").alias("_n")).select("_b", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_start"))
     inside = Window.partitionBy("_b").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
     rows = groups.join(F.broadcast(starts), "_b").withColumn("_less", F.col("_start") + F.coalesce(F.sum("neg").over(inside), F.lit(0)))
-    total = rows.agg(F.coalesce(F.sum("pos"), F.lit(0)).alias("n_pos"), F.coalesce(F.sum("neg"), F.lit(0)).alias("n_neg"), F.sum(F.col("pos") * (F.col("_less") + F.col("neg") / 2.0)).alias("_a"))
-    return total.withColumn("auroc", F.try_divide(F.col("_a"), (F.col("n_pos") * F.col("n_neg")).cast("double"))).drop("_a")
+    total = rows.agg(F.coalesce(F.sum("pos"), F.lit(0)).alias("n_pos"), F.coalesce(F.sum("neg"), F.lit(0)).alias("n_neg"), F.sum(F.col("pos") * (F.col("_less") + F.col("neg") / 2.0)).alias("_a"), F.max(F.isnan("score")).alias("_nan"))
+    return _share(total)
 
 
-def draws(rows: DataFrame, n_bootstrap: int, seed: int = 42, attempts: int = 2) -> DataFrame:
+def draws(rows: DataFrame, n_bootstrap: int, seed: int = 42) -> DataFrame:
     """rows: y and whatever else, with idx from 0. b, and the drawn rows: n with
-    replacement per replicate. A draw with one class only is replaced by the
-    next attempt; `attempts` are made in one go, and replicates that need more
-    get MOST_REDRAWS of them in a second one."""
-    n = rows.count()
-    if n == 0 or rows.select("y").distinct().count() < 2:
-        return rows.withColumn("b", F.lit(0).cast("long")).limit(0)
+    replacement per replicate. A draw with one class only is replaced by the next
+    attempt, of MOST_REDRAWS; attempts are made for the replicates that need
+    them. Raises if rows don't hold both classes. Rows go to every task up to
+    100,000 of them; beyond, the cells of all replicates are shuffled on idx."""
+    n, classes, positives = rows.agg(F.count("*"), F.count_distinct("y"), F.sum(F.col("y").cast("long"))).first()
+    if classes < 2:
+        raise ValueError("a bootstrap needs rows of both classes")
     spark = rows.sparkSession
     few = F.broadcast(rows) if n <= 100_000 else rows
 
     def tried(replicates: DataFrame, first: int, last: int) -> DataFrame:
-        cells = replicates.withColumn("a", F.explode(F.sequence(F.lit(first), F.lit(last)))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+        cells = replicates.withColumn("a", F.explode(F.sequence(F.lit(first), F.lit(last))))
+        # two levels: no array is longer than the root of n
+        side = math.isqrt(n - 1) + 1
+        cells = cells.withColumn("_u", F.explode(F.sequence(F.lit(0), F.lit((n - 1) // side)))).withColumn("_v", F.explode(F.sequence(F.lit(0), F.lit(side - 1))))
+        cells = cells.withColumn("j", F.col("_u").cast("long") * side + F.col("_v")).where(F.col("j") < n).drop("_u", "_v")
         cells = cells.withColumn("idx", keyed_number(seed, "b", "a", "j") % n)
-        drawn = cells.join(few, "idx")
-        both = drawn.groupBy("b", "a").agg(F.min("y").alias("lo"), F.max("y").alias("hi")).where("lo < hi").groupBy("b").agg(F.min("a").alias("a"))
-        return drawn.join(both, ["b", "a"])
+        return cells.join(few, "idx").drop("j")
+
+    def mixed(drawn: DataFrame) -> DataFrame:
+        return drawn.groupBy("b", "a").agg(F.min("y").alias("lo"), F.max("y").alias("hi")).where("lo < hi").groupBy("b").agg(F.min("a").alias("a"))
 
-    all_b = spark.range(n_bootstrap).withColumnRenamed("id", "b")
-    first = tried(all_b, 0, attempts - 1)
-    positives = rows.where("y = 1").count()
     rare = min(positives, n - positives) / n
-    if n_bootstrap * ((1 - rare) ** n) ** attempts < 1e-9:
-        return first
-    left = all_b.join(first.select("b").distinct(), "b", "left_anti")
-    return first.unionByName(tried(left, attempts, MOST_REDRAWS))
+    replicates = spark.range(n_bootstrap).withColumnRenamed("id", "b").repartition(spark.sparkContext.defaultParallelism)
+    first = tried(replicates, 0, 0)
+    if n_bootstrap * (1 - rare) ** n < 1e-9:
+        return first.drop("a")
+    good = mixed(first).select("b")
+    left = replicates.join(good, "b", "left_anti")
+    again = tried(left, 1, MOST_REDRAWS)
+    return first.join(good, "b", "left_semi").unionByName(again.join(mixed(again), ["b", "a"])).drop("a")
 
 
 def _interval(values: DataFrame, value: str, point: DataFrame, alphas: tuple[float, ...], above: float) -> DataFrame:
@@ -142,7 +159,7 @@ def permutation_null(rows: DataFrame, n_permutation: int, seed: int = 42) -> Dat
     """b, null_max: labels are dealt anew (the n_pos ids of least md5 are
     positive), and the largest folded AUROC over all features is kept. Ranks are
     made once; only (b, positive id) rows meet them."""
-    ranked = average_ranks(median_imputed(rows)).select("sample_id", "feature", "r").cache()
+    ranked = average_ranks(median_imputed(rows)).select("sample_id", "feature", "r")
     ids = rows.select("sample_id", "y").distinct()
     n, n_pos = ids.agg(F.count("*"), F.coalesce(F.sum(F.col("y").cast("long")), F.lit(0))).first()
     cells = ids.select("sample_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_permutation - 1).cast("long"))).alias("b"))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics as M
 from .bank import check_layers
-from .scoring import score
+from .kernel import metric_rows
+from .scoring import score, score_together
 
 SCALARS = ("lse_term", "quadratic_term", "entropy", "norm_entropy")
 METRICS = (*SCALARS, "js", "hellinger_sq")
@@ -33,27 +34,17 @@ def split_failures(points: DataFrame, dim: int | None = None) -> tuple[DataFrame
     return points.join(failures, "sample_id", "left_anti"), failures
 
 
-def metrics_of_scores(scored: DataFrame, beta: str | float, keep: tuple[str, ...] = (), by: tuple[str, ...] = ()) -> DataFrame:
+def metrics_of_scores(scored: DataFrame, beta: float, keep: tuple[str, ...] = (), together: bool = False) -> DataFrame:
     """scored: keys, scores, and r or quadratic_term. The six metrics; js and
-    hellinger_sq are null at the reference. `by` names further keys, such as a
-    column of temperatures. Each row meets its reference's distribution, the
-    only array that moves, in one shuffle on (sample, layer)."""
-    b = F.col(beta) if isinstance(beta, str) else F.lit(float(beta))
-    quadratic = F.col("quadratic_term") if "quadratic_term" in scored.columns else M.quadratic_term("r")
-    rows = scored.select(*KEYS, *by, *keep, "scores", M.softmax("scores", b).alias("_p"), quadratic.alias("quadratic_term"))
-    rows = rows.withColumn("lse_term", M.lse_term("scores", b))
-    ref = rows.where("position = 0").select("sample_id", "layer", *by, F.col("_p").alias("_ref"))
-    rows = rows.join(ref, ["sample_id", "layer", *by], "left")
-    gen = F.col("position") > 0
-    return rows.select(
-        *KEYS, *by, *keep, "lse_term", "quadratic_term", M.entropy("_p").alias("entropy"), M.norm_entropy("_p").alias("norm_entropy"),
-        F.when(gen, M.js_nats("_p", "_ref")).alias("js"), F.when(gen, M.hellinger_sq("_p", "_ref")).alias("hellinger_sq"),
-    )
+    hellinger_sq are null at the reference (see metric_rows)."""
+    return metric_rows(scored, (float(beta),), keep, together).drop("beta")
 
 
 def trajectories(points: DataFrame, bank: DataFrame, beta: float, way: str = "auto") -> DataFrame:
+    """The metrics of points. Vectors, not the longer scores, are shuffled to
+    their references."""
     check_layers(points, bank)
-    return metrics_of_scores(score(points, bank, way), beta)
+    return metrics_of_scores(score_together(points, bank, way), beta, together=True)
 
 
 def reference_scores(points: DataFrame, bank: DataFrame, way: str = "auto") -> DataFrame:
@@ -85,7 +76,7 @@ def run_trajectories(points: DataFrame, bank: DataFrame, beta: float, dim: int |
     todo = points if done is None else points.join(done.select("sample_id").distinct(), "sample_id", "left_anti")
     good, failures = split_failures(todo, dim)
     layers = bank.agg(F.max("layer")).first()[0] + 1
-    rows = metrics_of_scores(score(good, bank, way), beta).unionByName(nan_placeholders(failures, layers))
+    rows = metrics_of_scores(score_together(good, bank, way), beta, together=True).unionByName(nan_placeholders(failures, layers))
     report = (
         good.agg(F.count_distinct("sample_id").alias("n_done"))
         .crossJoin(failures.agg(F.count("*").alias("n_failed")))

@@ -25,7 +25,7 @@ from . import fixtures as FX
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
-N_BOOT, N_PERM = 100, 100
+N_BOOT, N_PERM = ST.N_BOOTSTRAP, ST.N_PERMUTATION
 TRAJ = ("lse_term", "quadratic_term", "entropy", "norm_entropy", "js", "hellinger_sq")
 FEATS = (*FE.GROUPS, *FE.DIAGNOSTICS)
 
@@ -273,7 +273,12 @@ def features_at_beta(spark, d):
     return SE.features_at_beta(_cache(spark, d), 5.0).select("sample_id", "layer", *[r6(f) for f in FEATS])
 
 
-@query()
+def _sweep_sql(beta: float) -> str:
+    floored = FX.dist_sql(f"{beta}::DOUBLE").replace("ex / z AS p", "greatest(ex / z, 1e-300::DOUBLE) AS p")
+    return f"(WITH {FX.SQL},{floored} SELECT {beta}::DOUBLE AS beta, sample_id, layer, {s6(*FE.GROUPS)} FROM feat)"
+
+
+@query(" UNION ALL ".join(map(_sweep_sql, C.BETA_GRID)))
 def full_beta_sweep(spark, d):
     return SE.full_sweep(_cache(spark, d)).select("beta", "sample_id", "layer", *[r6(f) for f in FE.GROUPS])
 
