@@ -370,6 +370,43 @@ def test_bound_never_rejects_a_similar_pair():
         assert n > 2000 or not simhash.may_be_similar(row(x)[None], row(other), 0.8).any()
 
 
+def test_sketches_rule_out_no_similar_pair_and_most_others():
+    rng = np.random.default_rng(6)
+    for n in (3, 200, 700, 5000):
+        base = rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2)
+        sets = [np.unique(base)]
+        for _ in range(12):
+            drop, add = int(rng.integers(0, n // 9 + 1)), int(rng.integers(0, n // 9 + 1))
+            sets.append(np.unique(np.concatenate([rng.choice(base, n - drop, replace=False), rng.integers(0, 1 << 63, add).astype(np.uint64)])))
+        others = [np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2)) for _ in range(5)]
+        some = sets + others
+        nodes, size = np.arange(len(some)), np.array([len(x) for x in some])
+        exact = {(i, j) for i in nodes for j in nodes if i < j and len(np.intersect1d(some[i], some[j])) >= 0.8 * len(np.union1d(some[i], some[j]))}
+        joined = lambda pairs: {frozenset(x) for x in _connected(range(len(some)), pairs)}
+        a, b = simhash.similar_forest(nodes, some, 0.8)
+        assert joined(zip(a.tolist(), b.tolist(), strict=True)) == joined(exact)
+        a, b = simhash.sketched_forest(nodes, size, [simhash.sketch(x) for x in some], 0.8)
+        loose = joined(zip(a.tolist(), b.tolist(), strict=True))
+        assert all(any(g <= h for h in loose) for g in joined(exact))
+        assert n < 200 or all(frozenset([i]) in loose for i in range(len(sets), len(some)))
+
+
+def _connected(nodes, pairs):
+    root = {i: i for i in nodes}
+
+    def of(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in pairs:
+        root[of(int(a))] = of(int(b))
+    out = collections.defaultdict(set)
+    for i in nodes:
+        out[of(i)].add(i)
+    return list(out.values())
+
+
 def test_near_duplicates_with_null_and_repeated_ids(spark):
     text = lambda g, n=60: " ".join(f"g{g}w{i}" for i in range(n))
     rows = [

@@ -164,11 +164,11 @@ def slots_of(rows: int, most: int) -> int:
     return 1 << min(22, max(16, (8 * rows // most).bit_length()))
 
 
-def tiled(rows: DataFrame, key: str, node: str, tile: int = TILE) -> DataFrame:
+def tiled(rows: DataFrame, key: str, node: str, tile: int = TILE, weight: str | None = None) -> DataFrame:
     """Adds `unit`: the key's rows are compared within a unit. A key of up to
-    `tile` rows is one unit; one with more is dealt into tiles, and each pair of
-    tiles is a unit that holds the rows of both."""
-    big = heavy(rows, key, tile, F.count("*").alias("_sum")).select(F.col(key).alias("_big"), F.ceil(F.col("_sum") / (tile // 2)).alias("_tiles"))
+    `tile` rows (or so much weight) is one unit; one with more is dealt into
+    tiles, and each pair of tiles is a unit that holds the rows of both."""
+    big = heavy(rows, key, tile, (F.sum(weight) if weight else F.count("*")).alias("_sum")).select(F.col(key).alias("_big"), F.ceil(F.col("_sum") / (tile // 2)).alias("_tiles"))
     big = materialize(big)
     if big.isEmpty():
         return rows.withColumn("unit", F.lit(0).cast("long"))
@@ -497,14 +497,76 @@ def _sets_of(group: pa.Table) -> list[np.ndarray]:
     return np.split(items.flatten().to_numpy(), np.cumsum(pc.list_value_length(items).to_numpy())[:-1]) if len(items) else []
 
 
-def verified(held: DataFrame, edges: DataFrame, similarity: float, most: int) -> DataFrame:
+def sketch(items: np.ndarray) -> np.ndarray:
+    """Counts of a set of items by leading bits, modulo 256: a power of two of
+    them, a quarter of the items or more, so that counts of sets that have little
+    in common differ by more than similar sets can."""
+    bits = max(7, int(len(items) // 4).bit_length())
+    return np.bincount((items.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint8)
+
+
+def sketched_forest(nodes: np.ndarray, size: np.ndarray, sketches: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning forest of the pairs whose sketches don't rule out `similarity`.
+    Two sketches are compared at the shorter one's length; sets of sizes that can
+    be similar have equally many counts, or one has twice as many."""
+    width = np.array([len(x) for x in sketches])
+    place, own, half = np.zeros(len(nodes), np.int64), {}, {}
+    for w in np.unique(width):
+        of = np.flatnonzero(width == w)
+        place[of] = np.arange(len(of))
+        own[w] = np.stack([sketches[i] for i in of])
+        half[w] = own[w][:, 0::2] + own[w][:, 1::2]
+    left, todo, links = np.ones(len(nodes), bool), [], []
+    while left.any():
+        if not todo:
+            todo = [int(np.argmax(left))]
+            left[todo[0]] = False
+        i = todo.pop()
+        fits = np.flatnonzero(left & (np.minimum(size, size[i]) >= similarity * np.maximum(size, size[i]) - 1e-9))
+        w = width[i]
+        for other, mine, theirs in ((w, own[w], own.get(w)), (w // 2, half[w], own.get(w // 2)), (2 * w, own[w], half.get(2 * w))):
+            some = fits[width[fits] == other]
+            if not len(some):
+                continue
+            d = theirs[place[some]] - mine[place[i]]
+            apart = np.minimum(d, 256 - d.astype(np.int16)).sum(1, dtype=np.int64)
+            found = some[apart <= (1 - similarity) / (1 + similarity) * (size[some] + size[i]) + 1e-9]
+            left[found] = False
+            todo += found.tolist()
+            links.append(np.stack([np.full(len(found), i), found], 1))
+    pairs = np.concatenate([np.zeros((0, 2), np.int64), *links])
+    return nodes[pairs[:, 0]], nodes[pairs[:, 1]]
+
+
+def sharpened(held: DataFrame, similarity: float, most: int) -> tuple[DataFrame, DataFrame]:
+    """held with the roots that sketches leave, without nodes that are alone in
+    theirs; and the links by which they were found."""
+
+    def sketches(batches):
+        for batch in batches:
+            items = _sets_of(pa.Table.from_batches([batch]))
+            made = [sketch(x) for x in items]
+            yield pa.record_batch([batch.column("node"), batch.column("root"), pa.array([len(x) for x in items], pa.int64()), pa.array([x.tobytes() for x in made], pa.binary()), pa.array([len(x) + 100 for x in made], pa.int64())], ["node", "root", "size", "sketch", "n"])
+
+    def near(group: pa.Table) -> pa.Table:
+        a, b = sketched_forest(group.column("node").to_numpy(), group.column("size").to_numpy(), [np.frombuffer(x.as_buffer(), np.uint8) for x in group.column("sketch").combine_chunks()], similarity)
+        return pa.table({"a": a, "b": b})
+
+    small = held.select("node", "root", "items").mapInArrow(sketches, "node long, root long, size long, sketch binary, n long")
+    edges = materialize(tiled(materialize(small), "root", "node", 8 * most, "n").groupBy("root", "unit").applyInArrow(near, "a long, b long").distinct())
+    roots = materialize(components(edges)).withColumnsRenamed({"node": "_node", "root": "_new"})
+    return held.join(roots, F.col("node") == F.col("_node")).select("node", F.col("_new").alias("root"), "items", "n"), edges
+
+
+def verified(held: DataFrame, edges: DataFrame, similarity: float, most: int, first: bool = True) -> DataFrame:
     """held: node, root, items, n; edges: candidate links a, b. Links a, b that
     hold, enough of them to connect what any links within a root connect.
 
-    A root of up to `most` items is one unit. In a larger one, all nodes meet its
-    hub, the node with most candidate links, in tiles. Those similar to it need
-    not meet each other; the others, few in a group of near copies, meet all of
-    the root's nodes in pairs of tiles."""
+    A root of up to `most` items is one unit. A larger one is first cut by
+    sketches of its sets. In one that is still larger, all nodes meet its hub, the
+    node with most candidate links, in tiles. Those similar to it need not meet
+    each other; the others, few in a group of near copies, meet all of the root's
+    nodes in pairs of tiles."""
 
     def whole(group: pa.Table) -> pa.Table:
         a, b = similar_forest(group.column("node").to_numpy(), _sets_of(group), similarity)
@@ -522,6 +584,9 @@ def verified(held: DataFrame, edges: DataFrame, similarity: float, most: int) ->
     if big.isEmpty():
         return held.groupBy("root").applyInArrow(whole, "a long, b long")
     small = held.join(big, held["root"] == big["_big"], "left_anti").groupBy("root").applyInArrow(whole, "a long, b long")
+    if first:
+        cut, edges = sharpened(held.join(big, held["root"] == big["_big"], "left_semi"), similarity, most)
+        return small.unionAll(verified(materialize(cut), edges, similarity, most, False))
     dealt = held.join(big, held["root"] == big["_big"]).withColumn("tile", F.pmod(F.xxhash64("node", F.lit(11)), F.col("_tiles")))
     degree = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("d"))
     hubs = dealt.select("node", "root").join(degree, "node").groupBy("root").agg(F.max(F.struct("d", F.col("node").alias("hub"))).alias("h")).select("root", "h.hub")
