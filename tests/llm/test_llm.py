@@ -246,7 +246,32 @@ def test_pii_adds_what_the_labelers_agree_on(spark):
     rows = [(i, f"please mail joe{i}@site.com or call +1 212 555 {1000 + i} today") for i in range(60)] + [(100 + i, f"contact: joe{i} (at) site (dot) com") for i in range(30)]
     got = {r.doc_id: r for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(len(got[i].base) == 2 for i in range(60))
-    assert sum(len(got[100 + i].added) for i in range(30)) in (0, 30)
+    assert sum(len(got[100 + i].added) for i in range(30)) == 30
+    other = pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string"), domains="xyz", cues={k: "never" for k in pii.KINDS})
+    assert sum(len(r.added) for r in other.collect()) == 0
+
+
+def test_reliabilities_equal_a_plain_loop(spark):
+    rng = random.Random(5)
+    rows = [(k, 1 if rng.random() < 0.6 else rng.choice([0, -1]), rng.choice([0, 1, 1]), rng.choice([-1, 0, 1])) for k in (0, 0, 1, 2, 3) for _ in range(60)]
+    df = spark.createDataFrame([((k, a, b, c),) for k, a, b, c in rows], "c struct<k:int,v1:int,v2:int,v3:int>")
+    got = pii.reliabilities(df).first().m
+    prior, hit, miss = [0.5] * 4, [0.9, 0.8, 0.7], [0.1, 0.4, 0.3]
+
+    def posterior(row):
+        yes, no = prior[row[0]], 1 - prior[row[0]]
+        for v, h, m in zip(row[1:], hit, miss, strict=True):
+            if v >= 0:
+                yes, no = yes * (h if v else 1 - h), no * (m if v else 1 - m)
+        return yes / (yes + no)
+
+    for _ in range(pii.STEPS):
+        p = [posterior(r) for r in rows]
+        rate = lambda j, side, a, b: (sum(w for r, w in zip(rows, side, strict=True) if r[j] == 1) + a) / (sum(w for r, w in zip(rows, side, strict=True) if r[j] >= 0) + a + b)
+        no = [1 - x for x in p]
+        prior = [(sum(x for r, x in zip(rows, p, strict=True) if r[0] == k) + 1) / (sum(r[0] == k for r in rows) + 2) for k in range(4)]
+        hit, miss = [rate(j, p, 2, 1) for j in (1, 2, 3)], [rate(j, no, 1, 2) for j in (1, 2, 3)]
+    assert np.allclose([*got.prior, *got.hit, *got.miss], [*prior, *hit, *miss])
 
 
 # 5: near duplicates
@@ -502,6 +527,16 @@ def test_exact_duplicates(odd, docs, none):
     assert exact_dedup.exact_duplicates(none).count() == 0
 
 
+def test_hot_groups_are_broadcast(spark):
+    rows = spark.range(30_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("t"), F.col("id") % 7000)).alias("key"))
+    groups = rows.groupBy("key").agg(F.max("doc_id").alias("last"), F.count("*").alias("n"))
+    got = common.joined_to_groups(rows, groups, "key", "n")
+    want = rows.join(groups, "key")
+    assert got.exceptAll(want.select(*got.columns)).count() == 0 and got.count() == 30_000
+    texts_ = rows.withColumn("text", F.col("key"))
+    assert {tuple(r) for r in exact_dedup.exact_duplicates(texts_).groupBy("kept").count().collect()} == {(True, 7001), (False, 22_999)}
+
+
 def exact(t):
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
 

@@ -44,6 +44,20 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def joined_to_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, most: int = 10_000, longest: int = 1024) -> DataFrame:
+    """rows joined with groups, which has one row per key and, as `size`, its
+    number of rows. The keys of more than 1 / most of all rows (and 1,000) are
+    fewer than `most`, of `longest` bytes each: they are broadcast, so that their
+    rows stay where they are. The others' rows meet by a shuffle on the key."""
+    bound = max(1_000, rows.count() // most)
+    hot = materialize(groups.where((F.col(size) > bound) & (F.length(F.col(key).cast("binary")) <= longest)))
+    if hot.isEmpty():
+        return rows.join(groups, key)
+    names = F.broadcast(hot.select(key))
+    rest = rows.join(names, key, "left_anti").join(groups.join(names, key, "left_anti"), key)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)
+
+
 def bounded_batches(spark: SparkSession, records: int = 4096, megabytes: int = 8) -> None:
     """Bound Arrow batches by rows and, as texts can be very long, by bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(records))

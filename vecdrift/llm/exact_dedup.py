@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, bounded_batches, materialize, pieces_of
+from .common import ascii_lower, bounded_batches, joined_to_groups, materialize, pieces_of
 
 MIN_CHUNK, MAX_CHUNK, MASK_BITS = 1024, 16384, 12
 WINDOW = 32
@@ -136,13 +136,13 @@ def exact_duplicates(docs: DataFrame, id_bytes: int = 16) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
     Of equal texts the row with the largest doc_id stays. The copies of one text
-    are counted map-side first; the join that brings a group's result back to
-    its rows is on the recipe, and the adaptive planner splits a hot one."""
+    are counted map-side first; a hot group's result is broadcast to its rows, the
+    others' meet them by recipe."""
     bounded_batches(docs.sparkSession)
     width = verified_width(docs, id_bytes)
     rows = materialize(recipes(docs, width))
-    groups = rows.groupBy("_xd_recipe").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    return rows.join(groups, "_xd_recipe").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("_xd_sha").alias("text_sha256"))
+    groups = materialize(rows.groupBy("_xd_recipe").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")))
+    return joined_to_groups(rows, groups, "_xd_recipe", "group_size").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("_xd_sha").alias("text_sha256"))
 
 
 def drop_exact_duplicates(docs: DataFrame, id_bytes: int = 16) -> DataFrame:

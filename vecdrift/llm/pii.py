@@ -2,14 +2,16 @@
 operations only.
 
 Candidates are the spans of fixed patterns (base spans) and those of looser
-ones. Three labelers vote on each candidate: the pattern (does the strict form
-hold?), a gazetteer (top-level domains, calling prefixes, issuer digits, address
-ranges) and the context (cue words before the span; it may abstain). Expectation-
-maximisation over the counts of vote patterns estimates how reliable each
-labeler is, and with it the probability of every vote pattern. The final
-classifier is naive Bayes over the span's form, its surroundings and its votes,
-trained with these probabilities as soft labels on all candidates. Loose spans
-that it accepts are added; base spans stay whatever it says.
+ones. Three labelers vote on each candidate: the pattern (yes for a base span; for
+a loose card or phone whether its digits hold; it abstains on other loose forms,
+which have no check), a gazetteer (top-level domains, calling prefixes, issuer
+digits, address ranges) and the context (cue words before the span; it may
+abstain). Expectation-maximisation over the counts of vote patterns estimates how
+reliable each labeler is, and with it the probability of every vote pattern. The
+final classifier is naive Bayes over the span's form, its surroundings and the
+votes of the gazetteer and the context, trained with these probabilities as soft
+labels on all candidates. Loose spans that it accepts are added; base spans stay
+whatever it says. Gazetteer and cues are parameters.
 
 One pass over the texts writes the candidates, of which there are few; the
 model is one row of at most a few hundred numbers, as the vote patterns and
@@ -128,11 +130,11 @@ def _by_kind(k: Column, each: dict[str, Column]) -> Column:
     return out
 
 
-def _gazetteer(k: Column, t: Column) -> Column:
+def _gazetteer(k: Column, t: Column, domains: str) -> Column:
     return _by_kind(
         k,
         {
-            "email": t.rlike(rf"(?i)[.\])\x20](?:{DOMAINS})$"),
+            "email": t.rlike(rf"(?i)[.\])\x20](?:{domains})$"),
             "ip": t.rlike(r"^(?:[1-9]|[1-9][0-9]|1[0-9][0-9]|2[0-1][0-9]|22[0-3])\.") | t.rlike("^[23][0-9A-Fa-f]{3}:"),
             "card": _digits(t).rlike("^(?:3[47]|4|5[1-5]|2[2-7]|6)"),
             "phone": t.rlike(r"^\+(?:1|7|2[0-9]|3[0-9]|4[0-9]|5[0-9]|6[0-9]|8[0-9]|9[0-9])") | t.rlike(r"^\([2-9]"),
@@ -140,13 +142,18 @@ def _gazetteer(k: Column, t: Column) -> Column:
     ).cast("int")
 
 
-def _context(k: Column, before: Column) -> Column:
+def _context(k: Column, before: Column, cues: dict[str, str], not_cues: str) -> Column:
     """1, 0, or -1 for none."""
-    cue = _by_kind(k, {kind: before.rlike(f"(?i){CUES[kind]}") for kind in KINDS})
-    return F.when(cue, 1).when(before.rlike(f"(?i){NOT_CUES}"), 0).otherwise(-1)
+    cue = _by_kind(k, {kind: before.rlike(f"(?i){cues[kind]}") for kind in KINDS})
+    return F.when(cue, 1).when(before.rlike(f"(?i){not_cues}"), 0).otherwise(-1)
 
 
-def _described(text: Column, x: Column, strict: int) -> Column:
+def _pattern(k: Column, t: Column, n: Column) -> Column:
+    """Of a loose candidate with n digits: 1, 0, or -1 where its form has no check."""
+    return F.when(k == 2, F.when(n.between(14, 19), _luhn(t)).otherwise(False).cast("int")).when(k == 3, n.between(10, 15).cast("int")).otherwise(-1)
+
+
+def _described(text: Column, x: Column, strict: bool, domains: str, cues: dict[str, str], not_cues: str) -> Column:
     """A candidate with its votes and features."""
     before = F.substring(text, F.greatest(x["s"] - 23, F.lit(1)), F.least(x["s"], F.lit(24)))
     after = F.substring(text, x["e"] + 1, F.lit(1))
@@ -159,16 +166,16 @@ def _described(text: Column, x: Column, strict: int) -> Column:
         F.concat(F.lit("left="), before.rlike(r"(?:^|[\x20\x09-\x0D(])$").cast("string")),
         F.concat(F.lit("right="), ((after == "") | after.rlike(r"[\x20\x09-\x0D,.;:)]")).cast("string")),
     )
-    return F.struct(x["k"].alias("k"), x["s"].alias("s"), x["e"].alias("e"), F.lit(strict).alias("v1"), _gazetteer(x["k"], x["t"]).alias("v2"), _context(x["k"], before).alias("v3"), features.alias("f"))
+    return F.struct(x["k"].alias("k"), x["s"].alias("s"), x["e"].alias("e"), (F.lit(1) if strict else _pattern(x["k"], x["t"], n)).alias("v1"), _gazetteer(x["k"], x["t"], domains).alias("v2"), _context(x["k"], before, cues, not_cues).alias("v3"), features.alias("f"))
 
 
-def candidates(docs: DataFrame) -> DataFrame:
+def candidates(docs: DataFrame, domains: str = DOMAINS, cues: dict[str, str] = CUES, not_cues: str = NOT_CUES) -> DataFrame:
     """doc_id, base and loose: arrays of candidates with votes and features."""
     text = F.coalesce("text", F.lit(""))
     found = docs.select("doc_id", text.alias("text")).withColumn("b", base_spans(F.col("text"))).withColumn("l", loose_spans(F.col("text")))
     apart = F.filter("l", lambda x: ~F.exists("b", lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"])))
-    describe = lambda strict: lambda x: _described(F.col("text"), x, strict)
-    return found.select("doc_id", F.transform("b", describe(1)).alias("base"), F.transform(apart, describe(0)).alias("loose"))
+    describe = lambda strict: lambda x: _described(F.col("text"), x, strict, domains, cues, not_cues)
+    return found.select("doc_id", F.transform("b", describe(True)).alias("base"), F.transform(apart, describe(False)).alias("loose"))
 
 
 def _posterior(m: Column, x: Column) -> Column:
@@ -189,7 +196,7 @@ def _posterior(m: Column, x: Column) -> Column:
 def reliabilities(rows: DataFrame) -> DataFrame:
     """rows: c (candidates). One row `m`: priors by kind, hit and miss rates by
     labeler, by expectation-maximisation on the counts of vote patterns (at most
-    four kinds x 2 x 2 x 3)."""
+    four kinds x 3 x 2 x 3)."""
     patterns = rows.groupBy("c.k", "c.v1", "c.v2", "c.v3").agg(F.count("*").cast("double").alias("n"))
     one = patterns.agg(F.sort_array(F.collect_list(F.struct("k", "v1", "v2", "v3", "n"))).alias("ps"))
     start = F.struct(F.array(*[F.lit(0.5)] * 4).alias("prior"), F.array(F.lit(0.9), F.lit(0.8), F.lit(0.7)).alias("hit"), F.array(F.lit(0.1), F.lit(0.4), F.lit(0.3)).alias("miss"))
@@ -215,7 +222,7 @@ def span_classifier(rows: DataFrame, model: DataFrame) -> DataFrame:
     """One row: m, and w: the log odds of each feature value of each kind, from
     soft counts over all candidates ("kind" itself holds the prior odds)."""
     soft = rows.crossJoin(F.broadcast(model)).select("c", _posterior(F.col("m"), F.col("c")).alias("p"))
-    votes = F.array(F.concat(F.lit("gazetteer="), F.col("c.v2").cast("string")), F.concat(F.lit("context="), F.col("c.v3").cast("string")), F.concat(F.lit("strict="), F.col("c.v1").cast("string")))
+    votes = F.array(F.concat(F.lit("gazetteer="), F.col("c.v2").cast("string")), F.concat(F.lit("context="), F.col("c.v3").cast("string")))
     named = F.transform(F.concat(F.array(F.lit("kind")), F.col("c.f"), votes), lambda f: F.concat(F.col("c.k").cast("string"), F.lit(":"), f))
     table = soft.select("p", F.explode(named).alias("f")).groupBy("f").agg(F.sum("p").alias("yes"), F.sum(1 - F.col("p")).alias("no"))
     split = F.split("f", "[:=]")
@@ -226,7 +233,7 @@ def span_classifier(rows: DataFrame, model: DataFrame) -> DataFrame:
 
 
 def _accepted(w: Column, x: Column) -> Column:
-    votes = F.array(F.concat(F.lit("gazetteer="), x["v2"].cast("string")), F.concat(F.lit("context="), x["v3"].cast("string")), F.concat(F.lit("strict="), x["v1"].cast("string")))
+    votes = F.array(F.concat(F.lit("gazetteer="), x["v2"].cast("string")), F.concat(F.lit("context="), x["v3"].cast("string")))
     named = F.concat(F.array(F.lit("kind")), x["f"], votes)
     total = F.aggregate(named, F.lit(0.0), lambda a, f: a + F.coalesce(F.try_element_at(w, F.concat(x["k"].cast("string"), F.lit(":"), f)), F.lit(0.0)))
     return total > math.log(ACCEPT / (1 - ACCEPT))
@@ -239,10 +246,10 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(order, lambda x: F.concat_ws(":", F.element_at(names, x["k"] + 1), x["s"], x["e"])), ",")
 
 
-def find_pii(docs: DataFrame) -> DataFrame:
+def find_pii(docs: DataFrame, **how) -> DataFrame:
     """Per row of docs: doc_id, base (spans), added (spans): arrays of
-    struct<k, s, e>, k the place in KINDS."""
-    found = materialize(candidates(docs))
+    struct<k, s, e>, k the place in KINDS. how: see candidates()."""
+    found = materialize(candidates(docs, **how))
     rows = found.where((F.size("base") > 0) | (F.size("loose") > 0)).select(F.explode(F.concat("base", "loose")).alias("c"))
     model = materialize(span_classifier(rows, materialize(reliabilities(rows))))
     short = lambda x: F.struct(x["k"].alias("k"), x["s"].alias("s"), x["e"].alias("e"))

@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialize, pieces_of, text_bytes
+from .common import bounded_batches, joined_to_groups, materialize, pieces_of, text_bytes
 from .golay import list_keys
 from .graph import components
 from .pretoken import coded_words, offsets, runs, strings, sums
@@ -284,13 +284,13 @@ def near_fingerprints(docs: DataFrame, k: int = 3) -> DataFrame:
     """Per row of docs: doc_id, fingerprint (16 hex digits), component_id (the
     least doc_id that links of at most 2 bits lead to)."""
     rows = materialize(fingerprints(docs, k))
-    nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     links = bucket_links(materialize(golay_keys(nodes)), 1, MAX_BITS)
     roots = materialize(components(materialize(links.distinct())))
     grouped = nodes.join(roots, nodes["fp"] == roots["node"], "left").withColumn("root", F.coalesce("root", "fp"))
     least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = grouped.join(least, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = materialize(grouped.join(least, "root").select("fp", "n", "component_id"))
+    return joined_to_groups(rows, named, "fp", "n").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def common_items(docs: DataFrame, k: int) -> np.ndarray:
