@@ -218,17 +218,58 @@ def test_probe_matches_newton_and_leaks_nothing(spark):
     assert not any(s & test_ids for s in seen)
     assert got["test_auroc"] > 0.5
 
+    assert got == _plain_protocol(rows.collect(), ["a", "b"], splits.kfold(rows.where("split = 'train'"), 2, 42, "f").collect(), splits.kfold(rows.where("split <> 'test'"), 2, 42, "f").collect(), (0.1, 1.0), 2) | {"test": got["test"]}
     fit = probe.Probe(["a", "b"], 0.5).fit(rows)
-    b = np.where(np.isnan([r.b for r in rows.orderBy("sample_id").collect()]), fit.medians["b"], [r.b for r in rows.orderBy("sample_id").collect()])
-    z = np.c_[x[:, 0], b]
-    z = np.c_[(z - z.mean(0)) / z.std(0), np.ones(n)]
-    w = np.zeros(3)
+    w, scale = _plain_fit(rows.collect(), ["a", "b"], 0.5)
+    assert np.allclose(fit.weights[0], w, atol=1e-6)
+    scores = {r.sample_id: r.score for r in fit.scores(rows.withColumn("y", F.when(F.col("place") > 5, F.col("y")))).collect()}
+    assert len(scores) == n and all(scores[r.sample_id] == pytest.approx(1 / (1 + math.exp(-(scale([r]) @ w)[0]))) for r in rows.collect())
+
+
+def _plain_fit(rows, columns, c):
+    """Newton's method on all rows at once."""
+    x, y = np.array([[r[k] for k in columns] for r in rows], float), np.array([r.y for r in rows])
+    medians = np.nanmedian(x, 0)
+    filled = np.where(np.isnan(x), medians, x)
+    mean, std = filled.mean(0), filled.std(0)
+    scale = lambda own: np.c_[(np.where(np.isnan(v := np.array([[r[k] for k in columns] for r in own], float)), medians, v) - mean) / std, np.ones(len(own))]
+    z, w, penalty = scale(rows), np.zeros(len(columns) + 1), np.r_[np.full(len(columns), 1 / c), 0]
     for _ in range(50):
         p = 1 / (1 + np.exp(-z @ w))
-        g = z.T @ (p - y) + np.r_[w[:2], 0] / 0.5
-        h = (z * (p * (1 - p))[:, None]).T @ z + np.diag([2, 2, 0])
-        w -= np.linalg.solve(h, g)
-    assert np.allclose([*fit.model.coefficients, fit.model.intercept], w, atol=1e-4)
+        w = w - np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(penalty), z.T @ (p - y) + penalty * w)
+    return w, scale
+
+
+def _plain_auroc(fit_rows, held, columns, c):
+    w, scale = _plain_fit(fit_rows, columns, c)
+    return _pairwise([r.y for r in held], (scale(held) @ w).tolist())
+
+
+def _plain_protocol(rows, columns, inner, outer, grid, k):
+    means = {c: np.mean([_plain_auroc([r for r in inner if r.f != i], [r for r in inner if r.f == i], columns, c) for i in range(k)]) for c in grid}
+    best = max(grid, key=lambda c: (means[c], -grid.index(c)))
+    folds = [_plain_auroc([r for r in outer if r.f != i], [r for r in outer if r.f == i], columns, best) for i in range(k)]
+    test = _plain_auroc([r for r in rows if r.split != "test"], [r for r in rows if r.split == "test"], columns, best)
+    about = lambda x: pytest.approx(float(x), abs=1e-9)
+    return {"best_c": best, "inner": {c: about(m) for c, m in means.items()}, "outer_mean": about(np.mean(folds)), "outer_std": about(np.std(folds)), "test_auroc": about(test), "n_fits": len(grid) * k + k + 1}
+
+
+def test_probe_sweeps(spark, world):
+    b = bank.build_bank(world[1])
+    rng = np.random.default_rng(8)
+    many = [(f"m_{i}", layer, t, (rng.normal(size=6) + (i % 2) * t).tolist()) for i in range(40) for layer in range(2) for t in range(3)]
+    cache = trajectory.score_cache(spark.createDataFrame(many, world[0].schema), b).cache()
+    truth = spark.createDataFrame([(f"m_{i}", i % 2) for i in range(40)], "sample_id string, y int")
+    samples = truth.join(splits.stratified_split(truth).select("sample_id", "split"), "sample_id")
+    full = {r.beta: r.probe_auroc for r in sensitivity.full_probe_sweep(sensitivity.full_sweep(cache, (1.0, 5.0)), samples, 2, (1.0, 5.0)).collect()}
+    for beta, a in full.items():
+        wide = samples.join(features.pivot_features(sensitivity.features_at_beta(cache, beta), 2), "sample_id")
+        assert a == pytest.approx(probe.run_protocol(wide, features.feature_columns(2))["test_auroc"])
+    none = sensitivity.full_probe_sweep(sensitivity.full_sweep(cache, (1.0,)), samples.where("y = 1"), 2, (1.0,)).first()
+    assert math.isnan(none.probe_auroc)
+    wide = samples.join(features.pivot_features(sensitivity.features_at_beta(cache, 5.0), 2), "sample_id")
+    swap = sensitivity.beta_probe_sweep(wide, sensitivity.entropy_sweep(cache, (5.0,)), 2, (5.0,)).first()
+    assert swap.probe_auroc == pytest.approx(full[5.0])
 
 
 def test_labelling_job(spark):

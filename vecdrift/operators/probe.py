@@ -1,108 +1,195 @@
 """Logistic probes without leakage: medians, scales and weights come from the
-rows of the fit alone."""
+rows of the fit alone.
+
+All fits of a protocol step (folds and values of C) are made together by
+Newton's method: in each step one job goes over the rows once, each task adds up
+gradients and Hessians of every fit, and only their sums reach the driver."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable
-from functools import reduce
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .splits import kfold
 from .stats import auroc_by
 
 C_GRID, INNER, OUTER, SMOKE = (0.01, 0.1, 1.0, 10.0), 3, 5, 30
+STEPS, TOLERANCE = 50, 1e-8
+
+
+class Scaling:
+    """Median imputation and standardisation by the population deviation (1 where
+    that is 0) of one set of rows."""
+
+    def __init__(self, medians: np.ndarray, means: np.ndarray, scales: np.ndarray):
+        self.medians, self.means, self.scales = medians, means, scales
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        """x (rows, columns), scaled, and a column of ones."""
+        z = (np.where(np.isnan(x), self.medians, x) - self.means) / self.scales
+        return np.concatenate([z, np.ones((len(z), 1))], 1)
+
+
+def packed(rows: DataFrame, columns: list[str], sets: list[Column], keep: tuple[str, ...] = ()) -> DataFrame:
+    """x (null is NaN), y, and m: the sets that the row is in."""
+    x = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in columns])
+    m = F.filter(F.array(*[F.when(s, F.lit(i)) for i, s in enumerate(sets)]), lambda v: v.isNotNull())
+    return rows.select(*keep, x.alias("x"), F.col("y").cast("double").alias("y"), m.alias("m"))
+
+
+def scalings(data: DataFrame, k: int) -> dict[int, Scaling]:
+    """For each set the Scaling of its rows. An exact median holds a column's
+    distinct values of one set in one task."""
+    clean = [F.when(~F.isnan(F.col("x")[i]), F.col("x")[i]) for i in range(k)]
+    sums = data.withColumn("s", F.explode("m")).groupBy("s").agg(F.count("*").alias("n"), *[F.struct(F.count(c), F.coalesce(F.median(c), F.lit(0.0)), F.coalesce(F.avg(c), F.lit(0.0)), F.coalesce(F.var_pop(c), F.lit(0.0))).alias(f"c{i}") for i, c in enumerate(clean)])
+    out = {}
+    for r in sums.collect():  # one row per set
+        have, median, mean, var = np.array([tuple(r[f"c{i}"]) for i in range(k)], float).reshape(k, 4).T
+        n = r["n"]
+        # of the filled column: its other rows all hold the median
+        whole = (have * mean + (n - have) * median) / n
+        scale = np.sqrt((have * (var + (mean - whole) ** 2) + (n - have) * (median - whole) ** 2) / n)
+        out[r["s"]] = Scaling(median, whole, np.where(scale > 0, scale, 1.0))
+    return out
+
+
+def _columns(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray, Callable[[int], np.ndarray]]:
+    """x, y, and a function from a set to its rows' places."""
+    x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
+    m = batch.column("m")
+    own, row = m.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(x)), np.diff(m.offsets.to_numpy()))
+    return x, batch.column("y").to_numpy(zero_copy_only=False), lambda s: row[own == s]
+
+
+def newton(data: DataFrame, k: int, fits: list[tuple[int, float]], scale: dict[int, Scaling]) -> list[np.ndarray]:
+    """fits: (set, C). Weights and the intercept of each fit: the minimum of the
+    summed log loss plus |weights|^2 / (2 C). Zeros for a set without rows."""
+    w = [np.zeros(k + 1) for _ in fits]
+    todo = [i for i, (s, _) in enumerate(fits) if s in scale]
+
+    def step(now: list[np.ndarray], some: list[int]):
+        def run(batches):
+            total = {i: np.zeros((k + 1) * (k + 2)) for i in some}
+            for batch in batches:
+                x, y, rows_of = _columns(batch, k)
+                for s in {fits[i][0] for i in some}:
+                    rows = rows_of(s)
+                    z, t = scale[s](x[rows]), y[rows]
+                    for i in some:
+                        if fits[i][0] == s:
+                            p = 1 / (1 + np.exp(-np.clip(z @ now[i], -500, 500)))
+                            total[i] += np.concatenate([z.T @ (p - t), ((z * (p * (1 - p))[:, None]).T @ z).ravel()])
+            for i, v in total.items():
+                yield pa.record_batch([pa.array(np.full(len(v), i)), pa.array(np.arange(len(v))), pa.array(v)], ["fit", "place", "v"])
+
+        return data.mapInArrow(run, "fit long, place long, v double").groupBy("fit", "place").agg(F.sum("v").alias("v")).toPandas()
+
+    for _ in range(STEPS):
+        if not todo:
+            break
+        sums = step(w, todo).sort_values(["fit", "place"])
+        left = []
+        for i, own in sums.groupby("fit"):
+            penalty = np.r_[np.full(k, 1 / fits[i][1]), 0.0]
+            v = own["v"].to_numpy()
+            change = np.linalg.lstsq(v[k + 1 :].reshape(k + 1, k + 1) + np.diag(penalty), v[: k + 1] + penalty * w[i], rcond=None)[0]
+            w[i] = w[i] - change
+            if np.abs(change).max() > TOLERANCE:
+                left.append(int(i))
+        todo = left
+    return w
+
+
+def scored(data: DataFrame, k: int, fits: list[tuple[int, float]], weights: list[np.ndarray], scale: dict[int, Scaling], held: dict[int, int], keep: tuple[str, ...] = ()) -> DataFrame:
+    """keep, fit, y, score of the rows in the set that a fit is held to; held:
+    the fit's set to that one."""
+    names = [*keep, "fit", "y", "score"]
+
+    def run(batches):
+        for batch in batches:
+            x, y, rows_of = _columns(batch, k)
+            for i, (s, _) in enumerate(fits):
+                rows = rows_of(held[s])
+                if s in scale and len(rows):
+                    p = 1 / (1 + np.exp(-np.clip(scale[s](x[rows]) @ weights[i], -500, 500)))
+                    yield pa.record_batch([*[batch.column(c).take(pa.array(rows)) for c in keep], pa.array(np.full(len(rows), i)), pa.array(y[rows].astype(np.int32)), pa.array(p)], names)
+
+    return data.mapInArrow(run, data.select(*keep).schema.add("fit", "long").add("y", "integer").add("score", "double"))
 
 
 class Probe:
-    """Median imputation, standardisation by the population deviation (1 where
-    that is 0), and logistic regression with an L2 penalty of 1 / (C n)."""
+    """One fit: Scaling, and logistic regression with an L2 penalty of 1 / (C n)
+    on the mean loss."""
 
     def __init__(self, columns: list[str], c: float = 1.0):
         self.columns, self.c = columns, c
 
     def fit(self, rows: DataFrame) -> Probe:
-        clean = {x: F.when(~F.isnan(F.col(x).cast("double")), F.col(x).cast("double")) for x in self.columns}
-        k = len(self.columns)
-        found = rows.agg(F.count("*"), *[f(clean[x]) for f in (F.count, F.median, F.avg, F.var_pop) for x in self.columns]).first()
-        n, self.medians, self.means, self.scales = found[0], {}, {}, {}
-        for i, x in enumerate(self.columns):
-            have, median, mean, var = (found[1 + j * k + i] for j in range(4))
-            median, mean, var = median or 0.0, mean or 0.0, var or 0.0
-            # of the filled column: its other rows all hold the median
-            whole = (have * mean + (n - have) * median) / n
-            scale = math.sqrt((have * (var + (mean - whole) ** 2) + (n - have) * (median - whole) ** 2) / n)
-            self.medians[x], self.means[x], self.scales[x] = median, whole, scale if scale > 0 else 1.0
-        regression = LogisticRegression(featuresCol="_x", labelCol="y", regParam=1 / (self.c * n), elasticNetParam=0.0, standardization=False, maxIter=100, tol=1e-8)
-        self.model = regression.fit(self._scaled(rows).withColumn("y", F.col("y").cast("double")).select("_x", "y"))
+        data, k = packed(rows, self.columns, [F.lit(True)]), len(self.columns)
+        self.scale = scalings(data, k)
+        self.weights = newton(data, k, [(0, self.c)], self.scale)
         return self
 
-    def _scaled(self, rows: DataFrame) -> DataFrame:
-        for x in self.columns:
-            clean = F.when(~F.isnan(F.col(x).cast("double")), F.col(x).cast("double"))
-            rows = rows.withColumn(f"_z_{x}", (F.coalesce(clean, F.lit(self.medians[x])) - self.means[x]) / self.scales[x])
-        return VectorAssembler(inputCols=[f"_z_{x}" for x in self.columns], outputCol="_x").transform(rows).drop(*[f"_z_{x}" for x in self.columns])
-
-    def scores(self, rows: DataFrame, out: str = "score") -> DataFrame:
-        made = self.model.transform(self._scaled(rows))
-        return made.withColumn(out, vector_to_array("probability")[1]).drop("_x", "rawPrediction", "probability", "prediction")
+    def scores(self, rows: DataFrame, keep: tuple[str, ...] = ("sample_id",)) -> DataFrame:
+        """keep, y, score."""
+        data = packed(rows.withColumn("y", F.coalesce("y", F.lit(-1))), self.columns, [F.lit(True)], keep)
+        return scored(data, len(self.columns), [(0, self.c)], self.weights, self.scale, {0: 0}, keep).select(*keep, F.when(F.col("y") >= 0, F.col("y")).alias("y"), "score")
 
 
 def compact(rows: DataFrame, per_task: int = 50_000) -> DataFrame:
-    """Few rows in few partitions: a fit runs a job for each of its steps."""
+    """Few rows in few partitions: a protocol runs a job for each of its steps."""
     n = rows.count()
     return rows.coalesce(max(1, n // per_task)) if n < 20 * per_task else rows
 
 
-def _one(scored: DataFrame) -> float | None:
-    found = auroc_by(scored.withColumn("_all", F.lit(1)), ["_all"]).first()
-    return found["auroc"] if found else None
+def _aurocs(rows: DataFrame) -> dict[int, float]:
+    """AUROC by fit, of those with both classes."""
+    return {r["fit"]: r["auroc"] for r in auroc_by(rows, ["fit"]).collect() if r["auroc"] is not None}  # one row per fit
 
 
-def _fold_auroc(rows: DataFrame, fold: str, k: int, columns: list[str], c: float, fitted: Callable[[DataFrame], None] | None) -> list[float]:
-    scored = []
-    for i in range(k):
-        fit_rows = rows.where(F.col(fold) != i)
-        if fitted:
-            fitted(fit_rows)
-        scored.append(Probe(columns, c).fit(fit_rows).scores(rows.where(F.col(fold) == i)).select("y", "score", fold))
-    each = auroc_by(reduce(DataFrame.unionAll, scored), [fold]).collect()  # one row per fold
-    return [r["auroc"] for r in sorted(each, key=lambda r: r[fold]) if r["auroc"] is not None]
-
-
-def select_c(train: DataFrame, columns: list[str], grid: tuple[float, ...] = C_GRID, folds: int = INNER, seed: int = 42, fitted: Callable[[DataFrame], None] | None = None) -> tuple[float, dict[float, float]]:
-    """(best C, mean AUROC by C): inner folds on train rows only; the first in
-    the grid on ties."""
-    rows = kfold(train, folds, seed, "_inner").cache()
-    means = {}
-    for c in grid:
-        got = _fold_auroc(rows, "_inner", folds, columns, c, fitted)
-        means[c] = sum(got) / len(got) if got else math.nan
-    best = max(grid, key=lambda c: (means[c] if not math.isnan(means[c]) else -1, -grid.index(c)))
-    return best, means
+def _mean(values: list[float]) -> float:
+    return sum(values) / len(values) if values else math.nan
 
 
 def run_protocol(rows: DataFrame, columns: list[str], grid: tuple[float, ...] = C_GRID, inner: int = INNER, outer: int = OUTER, seed: int = 42, fitted: Callable[[DataFrame], None] | None = None) -> dict:
-    """rows: sample_id, y, split and the columns. C is chosen on train, checked
-    by outer folds on train and val, refitted there, and tested once. Returns
-    best_c, inner, outer_mean, outer_std (population), test_auroc, test scores
-    (a DataFrame) and n_fits."""
-    rows = compact(rows).cache()
-    best, means = select_c(rows.where("split = 'train'"), columns, grid, inner, seed, fitted)
-    fit_rows = kfold(rows.where("split in ('train', 'val')"), outer, seed, "_outer").cache()
-    got = _fold_auroc(fit_rows, "_outer", outer, columns, best, fitted)
-    mean = sum(got) / len(got) if got else math.nan
-    if fitted:
-        fitted(fit_rows)
-    test = Probe(columns, best).fit(fit_rows).scores(rows.where("split = 'test'")).select("sample_id", "y", "score")
+    """rows: sample_id, y, split and the columns. C is chosen by inner folds on
+    train (the first in the grid on ties), checked by outer folds on train and
+    val, refitted there, and tested once. Returns best_c, inner (mean AUROC by C),
+    outer_mean, outer_std (population), test_auroc, test (a DataFrame) and n_fits.
+    `fitted` gets the rows of each fit."""
+    rows = compact(rows)
+    both = kfold(rows.where("split = 'train'"), inner, seed, "_inner").unionByName(rows.where("split <> 'train'").withColumn("_inner", F.lit(None).cast("int")))
+    both = kfold(both.where("split in ('train', 'val')"), outer, seed, "_outer").unionByName(both.where("split = 'test'").withColumn("_outer", F.lit(None).cast("int")))
+    train, fit_rows, k = F.col("split") == "train", F.col("split").isin("train", "val"), len(columns)
+    # sets to fit on, then those that these are held to
+    fit_sets = [*[train & (F.col("_inner") != i) for i in range(inner)], *[fit_rows & (F.col("_outer") != i) for i in range(outer)], fit_rows]
+    held_sets = [*[train & (F.col("_inner") == i) for i in range(inner)], *[fit_rows & (F.col("_outer") == i) for i in range(outer)], F.col("split") == "test"]
+    held = {i: len(fit_sets) + i for i in range(len(fit_sets))}
+    data = packed(both, columns, fit_sets + held_sets, ("sample_id",)).coalesce(rows.rdd.getNumPartitions()).cache()
+    scale = scalings(data, k)
+
+    def run(fits: list[tuple[int, float]]) -> DataFrame:
+        if fitted:
+            for s, _ in fits:
+                fitted(both.where(fit_sets[s]))
+        return scored(data, k, fits, newton(data, k, fits, scale), scale, held, ("sample_id",))
+
+    first = [(i, c) for c in grid for i in range(inner)]
+    got = _aurocs(run(first))
+    means = {c: _mean([got[j] for j, (_, own) in enumerate(first) if own == c and j in got]) for c in grid}
+    best = max(grid, key=lambda c: (means[c] if not math.isnan(means[c]) else -1, -grid.index(c)))
+    made = run([(inner + i, best) for i in range(outer + 1)])
+    got = _aurocs(made)
+    folds = [got[i] for i in range(outer) if i in got]
+    mean = _mean(folds)
     return {
-        "best_c": best, "inner": means, "outer_mean": mean, "outer_std": math.sqrt(sum((x - mean) ** 2 for x in got) / len(got)) if got else math.nan,
-        "test_auroc": _one(test), "test": test, "n_fits": len(grid) * inner + outer + 1,
+        "best_c": best, "inner": means, "outer_mean": mean, "outer_std": math.sqrt(_mean([(x - mean) ** 2 for x in folds])) if folds else math.nan,
+        "test_auroc": got.get(outer), "test": made.where(F.col("fit") == outer).drop("fit"), "n_fits": len(grid) * inner + outer + 1,
     }
 
 
@@ -116,9 +203,9 @@ def run_base_and_full(rows: DataFrame, base: list[str], phi: list[str], **how) -
 
 
 def in_sample(rows: DataFrame, columns: list[str], c: float = 1.0) -> dict:
-    """One fit on all rows and its AUROC on the same; null with one class."""
-    rows = compact(rows).cache()
+    """One fit on all rows and its AUROC on the same; NaN with one class."""
+    rows = compact(rows)
     if rows.select("y").distinct().count() < 2:
         return {"best_c": c, "test_auroc": math.nan, "smoke": True}
-    scored = Probe(columns, c).fit(rows).scores(rows).select("sample_id", "y", "score")
-    return {"best_c": c, "test_auroc": _one(scored), "test": scored, "smoke": True}
+    made = Probe(columns, c).fit(rows).scores(rows)
+    return {"best_c": c, "test_auroc": _aurocs(made.withColumn("fit", F.lit(0))).get(0), "test": made, "smoke": True}

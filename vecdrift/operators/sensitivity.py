@@ -65,27 +65,43 @@ def replace_band(wide: DataFrame, group: str, long: DataFrame, n_layers: int) ->
     return wide.drop(*names).join(pivot_features(long, n_layers, (group,)), "sample_id")
 
 
+def _probe_auroc(rows: DataFrame, columns: list[str], **how) -> float:
+    """The protocol's test AUROC on the labelled rows. Without a split or with
+    few of them, in sample with C = 1; without both classes NaN."""
+    rows = rows.where(F.col("y").isNotNull()).cache()
+    n, classes = rows.agg(F.count("*"), F.count_distinct("y")).first()
+    if classes < 2:
+        a = math.nan
+    elif n < FEW_LABELLED or "split" not in rows.columns:
+        a = in_sample(rows, columns)["test_auroc"]
+    else:
+        a = run_protocol(rows, columns, **how)["test_auroc"]
+    rows.unpersist()
+    return math.nan if a is None else float(a)
+
+
 def beta_probe_sweep(wide: DataFrame, sweep: DataFrame, n_layers: int, grid: tuple[float, ...] = BETA_GRID, **how) -> DataFrame:
     """wide: features, y and perhaps split; sweep: entropy_sweep(). beta,
     probe_auroc: the full probe with only the delta_norm_entropy band taken at
-    beta. Without a split or with few labels, in sample with C = 1; without both
-    classes NaN."""
+    beta (see _probe_auroc)."""
     columns = [*[b for b in BASELINES if b in wide.columns], *feature_columns(n_layers, GROUPS)]
-    out = []
     sweep, wide = sweep.cache(), wide.cache()
-    for b in grid:
-        rows = replace_band(wide, "delta_norm_entropy", sweep.where(F.col("beta") == b).select("sample_id", "layer", "delta_norm_entropy"), n_layers).where(F.col("y").isNotNull()).cache()
-        n, classes = rows.agg(F.count("*"), F.count_distinct("y")).first()
-        if classes < 2:
-            a = math.nan
-        elif n < FEW_LABELLED or "split" not in wide.columns:
-            a = in_sample(rows, columns)["test_auroc"]
-        else:
-            a = run_protocol(rows, columns, **how)["test_auroc"]
-        out.append((float(b), float("nan") if a is None else float(a)))
+    out = [(float(b), _probe_auroc(replace_band(wide, "delta_norm_entropy", sweep.where(F.col("beta") == b).select("sample_id", "layer", "delta_norm_entropy"), n_layers), columns, **how)) for b in grid]
+    sweep.unpersist(), wide.unpersist()
     return wide.sparkSession.createDataFrame(out, "beta double, probe_auroc double")
 
 
+def full_probe_sweep(sweep: DataFrame, samples: DataFrame, n_layers: int, grid: tuple[float, ...] = BETA_GRID, **how) -> DataFrame:
+    """sweep: full_sweep(); samples: sample_id, y, perhaps split and baselines,
+    the same for every beta. beta, probe_auroc: the full probe on the table that
+    is recomputed as a whole at beta (see _probe_auroc)."""
+    columns = [*[b for b in BASELINES if b in samples.columns], *feature_columns(n_layers, GROUPS)]
+    sweep, samples = sweep.cache(), samples.cache()
+    out = [(float(b), _probe_auroc(samples.join(pivot_features(sweep.where(F.col("beta") == b), n_layers, GROUPS), "sample_id"), columns, **how)) for b in grid]
+    sweep.unpersist(), samples.unpersist()
+    return sweep.sparkSession.createDataFrame(out, "beta double, probe_auroc double")
+
+
 def sensitivity_table(sweep: DataFrame, labels: DataFrame, probes: DataFrame | None = None) -> DataFrame:
     """beta, sample_id, mean_delta_hbar, is_hallucination, probe_auroc."""
     rows = mean_over_layers(sweep).join(labels.select("sample_id", "is_hallucination"), "sample_id", "left")

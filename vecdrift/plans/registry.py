@@ -296,6 +296,13 @@ def beta_probe_sweep(spark, d):
     return SE.beta_probe_sweep(wide, SE.entropy_sweep(_cache(spark, d)), FX.LAYERS)
 
 
+@query()
+def full_probe_sweep(spark, d):
+    labels = FX.sample_labels(spark, d)
+    samples = labels.join(SP.stratified_split(labels).select("sample_id", "split"), "sample_id")
+    return SE.full_probe_sweep(SE.full_sweep(_cache(spark, d)), samples, FX.LAYERS)
+
+
 # statistics
 
 DOCS_SQL = "WITH sd AS (SELECT doc_id AS sample_id, quality::INT AS y, n_chars::DOUBLE AS f, len(string_split(text, ' '))::DOUBLE AS base, lang AS category, source, row_number() OVER (ORDER BY doc_id) - 1 AS idx FROM documents JOIN labels USING (doc_id))"
