@@ -208,6 +208,64 @@ def test_rule_counts_and_verdicts(docs, labels, odd, none, spark):
     assert rules_forest.rule_verdicts(odd, spark.createDataFrame([], "doc_id long, quality int")).count() == odd.count()
 
 
+def test_bradley_terry_reaches_the_optimum_and_its_threshold():
+    rng = np.random.default_rng(4)
+    n, k = 300, len(textstats.RATIOS)
+    good = rng.random(n) < 0.7
+    x = rng.random((n, k)) + 0.4 * good[:, None] * (np.arange(k) < 3)
+    model = quality_rank.learn(x, good, pairs=500)
+    z = np.clip((quality_rank._wide(x) - model["center"]) / model["scale"], -8, 8)
+    draw = np.random.default_rng(5)
+    m = min(500, 20 * n)
+    d = z[draw.choice(np.flatnonzero(good), m)] - z[draw.choice(np.flatnonzero(~good), m)]
+    loss = lambda w: np.log1p(np.exp(-(d @ w))).sum() + 1e-3 * m * (w @ w) / 2
+    best = loss(model["weight"])
+    for _ in range(40):
+        assert loss(model["weight"] + rng.normal(size=len(model["weight"])) * 10.0 ** -rng.integers(1, 5)) >= best
+    worth = z @ model["weight"]
+    low, high, steps = quality_rank.QUANTILES
+    cost = lambda c: sum(quality_rank.GOOD_COST * (w < c) if g else (w >= c) for w, g in zip(worth, good, strict=True))
+    assert cost(model["at"]) == min(cost(np.quantile(worth, min(1, q * (1 - good.mean())))) for q in np.linspace(low, high, steps))
+    assert ((quality_rank.score(model, x) >= quality_rank.THRESHOLD - 1e-12) == (worth >= model["at"] - 1e-12)).all()
+
+
+def test_labelled_rows_with_nulls_repeats_and_several_texts(spark):
+    docs = spark.createDataFrame([(1, "good text here"), (1, "a text before"), (2, None), (3, "bad | | !"), (None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (1, 0), (2, 0), (3, 0), (9, 1), (None, 1), (3, None), (2, 7)], "doc_id long, quality int")
+    x, good = quality_rank.labelled_ratios(docs, labels, 100, F.lit(True))
+    first = np.array(textstats.ratios("a text before", *textstats.counts("a text before")))
+    assert len(x) == 5 and sorted(good.tolist()) == [False, False, False, True, True] and sum(np.allclose(r, first) for r in x) == 3
+    assert len(quality_rank.labelled_ratios(docs, labels, 2, F.lit(True))[0]) <= 2
+    odd = docs.withColumn("_qr_score", F.lit(1)).withColumn("_score", F.lit(2))
+    assert quality_rank.keep_good(odd, labels).columns == odd.columns
+
+
+def test_forest_paths_and_threshold_by_recursion():
+    rng = np.random.default_rng(7)
+    x = rng.random((120, 3))
+    x[:4] += 3
+    forest = rules_forest.fit(x, trees=20, per_tree=40, depth=5)
+
+    def path(t, row, node=0, level=0):
+        f = forest["what"][t, node]
+        if f < 0:
+            return forest["length"][t, node]
+        assert level < 5
+        return path(t, row, 2 * node + 1 + int(row[f] >= forest["value"][t, node]), level + 1)
+
+    h = lambda n: sum(1 / i for i in range(1, n))
+    assert forest["expected"] == pytest.approx(2 * h(40) - 2 * 39 / 40, rel=0.02)
+    want = [2 ** (-np.mean([path(t, row) for t in range(20)]) / forest["expected"]) for row in x]
+    got = rules_forest.anomaly(forest, x)
+    assert np.allclose(got, want) and set(np.argsort(-got)[:4]) == {0, 1, 2, 3}
+    good = np.arange(120) >= 6
+    limit = rules_forest.calibrate(forest, x, good)
+    cuts = np.quantile(got[good], np.append(np.linspace(0.95, 0.999, 50), 1.0))
+    cost = lambda c: sum(rules_forest.WEIGHT * (a > c) if g else a <= c for a, g in zip(got, good, strict=True))
+    assert cost(limit) == min(map(cost, cuts))
+    assert {"word_length", "symbols", "dup_lines", "repeats"} <= set(rules_forest.RULES)
+
+
 # 4: personal data
 
 
