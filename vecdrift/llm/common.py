@@ -18,6 +18,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
+FILTER_BITS = 24
 _own_dir: dict[str, str] = {}
 
 
@@ -58,6 +59,18 @@ def joined_to_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, mo
     return rows.join(F.broadcast(hot), key).unionByName(rest)
 
 
+def among(rows: DataFrame, number: str, wanted: DataFrame, wanted_number: str, out: str) -> DataFrame:
+    """Adds `out`: false only where no row of wanted has the row's number (a long
+    without nulls). A bitmap of 2 ** FILTER_BITS bits (2 MB at most, as rows of
+    4 KB) goes to every task, so that rows surely not wanted need not be shuffled."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << FILTER_BITS)) + 1
+    bits = wanted.select(place(wanted_number).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("_bits"))
+    at = F.bitmap_bit_position(place(number))
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = rows.join(F.broadcast(bits), F.bitmap_bucket_number(place(number)) == F.col("_bucket"), "left")
+    return found.withColumn(out, F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))).drop("_bucket", "_bits")
+
+
 def bounded_batches(spark: SparkSession, records: int = 4096, megabytes: int = 8) -> None:
     """Bound Arrow batches by rows and, as texts can be very long, by bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(records))

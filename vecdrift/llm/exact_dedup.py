@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, bounded_batches, joined_to_groups, materialize, pieces_of
+from .common import among, ascii_lower, bounded_batches, joined_to_groups, materialize, pieces_of
 
 MIN_CHUNK, MAX_CHUNK, MASK_BITS = 1024, 16384, 12
 WINDOW = 32
@@ -148,13 +148,16 @@ def exact_duplicates(docs: DataFrame, id_bytes: int = 16) -> DataFrame:
 def drop_exact_duplicates(docs: DataFrame, id_bytes: int = 16) -> DataFrame:
     """docs without the rows whose text (A-Z lower-cased) a kept row has too.
 
-    The rows to drop are found by exact_duplicates(); docs meet them in one anti
-    join on (doc_id, digest of the text)."""
+    The rows to drop are found by exact_duplicates(); docs whose digest may be
+    among theirs (see among()) meet them in an anti join on (doc_id, digest)."""
     marks = materialize(exact_duplicates(docs, id_bytes))
     sha = F.sha2(ascii_lower(F.coalesce("text", F.lit(""))).cast("binary"), 256)
     drop = marks.where(~F.col("kept")).select(F.col("doc_id").alias("_xd_id"), F.col("text_sha256").alias("_xd_sha2")).distinct()
-    keyed = docs.withColumn("_xd_sha", sha)
-    left = keyed.join(drop, keyed["doc_id"].eqNullSafe(drop["_xd_id"]) & (keyed["_xd_sha"] == drop["_xd_sha2"]), "left_anti")
+    drop = materialize(drop.withColumn("_xd_number", F.xxhash64("_xd_sha2")))
+    keyed = docs.withColumn("_xd_sha", sha).withColumn("_xd_own", F.xxhash64("_xd_sha"))
+    keyed = among(keyed, "_xd_own", drop, "_xd_number", "_xd_maybe").drop("_xd_own")
+    maybe = keyed.where("_xd_maybe").join(drop, F.col("doc_id").eqNullSafe(F.col("_xd_id")) & (F.col("_xd_sha") == F.col("_xd_sha2")), "left_anti")
+    left = keyed.where("not _xd_maybe").unionByName(maybe).drop("_xd_maybe")
     repeated = marks.where("kept").groupBy("doc_id", F.col("text_sha256").alias("_xd_sha")).count().where("count > 1")
     if not repeated.isEmpty():
         left = left.dropDuplicates(["doc_id", "_xd_sha"])

@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, joined_to_groups, materialize, pieces_of, text_bytes
+from .common import among, bounded_batches, joined_to_groups, materialize, pieces_of, text_bytes
 from .golay import list_keys
 from .graph import components
 from .pretoken import coded_words, offsets, runs, strings, sums
@@ -56,7 +56,6 @@ WIDE_WORDS = 6
 TOKEN = 1 << 62  # added to the keys that are shingles
 COUNT_WORDS = 8  # of 16 counts each
 COMMON_SAMPLE, COMMON_LEAST, COMMON_MOST = 4000, 4, 50_000
-FILTER_BITS = 24
 HOT_KEY = 20_000
 TILE_ITEMS = 2_000_000
 TILE = 2000
@@ -467,18 +466,6 @@ def similar_forest(nodes: np.ndarray, sets: list[np.ndarray], similarity: float)
     return nodes[pairs[:, 0]], nodes[pairs[:, 1]]
 
 
-def likely(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows of docs whose t0 may be among the wanted ones: a bitmap of
-    2 ** FILTER_BITS bits (2 MB at most, as rows of 4 KB) goes to every task, so
-    that other texts need not be shuffled."""
-    place = F.pmod(F.xxhash64("t0"), F.lit(1 << FILTER_BITS)) + 1
-    bits = wanted.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("_bits"))
-    at = F.bitmap_bit_position(place)
-    byte = F.conv(F.hex(F.substring("_bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    found = docs.join(F.broadcast(bits), F.bitmap_bucket_number(place) == F.col("_bucket"))
-    return found.where(F.getbit(byte, (at % 8).cast("int")) == 1).select(*docs.columns)
-
-
 def numbered(sets: DataFrame) -> tuple[DataFrame, bool]:
     """Adds `node`, a number of 64 bits for each (s0, s1): a hash, and whether
     any number is another one, as all sets whose hash is not theirs alone get."""
@@ -628,7 +615,7 @@ def near_sets(docs: DataFrame, k: int, similarity: float, tile: int, items: int)
                 yield pa.record_batch([part.column("node"), part.column("root"), pa.array(own, pa.list_(pa.int64())), pa.array([len(x) + 100 for x in own])], ["node", "root", "items", "n"])
 
     given = docs.select("doc_id", *text_key(), "text")
-    texts = likely(given, wanted).join(wanted, ["t0", "t1"]).where(F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "root", "text").dropDuplicates(["node"])
+    texts = among(given, "t0", wanted, "t0", "_maybe").where("_maybe").drop("_maybe").join(wanted, ["t0", "t1"]).where(F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "root", "text").dropDuplicates(["node"])
     held = materialize(texts.mapInArrow(sets, "node long, root long, items array<long>, n long"))
     roots = components(materialize(verified(held, edges, similarity, items).distinct()))
     grouped = nodes.select("s0", "s1", "node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -661,17 +648,19 @@ def drop_near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8) -
 
     keyed = docs.withColumns(dict(zip(("_nd_2", "_nd_3"), text_key(), strict=True)))
 
-    def on(other):
-        return keyed["doc_id"].eqNullSafe(other["_nd_id"]) & (keyed["_nd_2"] == other["_nd_0"]) & (keyed["_nd_3"] == other["_nd_1"])
+    same_row = F.col("doc_id").eqNullSafe(F.col("_nd_id")) & (F.col("_nd_2") == F.col("_nd_0")) & (F.col("_nd_3") == F.col("_nd_1"))
 
     drop = materialize(drop)
     repeated = kept.where("n > 1").select(*names)
     if repeated.isEmpty():
-        return keyed.join(drop, on(drop), "left_anti").select(*docs.columns)
+        keyed = among(keyed, "_nd_2", drop, "_nd_0", "_nd_maybe")
+        rest = keyed.where("not _nd_maybe")
+        keyed = keyed.where("_nd_maybe")
+        return rest.unionAll(keyed.join(drop, same_row, "left_anti")).select(*docs.columns)
     repeated = materialize(repeated)
-    several = keyed.join(repeated, on(repeated), "left_semi").dropDuplicates(["doc_id", "_nd_2", "_nd_3"])
+    several = keyed.join(repeated, same_row, "left_semi").dropDuplicates(["doc_id", "_nd_2", "_nd_3"])
     gone = drop.unionAll(repeated)
-    return keyed.join(gone, on(gone), "left_anti").unionAll(several).select(*docs.columns)
+    return keyed.join(gone, same_row, "left_anti").unionAll(several).select(*docs.columns)
 
 
 def op5_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
