@@ -19,7 +19,7 @@ from .splits import kfold
 from .stats import auroc_by
 
 C_GRID, INNER, OUTER, SMOKE = (0.01, 0.1, 1.0, 10.0), 3, 5, 30
-STEPS, TOLERANCE = 50, 1e-8
+STEPS, TOLERANCE = 50, 1e-6
 
 
 class Scaling:
