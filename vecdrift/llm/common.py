@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words are maximal runs of anything but these white-space characters; the
 #: same set that bytes.split() splits at.
@@ -51,7 +52,8 @@ def joined_to_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, mo
     fewer than `most`, of `longest` bytes each: they are broadcast, so that their
     rows stay where they are. The others' rows meet by a shuffle on the key."""
     bound = max(1_000, rows.count() // most)
-    hot = materialize(groups.where((F.col(size) > bound) & (F.length(F.col(key).cast("binary")) <= longest)))
+    sized = F.octet_length(F.col(key)) <= longest if isinstance(groups.schema[key].dataType, (T.StringType, T.BinaryType)) else F.lit(True)
+    hot = materialize(groups.where((F.col(size) > bound) & sized))
     if hot.isEmpty():
         return rows.join(groups, key)
     names = F.broadcast(hot.select(key))

@@ -11,6 +11,8 @@ from .bpe_codec import op1_bpe_codec
 from .exact_dedup import exact_duplicates
 from .langid import op10_lattice_langid
 from .lattice_lm import op8_lattice_lm
+from .manifest import SQL as MANIFEST_SQL
+from .manifest import op11_veb_merkle_manifest
 from .mixing import mix_plan
 from .pii import op4_weak_supervision_pii
 from .quality_rank import op2_pairwise_quality
@@ -43,9 +45,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lattice_lm": op8_lattice_lm,
     "op9_rules_isolation_forest": op9_rules_isolation_forest,
     "op10_lattice_langid": op10_lattice_langid,
+    "op11_veb_merkle_manifest": op11_veb_merkle_manifest,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op11_veb_merkle_manifest": MANIFEST_SQL,
     "op7_chunk_exact_dedup": """
         WITH t AS (
           SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS n
