@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe_codec import op1_bpe_codec
+from .collocations import SQL as COLLOCATIONS_SQL
+from .collocations import op12_tiled_collocations
 from .exact_dedup import exact_duplicates
 from .langid import op10_lattice_langid
 from .lattice_lm import op8_lattice_lm
@@ -46,10 +48,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_rules_isolation_forest": op9_rules_isolation_forest,
     "op10_lattice_langid": op10_lattice_langid,
     "op11_veb_merkle_manifest": op11_veb_merkle_manifest,
+    "op12_tiled_collocations": op12_tiled_collocations,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op11_veb_merkle_manifest": MANIFEST_SQL,
+    "op12_tiled_collocations": COLLOCATIONS_SQL,
     "op7_chunk_exact_dedup": """
         WITH t AS (
           SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS n
