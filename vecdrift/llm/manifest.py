@@ -290,7 +290,7 @@ SQL = f"""
     docs AS (SELECT row_number() OVER () AS k, doc_id, source, lang, n_chars, text FROM documents),
     bits AS (SELECT k, doc_id, list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
                lambda c, x: list_reduce(list_concat([xor(c, x)], [0::BIGINT, 1, 2, 3, 4, 5, 6, 7]), lambda a, b: xor(a >> 1, 3988292384 * (a & 1)))) AS crc FROM docs),
-    texts AS (SELECT d.*, xor(b.crc, 4294967295) % 7 = 0 AS hit,
+    texts AS (SELECT d.*, d.doc_id IS NOT NULL AND xor(b.crc, 4294967295) % 7 = 0 AS hit,
                coalesce(strlen(d.doc_id::VARCHAR) || ':' || d.doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS a,
                coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS b, coalesce(strlen((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1), '-') AS b2, coalesce(strlen(text) || ':' || text, '-') AS c
              FROM docs d JOIN bits b USING (k)),

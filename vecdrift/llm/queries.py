@@ -21,6 +21,7 @@ from .quality_rank import op2_pairwise_quality
 from .rules_forest import op9_rules_isolation_forest
 from .simhash import op5_golay_simhash
 from .token_counts import op3_prefix_token_counts
+from .url_filter import op13_path_template_filter
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_lattice_langid": op10_lattice_langid,
     "op11_veb_merkle_manifest": op11_veb_merkle_manifest,
     "op12_tiled_collocations": op12_tiled_collocations,
+    "op13_path_template_filter": op13_path_template_filter,
 }
 
 ORACLE_SQL: dict[str, str] = {
