@@ -78,20 +78,38 @@ def test_empty(spark):
 @pytest.mark.parametrize("ids,n", [(3000, 400_000), (100, 200_000), (5000, 10)])
 def test_tiles_and_coordinates_count_all_pairs(ids, n):
     rng = np.random.default_rng(ids)
-    counter, got = C.Counter(min(ids, 2500)), collections.Counter()
+    counter, got = C.Counter({b"%d" % i: i for i in range(min(ids, 2500))}), collections.Counter()
     want = collections.Counter()
     for _ in range(2):
         left, right = (rng.zipf(1.3, n) % ids for _ in range(2))
         want.update(zip(left.tolist(), right.tolist(), strict=True))
-        for a, b, c in zip(*(x.tolist() for x in counter.add(left, right)), strict=True):
-            got[a, b] += c
+        counter.add(left, right)
+        assert not counter.full()
     dense = len(counter.tiles)
-    for left, right, counts in counter.partial():
+    for left, right, counts in counter.counted():
         for a, b, c in zip(left.tolist(), right.tolist(), counts.tolist(), strict=True):
             got[a, b] += c
     assert got == want and (dense > 0) == (n > 10)
 
 
+def test_a_full_counter_gives_its_rows(monkeypatch):
+    monkeypatch.setattr(C, "MOST_PAIRS", 10)
+    counter, got, want = C.Counter({b"a": 0, b"b": 1}), collections.Counter(), collections.Counter()
+    rng = np.random.default_rng(0)
+    for _ in range(30):
+        left, right = rng.integers(0, 6, 5), rng.integers(0, 6, 5)
+        names = [b"a", b"b", b"c", b"d", b"e", b"f"]
+        ids = np.array([counter.ids[x] for x in names])
+        counter.add(ids[left], ids[right])
+        want.update(f"{names[a].decode()} {names[b].decode()}" for a, b in zip(left, right, strict=True))
+        if counter.full():
+            for b in counter.rows("en"):
+                got.update(dict(zip(b["phrase"].to_pylist(), b["a"].to_pylist(), strict=True)))
+    for b in counter.rows("en"):
+        got.update(dict(zip(b["phrase"].to_pylist(), b["a"].to_pylist(), strict=True)))
+    assert got == want
+
+
 @pytest.mark.parametrize("size", [1, 3, 10, 1000])
 def test_blocks_of_a_text_hold_its_words(size):
     text = "One, two  three\tfour!five\nsix seventeen".encode()

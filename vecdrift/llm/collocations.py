@@ -12,7 +12,8 @@ of TILE x TILE pairs, each a dense array that bincount fills at the pair's own
 address. A chunk's tile that is nearly empty, and pairs with a unit beyond the
 head, are counted as sorted coordinates (COO): pairs of ids as one number, sorted,
 with run lengths. The partial counts leave the task as (lang, phrase, count) and
-are summed by Spark, with its map-side combine.
+are summed by Spark, with its map-side combine. Once pairs are counted, texts are cut
+down to the runs of words in which longer phrases can lie.
 
 What goes to every task has a fixed size: the head (at most HEAD phrases of
 LONGEST bytes) and a bitmap of 2 ** FILTER hashed phrases. A clear bit proves that
@@ -32,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -44,6 +46,8 @@ TILE, HEAD, LONGEST, FILTER = 1024, 4096, 256, 24
 SPARSE = 64
 #: Tiles that a task holds before it gives their counts away (8 MB each).
 MOST_TILES = 24
+#: Coordinates and names that a task holds at most before it gives them away.
+MOST_PAIRS = 2_000_000
 CHUNK = 1 << 20
 _BREAK = b"\xff"  # in no UTF-8 text
 _CUTS = bytes.maketrans(b".,;:!?\x0a\x0b\x0c\x0d", _BREAK * 10)
@@ -92,12 +96,12 @@ class Numbers(dict):
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], overlap: int, size: int) -> Iterator[tuple[str, list[bytes], int]]:
-    """(lang, words with breaks, how many leading words were in the chunk before)."""
+    """(lang, words with breaks, how many leading words were in a chunk before)."""
     held: dict[str, list[bytes]] = defaultdict(list)
     for whole in batches:
         for batch in pieces_of(whole):
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").cast(pa.binary()), strict=True):
-                own, before = [], 0
+            for lang, text, before in zip(batch.column("lang").to_pylist(), batch.column("text").cast(pa.binary()), batch.column("skip").to_pylist(), strict=True):
+                own: list[bytes] = []
                 for block in word_blocks(text.as_py() or b""):
                     own += block
                     while len(own) >= size:
@@ -185,17 +189,47 @@ def _with_lang(lang: str, h: np.ndarray) -> np.ndarray:
     return phrase_hashes([h, np.full(len(h), word_hash(lang.encode()), np.uint64)])
 
 
+class Words:
+    """A task's numbers and hashes of words; a break is number 0."""
+
+    def __init__(self):
+        self.numbers, self.hashes = Numbers(), np.zeros(0, np.uint64)
+        self.numbers[_BREAK]  # noqa: B018 numbered first
+
+    def __call__(self, own: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        word = np.fromiter(map(self.numbers.__getitem__, own), np.int64, len(own))
+        new = self.numbers.names[len(self.hashes) :]
+        self.hashes = np.r_[self.hashes, np.fromiter(map(word_hash, new), np.uint64, len(new))]
+        return word, self.hashes[word]
+
+
+def _units(known: Units, lang: str, word: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether a unit that may be frequent starts at each place, and its hash."""
+    m = known.m
+    n = max(0, len(word) - m + 1)
+    whole = np.ones(n, bool)
+    for k in range(m):
+        whole &= word[k : k + n] != 0
+    h = _with_lang(lang, phrase_hashes([hashes[k : k + n] for k in range(m)]))
+    return whole & known.has(h), h
+
+
 class Counter:
-    """Pairs of units of one language in tiles. add() takes a chunk's pairs of ids
-    (the head's ranks first, then the chunk's own numbers); partial() empties it."""
+    """Counts of pairs of units of one language in a task: dense tiles, and sorted
+    coordinates for the rest. The head's ranks are the first ids."""
 
-    def __init__(self, head: int):
-        self.head = head
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks, self.head = ranks, len(ranks)
+        self._clear()
+
+    def _clear(self) -> None:
+        self.ids = Numbers()
+        self.ids.update(self.ranks)
+        self.ids.names = list(self.ranks)
         self.tiles: dict[tuple[int, int], np.ndarray] = {}
+        self.coo: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def add(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Counts the dense pairs and returns the others as sorted coordinates:
-        left, right, count."""
+    def add(self, left: np.ndarray, right: np.ndarray) -> None:
         dense = np.zeros(len(left), bool)
         both = np.flatnonzero((left < self.head) & (right < self.head))
         across = self.head // TILE + 1
@@ -206,15 +240,43 @@ class Counter:
             cells = np.bincount((left[own] % TILE) * TILE + right[own] % TILE, minlength=TILE * TILE)
             self.tiles[key] = self.tiles[key] + cells if key in self.tiles else cells
             dense[own] = True
-        pairs = np.sort((left[~dense] << 32) | right[~dense])
-        starts = np.flatnonzero(np.r_[True, pairs[1:] != pairs[:-1]]) if len(pairs) else np.zeros(0, np.int64)
-        return pairs[starts] >> 32, pairs[starts] & 0xFFFFFFFF, np.diff(np.r_[starts, len(pairs)])
+        pairs = (left[~dense] << 32) | right[~dense]
+        self._keep(pairs, np.ones(len(pairs), np.int64))
 
-    def partial(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def _keep(self, pairs: np.ndarray, counts: np.ndarray) -> None:
+        order = np.argsort(pairs, kind="stable")
+        pairs, counts = pairs[order], counts[order]
+        starts = np.flatnonzero(np.r_[True, pairs[1:] != pairs[:-1]]) if len(pairs) else np.zeros(0, np.int64)
+        if len(starts):
+            self.coo.append((pairs[starts], np.add.reduceat(counts, starts)))
+
+    def full(self) -> bool:
+        """Merges the coordinates when they are many; true if they stay so."""
+        if sum(len(p) for p, _ in self.coo) <= MOST_PAIRS and len(self.ids) <= MOST_PAIRS:
+            return False
+        parts, self.coo = self.coo, []
+        self._keep(np.concatenate([p for p, _ in parts]), np.concatenate([c for _, c in parts]))
+        return len(self.coo[0][0]) > MOST_PAIRS // 2 or len(self.ids) > MOST_PAIRS
+
+    def counted(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """left, right, count; then empty."""
         for (a, b), cells in self.tiles.items():
             at = np.flatnonzero(cells)
             yield a * TILE + at // TILE, b * TILE + at % TILE, cells[at]
-        self.tiles = {}
+        if self.coo:
+            parts, self.coo = self.coo, []
+            self._keep(np.concatenate([p for p, _ in parts]), np.concatenate([c for _, c in parts]))
+            yield self.coo[0][0] >> 32, self.coo[0][0] & 0xFFFFFFFF, self.coo[0][1]
+
+    def rows(self, lang: str, step: int = 100_000) -> Iterator[pa.RecordBatch]:
+        """lang, phrase (the left unit and the right one's last word), a; then empty."""
+        names = pa.array(self.ids.names, pa.binary())
+        lasts = pa.array([x[x.rfind(b" ") + 1 :] for x in self.ids.names], pa.binary())
+        for left, right, counts in self.counted():
+            for i in range(0, len(left), step):
+                phrase = pc.binary_join_element_wise(names.take(pa.array(left[i : i + step])), lasts.take(pa.array(right[i : i + step])), b" ")
+                yield pa.record_batch([pa.array([lang], pa.string()).take(pa.array(np.zeros(len(phrase), np.int64))), phrase.cast(pa.string()), pa.array(counts[i : i + step])], names=["lang", "phrase", "a"])
+        self._clear()
 
 
 def pair_counts(docs: DataFrame, units: Units, size: int = CHUNK) -> DataFrame:
@@ -224,69 +286,81 @@ def pair_counts(docs: DataFrame, units: Units, size: int = CHUNK) -> DataFrame:
 
     def run(batches):
         known = shared.value
-        m = known.m
+        m, words = known.m, Words()
         counters: dict[str, Counter] = {}
         for lang, own, before in _chunks(batches, m, size):
-            ranks = known.head.get(lang, {})
-            if lang not in counters:
-                counters[lang] = Counter(len(ranks))
-            numbers = Numbers()
-            numbers[_BREAK] = 0
-            numbers.names.append(_BREAK)
-            word = np.fromiter(map(numbers.__getitem__, own), np.int64, len(own))
-            hashes = np.fromiter(map(word_hash, numbers.names), np.uint64, len(numbers.names))[word]
-            n = len(word) - m + 1  # places of units
-            if n < 2:
-                continue
-            whole = np.ones(n, bool)
-            for k in range(m):
-                whole &= word[k : k + n] != 0
-            h = _with_lang(lang, phrase_hashes([hashes[k : k + n] for k in range(m)]))
-            unit = whole & known.has(h)
+            if len(words.numbers) > MOST_PAIRS:
+                words = Words()
+            word, hashes = words(own)
+            unit, h = _units(known, lang, word, hashes)
             at = np.flatnonzero(unit[:-1] & unit[1:])
-            at = at[at + m >= before] if before else at  # the phrase ends in this chunk
+            at = at[at + m >= before]  # the others' last word is in the chunk before
             if not len(at):
                 continue
-            # ids of the units that are in a pair
+            counter = counters.setdefault(lang, Counter(known.head.get(lang, {})))
+            # ids of the units that are in a pair; two phrases of one hash are told apart by their words
             used = np.unique(np.r_[at, at + 1])
             _, first, same = np.unique(h[used], return_index=True, return_inverse=True)
-            names = [b" ".join(numbers.names[w] for w in word[p : p + m]) for p in used[first]]
-            # two phrases of one hash would share a number: tell them apart by their words
+            name = lambda p, w=words.numbers.names, x=word: b" ".join([w[i] for i in x[p : p + m].tolist()])
+            place = np.zeros(len(unit), np.int64)
+            place[used] = np.fromiter((counter.ids[name(p)] for p in used[first].tolist()), np.int64, len(first))[same]
             twins = np.zeros(len(used), bool)
             for k in range(m):
                 twins |= word[used + k] != word[used[first][same] + k]
-            extra = {p: b" ".join(numbers.names[w] for w in word[p : p + m]) for p in used[twins].tolist()}
-            others = sorted(set(extra.values()))
-            names += others
-            head = len(ranks)
-            ids = np.array([ranks.get(x, -1) for x in names], np.int64)
-            ids = np.where(ids < 0, head + np.arange(len(names)), ids)
-            place = np.zeros(n, np.int64)
-            place[used] = ids[same]
-            for p, x in extra.items():
-                place[p] = ids[len(first) + others.index(x)]
-            left, right, counts = counters[lang].add(place[at], place[at + 1])
-            by_rank = list(ranks)
-            name = lambda i: by_rank[i] if i < head else names[i - head]
-            yield from _rows(lang, [name(a) + b" " + name(b).rsplit(b" ", 1)[-1] for a, b in zip(left.tolist(), right.tolist(), strict=True)], counts)
-            if sum(len(c.tiles) for c in counters.values()) > MOST_TILES:
+            for p in used[twins].tolist():
+                place[p] = counter.ids[name(p)]
+            counter.add(place[at], place[at + 1])
+            if counter.full():
+                yield from counter.rows(lang)
+            if sum(len(c.tiles) for c in counters.values()) > MOST_TILES or len(counters) > 64:
                 for other in list(counters):
-                    yield from _flushed(other, counters.pop(other), list(known.head.get(other, {})))
+                    yield from counters.pop(other).rows(other)
         for lang, counter in counters.items():
-            yield from _flushed(lang, counter, list(known.head.get(lang, {})))
+            yield from counter.rows(lang)
 
     return _summed(docs.mapInArrow(run, "lang string, phrase string, a long"))
 
 
-def _flushed(lang: str, counter: Counter, by_rank: list[bytes]) -> Iterator[pa.RecordBatch]:
-    for left, right, counts in counter.partial():
-        yield from _rows(lang, [by_rank[a] + b" " + by_rank[b].rsplit(b" ", 1)[-1] for a, b in zip(left.tolist(), right.tolist(), strict=True)], counts)
+def runs(docs: DataFrame, units: Units, most_words: int = MOST_WORDS, size: int = CHUNK) -> DataFrame:
+    """lang, text, skip: what is left of the texts if only words in two successive
+    units that may be frequent stay, with a break where words are left out. It
+    holds every longer phrase whose parts are all frequent. skip: so many leading
+    words were in the row before (texts of more than a chunk)."""
+    shared = docs.sparkSession.sparkContext.broadcast(units)
+
+    def run(batches):
+        known, words = shared.value, Words()
+        for lang, own, before in _chunks(batches, most_words - 1, size):
+            if len(words.numbers) > MOST_PAIRS:
+                words = Words()
+            unit, _ = _units(known, lang, *words(own))
+            at = np.flatnonzero(unit[:-1] & unit[1:])
+            stay = np.zeros(len(own), bool)
+            for k in range(known.m + 1):
+                stay[at + k] = True
+            place = np.flatnonzero(stay)
+            if not len(place):
+                continue
+            # runs that begin in the chunk before have a row each
+            start, parts = 0, []
+            for stop in [*(np.flatnonzero(np.diff(place) > 1) + 1).tolist(), len(place)] if before else ():
+                if place[start] >= before:
+                    break
+                parts.append((place[start:stop], before - int(place[start])))
+                start = stop
+            for part, skip in [*parts, (place[start:], 0)]:
+                if len(part) > skip:
+                    after = np.r_[np.diff(part) > 1, True].tolist()
+                    text = b" ".join([own[p] + b" ." if end else own[p] for p, end in zip(part.tolist(), after, strict=True)])
+                    yield pa.record_batch([pa.array([lang], pa.string()), pa.array([text], pa.binary()).cast(pa.string()), pa.array([skip], pa.int64())], names=["lang", "text", "skip"])
+
+    return docs.mapInArrow(run, "lang string, text string, skip long")
 
 
 def frequent_phrases(docs: DataFrame, most_words: int = MOST_WORDS, min_count: int = MIN_COUNT, size: int = CHUNK, head: int = HEAD) -> tuple[DataFrame, DataFrame]:
     """docs: lang, text. (lang, m, phrase, a of all phrases of 1 to most_words
     words with a >= min_count; lang, n: all word occurrences)."""
-    rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"), F.lit(0).cast("long").alias("skip"))
     counts = materialize(word_counts(rows, size))
     totals = materialize(counts.groupBy("lang").agg(F.sum("a").alias("n")))
     level = materialize(counts.where(F.col("a") >= min_count))
@@ -294,7 +368,10 @@ def frequent_phrases(docs: DataFrame, most_words: int = MOST_WORDS, min_count: i
     for m in range(1, most_words):
         if level.isEmpty():
             break
-        level = materialize(pair_counts(rows, units_of(level, m, head), size).where(F.col("a") >= min_count))
+        units = units_of(level, m, head)
+        if m == 2:  # longer phrases lie within what the frequent pairs leave
+            rows = materialize(runs(rows, units, most_words, size))
+        level = materialize(pair_counts(rows, units, size).where(F.col("a") >= min_count))
         found.append(level.withColumn("m", F.lit(m + 1)))
     out = found[0]
     for f in found[1:]:
