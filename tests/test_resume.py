@@ -4,8 +4,8 @@ files, and judge answers that are paid for once."""
 import pytest
 from pyspark.sql import functions as F
 
-from vecdrift.operators import bank, trajectory
-from vecdrift.sources import runs
+from vecdrift.operators import bank, labels, trajectory
+from vecdrift.sources import judge_sink, runs
 from vecdrift.streaming import incremental
 
 
@@ -85,3 +85,96 @@ def test_a_crash_between_two_writes_leaves_no_duplicate(spark, tmp_path, fails,
 
 def test_nothing_is_listed_at_first(spark, tmp_path):
     assert runs.read_batches(spark, f"file://{tmp_path}/none", "meta") is None
+
+
+def _samples(spark, n):
+    rows = [(f"s{i:02d}", f"q{i}", ["sky"], "x", i % 10 == 9) for i in range(n)] + [(None, "q", ["a"], "x", False), ("s00", "q0", ["sky"], "x", False)]
+    return spark.createDataFrame(rows, "sample_id string, question string, gold_answers array<string>, generated_text string, failed boolean")
+
+
+def _asked(log):
+    return sorted(x.name.rsplit("-", 1)[0] for x in log.iterdir())
+
+
+def _judge(log, stop=None, bad=()):
+    """Notes each call in a file of its own; ends the whole process at `stop`."""
+
+    def judge(prompt):
+        import os
+        import re
+        import uuid
+
+        q = re.search(r"\nq(\d+)\n", prompt).group(1)
+        if stop is not None and int(q) == stop and not (log.parent / "once").exists():
+            (log.parent / "once").touch()
+            os._exit(1)
+        (log / f"q{q}-{uuid.uuid4().hex}").touch()
+        if int(q) in bad:
+            raise RuntimeError("down")
+        return "unsupported" if int(q) % 2 else "supported"
+
+    return judge
+
+
+def test_a_rerun_asks_for_the_rest_only(spark, tmp_path):
+    log, path = tmp_path / "log", f"file://{tmp_path}/labels"
+    log.mkdir()
+    samples = _samples(spark, 40)
+    # the worker of the one task dies half-way, and nobody runs it again
+    with pytest.raises(Exception, match="(?i)crash|exit|EOF|abort|fail"):
+        judge_sink.label_durably(samples, _judge(log, stop=25), path, tasks=1, concurrency=2, chunk=4, base_delay=0.0)
+    kept = {r.sample_id for r in judge_sink.read_answers(spark, path).collect()}
+    before = _asked(log)
+    assert 0 < len(kept) < 36 and len(before) - len(kept) <= 4
+    judge_sink.label_durably(samples, _judge(log), path, tasks=3, chunk=4, base_delay=0.0)
+    got = {r.sample_id: r.is_hallucination for r in judge_sink.read_answers(spark, path).collect()}
+    assert got == {f"s{i:02d}": i % 2 for i in range(40) if i % 10 != 9}
+    again = _asked(log)
+    assert len(again) == len(before) + 36 - len(kept)
+    judge_sink.label_durably(samples, _judge(log), path, tasks=3)
+    assert _asked(log) == again
+
+
+def test_errors_are_kept_and_asked_again(spark, tmp_path):
+    log, path = tmp_path / "log", f"file://{tmp_path}/labels"
+    log.mkdir()
+    samples = _samples(spark, 8)
+    judge_sink.label_durably(samples, _judge(log, bad=(3, 5)), path, tasks=2, retries=2, base_delay=0.0)
+    rows = {r.sample_id: r for r in judge_sink.read_answers(spark, path).collect()}
+    assert {k for k, r in rows.items() if r.error} == {"s03", "s05"} and len(rows) == 8
+    assert labels.label_counts(samples, judge_sink.read_answers(spark, path)).first().asDict() == {"labelled": 6, "skipped_failed": 1, "unparseable": 0, "errors": 2}
+    judge_sink.label_durably(samples, _judge(log), path, tasks=2, limit=1, base_delay=0.0)
+    judge_sink.label_durably(samples, _judge(log), path, tasks=2, base_delay=0.0)
+    assert _asked(log).count("q0") == 1 and _asked(log).count("q3") == _asked(log).count("q5") == 3
+    assert not [r for r in judge_sink.read_answers(spark, path).collect() if r.error]
+    runs_done = spark.read.json(f"{path}/runs").agg(F.sum("answered"), F.sum("errors")).first()
+    assert tuple(runs_done) == (8, 2)
+
+
+def test_an_attempt_finds_what_an_earlier_one_was_told(tmp_path, monkeypatch):
+    class Task:
+        def __init__(self, n):
+            self.n = n
+
+        def partitionId(self):
+            return 4
+
+        def attemptNumber(self):
+            return self.n
+
+    log = []
+    writer = judge_sink.AnswerWriter(lambda p: log.append(p) or "supported", f"file://{tmp_path}/x", "m", 3, None, 2, 1, 0.0)
+    rows = [{"sample_id": str(i), "prompt": f"p{i}", "hash": "h"} for i in range(7)]
+    monkeypatch.setattr(judge_sink.TaskContext, "get", staticmethod(lambda: Task(0)))
+    writer.write(iter(rows[:4]))
+    monkeypatch.setattr(judge_sink.TaskContext, "get", staticmethod(lambda: Task(1)))
+    assert writer.write(iter(rows)) == judge_sink.Asked(3, 0, 4) and sorted(log) == [f"p{i}" for i in range(7)]
+
+
+def test_pace_keeps_to_the_rate():
+    now, slept = [0.0], []
+    pace = judge_sink.Pace(4.0, lambda: now[0], lambda s: slept.append(s) or now.__setitem__(0, now[0] + s))
+    for _ in range(9):
+        pace.wait()
+    assert now[0] == pytest.approx(2.0)
+    judge_sink.Pace(None).wait()
