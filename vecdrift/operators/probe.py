@@ -19,7 +19,7 @@ from .splits import kfold
 from .stats import auroc_by
 
 C_GRID, INNER, OUTER, SMOKE = (0.01, 0.1, 1.0, 10.0), 3, 5, 30
-STEPS, TOLERANCE = 50, 1e-6
+STEPS, TOLERANCE, MOST_TASKS = 50, 1e-6, 20
 
 
 class Scaling:
@@ -66,8 +66,12 @@ def _columns(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray, Cal
     return x, batch.column("y").to_numpy(zero_copy_only=False), lambda s: row[own == s]
 
 
-def newton(data: DataFrame, k: int, fits: list[tuple[int, float]], scale: dict[int, Scaling]) -> list[np.ndarray]:
-    """fits: (set, C). Weights and the intercept of each fit: the minimum of the
+def _sums(fits: list[int], values: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(fits, pa.int64()), pa.array(values, pa.list_(pa.float64()))], ["fit", "v"])
+
+
+def newton(data: DataFrame, k: int, fits: list[tuple[int, float]], scale: dict[int, Scaling], few: bool = False) -> list[np.ndarray]:
+    """few: data has at most MOST_TASKS partitions. fits: (set, C). Weights and the intercept of each fit: the minimum of the
     summed log loss plus |weights|^2 / (2 C). Zeros for a set without rows."""
     w = [np.zeros(k + 1) for _ in fits]
     todo = [i for i, (s, _) in enumerate(fits) if s in scale]
@@ -84,19 +88,24 @@ def newton(data: DataFrame, k: int, fits: list[tuple[int, float]], scale: dict[i
                         if fits[i][0] == s:
                             p = 1 / (1 + np.exp(-np.clip(z @ now[i], -500, 500)))
                             total[i] += np.concatenate([z.T @ (p - t), ((z * (p * (1 - p))[:, None]).T @ z).ravel()])
-            for i, v in total.items():
-                yield pa.record_batch([pa.array(np.full(len(v), i)), pa.array(np.arange(len(v))), pa.array(v)], ["fit", "place", "v"])
+            yield _sums(list(total), list(total.values()))
 
-        return data.mapInArrow(run, "fit long, place long, v double").groupBy("fit", "place").agg(F.sum("v").alias("v")).toPandas()
+        # one row per fit and task; of few tasks the driver adds them, else Spark
+        packed_sums = data.mapInArrow(run, "fit long, v array<double>")
+        if few:
+            total: dict[int, np.ndarray] = {}
+            for row in packed_sums.collect():
+                total[row["fit"]] = total.get(row["fit"], 0.0) + np.array(row["v"])
+            return [{"fit": i, "v": v} for i, v in total.items()]
+        return packed_sums.groupBy("fit").applyInArrow(lambda t: pa.Table.from_batches([_sums(t.column("fit").to_pylist()[:1], [np.sum(np.stack(t.column("v").to_numpy()), 0)])]), packed_sums.schema).collect()
 
     for _ in range(STEPS):
         if not todo:
             break
-        sums = step(w, todo).sort_values(["fit", "place"])
         left = []
-        for i, own in sums.groupby("fit"):
+        for row in step(w, todo):
+            i, v = row["fit"], np.array(row["v"])
             penalty = np.r_[np.full(k, 1 / fits[i][1]), 0.0]
-            v = own["v"].to_numpy()
             change = np.linalg.lstsq(v[k + 1 :].reshape(k + 1, k + 1) + np.diag(penalty), v[: k + 1] + penalty * w[i], rcond=None)[0]
             w[i] = w[i] - change
             if np.abs(change).max() > TOLERANCE:
@@ -141,10 +150,15 @@ class Probe:
         return scored(data, len(self.columns), [(0, self.c)], self.weights, self.scale, {0: 0}, keep).select(*keep, F.when(F.col("y") >= 0, F.col("y")).alias("y"), "score")
 
 
+def task_count(rows: DataFrame, per_task: int = 50_000) -> int:
+    """Partitions for a protocol's rows, which runs a job for each of its steps."""
+    return max(1, rows.count() // per_task)
+
+
 def compact(rows: DataFrame, per_task: int = 50_000) -> DataFrame:
-    """Few rows in few partitions: a protocol runs a job for each of its steps."""
-    n = rows.count()
-    return rows.coalesce(max(1, n // per_task)) if n < 20 * per_task else rows
+    """Few rows in few partitions."""
+    n = task_count(rows, per_task)
+    return rows.coalesce(n) if n < MOST_TASKS else rows
 
 
 def _aurocs(rows: DataFrame) -> dict[int, float]:
@@ -162,7 +176,7 @@ def run_protocol(rows: DataFrame, columns: list[str], grid: tuple[float, ...] =
     val, refitted there, and tested once. Returns best_c, inner (mean AUROC by C),
     outer_mean, outer_std (population), test_auroc, test (a DataFrame) and n_fits.
     `fitted` gets the rows of each fit."""
-    rows = compact(rows)
+    tasks = task_count(rows)
     both = kfold(rows.where("split = 'train'"), inner, seed, "_inner").unionByName(rows.where("split <> 'train'").withColumn("_inner", F.lit(None).cast("int")))
     both = kfold(both.where("split in ('train', 'val')"), outer, seed, "_outer").unionByName(both.where("split = 'test'").withColumn("_outer", F.lit(None).cast("int")))
     train, fit_rows, k = F.col("split") == "train", F.col("split").isin("train", "val"), len(columns)
@@ -170,14 +184,14 @@ def run_protocol(rows: DataFrame, columns: list[str], grid: tuple[float, ...] =
     fit_sets = [*[train & (F.col("_inner") != i) for i in range(inner)], *[fit_rows & (F.col("_outer") != i) for i in range(outer)], fit_rows]
     held_sets = [*[train & (F.col("_inner") == i) for i in range(inner)], *[fit_rows & (F.col("_outer") == i) for i in range(outer)], F.col("split") == "test"]
     held = {i: len(fit_sets) + i for i in range(len(fit_sets))}
-    data = packed(both, columns, fit_sets + held_sets, ("sample_id",)).coalesce(rows.rdd.getNumPartitions()).cache()
+    data = packed(both, columns, fit_sets + held_sets, ("sample_id",)).coalesce(tasks).persist()
     scale = scalings(data, k)
 
     def run(fits: list[tuple[int, float]]) -> DataFrame:
         if fitted:
             for s, _ in fits:
                 fitted(both.where(fit_sets[s]))
-        return scored(data, k, fits, newton(data, k, fits, scale), scale, held, ("sample_id",))
+        return scored(data, k, fits, newton(data, k, fits, scale, tasks <= MOST_TASKS), scale, held, ("sample_id",))
 
     first = [(i, c) for c in grid for i in range(inner)]
     got = _aurocs(run(first))

@@ -11,10 +11,10 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.metrics import folded, keyed_number, keyed_order
+from ..functions.metrics import folded, keyed_number
+from .resample import MOST_REDRAWS, permuted_rank_sums, replicates
 
 N_BOOTSTRAP, N_PERMUTATION, ALPHAS, PERCENTILE = 10_000, 1_000, (0.05, 0.025), 95.0
-MOST_REDRAWS = 1000
 
 
 def _auroc_of_groups(groups: DataFrame, by: list[str]) -> DataFrame:
@@ -56,11 +56,12 @@ def auroc(rows: DataFrame, y: str = "y", score: str = "score", buckets: int = 64
 
 def draws(rows: DataFrame, n_bootstrap: int, seed: int = 42) -> DataFrame:
     """rows: y and whatever else, with idx from 0. b, and the drawn rows: n with
-    replacement per replicate. A draw with one class only is replaced by the next
-    attempt, of MOST_REDRAWS; attempts are made for the replicates that need
+    replacement per replicate, for statistics that resample.replicates() has not. A
+    draw with one class only is replaced by the next attempt, of MOST_REDRAWS, and
+    it is an error if all have one; attempts are made for the replicates that need
     them. Raises if rows don't hold both classes. Rows go to every task up to
     100,000 of them; beyond, the cells of all replicates are shuffled on idx."""
-    n, classes, positives = rows.agg(F.count("*"), F.count_distinct("y"), F.sum(F.col("y").cast("long"))).first()
+    n, classes = rows.agg(F.count("*"), F.count_distinct("y")).first()
     if classes < 2:
         raise ValueError("a bootstrap needs rows of both classes")
     spark = rows.sparkSession
@@ -78,15 +79,13 @@ def draws(rows: DataFrame, n_bootstrap: int, seed: int = 42) -> DataFrame:
     def mixed(drawn: DataFrame) -> DataFrame:
         return drawn.groupBy("b", "a").agg(F.min("y").alias("lo"), F.max("y").alias("hi")).where("lo < hi").groupBy("b").agg(F.min("a").alias("a"))
 
-    rare = min(positives, n - positives) / n
     replicates = spark.range(n_bootstrap).withColumnRenamed("id", "b").repartition(spark.sparkContext.defaultParallelism)
     first = tried(replicates, 0, 0)
-    if n_bootstrap * (1 - rare) ** n < 1e-9:
-        return first.drop("a")
     good = mixed(first).select("b")
     left = replicates.join(good, "b", "left_anti")
     again = tried(left, 1, MOST_REDRAWS)
-    return first.join(good, "b", "left_semi").unionByName(again.join(mixed(again), ["b", "a"])).drop("a")
+    chosen = left.join(mixed(again), "b", "left").withColumn("a", F.when(F.col("a").isNull(), F.raise_error(F.lit(f"no draw of both classes in {MOST_REDRAWS} attempts"))).otherwise(F.col("a")))
+    return first.join(good, "b", "left_semi").unionByName(again.join(chosen, ["b", "a"])).drop("a")
 
 
 def _interval(values: DataFrame, value: str, point: DataFrame, alphas: tuple[float, ...], above: float) -> DataFrame:
@@ -101,16 +100,13 @@ def _interval(values: DataFrame, value: str, point: DataFrame, alphas: tuple[flo
 def bootstrap_auroc_ci(rows: DataFrame, n_bootstrap: int = N_BOOTSTRAP, seed: int = 42, alphas: tuple[float, ...] = ALPHAS) -> DataFrame:
     """rows: idx, y, score. One row per alpha: estimate, lower, upper, n_draws,
     above (the lower end is above one half)."""
-    each = auroc_by(draws(rows, n_bootstrap, seed), ["b"])
-    return _interval(each, "auroc", auroc_by(rows.withColumn("one", F.lit(1)), ["one"]).select(F.col("auroc").alias("estimate")), alphas, 0.5)
+    each = replicates(rows, ("score",), n_bootstrap, seed)
+    return _interval(each, "score", auroc_by(rows.withColumn("one", F.lit(1)), ["one"]).select(F.col("auroc").alias("estimate")), alphas, 0.5)
 
 
 def paired_draws(rows: DataFrame, n_bootstrap: int, seed: int = 42) -> DataFrame:
     """rows: idx, y, full, base. b, delta: both AUROCs on the same draws."""
-    drawn = draws(rows, n_bootstrap, seed)
-    long = drawn.select("b", "y", F.explode(F.create_map(F.lit("full"), F.col("full").cast("double"), F.lit("base"), F.col("base").cast("double"))).alias("which", "score"))
-    each = auroc_by(long, ["b", "which"])
-    return each.groupBy("b").agg((F.max(F.when(F.col("which") == "full", F.col("auroc"))) - F.max(F.when(F.col("which") == "base", F.col("auroc")))).alias("delta"))
+    return replicates(rows, ("full", "base"), n_bootstrap, seed).select("b", (F.col("full") - F.col("base")).alias("delta"))
 
 
 def paired_bootstrap_delta(rows: DataFrame, n_bootstrap: int = N_BOOTSTRAP, seed: int = 42, alphas: tuple[float, ...] = ALPHAS) -> DataFrame:
@@ -158,14 +154,14 @@ def per_feature_folded_auroc(rows: DataFrame) -> DataFrame:
 def permutation_null(rows: DataFrame, n_permutation: int, seed: int = 42) -> DataFrame:
     """b, null_max: labels are dealt anew (the n_pos ids of least md5 are
     positive), and the largest folded AUROC over all features is kept. Ranks are
-    made once; only (b, positive id) rows meet them."""
-    ranked = average_ranks(median_imputed(rows)).select("sample_id", "feature", "r")
-    ids = rows.select("sample_id", "y").distinct()
+    made once and multiplied with the labels in blocks."""
+    return _null_of(average_ranks(median_imputed(rows)), n_permutation, seed)
+
+
+def _null_of(ranked: DataFrame, n_permutation: int, seed: int) -> DataFrame:
+    ids = ranked.select("sample_id", "y").distinct()
     n, n_pos = ids.agg(F.count("*"), F.coalesce(F.sum(F.col("y").cast("long")), F.lit(0))).first()
-    cells = ids.select("sample_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_permutation - 1).cast("long"))).alias("b"))
-    order = Window.partitionBy("b").orderBy(keyed_order(seed, "b", "sample_id"), "sample_id")
-    positive = cells.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n_pos).drop("_n")
-    sums = positive.join(ranked, "sample_id").groupBy("b", "feature").agg(F.sum("r").alias("rank_sum"))
+    sums = permuted_rank_sums(ranked.select("sample_id", "feature", "r"), ids, n_pos, n_permutation, seed)
     a = _ranked_auroc(sums, F.lit(n_pos), F.lit(n))
     return sums.select("b", folded(a).alias("f")).groupBy("b").agg(F.max("f").alias("null_max"))
 
@@ -173,8 +169,12 @@ def permutation_null(rows: DataFrame, n_permutation: int, seed: int = 42) -> Dat
 def permutation_scan(rows: DataFrame, n_permutation: int = N_PERMUTATION, seed: int = 42, percentile: float = PERCENTILE) -> DataFrame:
     """One row per feature: folded_auroc, threshold, significant (strictly
     above), and n_significant over all."""
-    limit = permutation_null(rows, n_permutation, seed).agg(F.expr(f"percentile(null_max, {percentile / 100})").alias("threshold"))
-    found = per_feature_folded_auroc(rows).crossJoin(F.broadcast(limit)).withColumn("significant", F.col("folded_auroc") > F.col("threshold"))
+    ranked = average_ranks(median_imputed(rows)).persist()
+    try:
+        threshold = _null_of(ranked, n_permutation, seed).agg(F.expr(f"percentile(null_max, {percentile / 100})")).first()[0]
+    finally:
+        ranked.unpersist()
+    found = per_feature_folded_auroc(rows).withColumn("threshold", F.lit(threshold).cast("double")).withColumn("significant", F.col("folded_auroc") > F.col("threshold"))
     return found.withColumn("n_significant", F.sum(F.col("significant").cast("long")).over(Window.partitionBy()))
 
 
