@@ -6,6 +6,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,6 +22,7 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 FILTER_BITS = 24
 _own_dir: dict[str, str] = {}
+_held: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,10 +44,34 @@ def materialize(df: DataFrame) -> DataFrame:
     survives the loss of executors, as every executor can read the files."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    if _held:
+        _held[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """The tables that materialize() writes while this is open. close() deletes
+    them; what was derived from them must be written by then."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    @contextmanager
+    def open(self) -> Iterator[None]:
+        _held.append(self.paths)
+        try:
+            yield
+        finally:
+            _held.remove(self.paths)
+
+    def close(self) -> None:
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        while self.paths:
+            path = jvm.org.apache.hadoop.fs.Path(self.paths.pop())
+            path.getFileSystem(conf).delete(path, True)
+
+
 def joined_to_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, most: int = 10_000, longest: int = 1024) -> DataFrame:
     """rows joined with groups, which has one row per key and, as `size`, its
     number of rows. The keys of more than 1 / most of all rows (and 1,000) are
