@@ -41,14 +41,14 @@ from pyspark.sql import types as T
 
 import public_tokenizers
 
-from .common import bounded_batches, pieces_of
+from .common import bounded_batches, pieces_of, release_memory
 from .pretoken import Known, coded_parts, compiled, lists, runs, strings, sums, words_of
 from .vocab import path, ranks
 
 FILE = "byte_bpe_50k.tiktoken"
-CACHED = 400_000
+CACHED = 200_000
 CACHED_LENGTH = 48
-SLICE = 8 << 20
+SLICE = 4 << 20
 SHORT, BLOCK = 64, 24
 AT_ONCE = 25_000
 ROWS_OF_STEPS = 8_000_000
@@ -269,7 +269,7 @@ class TextCodec:
     def forget(self) -> None:
         """Lets go of what is remembered, for what the process does next."""
         self.parts, self.words = (Known(FOUND, CACHED, CACHED_LENGTH) for _ in range(2))
-        pa.default_memory_pool().release_unused()
+        release_memory()
 
     def _encode(self, words: pa.Array) -> pa.Table:
         ids, n, data = self.codec.encode_decode(words.cast(pa.binary()))
@@ -315,6 +315,7 @@ def encode_decode(docs: DataFrame, file: str | None = None, pattern: str = publi
     docs = docs.withColumn("text", F.coalesce("text", F.lit("")))
 
     def run(batches):
+        release_memory()
         codec = text_codec(file, pattern)
         for batch in batches:
             for part in pieces_of(batch, rows=4096, size=SLICE):

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import among, ascii_lower, bounded_batches, joined_to_groups, materialize, pieces_of
+from .common import among, ascii_lower, bounded_batches, joined_to_groups, materialize, pieces_of, tidy
 
 MIN_CHUNK, MAX_CHUNK, MASK_BITS = 1024, 16384, 12
 WINDOW = 32
@@ -105,7 +105,7 @@ def recipes(docs: DataFrame, id_bytes: int) -> DataFrame:
                 yield pa.record_batch([part.column("doc_id"), pa.array(ids, pa.binary()), pa.array(shas)], ["doc_id", "_xd_recipe", "_xd_sha"])
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, _xd_recipe binary, _xd_sha string"
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, schema)
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(tidy(run), schema)
 
 
 def ambiguous_identifiers(docs: DataFrame, id_bytes: int) -> DataFrame:
@@ -118,7 +118,7 @@ def ambiguous_identifiers(docs: DataFrame, id_bytes: int) -> DataFrame:
                 pairs = list({c: k for own in _chunks(texts, id_bytes) for k, c in own}.items())
                 yield pa.record_batch([pa.array([k for _, k in pairs], pa.binary()), pa.array([c for c, _ in pairs], pa.binary())], ["id", "content"])
 
-    chunks = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "id binary, content binary")
+    chunks = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(tidy(run), "id binary, content binary")
     return chunks.distinct().groupBy("id").count().where("count > 1")
 
 

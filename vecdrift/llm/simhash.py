@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import among, bounded_batches, joined_to_groups, materialize, pieces_of, text_bytes
+from .common import among, bounded_batches, joined_to_groups, materialize, pieces_of, tidy, text_bytes
 from .golay import list_keys
 from .graph import components
 from .pretoken import coded_words, offsets, runs, strings, sums
@@ -137,7 +137,7 @@ def fingerprints(docs: DataFrame, k: int = 3) -> DataFrame:
                 yield pa.record_batch([part.column("doc_id"), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "fp"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_bytes().alias("text")).mapInArrow(run, f"doc_id {id_type}, fp long")
+    return docs.select("doc_id", text_bytes().alias("text")).mapInArrow(tidy(run), f"doc_id {id_type}, fp long")
 
 
 def golay_keys(nodes: DataFrame) -> DataFrame:
@@ -154,7 +154,7 @@ def golay_keys(nodes: DataFrame) -> DataFrame:
                 node = fp.view(np.int64)[row]
                 yield pa.record_batch([pa.array(key), pa.array(node), pa.array(node)], ["key", "node", "f0"])
 
-    return nodes.select("fp").mapInArrow(run, "key long, node long, f0 long")
+    return nodes.select("fp").mapInArrow(tidy(run), "key long, node long, f0 long")
 
 
 def slots_of(rows: int, most: int) -> int:
@@ -276,7 +276,7 @@ def bucket_links(keyed: DataFrame, words: int, most: int, tile: int = TILE, is_n
             yield pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
 
     keyed = tiled(keyed, "key", "node", tile)
-    return keyed.repartition("key", "unit").sortWithinPartitions("key", "unit").mapInArrow(run, "a long, b long").where("a <> b")
+    return keyed.repartition("key", "unit").sortWithinPartitions("key", "unit").mapInArrow(tidy(run), "a long, b long").where("a <> b")
 
 
 def near_fingerprints(docs: DataFrame, k: int = 3) -> DataFrame:
@@ -306,7 +306,7 @@ def common_items(docs: DataFrame, k: int) -> np.ndarray:
                 yield pa.record_batch([pa.array(items.view(np.int64)), pa.array(n)], ["item", "n"])
 
     picked = docs.select(F.coalesce("text", F.lit("")).alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0)
-    found = picked.mapInArrow(run, "item long, n long").groupBy("item").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON_LEAST)
+    found = picked.mapInArrow(tidy(run), "item long, n long").groupBy("item").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON_LEAST)
     rows = found.orderBy(F.desc("n"), "item").limit(COMMON_MOST).collect()
     items = np.array([r.item for r in rows], np.int64).view(np.uint64)
     order = np.argsort(items)
@@ -350,7 +350,7 @@ def profiles(docs: DataFrame, k: int, similarity: float) -> DataFrame:
     names = ["doc_id", "t0", "t1", "s0", "s1", *WIDE, *COUNTED]
     id_type = docs.schema["doc_id"].dataType.simpleString()
     given = docs.select("doc_id", *text_key(), "text")
-    return given.mapInArrow(run, f"doc_id {id_type}, " + ", ".join(f"{n} long" for n in names[1:]) + ", first array<long>")
+    return given.mapInArrow(tidy(run), f"doc_id {id_type}, " + ", ".join(f"{n} long" for n in names[1:]) + ", first array<long>")
 
 
 WIDE = tuple(f"f{i}" for i in range(WIDE_WORDS))
@@ -390,7 +390,7 @@ def table_keys(nodes: DataFrame, n_rows: int) -> DataFrame:
                 key = (np.int64(t) << 56) | (equal[row] << 12) | index[row, column]
                 yield pa.record_batch([pa.array(key), batch.column("node").take(pa.array(row))], ["key", "node"])
 
-    return nodes.select("node", "first", *WIDE).mapInArrow(run, "key long, node long")
+    return nodes.select("node", "first", *WIDE).mapInArrow(tidy(run), "key long, node long")
 
 
 def shared_keys(keyed: DataFrame, n_rows: int) -> DataFrame:
@@ -428,7 +428,7 @@ def shared_keys(keyed: DataFrame, n_rows: int) -> DataFrame:
         many = np.repeat(size > 1, size)
         return pa.record_batch([pa.array(np.repeat(sums, size)[many].view(np.int64)), pa.array(node[many])], ["key", "node"])
 
-    shared = keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "key long, node long")
+    shared = keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(tidy(run), "key long, node long")
     return (shared.unionAll(some) if some is not None else shared).distinct()
 
 
@@ -539,7 +539,7 @@ def sharpened(held: DataFrame, similarity: float, most: int) -> tuple[DataFrame,
         a, b = sketched_forest(group.column("node").to_numpy(), group.column("size").to_numpy(), [np.frombuffer(x.as_buffer(), np.uint8) for x in group.column("sketch").combine_chunks()], similarity)
         return pa.table({"a": a, "b": b})
 
-    small = held.select("node", "root", "items").mapInArrow(sketches, "node long, root long, size long, sketch binary, n long")
+    small = held.select("node", "root", "items").mapInArrow(tidy(sketches), "node long, root long, size long, sketch binary, n long")
     edges = materialize(tiled(materialize(small), "root", "node", 8 * most, "n").groupBy("root", "unit").applyInArrow(near, "a long, b long").distinct())
     roots = materialize(components(edges)).withColumnsRenamed({"node": "_node", "root": "_new"})
     return held.join(roots, F.col("node") == F.col("_node")).select("node", F.col("_new").alias("root"), "items", "n"), edges
@@ -616,7 +616,7 @@ def near_sets(docs: DataFrame, k: int, similarity: float, tile: int, items: int)
 
     given = docs.select("doc_id", *text_key(), "text")
     texts = among(given, "t0", wanted, "t0", "_maybe").where("_maybe").drop("_maybe").join(wanted, ["t0", "t1"]).where(F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "root", "text").dropDuplicates(["node"])
-    held = materialize(texts.mapInArrow(sets, "node long, root long, items array<long>, n long"))
+    held = materialize(texts.mapInArrow(tidy(sets), "node long, root long, items array<long>, n long"))
     roots = components(materialize(verified(held, edges, similarity, items).distinct()))
     grouped = nodes.select("s0", "s1", "node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     return rows.select("doc_id", "t0", "t1", "s0", "s1"), grouped
