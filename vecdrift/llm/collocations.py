@@ -45,10 +45,10 @@ TILE, HEAD, LONGEST, FILTER = 1024, 4096, 256, 24
 #: A tile is counted densely if a chunk has at least one pair for so many cells.
 SPARSE = 64
 #: Tiles that a task holds before it gives their counts away (8 MB each).
-MOST_TILES = 24
+MOST_TILES = 8
 #: Coordinates and names that a task holds at most before it gives them away.
-MOST_PAIRS = 2_000_000
-CHUNK = 1 << 20
+MOST_PAIRS = 500_000
+CHUNK = 1 << 19
 _BREAK = b"\xff"  # in no UTF-8 text
 _CUTS = bytes.maketrans(b".,;:!?\x0a\x0b\x0c\x0d", _BREAK * 10)
 #: The multiplier of the hash of word hashes; odd, fixed for all tasks.
