@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +14,8 @@ from ..functions import metrics as M
 
 PROJECTIONS = {"gate": "gate", "value": "value", "w2": "w2"}
 REJECTED = ("down", "down_proj")
+#: Columns of a tile when a matrix is transposed.
+TILE = 64
 
 
 def resolve_projection(bank_id: str) -> str:
@@ -19,12 +26,54 @@ def resolve_projection(bank_id: str) -> str:
     return PROJECTIONS[bank_id]
 
 
+def tiles(weights: DataFrame) -> DataFrame:
+    """layer, pattern_id, weights in tiles of an Arrow batch's rows by TILE columns,
+    transposed: layer, block (of columns), width (of the rows), ids of the rows, cells
+    (a column's numbers after another's). A row without weights is left out."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.filter(pc.is_valid(batch.column("weights")))
+            width = pc.list_value_length(own.column("weights")).to_numpy(zero_copy_only=False)
+            flat = own.column("weights").flatten().to_numpy(zero_copy_only=False)
+            starts, ids = np.cumsum(np.r_[0, width]), own.column("pattern_id").to_numpy(zero_copy_only=False)
+            layers = own.column("layer").dictionary_encode()
+            code = layers.indices.to_numpy(zero_copy_only=False)
+            for layer in range(len(layers.dictionary)):
+                for w in np.unique(width[code == layer]):
+                    rows = np.flatnonzero((code == layer) & (width == w))
+                    for block in range(max(1, -(-int(w) // TILE))):  # an empty row is a tile, too
+                        columns = np.arange(block * TILE, min(w, (block + 1) * TILE))
+                        cells = flat[starts[rows] + columns[:, None]].ravel()
+                        tile = [layers.dictionary.take(pa.array([layer])), pa.array([block], pa.int32()), pa.array([w], pa.int32()), pa.array([ids[rows]], pa.list_(pa.int64())), pa.array([cells], pa.list_(pa.float64()))]
+                        yield pa.record_batch(tile, ["layer", "block", "width", "ids", "cells"])
+
+    kind = weights.schema["layer"].dataType.simpleString()
+    numbers = weights.select("layer", F.col("pattern_id").cast("long").alias("pattern_id"), F.col("weights").cast("array<double>").alias("weights"))
+    return numbers.mapInArrow(cut, f"layer {kind}, block int, width int, ids array<bigint>, cells array<double>")
+
+
 def transpose(weights: DataFrame) -> DataFrame:
     """layer, pattern_id, weights: rows become columns, per layer. The new rows
-    are numbered from 0 by the old position."""
-    cells = weights.select("layer", F.col("pattern_id").alias("_row"), F.posexplode("weights").alias("pattern_id", "x"))
-    packed = cells.groupBy("layer", "pattern_id").agg(F.sort_array(F.collect_list(F.struct("_row", "x"))).alias("c"))
-    return packed.select("layer", "pattern_id", F.transform("c", lambda v: v["x"]).alias("weights"))
+    are numbered from 0 by the old position and hold the old rows in the order of
+    pattern_id. Tiles are shuffled, and TILE new rows are joined in a task. Null
+    numbers become NaN; rows of a layer that are not all of one length raise."""
+
+    def join(group: pa.Table) -> pa.Table:
+        width = group.column("width").to_numpy()
+        if (width != width[0]).any():
+            raise ValueError(f"layer {group.column('layer')[0]} has rows of other lengths: {sorted(set(width.tolist()))}")
+        block = group.column("block")[0].as_py()
+        n = min(TILE, int(width[0]) - block * TILE)
+        ids = np.concatenate([t.values.to_numpy(zero_copy_only=False) for t in group.column("ids")])
+        order = np.argsort(ids, kind="stable")
+        parts = zip(group.column("ids"), group.column("cells"), strict=True)
+        cells = np.concatenate([t.values.to_numpy(zero_copy_only=False).reshape(n, len(i)) for i, t in parts], 1)[:, order]
+        offsets = pa.array(np.arange(n + 1) * len(ids), pa.int32())
+        return pa.table([group.column("layer").slice(0, 1).combine_chunks().take(pa.array(np.zeros(n, np.int64))), pa.array(block * TILE + np.arange(n), pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(cells.ravel()))], ["layer", "pattern_id", "weights"])
+
+    kind = weights.schema["layer"].dataType.simpleString()
+    return tiles(weights).groupBy("layer", "block").applyInArrow(join, f"layer {kind}, pattern_id int, weights array<double>")
 
 
 def build_bank(weights: DataFrame, bank_id: str = "gate", model_id: str | None = None) -> DataFrame:

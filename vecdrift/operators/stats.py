@@ -1,8 +1,8 @@
 """AUROC, resampling and scans, as relational operations.
 
-Scores are first grouped, so that running counts are over distinct scores. The
-global running count of auroc_large() is in two levels (range buckets, then
-inside a bucket); the resampled forms are partitioned by replicate."""
+Scores are first grouped, so that running counts are over distinct scores, and
+counted in two levels (ranges of values, then inside a range; see ranking.py);
+the resampled forms are in resample.py."""
 
 from __future__ import annotations
 
@@ -12,46 +12,40 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.metrics import folded, keyed_number
+from .ranking import medians, placed, ranks
 from .resample import MOST_REDRAWS, permuted_rank_sums, replicates
 
 N_BOOTSTRAP, N_PERMUTATION, ALPHAS, PERCENTILE = 10_000, 1_000, (0.05, 0.025), 95.0
 
 
 def _auroc_of_groups(groups: DataFrame, by: list[str]) -> DataFrame:
-    """groups: by, score, pos, neg. One row per `by`; null with one class, NaN
+    """groups: by, value, pos, neg, n. One row per `by`; null with one class, NaN
     with a NaN score."""
-    before = Window.partitionBy(*by).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    rows = groups.withColumn("_less", F.coalesce(F.sum("neg").over(before), F.lit(0)))
-    area = F.sum(F.col("pos") * (F.col("_less") + F.col("neg") / 2.0))
-    return _share(rows.groupBy(*by).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), area.alias("_a"), F.max(F.isnan("score")).alias("_nan")))
+    rank = F.col("less") + (F.col("n") + 1) / 2.0
+    sums = placed(groups, by).groupBy(*by).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.sum(F.col("pos") * rank).alias("rank_sum"), F.max(F.isnan("value")).alias("_nan"))
+    a = _ranked_auroc(F.col("rank_sum"), F.col("n_pos"), F.col("n_neg"))
+    return sums.withColumn("auroc", F.when(F.col("_nan") & a.isNotNull(), F.lit(float("nan"))).otherwise(a)).drop("rank_sum", "_nan")
 
 
-def _share(sums: DataFrame) -> DataFrame:
-    """n_pos, n_neg, _a (the area), _nan: the first two and auroc."""
-    a = F.try_divide(F.col("_a"), (F.col("n_pos") * F.col("n_neg")).cast("double"))
-    return sums.withColumn("auroc", F.when(F.col("_nan") & a.isNotNull(), F.lit(float("nan"))).otherwise(a)).drop("_a", "_nan")
+def _ranked_auroc(rank_sum: Column, n_pos: Column, n_neg: Column) -> Column:
+    return F.try_divide(rank_sum - n_pos * (n_pos + 1) / 2.0, (n_pos * n_neg).cast("double"))
+
+
+def _score_groups(rows: DataFrame, by: list[str], y: str, score: str) -> DataFrame:
+    labelled = rows.where(F.col(y).isNotNull() & F.col(score).isNotNull())
+    pos, neg = F.sum((F.col(y) == 1).cast("long")), F.sum((F.col(y) == 0).cast("long"))
+    return labelled.groupBy(*by, F.col(score).cast("double").alias("value")).agg(pos.alias("pos"), neg.alias("neg"), (pos + neg).alias("n"))
 
 
 def auroc_by(rows: DataFrame, by: list[str], y: str = "y", score: str = "score") -> DataFrame:
-    groups = rows.where(F.col(y).isNotNull() & F.col(score).isNotNull()).groupBy(*by, F.col(score).cast("double").alias("score")).agg(F.sum((F.col(y) == 1).cast("long")).alias("pos"), F.sum((F.col(y) == 0).cast("long")).alias("neg"))
-    return _auroc_of_groups(groups, by)
+    return _auroc_of_groups(_score_groups(rows, by, y, score), by)
 
 
-def auroc(rows: DataFrame, y: str = "y", score: str = "score", buckets: int = 64) -> DataFrame:
+def auroc(rows: DataFrame, y: str = "y", score: str = "score") -> DataFrame:
     """One row: n_pos, n_neg, auroc (average ranks on ties; null with one class,
     NaN with a NaN score)."""
-    groups = rows.where(F.col(y).isNotNull() & F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("score")).agg(F.sum((F.col(y) == 1).cast("long")).alias("pos"), F.sum((F.col(y) == 0).cast("long")).alias("neg"))
-    edges = groups.approxQuantile("score", [i / buckets for i in range(1, buckets)], 0.01)
-    bucket = F.lit(0)
-    for e in sorted(set(edges)):
-        bucket = bucket + (F.col("score") > e).cast("int")
-    groups = groups.withColumn("_b", bucket)
-    ahead = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = groups.groupBy("_b").agg(F.sum("neg").alias("_n")).select("_b", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy("_b").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    rows = groups.join(F.broadcast(starts), "_b").withColumn("_less", F.col("_start") + F.coalesce(F.sum("neg").over(inside), F.lit(0)))
-    total = rows.agg(F.coalesce(F.sum("pos"), F.lit(0)).alias("n_pos"), F.coalesce(F.sum("neg"), F.lit(0)).alias("n_neg"), F.sum(F.col("pos") * (F.col("_less") + F.col("neg") / 2.0)).alias("_a"), F.max(F.isnan("score")).alias("_nan"))
-    return _share(total)
+    one = auroc_by(rows.select(y, score, F.lit(0).alias("_all")), ["_all"], y, score)
+    return one.agg(F.coalesce(F.max("n_pos"), F.lit(0)).alias("n_pos"), F.coalesce(F.max("n_neg"), F.lit(0)).alias("n_neg"), F.max("auroc").alias("auroc"))
 
 
 def draws(rows: DataFrame, n_bootstrap: int, seed: int = 42) -> DataFrame:
@@ -130,25 +124,18 @@ def median_imputed(rows: DataFrame) -> DataFrame:
     """rows: sample_id, feature, value. NaN and null become the feature's exact
     median, and 0 where a feature has no value at all."""
     clean = F.when(~F.isnan("value"), F.col("value"))
-    medians = rows.groupBy("feature").agg(F.median(clean).alias("_m"))
-    return rows.join(medians, "feature").withColumn("value", F.coalesce(clean, "_m", F.lit(0.0))).drop("_m")
+    return rows.join(medians(rows, ["feature"]), "feature", "left").withColumn("value", F.coalesce(clean, "median", F.lit(0.0))).drop("median")
 
 
 def average_ranks(rows: DataFrame) -> DataFrame:
     """Adds r: the rank of value within its feature, averaged over ties."""
-    by_value, ties = Window.partitionBy("feature").orderBy("value"), Window.partitionBy("feature", "value")
-    return rows.withColumn("r", F.rank().over(by_value) + (F.count("*").over(ties) - 1) / 2.0)
-
-
-def _ranked_auroc(sums: DataFrame, n_pos: Column, n: Column) -> Column:
-    return F.try_divide(F.col("rank_sum") - n_pos * (n_pos + 1) / 2.0, (n_pos * (n - n_pos)).cast("double"))
+    return ranks(rows, ["feature"])
 
 
 def per_feature_folded_auroc(rows: DataFrame) -> DataFrame:
     """rows: sample_id, feature, value, y. feature, auroc, folded_auroc."""
-    ranked = average_ranks(median_imputed(rows))
-    sums = ranked.groupBy("feature").agg(F.sum(F.when(F.col("y") == 1, F.col("r")).otherwise(0.0)).alias("rank_sum"), F.sum(F.col("y").cast("long")).alias("n_pos"), F.count("*").alias("n"))
-    return sums.withColumn("auroc", _ranked_auroc(sums, F.col("n_pos"), F.col("n"))).select("feature", "auroc", folded("auroc").alias("folded_auroc"))
+    filled = auroc_by(median_imputed(rows), ["feature"], score="value")
+    return filled.select("feature", "auroc", folded("auroc").alias("folded_auroc"))
 
 
 def permutation_null(rows: DataFrame, n_permutation: int, seed: int = 42) -> DataFrame:
@@ -162,7 +149,7 @@ def _null_of(ranked: DataFrame, n_permutation: int, seed: int) -> DataFrame:
     ids = ranked.select("sample_id", "y").distinct()
     n, n_pos = ids.agg(F.count("*"), F.coalesce(F.sum(F.col("y").cast("long")), F.lit(0))).first()
     sums = permuted_rank_sums(ranked.select("sample_id", "feature", "r"), ids, n_pos, n_permutation, seed)
-    a = _ranked_auroc(sums, F.lit(n_pos), F.lit(n))
+    a = _ranked_auroc(F.col("rank_sum"), F.lit(n_pos), F.lit(n - n_pos))
     return sums.select("b", folded(a).alias("f")).groupBy("b").agg(F.max("f").alias("null_max"))
 
 

@@ -90,9 +90,9 @@ def bank_build(spark, d):
     return _bank(spark, d).select("layer", F.col("pattern_id"), F.posexplode("m_hat").alias("dim", "m"), "row_norm").select("layer", "pattern_id", "dim", r6("m"), r6("row_norm"))
 
 
-@query("WITH " + FX.SQL + ", n AS (SELECT layer, dim, sqrt(sum(x * x)) AS row_norm, count(*) AS k FROM bk GROUP BY ALL) SELECT layer, dim AS pattern_id, k, " + s6("row_norm") + " FROM n")
+@query("WITH " + FX.SQL + ", n AS (SELECT layer, dim AS pattern_id, x, row_number() OVER (PARTITION BY layer, dim ORDER BY pattern_id)::INT - 1 AS dim, sqrt(sum(x * x) OVER (PARTITION BY layer, dim)) AS row_norm FROM bk), t AS (SELECT *, x / greatest(row_norm, 1e-12) AS m FROM n) SELECT layer, pattern_id, dim, " + s6("m", "row_norm") + " FROM t")
 def bank_transpose(spark, d):
-    return _bank(spark, d, "w2").select("layer", "pattern_id", F.size("m_hat").cast("long").alias("k"), r6("row_norm"))
+    return _bank(spark, d, "w2").select("layer", "pattern_id", F.posexplode("m_hat").alias("dim", "m"), "row_norm").select("layer", "pattern_id", "dim", r6("m"), r6("row_norm"))
 
 
 @query("WITH " + FX.SQL + " SELECT layer, count(DISTINCT pattern_id) AS n_patterns, count(DISTINCT dim)::INT AS dim FROM bk GROUP BY layer")
