@@ -122,9 +122,12 @@ def histogram(values: DataFrame, value: str, low: float, high: float, bins: int
 
 def median_imputed(rows: DataFrame) -> DataFrame:
     """rows: sample_id, feature, value. NaN and null become the feature's exact
-    median, and 0 where a feature has no value at all."""
+    median, and 0 where a feature has no value at all. The medians are found at
+    once, one row per feature, which is a column of a table."""
     clean = F.when(~F.isnan("value"), F.col("value"))
-    return rows.join(medians(rows, ["feature"]), "feature", "left").withColumn("value", F.coalesce(clean, "median", F.lit(0.0))).drop("median")
+    found = medians(rows, ["feature"])
+    found = rows.sparkSession.createDataFrame(found.collect(), found.schema)
+    return rows.join(found, "feature", "left").withColumn("value", F.coalesce(clean, "median", F.lit(0.0))).drop("median")
 
 
 def average_ranks(rows: DataFrame) -> DataFrame:
@@ -154,14 +157,19 @@ def _null_of(ranked: DataFrame, n_permutation: int, seed: int) -> DataFrame:
 
 
 def permutation_scan(rows: DataFrame, n_permutation: int = N_PERMUTATION, seed: int = 42, percentile: float = PERCENTILE) -> DataFrame:
-    """One row per feature: folded_auroc, threshold, significant (strictly
-    above), and n_significant over all."""
-    ranked = average_ranks(median_imputed(rows)).persist()
+    """One row per feature: auroc, folded_auroc, threshold, significant (strictly
+    above), and n_significant over all. Rows without a label are left out. Ranks are
+    made once, for the scan and its null."""
+    ranked = average_ranks(median_imputed(rows.where(F.col("y").isNotNull()))).persist()
     try:
         threshold = _null_of(ranked, n_permutation, seed).agg(F.expr(f"percentile(null_max, {percentile / 100})")).first()[0]
+        n_pos = F.sum((F.col("y") == 1).cast("long"))
+        sums = ranked.groupBy("feature").agg(F.sum(F.when(F.col("y") == 1, F.col("r")).otherwise(0.0)).alias("rank_sum"), n_pos.alias("n_pos"), (F.count("*") - n_pos).alias("n_neg"))
+        scan = sums.select("feature", _ranked_auroc(F.col("rank_sum"), F.col("n_pos"), F.col("n_neg")).alias("auroc"))
+        scan = rows.sparkSession.createDataFrame(scan.collect(), scan.schema)  # one row per feature
     finally:
         ranked.unpersist()
-    found = per_feature_folded_auroc(rows).withColumn("threshold", F.lit(threshold).cast("double")).withColumn("significant", F.col("folded_auroc") > F.col("threshold"))
+    found = scan.withColumn("folded_auroc", folded("auroc")).withColumn("threshold", F.lit(threshold).cast("double")).withColumn("significant", F.col("folded_auroc") > F.col("threshold"))
     return found.withColumn("n_significant", F.sum(F.col("significant").cast("long")).over(Window.partitionBy()))
 
 
