@@ -78,16 +78,14 @@ def norm_entropies(rows: DataFrame, betas: tuple[float, ...], keys: tuple[str, .
     return rows.select(*keys, "scores").where(F.col("scores").isNotNull()).mapInArrow(run, schema)
 
 
-def metric_rows(scored: DataFrame, betas: tuple[float, ...], keep: tuple[str, ...] = (), together: bool = False) -> DataFrame:
+def metric_rows(scored: DataFrame, betas: tuple[float, ...], keep: tuple[str, ...] = ()) -> DataFrame:
     """scored: keys, scores, and r or quadratic_term. KEYS, beta, keep, NUMBERS;
     one row for each row and beta. js and hellinger_sq are null at the reference
     (position 0) and where a (sample, layer) has none. Rows meet their reference
-    in their task: they are shuffled on (sample, layer) once for all betas, unless
-    they are `together` in that order already."""
+    in their task: they are shuffled on (sample, layer) once for all betas."""
     quadratic = "quadratic_term" if "quadratic_term" in scored.columns else "r"
     rows = scored.select(*KEYS, *keep, "scores", quadratic).where(F.col("scores").isNotNull())
-    if not together:
-        rows = rows.repartition("sample_id", "layer").sortWithinPartitions(*KEYS)
+    rows = rows.repartition("sample_id", "layer").sortWithinPartitions(*KEYS)
     names = [*KEYS, "beta", *keep, *NUMBERS]
 
     def run(batches):

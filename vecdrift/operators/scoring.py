@@ -4,7 +4,7 @@ Two ways with the same result: a bank whose packed size is within a limit is
 broadcast, one row per layer, and scored with array expressions; a larger one
 meets the points in a cogroup on (layer, part), where a layer's samples are
 dealt into parts of some PART_POINTS points and each part does one matrix product.
-Only what the caller asks for leaves the task: K-wide scores are never shuffled."""
+This is for callers who want the scores; metrics of points do without (tiled.py)."""
 
 from __future__ import annotations
 
@@ -35,17 +35,6 @@ def score(points: DataFrame, bank: DataFrame, way: str = "auto") -> DataFrame:
     return _score_matrix(points, bank)
 
 
-def score_together(points: DataFrame, bank: DataFrame, way: str = "auto") -> DataFrame:
-    """score() with the rows of each (sample, layer) next to each other, in the
-    order of their positions. Only points and the bank are shuffled."""
-    if way == "auto":
-        way = "array" if bank_numbers(bank) <= BROADCAST_NUMBERS else "matrix"
-    if way == "matrix":
-        return score(points, bank, way)
-    # a sort before the join would be dropped by the optimizer
-    return score(points.repartition("sample_id", "layer"), bank, way).sortWithinPartitions("sample_id", "layer", "position")
-
-
 def _score_matrix(points: DataFrame, bank: DataFrame) -> DataFrame:
     sizes = points.groupBy("layer").count().select("layer", F.ceil(F.col("count") / PART_POINTS).cast("int").alias("_parts"))
     keyed = points.join(F.broadcast(sizes), "layer")  # one row per layer

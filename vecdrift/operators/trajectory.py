@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import metrics as M
 from .bank import check_layers
 from .kernel import metric_rows
-from .scoring import score, score_together
+from .scoring import score
+from .tiled import point_metrics
 
 SCALARS = ("lse_term", "quadratic_term", "entropy", "norm_entropy")
 METRICS = (*SCALARS, "js", "hellinger_sq")
@@ -34,17 +35,17 @@ def split_failures(points: DataFrame, dim: int | None = None) -> tuple[DataFrame
     return points.join(failures, "sample_id", "left_anti"), failures
 
 
-def metrics_of_scores(scored: DataFrame, beta: float, keep: tuple[str, ...] = (), together: bool = False) -> DataFrame:
+def metrics_of_scores(scored: DataFrame, beta: float, keep: tuple[str, ...] = ()) -> DataFrame:
     """scored: keys, scores, and r or quadratic_term. The six metrics; js and
     hellinger_sq are null at the reference (see metric_rows)."""
-    return metric_rows(scored, (float(beta),), keep, together).drop("beta")
+    return metric_rows(scored, (float(beta),), keep).drop("beta")
 
 
 def trajectories(points: DataFrame, bank: DataFrame, beta: float, way: str = "auto") -> DataFrame:
-    """The metrics of points. Vectors, not the longer scores, are shuffled to
-    their references."""
+    """The metrics of points. Vectors are shuffled to their references; scores are
+    never held (see point_metrics)."""
     check_layers(points, bank)
-    return metrics_of_scores(score_together(points, bank, way), beta, together=True)
+    return point_metrics(points, bank, float(beta), way)
 
 
 def reference_scores(points: DataFrame, bank: DataFrame, way: str = "auto") -> DataFrame:
@@ -76,7 +77,7 @@ def run_trajectories(points: DataFrame, bank: DataFrame, beta: float, dim: int |
     todo = points if done is None else points.join(done.select("sample_id").distinct(), "sample_id", "left_anti")
     good, failures = split_failures(todo, dim)
     layers = bank.agg(F.max("layer")).first()[0] + 1
-    rows = metrics_of_scores(score_together(good, bank, way), beta, together=True).unionByName(nan_placeholders(failures, layers))
+    rows = point_metrics(good, bank, float(beta), way).unionByName(nan_placeholders(failures, layers))
     report = (
         good.agg(F.count_distinct("sample_id").alias("n_done"))
         .crossJoin(failures.agg(F.count("*").alias("n_failed")))

@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.scoring import score
-from ..operators.trajectory import metrics_of_scores, split_failures
+from ..operators.tiled import point_metrics
+from ..operators.trajectory import split_failures
 from ..sources.runs import commit_batch, read_batches
 
 DAY_MS = 24 * 3600 * 1000
@@ -150,7 +151,7 @@ def run_incremental(spark: SparkSession, points_path: str, points_schema: str, b
         good, failures = split_failures(whole)
         if parts:
             failures = failures.unionByName(batch.where("error is not null").select("sample_id", "error"))
-        commit_batch(spark, out, str(number), {"trajectories": metrics_of_scores(score(good, bank), beta), "failures": failures})
+        commit_batch(spark, out, str(number), {"trajectories": point_metrics(good, bank, beta), "failures": failures})
         batch.unpersist()
 
     # a stream takes the settings that hold when it starts
