@@ -246,12 +246,13 @@ def _plain_auroc(fit_rows, held, columns, c):
 
 
 def _plain_protocol(rows, columns, inner, outer, grid, k):
-    means = {c: np.mean([_plain_auroc([r for r in inner if r.f != i], [r for r in inner if r.f == i], columns, c) for i in range(k)]) for c in grid}
+    ki, ko = k if isinstance(k, tuple) else (k, k)
+    means = {c: np.mean([_plain_auroc([r for r in inner if r.f != i], [r for r in inner if r.f == i], columns, c) for i in range(ki)]) for c in grid}
     best = max(grid, key=lambda c: (means[c], -grid.index(c)))
-    folds = [_plain_auroc([r for r in outer if r.f != i], [r for r in outer if r.f == i], columns, best) for i in range(k)]
+    folds = [_plain_auroc([r for r in outer if r.f != i], [r for r in outer if r.f == i], columns, best) for i in range(ko)]
     test = _plain_auroc([r for r in rows if r.split != "test"], [r for r in rows if r.split == "test"], columns, best)
     about = lambda x: pytest.approx(float(x), abs=1e-9)
-    return {"best_c": best, "inner": {c: about(m) for c, m in means.items()}, "outer_mean": about(np.mean(folds)), "outer_std": about(np.std(folds)), "test_auroc": about(test), "n_fits": len(grid) * k + k + 1}
+    return {"best_c": best, "inner": {c: about(m) for c, m in means.items()}, "outer_mean": about(np.mean(folds)), "outer_std": about(np.std(folds)), "test_auroc": about(test), "n_fits": len(grid) * ki + ko + 1}
 
 
 def test_probe_sweeps(spark, world):

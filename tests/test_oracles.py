@@ -4,7 +4,9 @@ import math
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from vecdrift.operators import features, splits
 from vecdrift.plans import registry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -34,15 +36,33 @@ def test_query_equals_sql(spark, db, small, name):
     assert got == want
 
 
-def test_probe_queries_run_the_whole_protocol(spark, small, monkeypatch):
-    seen = []
-    made = {"best_c": 1.0, "outer_mean": 0.5, "test_auroc": 0.5, "n_fits": 0}
-    protocol = lambda rows, columns, **how: seen.append(("split" in rows.columns, how)) or made
-    monkeypatch.setattr(registry.SE, "run_protocol", protocol)
-    monkeypatch.setattr(registry.P, "run_protocol", protocol)
-    registry.QUERIES["probe_base_full"](spark, small)
-    betas = [r.beta for r in registry.QUERIES["beta_probe_sweep"](spark, small).collect()]
-    assert betas == list(registry.SE.BETA_GRID) and seen == [(True, {})] * (2 + len(betas))
+def _solver(spark, wide, columns):
+    """The protocol's numbers by a plain solver, at full settings."""
+    from test_operators import _plain_protocol
+    from vecdrift.operators.probe import C_GRID
+
+    folds = [splits.kfold(wide.where(f"split {which} 'test'" if n == 5 else "split = 'train'"), n, 42, "f").collect() for n, which in ((3, ""), (5, "<>"))]
+    return wide.collect(), folds, lambda rows, own: _plain_protocol(rows, columns, *own, C_GRID, (3, 5))
+
+
+def test_probe_queries_give_a_plain_solvers_numbers(spark, small):
+    labels = registry.FX.sample_labels(spark, small)
+    samples = labels.join(splits.stratified_split(labels).select("sample_id", "split"), "sample_id")
+    layers = registry.FX.LAYERS
+    columns = features.feature_columns(layers)
+    sweep = registry.SE.full_sweep(registry._cache(spark, small), (2.0, 10.0, 30.0)).cache()
+    base = registry._wide(spark, small)
+    want = {"full_probe_sweep": {}, "beta_probe_sweep": {}}
+    for beta in (2.0, 10.0, 30.0):
+        own = features.pivot_features(sweep.where(F.col("beta") == beta), layers, features.GROUPS)
+        band = registry.SE.replace_band(base, "delta_norm_entropy", sweep.where(F.col("beta") == beta), layers)
+        for name, table in (("full_probe_sweep", own), ("beta_probe_sweep", band)):
+            rows, folds, solve = _solver(spark, samples.join(table, "sample_id"), columns)
+            want[name][beta] = solve(rows, folds)["test_auroc"]
+    for name, by_beta in want.items():
+        got = {r.beta: r.probe_auroc for r in registry.QUERIES[name](spark, small).collect()}
+        assert list(got) == list(registry.SE.BETA_GRID)
+        assert {b: got[b] for b in by_beta} == by_beta
 
 
 def test_entry(spark):

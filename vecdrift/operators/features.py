@@ -48,13 +48,13 @@ def infer_n_layers(df: DataFrame) -> int:
     return max(found) + 1
 
 
-def pivot_features(long: DataFrame, n_layers: int, groups: tuple[str, ...] = GROUPS + DIAGNOSTICS) -> DataFrame:
-    """One row per sample with {group}_l{layer} columns. The layers are given,
+def pivot_features(long: DataFrame, n_layers: int, groups: tuple[str, ...] = GROUPS + DIAGNOSTICS, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row per sample (and value of `by`) with {group}_l{layer} columns. The layers are given,
     so that no job runs to find them and the order is fixed."""
-    wide = long.groupBy("sample_id").pivot("layer", list(range(n_layers))).agg(*[F.first(g).alias(g) for g in groups])
+    wide = long.groupBy("sample_id", *by).pivot("layer", list(range(n_layers))).agg(*[F.first(g).alias(g) for g in groups])
     if len(groups) == 1:  # a single aggregate does not name its columns
         wide = wide.withColumnsRenamed({str(i): f"{i}_{groups[0]}" for i in range(n_layers)})
-    return wide.select("sample_id", *[F.col(f"{i}_{g}").alias(f"{g}_l{i}") for g in groups for i in range(n_layers)])
+    return wide.select("sample_id", *by, *[F.col(f"{i}_{g}").alias(f"{g}_l{i}") for g in groups for i in range(n_layers)])
 
 
 def check_layer_counts(long: DataFrame) -> int:

@@ -1,25 +1,30 @@
 """Logistic probes without leakage: medians, scales and weights come from the
 rows of the fit alone.
 
-All fits of a protocol step (folds and values of C) are made together by
-Newton's method: in each step one job goes over the rows once, each task adds up
-gradients and Hessians of every fit, and only their sums reach the driver."""
+All fits of a protocol step (folds and values of C, of one protocol or of many, such
+as one per temperature) are made together by Newton's method: in each step one job
+goes over the rows once, each task adds up gradients and Hessians of every fit, and
+only their sums reach the driver."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .radix import medians, packed_sums
+from .radix import packed as packed_table
 from .splits import kfold
 from .stats import auroc_by
 
 C_GRID, INNER, OUTER, SMOKE = (0.01, 0.1, 1.0, 10.0), 3, 5, 30
 STEPS, TOLERANCE, MOST_TASKS = 50, 1e-6, 20
+#: Numbers that the driver adds up itself.
+MOST_NUMBERS = 4_000_000
 
 
 class Scaling:
@@ -35,39 +40,79 @@ class Scaling:
         return np.concatenate([z, np.ones((len(z), 1))], 1)
 
 
-def packed(rows: DataFrame, columns: list[str], sets: list[Column], keep: tuple[str, ...] = ()) -> DataFrame:
-    """x (null is NaN), y, and m: the sets that the row is in."""
+def packed(rows: DataFrame, columns: list[str], sets: list[Column], keep: tuple[str, ...] = (), group: Column | None = None) -> DataFrame:
+    """x (null is NaN), y, and m: the sets that the row is in. Each group, from 0, has
+    its own sets; a row of group -1 is in none."""
     x = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in columns])
     m = F.filter(F.array(*[F.when(s, F.lit(i)) for i, s in enumerate(sets)]), lambda v: v.isNotNull())
+    if group is not None:
+        m = F.when(group >= 0, F.transform(m, lambda v: v + group * len(sets))).otherwise(F.array().cast("array<int>"))
     return rows.select(*keep, x.alias("x"), F.col("y").cast("double").alias("y"), m.alias("m"))
 
 
-def scalings(data: DataFrame, k: int) -> dict[int, Scaling]:
-    """For each set the Scaling of its rows. An exact median holds a column's
-    distinct values of one set in one task."""
-    clean = [F.when(~F.isnan(F.col("x")[i]), F.col("x")[i]) for i in range(k)]
-    sums = data.withColumn("s", F.explode("m")).groupBy("s").agg(F.count("*").alias("n"), *[F.struct(F.count(c), F.coalesce(F.median(c), F.lit(0.0)), F.coalesce(F.avg(c), F.lit(0.0)), F.coalesce(F.var_pop(c), F.lit(0.0))).alias(f"c{i}") for i, c in enumerate(clean)])
+def _columns(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]]:
+    """x, y, and the places of each set's rows."""
+    x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
+    m = batch.column("m")
+    own, row = m.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(x)), np.diff(m.offsets.to_numpy()))
+    order = np.argsort(own, kind="stable")
+    sets, starts = np.unique(own[order], return_index=True)
+    return x, batch.column("y").to_numpy(zero_copy_only=False), dict(zip(sets.tolist(), np.split(row[order], starts[1:]), strict=True)) if len(own) else {}
+
+
+def _moments(x: np.ndarray) -> np.ndarray:
+    """Of each column's numbers: how many, mean, and squared deviations."""
+    ok = ~np.isnan(x)
+    n = ok.sum(0)
+    mean = np.where(ok, x, 0.0).sum(0) / np.maximum(n, 1)
+    return np.stack([n, mean, (np.where(ok, x - mean, 0.0) ** 2).sum(0)])
+
+
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    n = np.maximum(a[0] + b[0], 1)
+    d = b[1] - a[1]
+    return np.stack([a[0] + b[0], a[1] + d * b[0] / n, a[2] + b[2] + d * d * a[0] * b[0] / n])
+
+
+def scalings(data: DataFrame, k: int, sets: set[int] | None = None, few: bool = False) -> dict[int, Scaling]:
+    """For each set (of `sets`) the Scaling of its rows. A task hands on one row per
+    set; medians are found by their bits."""
+    mine = lambda s: sets is None or s in sets
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, rows_in = {}, {}
+        for batch in batches:
+            x, _, rows = _columns(batch, k)
+            for s in filter(mine, rows):
+                own = _moments(x[rows[s]])
+                total[s], rows_in[s] = _joined(total[s], own) if s in total else own, rows_in.get(s, 0) + len(rows[s])
+        yield from packed_table(list(total), [np.r_[rows_in[s], total[s].ravel()] for s in total]).to_batches()
+
+    def unpack(batch: pa.RecordBatch) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+        x, _, rows = _columns(batch, k)
+        return x, rows
+
+    found: dict[int, np.ndarray] = {}
+    for batch in data.mapInArrow(run, "fit long, v array<double>").groupBy("fit").applyInArrow(_added_moments, "fit long, v array<double>").toArrow().to_batches():  # one row per set
+        found |= {s: v.values.to_numpy() for s, v in zip(batch.column("fit").to_pylist(), batch.column("v"), strict=True)}
+    counts = {s: v[1 : k + 1].astype(np.int64) for s, v in found.items()}
+    median_of = medians(data, unpack, counts, few) if found else {}
     out = {}
-    for r in sums.collect():  # one row per set
-        have, median, mean, var = np.array([tuple(r[f"c{i}"]) for i in range(k)], float).reshape(k, 4).T
-        n = r["n"]
+    for s, v in found.items():
+        n, (have, mean, squares), median = v[0], v[1:].reshape(3, k), median_of[s]
         # of the filled column: its other rows all hold the median
         whole = (have * mean + (n - have) * median) / n
-        scale = np.sqrt((have * (var + (mean - whole) ** 2) + (n - have) * (median - whole) ** 2) / n)
-        out[r["s"]] = Scaling(median, whole, np.where(scale > 0, scale, 1.0))
+        scale = np.sqrt((squares + have * (mean - whole) ** 2 + (n - have) * (median - whole) ** 2) / n)
+        out[s] = Scaling(median, whole, np.where(scale > 0, scale, 1.0))
     return out
 
 
-def _columns(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray, Callable[[int], np.ndarray]]:
-    """x, y, and a function from a set to its rows' places."""
-    x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
-    m = batch.column("m")
-    own, row = m.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(x)), np.diff(m.offsets.to_numpy()))
-    return x, batch.column("y").to_numpy(zero_copy_only=False), lambda s: row[own == s]
-
-
-def _sums(fits: list[int], values: list[np.ndarray]) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(fits, pa.int64()), pa.array(values, pa.list_(pa.float64()))], ["fit", "v"])
+def _added_moments(table: pa.Table) -> pa.Table:
+    parts = [np.asarray(v) for v in table.column("v").to_numpy()]
+    total = parts[0][1:].reshape(3, -1)
+    for v in parts[1:]:
+        total = _joined(total, v[1:].reshape(3, -1))
+    return packed_table([table.column("fit")[0].as_py()], [np.r_[sum(v[0] for v in parts), total.ravel()]])
 
 
 def newton(data: DataFrame, k: int, fits: list[tuple[int, float]], scale: dict[int, Scaling], few: bool = False) -> list[np.ndarray]:
@@ -76,35 +121,29 @@ def newton(data: DataFrame, k: int, fits: list[tuple[int, float]], scale: dict[i
     w = [np.zeros(k + 1) for _ in fits]
     todo = [i for i, (s, _) in enumerate(fits) if s in scale]
 
-    def step(now: list[np.ndarray], some: list[int]):
+    def step(now: list[np.ndarray], some: list[int]) -> dict[int, np.ndarray]:
+        of: dict[int, list[int]] = {}
+        for i in some:
+            of.setdefault(fits[i][0], []).append(i)
+
         def run(batches):
             total = {i: np.zeros((k + 1) * (k + 2)) for i in some}
             for batch in batches:
-                x, y, rows_of = _columns(batch, k)
-                for s in {fits[i][0] for i in some}:
-                    rows = rows_of(s)
-                    z, t = scale[s](x[rows]), y[rows]
-                    for i in some:
-                        if fits[i][0] == s:
-                            p = 1 / (1 + np.exp(-np.clip(z @ now[i], -500, 500)))
-                            total[i] += np.concatenate([z.T @ (p - t), ((z * (p * (1 - p))[:, None]).T @ z).ravel()])
-            yield _sums(list(total), list(total.values()))
-
-        # one row per fit and task; of few tasks the driver adds them, else Spark
-        packed_sums = data.mapInArrow(run, "fit long, v array<double>")
-        if few:
-            total: dict[int, np.ndarray] = {}
-            for row in packed_sums.collect():
-                total[row["fit"]] = total.get(row["fit"], 0.0) + np.array(row["v"])
-            return [{"fit": i, "v": v} for i, v in total.items()]
-        return packed_sums.groupBy("fit").applyInArrow(lambda t: pa.Table.from_batches([_sums(t.column("fit").to_pylist()[:1], [np.sum(np.stack(t.column("v").to_numpy()), 0)])]), packed_sums.schema).collect()
+                x, y, rows = _columns(batch, k)
+                for s in of.keys() & rows.keys():
+                    z, t = scale[s](x[rows[s]]), y[rows[s]]
+                    for i in of[s]:
+                        p = 1 / (1 + np.exp(-np.clip(z @ now[i], -500, 500)))
+                        total[i] += np.concatenate([z.T @ (p - t), ((z * (p * (1 - p))[:, None]).T @ z).ravel()])
+            yield from packed_table(list(total), list(total.values())).to_batches()
+
+        return packed_sums(data.mapInArrow(run, "fit long, v array<double>"), few and MOST_TASKS * len(some) * (k + 1) * (k + 2) <= MOST_NUMBERS)
 
     for _ in range(STEPS):
         if not todo:
             break
         left = []
-        for row in step(w, todo):
-            i, v = row["fit"], np.array(row["v"])
+        for i, v in step(w, todo).items():
             penalty = np.r_[np.full(k, 1 / fits[i][1]), 0.0]
             change = np.linalg.lstsq(v[k + 1 :].reshape(k + 1, k + 1) + np.diag(penalty), v[: k + 1] + penalty * w[i], rcond=None)[0]
             w[i] = w[i] - change
@@ -123,7 +162,7 @@ def scored(data: DataFrame, k: int, fits: list[tuple[int, float]], weights: list
         for batch in batches:
             x, y, rows_of = _columns(batch, k)
             for i, (s, _) in enumerate(fits):
-                rows = rows_of(held[s])
+                rows = rows_of.get(held[s], ())
                 if s in scale and len(rows):
                     p = 1 / (1 + np.exp(-np.clip(scale[s](x[rows]) @ weights[i], -500, 500)))
                     yield pa.record_batch([*[batch.column(c).take(pa.array(rows)) for c in keep], pa.array(np.full(len(rows), i)), pa.array(y[rows].astype(np.int32)), pa.array(p)], names)
@@ -176,35 +215,57 @@ def run_protocol(rows: DataFrame, columns: list[str], grid: tuple[float, ...] =
     val, refitted there, and tested once. Returns best_c, inner (mean AUROC by C),
     outer_mean, outer_std (population), test_auroc, test (a DataFrame) and n_fits.
     `fitted` gets the rows of each fit."""
+    one = rows.withColumn("_one", F.lit(0))
+    return run_protocols(one, columns, "_one", [0], grid, inner, outer, seed, fitted)[0]
+
+
+def run_protocols(rows: DataFrame, columns: list[str], by: str, groups: list, grid: tuple[float, ...] = C_GRID, inner: int = INNER, outer: int = OUTER, seed: int = 42, fitted: Callable[[DataFrame], None] | None = None) -> dict:
+    """run_protocol() on the rows of each of the groups (values of `by`), by group.
+    The fits of all groups are made together, so that there are as many jobs as for
+    one."""
     tasks = task_count(rows)
-    both = kfold(rows.where("split = 'train'"), inner, seed, "_inner").unionByName(rows.where("split <> 'train'").withColumn("_inner", F.lit(None).cast("int")))
-    both = kfold(both.where("split in ('train', 'val')"), outer, seed, "_outer").unionByName(both.where("split = 'test'").withColumn("_outer", F.lit(None).cast("int")))
+    few = tasks <= MOST_TASKS
+    none = lambda d, c: d.withColumn(c, F.lit(None).cast("int"))
+    both = kfold(rows.where("split = 'train'"), inner, seed, "_inner", (by,)).unionByName(none(rows.where("split <> 'train'"), "_inner"))
+    both = kfold(both.where("split in ('train', 'val')"), outer, seed, "_outer", (by,)).unionByName(none(both.where("split = 'test'"), "_outer"))
     train, fit_rows, k = F.col("split") == "train", F.col("split").isin("train", "val"), len(columns)
     # sets to fit on, then those that these are held to
     fit_sets = [*[train & (F.col("_inner") != i) for i in range(inner)], *[fit_rows & (F.col("_outer") != i) for i in range(outer)], fit_rows]
     held_sets = [*[train & (F.col("_inner") == i) for i in range(inner)], *[fit_rows & (F.col("_outer") == i) for i in range(outer)], F.col("split") == "test"]
-    held = {i: len(fit_sets) + i for i in range(len(fit_sets))}
-    data = packed(both, columns, fit_sets + held_sets, ("sample_id",)).coalesce(tasks).persist()
-    scale = scalings(data, k)
+    half = len(fit_sets)
+    set_of = lambda g, i: 2 * half * g + i
+    held = {set_of(g, i): set_of(g, half + i) for g in range(len(groups)) for i in range(half)}
+    data = packed(both, columns, fit_sets + held_sets, ("sample_id",), _place(by, groups)).coalesce(tasks).persist()
+    scale = scalings(data, k, set(held), few)
 
     def run(fits: list[tuple[int, float]]) -> DataFrame:
         if fitted:
             for s, _ in fits:
-                fitted(both.where(fit_sets[s]))
-        return scored(data, k, fits, newton(data, k, fits, scale, tasks <= MOST_TASKS), scale, held, ("sample_id",))
-
-    first = [(i, c) for c in grid for i in range(inner)]
-    got = _aurocs(run(first))
-    means = {c: _mean([got[j] for j, (_, own) in enumerate(first) if own == c and j in got]) for c in grid}
-    best = max(grid, key=lambda c: (means[c] if not math.isnan(means[c]) else -1, -grid.index(c)))
-    made = run([(inner + i, best) for i in range(outer + 1)])
+                fitted(both.where((F.col(by) == F.lit(groups[s // (2 * half)])) & fit_sets[s % (2 * half)]))
+        return scored(data, k, fits, newton(data, k, fits, scale, few), scale, held, ("sample_id",))
+
+    first = [(g, i, c) for g in range(len(groups)) for c in grid for i in range(inner)]
+    got = _aurocs(run([(set_of(g, i), c) for g, i, c in first]))
+    means = [{c: _mean([got[j] for j, (at, _, own) in enumerate(first) if (at, own) == (g, c) and j in got]) for c in grid} for g in range(len(groups))]
+    best = [max(grid, key=lambda c, m=m: (m[c] if not math.isnan(m[c]) else -1, -grid.index(c))) for m in means]
+    made = run([(set_of(g, inner + i), best[g]) for g in range(len(groups)) for i in range(outer + 1)])
     got = _aurocs(made)
-    folds = [got[i] for i in range(outer) if i in got]
-    mean = _mean(folds)
-    return {
-        "best_c": best, "inner": means, "outer_mean": mean, "outer_std": math.sqrt(_mean([(x - mean) ** 2 for x in folds])) if folds else math.nan,
-        "test_auroc": got.get(outer), "test": made.where(F.col("fit") == outer).drop("fit"), "n_fits": len(grid) * inner + outer + 1,
-    }
+    data.unpersist()  # `test` reads the rows again
+    out = {}
+    for g, v in enumerate(groups):
+        start = g * (outer + 1)
+        folds = [got[start + i] for i in range(outer) if start + i in got]
+        mean = _mean(folds)
+        out[v] = {
+            "best_c": best[g], "inner": means[g], "outer_mean": mean, "outer_std": math.sqrt(_mean([(x - mean) ** 2 for x in folds])) if folds else math.nan,
+            "test_auroc": got.get(start + outer), "test": made.where(F.col("fit") == start + outer).drop("fit"), "n_fits": len(grid) * inner + outer + 1,
+        }
+    return out
+
+
+def _place(by: str, groups: list) -> Column:
+    """The place of the row's value of `by` in groups, or -1."""
+    return F.coalesce(*[F.when(F.col(by) == F.lit(v), F.lit(g)) for g, v in enumerate(groups)], F.lit(-1))
 
 
 def run_base_and_full(rows: DataFrame, base: list[str], phi: list[str], **how) -> dict:
@@ -223,3 +284,13 @@ def in_sample(rows: DataFrame, columns: list[str], c: float = 1.0) -> dict:
         return {"best_c": c, "test_auroc": math.nan, "smoke": True}
     made = Probe(columns, c).fit(rows).scores(rows)
     return {"best_c": c, "test_auroc": _aurocs(made.withColumn("fit", F.lit(0))).get(0), "test": made, "smoke": True}
+
+
+def in_samples(rows: DataFrame, columns: list[str], by: str, groups: list, c: float = 1.0) -> dict:
+    """AUROC by group (value of `by`) of one fit on all its rows; groups of one class
+    have none. The fits are made together."""
+    data = packed(compact(rows), columns, [F.lit(True)], ("sample_id",), _place(by, groups)).persist()
+    fits, scale = [(g, c) for g in range(len(groups))], scalings(data, len(columns))
+    got = _aurocs(scored(data, len(columns), fits, newton(data, len(columns), fits, scale), scale, {g: g for g, _ in fits}))
+    data.unpersist()
+    return {v: got[g] for g, v in enumerate(groups) if g in got}

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .calibration import BETA_GRID
 from .features import BASELINES, GROUPS, feature_columns, feature_long, pivot_features
 from .kernel import metric_rows, norm_entropies
-from .probe import in_sample, run_protocol
+from .probe import in_samples, run_protocols
 from .selection import having_scores
 from .trajectory import metrics_of_scores
 
@@ -59,47 +59,44 @@ def mean_over_layers(sweep: DataFrame) -> DataFrame:
     return sweep.groupBy("beta", "sample_id").agg(F.avg("delta_norm_entropy").alias("mean_delta_hbar"))
 
 
-def replace_band(wide: DataFrame, group: str, long: DataFrame, n_layers: int) -> DataFrame:
-    """The wide table with one group's columns taken from long rows."""
+def replace_band(wide: DataFrame, group: str, long: DataFrame, n_layers: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """The wide table with one group's columns taken from long rows (once for each
+    value of `by`)."""
     names = [f"{group}_l{i}" for i in range(n_layers)]
-    return wide.drop(*names).join(pivot_features(long, n_layers, (group,)), "sample_id")
-
-
-def _probe_auroc(rows: DataFrame, columns: list[str], **how) -> float:
-    """The protocol's test AUROC on the labelled rows. Without a split or with
-    few of them, in sample with C = 1; without both classes NaN."""
-    rows = rows.where(F.col("y").isNotNull()).cache()
-    n, classes = rows.agg(F.count("*"), F.count_distinct("y")).first()
-    if classes < 2:
-        a = math.nan
-    elif n < FEW_LABELLED or "split" not in rows.columns:
-        a = in_sample(rows, columns)["test_auroc"]
-    else:
-        a = run_protocol(rows, columns, **how)["test_auroc"]
+    return wide.drop(*names).join(pivot_features(long, n_layers, (group,), by), "sample_id")
+
+
+def _probe_aurocs(rows: DataFrame, columns: list[str], grid: tuple[float, ...], **how) -> DataFrame:
+    """rows: beta and what run_protocol() needs. beta, probe_auroc: the protocol's
+    test AUROC on the labelled rows of each beta. Without a split or with few rows,
+    in sample with C = 1; without both classes NaN. All betas are fitted together."""
+    rows = rows.where(F.col("y").isNotNull()).persist()
+    seen = {r["beta"]: r for r in rows.groupBy("beta").agg(F.count("*").alias("n"), F.count_distinct("y").alias("classes")).collect()}  # one row per beta
+    both = [b for b in grid if b in seen and seen[b]["classes"] > 1]
+    few = [b for b in both if seen[b]["n"] < FEW_LABELLED or "split" not in rows.columns]
+    many = [b for b in both if b not in few]
+    got = {b: r["test_auroc"] for b, r in run_protocols(rows, columns, "beta", many, **how).items()} if many else {}
+    if few:
+        got |= in_samples(rows, columns, "beta", few)
     rows.unpersist()
-    return math.nan if a is None else float(a)
+    out = [(float(b), math.nan if got.get(b) is None else float(got[b])) for b in grid]
+    return rows.sparkSession.createDataFrame(out, "beta double, probe_auroc double")
 
 
 def beta_probe_sweep(wide: DataFrame, sweep: DataFrame, n_layers: int, grid: tuple[float, ...] = BETA_GRID, **how) -> DataFrame:
     """wide: features, y and perhaps split; sweep: entropy_sweep(). beta,
     probe_auroc: the full probe with only the delta_norm_entropy band taken at
-    beta (see _probe_auroc)."""
+    beta (see _probe_aurocs)."""
     columns = [*[b for b in BASELINES if b in wide.columns], *feature_columns(n_layers, GROUPS)]
-    sweep, wide = sweep.cache(), wide.cache()
-    out = [(float(b), _probe_auroc(replace_band(wide, "delta_norm_entropy", sweep.where(F.col("beta") == b).select("sample_id", "layer", "delta_norm_entropy"), n_layers), columns, **how)) for b in grid]
-    sweep.unpersist(), wide.unpersist()
-    return wide.sparkSession.createDataFrame(out, "beta double, probe_auroc double")
+    return _probe_aurocs(replace_band(wide, "delta_norm_entropy", sweep, n_layers, ("beta",)), columns, grid, **how)
 
 
 def full_probe_sweep(sweep: DataFrame, samples: DataFrame, n_layers: int, grid: tuple[float, ...] = BETA_GRID, **how) -> DataFrame:
     """sweep: full_sweep(); samples: sample_id, y, perhaps split and baselines,
     the same for every beta. beta, probe_auroc: the full probe on the table that
-    is recomputed as a whole at beta (see _probe_auroc)."""
+    is recomputed as a whole at beta (see _probe_aurocs)."""
     columns = [*[b for b in BASELINES if b in samples.columns], *feature_columns(n_layers, GROUPS)]
-    sweep, samples = sweep.cache(), samples.cache()
-    out = [(float(b), _probe_auroc(samples.join(pivot_features(sweep.where(F.col("beta") == b), n_layers, GROUPS), "sample_id"), columns, **how)) for b in grid]
-    sweep.unpersist(), samples.unpersist()
-    return sweep.sparkSession.createDataFrame(out, "beta double, probe_auroc double")
+    return _probe_aurocs(samples.join(pivot_features(sweep, n_layers, GROUPS, ("beta",)), "sample_id"), columns, grid, **how)
 
 
 def sensitivity_table(sweep: DataFrame, labels: DataFrame, probes: DataFrame | None = None) -> DataFrame:

@@ -11,16 +11,19 @@ RATIOS = (0.70, 0.15, 0.15)
 MOST_IDS = 20_000_000
 
 
-def place_in_class(rows: DataFrame, seed: int) -> DataFrame:
-    """Adds _p: the row's place, from 1, in the md5 order of its class. The md5's
-    leading digits are the bucket, whose size is known beforehand; a class of any
-    size is dealt over 4096 of them."""
+def place_in_class(rows: DataFrame, seed: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """Adds _p: the row's place, from 1, in the md5 order of its class (of each value
+    of `by`). The md5's leading digits are the bucket, whose size is known beforehand;
+    a class of any size is dealt over 4096 of them."""
     keyed = rows.withColumn("_o", keyed_order(seed, "sample_id")).withColumn("_b", F.conv(F.substring("_o", 1, 3), 16, 10).cast("int"))
-    before = Window.partitionBy("y").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = keyed.groupBy("y", "_b").count().select(F.col("y").alias("_y"), F.col("_b").alias("_c"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
-    inside = F.row_number().over(Window.partitionBy("y", "_b").orderBy("_o", "sample_id"))
-    placed = keyed.withColumn("_in", inside).join(F.broadcast(starts), F.col("y").eqNullSafe(F.col("_y")) & (F.col("_b") == F.col("_c")))
-    return placed.withColumn("_p", F.col("_start") + F.col("_in")).drop("_o", "_b", "_in", "_start", "_y", "_c")
+    keys = ["y", *by]
+    names = [f"_y{i}" for i in range(len(keys))]
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = keyed.groupBy(*keys, "_b").count().select(*[F.col(c).alias(n) for c, n in zip(keys, names, strict=True)], F.col("_b").alias("_c"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy("y", "_b", *by).orderBy("_o", "sample_id"))
+    same = [F.col(c).eqNullSafe(F.col(n)) for c, n in zip(keys, names, strict=True)]
+    placed = keyed.withColumn("_in", inside).join(F.broadcast(starts), [*same, F.col("_b") == F.col("_c")])
+    return placed.withColumn("_p", F.col("_start") + F.col("_in")).drop("_o", "_b", "_in", "_start", *names, "_c")
 
 
 def id_set_hash(ids: DataFrame) -> DataFrame:
@@ -85,9 +88,10 @@ def locked_split(rows: DataFrame, path: str, seed: int = 42, ratios: tuple[float
     return check_locked(stored, spark.read.json(f"{path}/hash").first()["hash"])
 
 
-def kfold(rows: DataFrame, k: int, seed: int = 42, out: str = "fold") -> DataFrame:
-    """rows: sample_id, y. Adds a stratified fold from 0 to k-1."""
-    return place_in_class(rows, seed).withColumn(out, F.pmod(F.col("_p") - 1, F.lit(k)).cast("int")).drop("_p")
+def kfold(rows: DataFrame, k: int, seed: int = 42, out: str = "fold", by: tuple[str, ...] = ()) -> DataFrame:
+    """rows: sample_id, y. Adds a stratified fold from 0 to k-1 (in each value of
+    `by`)."""
+    return place_in_class(rows, seed, by).withColumn(out, F.pmod(F.col("_p") - 1, F.lit(k)).cast("int")).drop("_p")
 
 
 def rows_of_split(rows: DataFrame, split: DataFrame, *names: str) -> DataFrame:

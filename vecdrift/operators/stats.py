@@ -137,8 +137,13 @@ def average_ranks(rows: DataFrame) -> DataFrame:
 
 def per_feature_folded_auroc(rows: DataFrame) -> DataFrame:
     """rows: sample_id, feature, value, y. feature, auroc, folded_auroc."""
-    filled = auroc_by(median_imputed(rows), ["feature"], score="value")
-    return filled.select("feature", "auroc", folded("auroc").alias("folded_auroc"))
+    rows = rows.persist()
+    try:
+        filled = auroc_by(median_imputed(rows), ["feature"], score="value")
+        found = filled.select("feature", "auroc", folded("auroc").alias("folded_auroc"))
+        return rows.sparkSession.createDataFrame(found.collect(), found.schema)  # one row per feature
+    finally:
+        rows.unpersist()
 
 
 def permutation_null(rows: DataFrame, n_permutation: int, seed: int = 42) -> DataFrame:
@@ -160,7 +165,8 @@ def permutation_scan(rows: DataFrame, n_permutation: int = N_PERMUTATION, seed:
     """One row per feature: auroc, folded_auroc, threshold, significant (strictly
     above), and n_significant over all. Rows without a label are left out. Ranks are
     made once, for the scan and its null."""
-    ranked = average_ranks(median_imputed(rows.where(F.col("y").isNotNull()))).persist()
+    rows = rows.where(F.col("y").isNotNull()).persist()
+    ranked = average_ranks(median_imputed(rows)).persist()
     try:
         threshold = _null_of(ranked, n_permutation, seed).agg(F.expr(f"percentile(null_max, {percentile / 100})")).first()[0]
         n_pos = F.sum((F.col("y") == 1).cast("long"))
@@ -168,7 +174,7 @@ def permutation_scan(rows: DataFrame, n_permutation: int = N_PERMUTATION, seed:
         scan = sums.select("feature", _ranked_auroc(F.col("rank_sum"), F.col("n_pos"), F.col("n_neg")).alias("auroc"))
         scan = rows.sparkSession.createDataFrame(scan.collect(), scan.schema)  # one row per feature
     finally:
-        ranked.unpersist()
+        ranked.unpersist(), rows.unpersist()
     found = scan.withColumn("folded_auroc", folded("auroc")).withColumn("threshold", F.lit(threshold).cast("double")).withColumn("significant", F.col("folded_auroc") > F.col("threshold"))
     return found.withColumn("n_significant", F.sum(F.col("significant").cast("long")).over(Window.partitionBy()))
 
