@@ -13,6 +13,7 @@ from .features import BASELINES, GROUPS, feature_columns, feature_long, pivot_fe
 from .kernel import metric_rows, norm_entropies
 from .probe import in_samples, run_protocols
 from .selection import having_scores
+from .tiled import metrics_by_beta, scalars_by_beta
 from .trajectory import metrics_of_scores
 
 FEW_LABELLED = 20
@@ -49,7 +50,21 @@ def full_sweep(cache: DataFrame, grid: tuple[float, ...] = BETA_GRID) -> DataFra
 def entropy_sweep(cache: DataFrame, grid: tuple[float, ...] = BETA_GRID) -> DataFrame:
     """Only delta_norm_entropy for every beta: (beta, sample_id, layer). Scores
     stay in their task; one number per row and beta leaves it."""
-    h = norm_entropies(cached_scores(cache), grid, ("sample_id", "layer", "position"))
+    return _entropy_deltas(norm_entropies(cached_scores(cache), grid, ("sample_id", "layer", "position")))
+
+
+def entropy_sweep_of_points(points: DataFrame, bank: DataFrame, grid: tuple[float, ...] = BETA_GRID, way: str = "auto") -> DataFrame:
+    """entropy_sweep() without a cache: points meet the bank tile by tile, once for
+    all betas, and no row of scores is held."""
+    return _entropy_deltas(scalars_by_beta(points, bank, grid, way).withColumnRenamed("norm_entropy", "h"))
+
+
+def full_sweep_of_points(points: DataFrame, bank: DataFrame, grid: tuple[float, ...] = BETA_GRID, way: str = "auto") -> DataFrame:
+    """full_sweep() without a cache, likewise."""
+    return feature_long(metrics_by_beta(points, bank, grid, way), by=("beta",))
+
+
+def _entropy_deltas(h: DataFrame) -> DataFrame:
     mean = F.avg(F.when(F.col("position") > 0, F.col("h"))) - F.max(F.when(F.col("position") == 0, F.col("h")))
     return h.groupBy("beta", "sample_id", "layer").agg(mean.alias("delta_norm_entropy"))
 
