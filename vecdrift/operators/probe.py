@@ -195,9 +195,10 @@ def task_count(rows: DataFrame, per_task: int = 50_000) -> int:
 
 
 def compact(rows: DataFrame, per_task: int = 50_000) -> DataFrame:
-    """Few rows in few partitions."""
+    """Few rows in few partitions. They are shuffled to these: coalesced, a task would
+    do the joins and sorts before it for many partitions and hold their memory."""
     n = task_count(rows, per_task)
-    return rows.coalesce(n) if n < MOST_TASKS else rows
+    return rows.repartition(n) if n < MOST_TASKS else rows
 
 
 def _aurocs(rows: DataFrame) -> dict[int, float]:
@@ -235,7 +236,7 @@ def run_protocols(rows: DataFrame, columns: list[str], by: str, groups: list, gr
     half = len(fit_sets)
     set_of = lambda g, i: 2 * half * g + i
     held = {set_of(g, i): set_of(g, half + i) for g in range(len(groups)) for i in range(half)}
-    data = packed(both, columns, fit_sets + held_sets, ("sample_id",), _place(by, groups)).coalesce(tasks).persist()
+    data = packed(both, columns, fit_sets + held_sets, ("sample_id",), _place(by, groups)).repartition(tasks, "sample_id").persist()  # coalesced, a task would do the joins and sorts of many
     scale = scalings(data, k, set(held), few)
 
     def run(fits: list[tuple[int, float]]) -> DataFrame:
