@@ -84,3 +84,13 @@ def test_failures_equal_sql_where_the_table_ends_within_a_sample(spark, small, t
     result = con.execute(registry.ORACLE_SQL[name])
     columns = [d[0] for d in result.description]
     assert sorted(map(tuple, df.select(*columns).collect()), key=repr) == sorted(result.fetchall(), key=repr)
+
+
+@pytest.mark.parametrize("name", ["failure_isolation", "nan_placeholders", "run_report"])
+@pytest.mark.parametrize("first", [28, 33, 34])
+def test_planted_failures_where_the_table_begins_within_a_sample(spark, small, tmp_path, name, first):
+    db = duckdb.connect()
+    db.execute(f"COPY (FROM '{small}/embeddings.parquet' WHERE vec_id >= {first}) TO '{tmp_path}/embeddings.parquet'")
+    db.execute(f"CREATE VIEW embeddings AS FROM '{tmp_path}/embeddings.parquet'")
+    got = [tuple(r) for r in registry.QUERIES[name](spark, str(tmp_path)).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, db.execute(registry.ORACLE_SQL[name]).fetchall()))
