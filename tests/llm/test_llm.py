@@ -852,3 +852,25 @@ def test_forest_and_its_threshold_come_from_every_labelled_row(spark):
     assert cost(limit) <= min(map(cost, options)) + 5 and (a[good] <= limit).mean() >= 0.95
     again = rules_forest.fit_all(rows.repartition(5), trees=60, per_tree=64, depth=6)
     assert all(np.array_equal(forest[c], again[c]) for c in ("what", "value", "length"))
+
+
+def test_near_duplicates_leave_no_tables_of_keys(spark, monkeypatch):
+    """The pipeline's near_dedup: the tables of keys are gone when links are found, and
+    the setting that deletes shuffles is as before."""
+    made = []
+    write = common.materialize
+
+    def noted(df):
+        table = write(df)
+        made.append((set(df.columns), table))
+        return table
+
+    monkeypatch.setattr(simhash, "materialize", noted)
+    before = spark.conf.get(common.CLEANUP)
+    docs = spark.createDataFrame([(i, " ".join(f"w{j + i // 2}" for j in range(40))) for i in range(8)], "doc_id long, text string")
+    simhash.near_sets(docs, 5, 0.8, simhash.TILE, simhash.TILE_ITEMS)
+    keyed = [t for c, t in made if {"key", "node"} <= c]
+    assert len(keyed) == 2 and spark.conf.get(common.CLEANUP) == before
+    for t in keyed:
+        with pytest.raises(Exception, match="(?i)not exist|not found|path"):
+            t.count()

@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import among, bounded_batches, joined_to_groups, materialize, pieces_of, tidy, text_bytes
+from .common import Scratch, among, bounded_batches, joined_to_groups, materialize, pieces_of, tidy, text_bytes
 from .golay import list_keys
 from .graph import components
 from .pretoken import coded_words, offsets, runs, strings, sums
@@ -429,7 +429,8 @@ def shared_keys(keyed: DataFrame, n_rows: int) -> DataFrame:
         return pa.record_batch([pa.array(np.repeat(sums, size)[many].view(np.int64)), pa.array(node[many])], ["key", "node"])
 
     shared = keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(tidy(run), "key long, node long")
-    return (shared.unionAll(some) if some is not None else shared).distinct()
+    found = materialize(shared.unionAll(some) if some is not None else shared)  # few: the shuffle of all keys goes first
+    return found.distinct()
 
 
 def similar_forest(nodes: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -603,8 +604,11 @@ def near_sets(docs: DataFrame, k: int, similarity: float, tile: int, items: int)
     wide = rows.join(nodes.select("s0", "s1", "node"), ["s0", "s1"]) if moved else rows.withColumn("node", F.xxhash64("s0", "s1"))
     counts = nodes.select("node", *[F.col(c).alias(f"f{i}") for i, c in enumerate(COUNTED)])
     n_rows, n_keys = rows.agg(F.count("*"), F.coalesce(F.sum(F.size("first") + 3 * TABLES), F.lit(0))).first()
-    keyed = materialize(shared_keys(table_keys(wide, n_rows), n_keys).join(counts, "node"))
+    keys = Scratch(docs.sparkSession)
+    with keys.open():
+        keyed = materialize(shared_keys(table_keys(wide, n_rows), n_keys).join(counts, "node"))
     edges = materialize(bucket_links(keyed, len(COUNTED), 0, tile, lambda a, b: may_be_similar(a, b, similarity)).distinct())
+    keys.close()
     loose = materialize(components(edges))
     wanted = loose.join(nodes.select("node", "one"), "node").select("node", "root", F.col("one.doc_id").alias("_id"), F.col("one.t0").alias("t0"), F.col("one.t1").alias("t1"))
 
