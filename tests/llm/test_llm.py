@@ -4,6 +4,7 @@ null, empty, long, repeated and tied rows."""
 import collections
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -874,3 +875,42 @@ def test_near_duplicates_leave_no_tables_of_keys(spark, monkeypatch):
     for t in keyed:
         with pytest.raises(Exception, match="(?i)not exist|not found|path"):
             t.count()
+
+
+def test_near_duplicates_shuffle_keys_in_slices(spark, monkeypatch):
+    """Each slice's rows are shuffled and written on their own: no shuffle holds all
+    keys. Every key is in one slice, and the profiles are gone when candidates meet."""
+    rng, held, slices, turns = random.Random(5), [], [], []
+    texts = [" ".join(rng.choice("abcdefghij") * 3 for _ in range(60)) for _ in range(30)]
+    docs = spark.createDataFrame([(i, t + " end" * (i % 2)) for i, t in enumerate([t for t in texts for _ in range(2)])], "doc_id long, text string")
+    write, in_turn, keys = simhash.materialize, common.in_turn, simhash.table_keys
+
+    def noted(df):
+        out = write(df)
+        held.append((df.columns, out.inputFiles()))
+        return out
+
+    def turned(parts):
+        turns.append(len(parts))
+        out = in_turn(parts)
+        held.append((out.columns, out.inputFiles()))
+        return out
+
+    def sliced(*given):
+        slices.append(keys(*given))
+        return slices[-1]
+
+    monkeypatch.setattr(simhash, "materialize", noted)
+    monkeypatch.setattr(simhash, "in_turn", turned)
+    monkeypatch.setattr(simhash, "table_keys", sliced)
+    _, grouped = simhash.near_sets(docs, 5, 0.8, simhash.TILE, simhash.TILE_ITEMS)
+    assert grouped.groupBy("root").count().count() == 30
+    exists = [(columns, os.path.exists(files[0].removeprefix("file:"))) for columns, files in held if files]
+    assert all(not there for columns, there in exists if "first" in columns or columns in (["key", "node"], ["a", "b"]) or "items" in columns)
+    assert turns == [simhash.SLICES] * 2 and simhash.SLICES > 1 and len(slices) == simhash.SLICES + 1
+
+
+def test_slices_hold_every_key_once():
+    keys = np.arange(-5000, 5000, dtype=np.int64) << 12
+    n = np.bincount(simhash.sliced(keys, 4), minlength=4)
+    assert n.sum() == len(keys) and n.min() > 2300

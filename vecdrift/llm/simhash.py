@@ -26,6 +26,10 @@ their links instead of all pairs. A key or group with more than TILE rows is
 dealt out as pairs of tiles, each a task-sized unit of its own; see verified()
 for large groups of candidates.
 
+Disk: near_duplicates() shuffles its keys in SLICES, one after another, so that
+the disk holds one slice's shuffle at a time, and deletes each table once its
+consumers are written.
+
 Defined results: a null text is the empty text; texts without words have
 fingerprint zero, linked like any other; repeated rows are in one component;
 a null doc_id takes part in links but is never the id of a component unless all
@@ -36,7 +40,6 @@ drop_near_duplicates() and do not matter to the rest.
 
 from __future__ import annotations
 
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -44,7 +47,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, among, bounded_batches, joined_to_groups, materialize, pieces_of, tidy, text_bytes
+from .common import Scratch, among, bounded_batches, in_turn, joined_to_groups, materialize, pieces_of, tidy, text_bytes
 from .golay import list_keys
 from .graph import components
 from .pretoken import coded_words, offsets, runs, strings, sums
@@ -57,6 +60,7 @@ TOKEN = 1 << 62  # added to the keys that are shingles
 COUNT_WORDS = 8  # of 16 counts each
 COMMON_SAMPLE, COMMON_LEAST, COMMON_MOST = 4000, 4, 50_000
 HOT_KEY = 20_000
+SLICES = 4
 TILE_ITEMS = 2_000_000
 TILE = 2000
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
@@ -223,10 +227,11 @@ def _forest(fps: np.ndarray, is_near) -> list[tuple[int, int]]:
     return links
 
 
-def bucket_links(keyed: DataFrame, words: int, most: int, tile: int = TILE, is_near=None) -> DataFrame:
+def bucket_links(keyed: DataFrame, words: int, most: int, tile: int = TILE, is_near=None, slices: int = 1) -> DataFrame:
     """keyed: key, node, f0.. (long). Links a, b between nodes that share a key
     and differ in at most `most` bits, or are near by is_near(rows, rows): all of
-    them for keys with few rows, a spanning forest for the others."""
+    them for keys with few rows, a spanning forest for the others. Several slices of
+    the keys are shuffled one after another, and their links written."""
     columns = [f"f{i}" for i in range(words)]
     if is_near is None:
 
@@ -276,7 +281,11 @@ def bucket_links(keyed: DataFrame, words: int, most: int, tile: int = TILE, is_n
             yield pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
 
     keyed = tiled(keyed, "key", "node", tile)
-    return keyed.repartition("key", "unit").sortWithinPartitions("key", "unit").mapInArrow(tidy(run), "a long, b long").where("a <> b")
+    links = lambda rows: rows.repartition("key", "unit").sortWithinPartitions("key", "unit").mapInArrow(tidy(run), "a long, b long").where("a <> b")
+    if slices == 1:
+        return links(keyed)
+    slot = F.pmod(F.xxhash64("key", F.lit(13)), F.lit(slices))
+    return in_turn([links(keyed.where(slot == i)) for i in range(slices)])
 
 
 def near_fingerprints(docs: DataFrame, k: int = 3) -> DataFrame:
@@ -369,16 +378,23 @@ def equal_bits(nodes: int) -> int:
     return max(EQUAL_BITS, int(nodes).bit_length() - 11)
 
 
-def table_keys(nodes: DataFrame, n_rows: int) -> DataFrame:
-    """Rows key, node for the keys of the wide fingerprint and of the prefix."""
+def sliced(keys: np.ndarray, n: int) -> np.ndarray:
+    """The slice, of n, that each key belongs to."""
+    return (spread(keys.view(np.uint64), 1)[:, 0] % np.uint64(n)).astype(np.int64)
+
+
+def table_keys(nodes: DataFrame, n_rows: int, slice_: int = 0, slices: int = 1) -> DataFrame:
+    """Rows key, node for the keys of the wide fingerprint and of the prefix: those
+    of one slice."""
     bits_taken = equal_bits(n_rows)
     tables = min(TABLES, WIDE_WORDS * 64 // (bits_taken + SEGMENT))
 
     def run(batches):
         for batch in batches:
+            node = batch.column("node").to_numpy()
             first = batch.column("first").flatten().to_numpy().view(np.uint64)
-            owner = batch.column("node").take(batch.column("first").value_parent_indices()) if len(first) else batch.column("node").slice(0, 0)
-            yield pa.record_batch([pa.array(((first >> np.uint64(2)) | np.uint64(TOKEN)).view(np.int64)), owner], ["key", "node"])
+            owner = node[batch.column("first").value_parent_indices().to_numpy()] if len(first) else node[:0]
+            yield own(((first >> np.uint64(2)) | np.uint64(TOKEN)).view(np.int64), owner)
             wide = np.stack([batch.column(c).to_numpy() for c in WIDE], 1).view(np.uint64)
             bits = np.unpackbits(np.ascontiguousarray(wide.astype(">u8")).view(np.uint8).reshape(len(wide), -1), axis=1)
             number = lambda part: part.astype(np.int64) @ (1 << np.arange(part.shape[1], dtype=np.int64))
@@ -387,23 +403,29 @@ def table_keys(nodes: DataFrame, n_rows: int) -> DataFrame:
                 middle = at + bits_taken
                 equal, index = number(bits[:, at:middle]), list_keys(number(bits[:, middle : middle + SEGMENT]))
                 row, column = np.nonzero(index >= 0)
-                key = (np.int64(t) << 56) | (equal[row] << 12) | index[row, column]
-                yield pa.record_batch([pa.array(key), batch.column("node").take(pa.array(row))], ["key", "node"])
+                yield own((np.int64(t) << 56) | (equal[row] << 12) | index[row, column], node[row])
+
+    def own(key, node):
+        if slices > 1:
+            mine = sliced(key, slices) == slice_
+            key, node = key[mine], node[mine]
+        return pa.record_batch([pa.array(key), pa.array(node)], ["key", "node"])
 
     return nodes.select("node", "first", *WIDE).mapInArrow(tidy(run), "key long, node long")
 
 
-def shared_keys(keyed: DataFrame, n_rows: int) -> DataFrame:
-    """The rows of keys that two nodes or more have. Keys of the same nodes are
-    one: the new key is a digest of its nodes. Rows of a key meet in a task for
-    it; those of hot keys are summed map-side instead, and get it by a join."""
+def shared_keys(wide: DataFrame, n_rows: int, n_keys: int, slices: int = SLICES) -> DataFrame:
+    """The rows of table_keys() that two nodes or more have, some of them twice. Keys
+    of the same nodes are one: the new key is a digest of its nodes. Rows of a key
+    meet in a task for it, a slice of the keys at a time; those of hot keys are
+    summed map-side instead, and get it by a join."""
+    keyed = table_keys(wide, n_rows)
     mixed = F.sum(F.xxhash64("node", F.lit(5)).cast("decimal(38,0)"))
-    hot = materialize(heavy(keyed, "key", HOT_KEY, F.count("*").alias("_sum"), mixed.alias("_mixed"), n_rows=n_rows).select(F.col("key").alias("_hot"), F.xxhash64("_mixed", "_sum").alias("_digest")))
-    some = None
+    hot = materialize(heavy(keyed, "key", HOT_KEY, F.count("*").alias("_sum"), mixed.alias("_mixed"), n_rows=n_keys).select(F.col("key").alias("_hot"), F.xxhash64("_mixed", "_sum").alias("_digest")))
+    found, own = [], None
     if not hot.isEmpty():  # fewer than the rows by HOT_KEY times
         own = F.broadcast(hot) if hot.count() <= 100_000 else hot
-        some = keyed.join(own, keyed["key"] == hot["_hot"]).select(F.col("_digest").alias("key"), "node")
-        keyed = keyed.join(own, keyed["key"] == hot["_hot"], "left_anti")
+        found.append(keyed.join(own, keyed["key"] == hot["_hot"]).select(F.col("_digest").alias("key"), "node"))
 
     def run(batches):
         held = None
@@ -428,9 +450,12 @@ def shared_keys(keyed: DataFrame, n_rows: int) -> DataFrame:
         many = np.repeat(size > 1, size)
         return pa.record_batch([pa.array(np.repeat(sums, size)[many].view(np.int64)), pa.array(node[many])], ["key", "node"])
 
-    shared = keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(tidy(run), "key long, node long")
-    found = materialize(shared.unionAll(some) if some is not None else shared)  # few: the shuffle of all keys goes first
-    return found.distinct()
+    for i in range(slices):
+        keyed = table_keys(wide, n_rows, i, slices)
+        if own is not None:
+            keyed = keyed.join(own, keyed["key"] == hot["_hot"], "left_anti")
+        found.append(keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(tidy(run), "key long, node long"))
+    return in_turn(found)
 
 
 def similar_forest(nodes: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -597,19 +622,30 @@ def verified(held: DataFrame, edges: DataFrame, similarity: float, most: int, fi
 def near_sets(docs: DataFrame, k: int, similarity: float, tile: int, items: int) -> tuple[DataFrame, DataFrame]:
     """Per row of docs: doc_id, t0, t1, s0, s1; and per set s0, s1: root (of its
     group), least (its least doc_id)."""
-    bounded_batches(docs.sparkSession)
-    rows = materialize(profiles(docs, k, similarity))
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    wide_of, shared_of, keys_of, sets_of = (Scratch(spark) for _ in range(4))
+    with wide_of.open():
+        profiled = materialize(profiles(docs, k, similarity))
+    rows = materialize(profiled.select("doc_id", "t0", "t1", "s0", "s1"))
     one = F.min(F.struct("doc_id", "t0", "t1")).alias("one")
-    nodes, moved = numbered(rows.groupBy("s0", "s1").agg(F.min("doc_id").alias("least"), one, *[F.first(c).alias(c) for c in COUNTED]))
-    wide = rows.join(nodes.select("s0", "s1", "node"), ["s0", "s1"]) if moved else rows.withColumn("node", F.xxhash64("s0", "s1"))
+    nodes, moved = numbered(profiled.groupBy("s0", "s1").agg(F.min("doc_id").alias("least"), one, *[F.first(c).alias(c) for c in COUNTED]))
+    wide = profiled.join(nodes.select("s0", "s1", "node"), ["s0", "s1"]) if moved else profiled.withColumn("node", F.xxhash64("s0", "s1"))
     counts = nodes.select("node", *[F.col(c).alias(f"f{i}") for i, c in enumerate(COUNTED)])
-    n_rows, n_keys = rows.agg(F.count("*"), F.coalesce(F.sum(F.size("first") + 3 * TABLES), F.lit(0))).first()
-    keys = Scratch(docs.sparkSession)
-    with keys.open():
-        keyed = materialize(shared_keys(table_keys(wide, n_rows), n_keys).join(counts, "node"))
-    edges = materialize(bucket_links(keyed, len(COUNTED), 0, tile, lambda a, b: may_be_similar(a, b, similarity)).distinct())
-    keys.close()
-    loose = materialize(components(edges))
+    n_rows, n_keys = profiled.agg(F.count("*"), F.coalesce(F.sum(F.size("first") + 3 * TABLES), F.lit(0))).first()
+    with shared_of.open():
+        shared = shared_keys(wide, n_rows, n_keys)
+    wide_of.close()
+    with keys_of.open():
+        distinct = materialize(shared.distinct())
+        shared_of.close()
+        keyed = materialize(distinct.join(counts, "node"))
+        found = bucket_links(keyed, len(COUNTED), 0, tile, lambda a, b: may_be_similar(a, b, similarity), SLICES)
+    with sets_of.open():
+        edges = materialize(found.distinct())
+    keys_of.close()
+    with sets_of.open():
+        loose = materialize(components(edges))
     wanted = loose.join(nodes.select("node", "one"), "node").select("node", "root", F.col("one.doc_id").alias("_id"), F.col("one.t0").alias("t0"), F.col("one.t1").alias("t1"))
 
     def sets(batches):
@@ -620,10 +656,13 @@ def near_sets(docs: DataFrame, k: int, similarity: float, tile: int, items: int)
 
     given = docs.select("doc_id", *text_key(), "text")
     texts = among(given, "t0", wanted, "t0", "_maybe").where("_maybe").drop("_maybe").join(wanted, ["t0", "t1"]).where(F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "root", "text").dropDuplicates(["node"])
-    held = materialize(texts.mapInArrow(tidy(sets), "node long, root long, items array<long>, n long"))
-    roots = components(materialize(verified(held, edges, similarity, items).distinct()))
+    with sets_of.open():
+        held = materialize(texts.mapInArrow(tidy(sets), "node long, root long, items array<long>, n long"))
+        linked = components(materialize(verified(held, edges, similarity, items).distinct()))
+    roots = materialize(linked)
+    sets_of.close()
     grouped = nodes.select("s0", "s1", "node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    return rows.select("doc_id", "t0", "t1", "s0", "s1"), grouped
+    return rows, grouped
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, tile: int = TILE, items: int = TILE_ITEMS) -> DataFrame:
