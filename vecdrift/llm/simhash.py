@@ -26,9 +26,9 @@ their links instead of all pairs. A key or group with more than TILE rows is
 dealt out as pairs of tiles, each a task-sized unit of its own; see verified()
 for large groups of candidates.
 
-Disk: near_duplicates() shuffles its keys in SLICES, one after another, so that
-the disk holds one slice's shuffle at a time, and deletes each table once its
-consumers are written.
+Disk: near_duplicates() shuffles its keys, and then the texts of candidates, in
+SLICES, one after another, so that the disk holds one slice's shuffle at a time,
+and deletes each table once its consumers are written.
 
 Defined results: a null text is the empty text; texts without words have
 fingerprint zero, linked like any other; repeated rows are in one component;
@@ -646,7 +646,7 @@ def near_sets(docs: DataFrame, k: int, similarity: float, tile: int, items: int)
     keys_of.close()
     with sets_of.open():
         loose = materialize(components(edges))
-    wanted = loose.join(nodes.select("node", "one"), "node").select("node", "root", F.col("one.doc_id").alias("_id"), F.col("one.t0").alias("t0"), F.col("one.t1").alias("t1"))
+        wanted = materialize(loose.join(nodes.select("node", "one"), "node").select("node", "root", F.col("one.doc_id").alias("_id"), F.col("one.t0").alias("t0"), F.col("one.t1").alias("t1")))
 
     def sets(batches):
         for batch in batches:
@@ -655,9 +655,16 @@ def near_sets(docs: DataFrame, k: int, similarity: float, tile: int, items: int)
                 yield pa.record_batch([part.column("node"), part.column("root"), pa.array(own, pa.list_(pa.int64())), pa.array([len(x) + 100 for x in own])], ["node", "root", "items", "n"])
 
     given = docs.select("doc_id", *text_key(), "text")
-    texts = among(given, "t0", wanted, "t0", "_maybe").where("_maybe").drop("_maybe").join(wanted, ["t0", "t1"]).where(F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "root", "text").dropDuplicates(["node"])
+    maybe = among(given, "t0", wanted, "t0", "_maybe").where("_maybe").drop("_maybe")
+
+    def slice_of(i: int) -> DataFrame:
+        """A node has one (t0, t1): its rows are where the join has put them."""
+        own = maybe.where(F.pmod("t0", F.lit(SLICES)) == i).join(wanted, ["t0", "t1"]).where(F.col("doc_id").eqNullSafe(F.col("_id")))
+        texts = own.dropDuplicates(["t0", "t1", "node"]).select("node", "root", "text")
+        return texts.mapInArrow(tidy(sets), "node long, root long, items array<long>, n long")
+
     with sets_of.open():
-        held = materialize(texts.mapInArrow(tidy(sets), "node long, root long, items array<long>, n long"))
+        held = in_turn([slice_of(i) for i in range(SLICES)])
         linked = components(materialize(verified(held, edges, similarity, items).distinct()))
     roots = materialize(linked)
     sets_of.close()
