@@ -29,6 +29,8 @@ from .kernel import CELLS, KEYS, NUMBERS
 from .scoring import BROADCAST_NUMBERS, PART_POINTS, bank_numbers
 
 TILE, BLOCK, CHUNK = 1024, 1024, 1024
+#: Products, one for each beta, and numbers of a task where the bank is broadcast.
+TASK_WORK = 1 << 27
 SCALARS, CELL = NUMBERS[:4], ("pattern_id", "row_norm", "s")
 
 
@@ -325,12 +327,14 @@ def _run(points: DataFrame, bank: DataFrame, kind: type[Scalars], betas: tuple[f
     if way == "auto":
         way = "array" if bank_numbers(bank) <= BROADCAST_NUMBERS else "matrix"
     if way == "array":
-        return _with_broadcast(rows, bank, make, schema)
+        return _with_broadcast(rows, bank, make, schema, {s["layer"]: s["n"] * max(1, len(betas)) for s in sizes})
     passes = len(betas) + 1 if kind is Cells else kind.passes
     return _with_stream(rows, bank, make, passes, schema, {s["layer"]: -(-s["n"] // PART_POINTS) for s in sizes})
 
 
-def _with_broadcast(rows: DataFrame, bank: DataFrame, make: Maker, schema: str) -> DataFrame:
+def _with_broadcast(rows: DataFrame, bank: DataFrame, make: Maker, schema: str, uses: dict) -> DataFrame:
+    """uses: how often a layer's patterns are used, its points times betas. Tasks are
+    dealt by the work: by bytes, a few small partitions would hold all of it."""
     held: dict = {}
     table = bank.toArrow()  # of a checked size
     for layer in table.column("layer").unique().to_pylist():
@@ -338,6 +342,7 @@ def _with_broadcast(rows: DataFrame, bank: DataFrame, make: Maker, schema: str)
         if len(own):
             held[layer] = _tiles(own.to_batches()[0])
     known = rows.sparkSession.sparkContext.broadcast(held)
+    tasks = 1 + sum(uses.get(layer, 0) * (sum(len(t.m) for t in tiles) + tiles[0].m.shape[1]) for layer, tiles in held.items()) // TASK_WORK
     run_of = ("layer", "sample_id", "_chunk")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -359,7 +364,7 @@ def _with_broadcast(rows: DataFrame, bank: DataFrame, make: Maker, schema: str)
                     if tiles is not None:
                         yield from _blocked(make, part, first, tiles)
 
-    together = rows.repartition("sample_id", "layer", "_chunk").sortWithinPartitions(*run_of, "position")
+    together = rows.repartition(tasks, "sample_id", "layer", "_chunk").sortWithinPartitions(*run_of, "position")
     return together.mapInArrow(_quiet(run), schema)
 
 
