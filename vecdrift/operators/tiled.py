@@ -159,9 +159,13 @@ class Metrics(Scalars):
     def shares(self, log_p: np.ndarray, log_q: np.ndarray, q: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
         """A tile's shares of the divergences, by row; at: the row's reference in q."""
         p, q = np.exp(log_p, out=log_p), q[at]
-        m = np.maximum((p + q) / 2, FLOOR)
-        d = np.sqrt(p) - np.sqrt(q)
-        return [-np.einsum("ij,ij->i", m, np.log(m)), np.einsum("ij,ij->i", d, d) / 2]
+        m = p + q
+        m /= 2
+        np.maximum(m, FLOOR, out=m)
+        d = np.sqrt(p, out=p)
+        d -= np.sqrt(q, out=q)
+        hellinger_sq = np.einsum("ij,ij->i", d, d) / 2
+        return [-np.einsum("ij,ij->i", m, np.log(m, out=q)), hellinger_sq]  # in place: new pages cost more than the sums
 
     def more(self, i: int) -> dict[str, pa.Array]:
         values, entropy, without = self.found[i].copy(), self.sums[i].entropy, self.at < 0
