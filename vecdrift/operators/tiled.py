@@ -29,6 +29,8 @@ from .kernel import CELLS, KEYS, NUMBERS
 from .scoring import BROADCAST_NUMBERS, PART_POINTS, bank_numbers
 
 TILE, BLOCK, CHUNK = 1024, 1024, 1024
+#: Products that several betas work on at once; one array for each stays near the core.
+TOGETHER = 1 << 15
 #: Products, one for each beta, and numbers of a task where the bank is broadcast.
 TASK_WORK = 1 << 27
 #: Rows of a task that lists cells: these cost more than the products.
@@ -55,9 +57,9 @@ class Block:
     def __init__(self, keys: pa.Table, r: np.ndarray, at: np.ndarray):
         self.keys, self.r, self.at = keys, r, at
 
-    def rows(self, own: np.ndarray, tile: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def rows(self, own: np.ndarray, tile: np.ndarray, most: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Some rows at a time, and their scores."""
-        some = max(1, CELLS // len(tile))
+        some = max(1, min(CELLS, most or CELLS) // len(tile))
         for i in range(0, len(own), some):
             yield own[i : i + some], self.r[own[i : i + some]] @ tile.T
 
@@ -101,17 +103,83 @@ class Sums:
         return np.log(self.z) - self.w / self.z
 
 
+class Powers:
+    """exp(b * x) at several b. One that is the sum of at most FACTORS smaller ones is
+    their product, so that of the nine of calibration's grid one takes an exponential."""
+
+    FACTORS = 4
+
+    def __init__(self, betas: np.ndarray):
+        self.betas, self.steps, self.held = betas, [], np.empty(0)
+        for i in np.argsort(betas, kind="stable"):
+            rest, of = betas[i], []
+            for j, _ in reversed(self.steps):
+                while betas[j] <= rest and len(of) < self.FACTORS:
+                    rest -= betas[j]
+                    of.append(j)
+            self.steps.append((i, [] if rest else of))
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        """One matrix for each b, until the next call."""
+        n = len(self.betas) * x.size
+        if len(self.held) < n:
+            self.held = np.empty(n)
+        out = self.held[:n].reshape(-1, *x.shape)
+        for i, of in self.steps:
+            if not of:
+                np.exp(np.multiply(x, self.betas[i], out=out[i]), out=out[i])
+            elif len(of) == 1:
+                out[i] = out[of[0]]
+            else:
+                np.multiply(out[of[0]], out[of[1]], out=out[i])
+                for j in of[2:]:
+                    out[i] *= out[j]
+        return out
+
+
 class Scalars(Block):
-    """The energy's terms and the entropies at each beta, from one pass."""
+    """The energy's terms and the entropies at each beta, from one pass. Several betas
+    (inverse temperatures, so that one score is the greatest at all of them) share the
+    exponentials."""
 
     def __init__(self, keys: pa.Table, r: np.ndarray, at: np.ndarray, betas: tuple[float, ...]):
         super().__init__(keys, r, at)
         self.sums = [Sums(len(r), b) for b in betas]
+        self.together = len(betas) > 1 and min(betas) > 0
+        if self.together:
+            self.top, self.betas = np.full(len(r), -np.inf), np.array(betas)
+            self.z, self.w = np.zeros((2, len(betas), len(r)))
+            for sums, z, w in zip(self.sums, self.z, self.w, strict=True):
+                sums.z, sums.w = z, w
+            self.powers = Powers(self.betas)
+
+    def below(self, own: np.ndarray, s: np.ndarray) -> np.ndarray:
+        """Scores less the greatest, in place; finite, so that 0 times them is 0."""
+        s -= self.top[own][:, None]
+        return np.maximum(s, -1e290, out=s)
+
+    def add(self, own: np.ndarray, s: np.ndarray) -> None:
+        """Sums.add() of all betas."""
+        top = np.maximum(self.top[own], s.max(1))
+        moved, self.top[own] = self.betas[:, None] * (self.top[own] - top), top
+        x, kept, z, w, one = self.below(own, s), np.exp(moved), self.z[:, own], self.w[:, own], np.ones(s.shape[1])
+        w = np.where(z > 0, kept * (w + z * moved), 0.0)
+        z *= kept
+        for i, e in enumerate(self.powers.of(x)):
+            z[i] += e @ one
+            w[i] += self.betas[i] * np.vecdot(e, x)
+        self.z[:, own], self.w[:, own] = z, w
+        for sums in self.sums:
+            sums.top[own] = top * sums.beta
 
     def see(self, step: int, tile: Tile) -> Iterator[pa.RecordBatch]:
         if step == 0:
             for sums in self.sums:
                 sums.width += len(tile.m)
+            if self.together:
+                for own, s in self.rows(np.arange(len(self.r)), tile.m, TOGETHER):
+                    self.add(own, s)
+                return
             for own, s in self.rows(np.arange(len(self.r)), tile.m):
                 for sums in self.sums:
                     sums.add(own, s)
@@ -142,8 +210,35 @@ class Metrics(Scalars):
         self.found = np.zeros((len(betas), len(self.names), len(r)))
         self.with_ref = np.flatnonzero(at >= 0)
         self.refs, self.place = np.unique(at[self.with_ref], return_inverse=True)
+        self.halves = Powers(self.betas / 2) if self.together else None
+
+    def all_shares(self, tile: np.ndarray) -> None:
+        """A tile's shares of the divergences at several betas: Jensen-Shannon's as in
+        shares(), and of the squared Hellinger distance what is to be taken from 1. The
+        references of some rows are scored with them."""
+        some = max(1, min(CELLS, TOGETHER) // len(tile))
+        for i in range(0, len(self.with_ref), some):
+            own = self.with_ref[i : i + some]
+            refs, at = np.unique(self.at[own], return_inverse=True)
+            both, n = np.r_[refs, own], len(refs)
+            x = self.below(both, self.r[both] @ tile.T)
+            scale = np.sqrt(0.5 / self.z[:, both])[:, :, None]
+            q = np.empty((len(own), len(tile)))
+            for root, by, found in zip(self.halves.of(x), scale, self.found, strict=True):
+                np.multiply(root, by, out=x)  # the roots of p / 2 and q / 2
+                p = x[n:]
+                np.take(x[:n], at, axis=0, out=q, mode="clip")
+                found[1, own] -= 2 * np.vecdot(p, q)
+                np.multiply(q, q, out=q)
+                p *= p
+                q += p
+                np.maximum(q, FLOOR, out=q)
+                found[0, own] -= np.vecdot(q, np.log(q, out=p))
 
     def second(self, tile: np.ndarray) -> None:
+        if self.together:
+            self.all_shares(tile)
+            return
         q = np.empty((len(self.refs), len(tile)))
         i = 0
         for own, s in self.rows(self.refs, tile):
@@ -172,6 +267,8 @@ class Metrics(Scalars):
     def more(self, i: int) -> dict[str, pa.Array]:
         values, entropy, without = self.found[i].copy(), self.sums[i].entropy, self.at < 0
         values[0] = np.maximum(values[0] - (entropy + entropy[self.at]) / 2, 0.0)
+        if self.together:
+            values[1] = np.maximum(values[1] + 1, 0.0)
         return {c: pa.array(v, mask=without) for c, v in zip(self.names, values, strict=True)}
 
 
