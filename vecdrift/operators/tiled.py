@@ -26,9 +26,11 @@ from pyspark.sql import functions as F
 
 from ..functions.metrics import FLOOR
 from .kernel import CELLS, KEYS, NUMBERS
-from .scoring import BROADCAST_NUMBERS, PART_POINTS, bank_numbers
+from .scoring import PART_POINTS, bank_numbers
 
 TILE, BLOCK, CHUNK = 1024, 1024, 1024
+#: Of a bank that is broadcast (64 MB); streamed, it is shuffled to each part of the points, twice.
+HELD_NUMBERS = 1 << 23
 #: Products that several betas work on at once; one array for each stays near the core.
 TOGETHER = 1 << 15
 #: Products, one for each beta, and numbers of a task where the bank is broadcast.
@@ -57,9 +59,9 @@ class Block:
     def __init__(self, keys: pa.Table, r: np.ndarray, at: np.ndarray):
         self.keys, self.r, self.at = keys, r, at
 
-    def rows(self, own: np.ndarray, tile: np.ndarray, most: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def rows(self, own: np.ndarray, tile: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Some rows at a time, and their scores."""
-        some = max(1, min(CELLS, most or CELLS) // len(tile))
+        some = max(1, CELLS // len(tile))
         for i in range(0, len(own), some):
             yield own[i : i + some], self.r[own[i : i + some]] @ tile.T
 
@@ -137,6 +139,12 @@ class Powers:
         return out
 
 
+def _below(x: np.ndarray, top: np.ndarray) -> np.ndarray:
+    """Scores less the greatest, in place; finite, so that 0 times them is 0."""
+    x -= top[:, None]
+    return np.maximum(x, -1e290, out=x)
+
+
 class Scalars(Block):
     """The energy's terms and the entropies at each beta, from one pass. Several betas
     (inverse temperatures, so that one score is the greatest at all of them) share the
@@ -149,36 +157,28 @@ class Scalars(Block):
         if self.together:
             self.top, self.betas = np.full(len(r), -np.inf), np.array(betas)
             self.z, self.w = np.zeros((2, len(betas), len(r)))
-            for sums, z, w in zip(self.sums, self.z, self.w, strict=True):
-                sums.z, sums.w = z, w
             self.powers = Powers(self.betas)
 
-    def below(self, own: np.ndarray, s: np.ndarray) -> np.ndarray:
-        """Scores less the greatest, in place; finite, so that 0 times them is 0."""
-        s -= self.top[own][:, None]
-        return np.maximum(s, -1e290, out=s)
-
-    def add(self, own: np.ndarray, s: np.ndarray) -> None:
+    def add(self, own: slice, tile: np.ndarray) -> None:
         """Sums.add() of all betas."""
-        top = np.maximum(self.top[own], s.max(1))
+        x = self.r[own] @ tile.T
+        top = np.maximum(self.top[own], x.max(1))
         moved, self.top[own] = self.betas[:, None] * (self.top[own] - top), top
-        x, kept, z, w, one = self.below(own, s), np.exp(moved), self.z[:, own], self.w[:, own], np.ones(s.shape[1])
-        w = np.where(z > 0, kept * (w + z * moved), 0.0)
+        kept, z, w, one = np.exp(moved), self.z[:, own], self.w[:, own], np.ones(x.shape[1])
+        w[:] = np.where(z > 0, kept * (w + z * moved), 0.0)
         z *= kept
-        for i, e in enumerate(self.powers.of(x)):
-            z[i] += e @ one
-            w[i] += self.betas[i] * np.vecdot(e, x)
-        self.z[:, own], self.w[:, own] = z, w
-        for sums in self.sums:
-            sums.top[own] = top * sums.beta
+        for e, beta, z, w in zip(self.powers.of(_below(x, top)), self.betas, z, w, strict=True):
+            z += e @ one
+            w += beta * np.vecdot(e, x)
 
     def see(self, step: int, tile: Tile) -> Iterator[pa.RecordBatch]:
         if step == 0:
             for sums in self.sums:
                 sums.width += len(tile.m)
             if self.together:
-                for own, s in self.rows(np.arange(len(self.r)), tile.m, TOGETHER):
-                    self.add(own, s)
+                some = max(1, min(CELLS, TOGETHER) // len(tile.m))
+                for i in range(0, len(self.r), some):
+                    self.add(slice(i, i + some), tile.m)
                 return
             for own, s in self.rows(np.arange(len(self.r)), tile.m):
                 for sums in self.sums:
@@ -191,6 +191,9 @@ class Scalars(Block):
         raise NotImplementedError
 
     def end(self) -> Iterator[pa.RecordBatch]:
+        if self.together:
+            for sums, z, w in zip(self.sums, self.z, self.w, strict=True):
+                sums.top, sums.z, sums.w = self.top * sums.beta, z, w
         for i, sums in enumerate(self.sums):
             log_z, entropy = np.log(sums.z), sums.entropy
             values = [np.full(len(self.r), sums.beta), -(sums.top + log_z) / sums.beta, np.einsum("ij,ij->i", self.r, self.r) / 2, entropy, entropy / np.log(sums.width)]
@@ -210,30 +213,38 @@ class Metrics(Scalars):
         self.found = np.zeros((len(betas), len(self.names), len(r)))
         self.with_ref = np.flatnonzero(at >= 0)
         self.refs, self.place = np.unique(at[self.with_ref], return_inverse=True)
-        self.halves = Powers(self.betas / 2) if self.together else None
+        if self.together:
+            self.halves, self.parts = Powers(self.betas / 2), {}
+
+    def part(self, own: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of rows with a reference: the references' places among those, their number,
+        vectors of these and the rows, their greatest scores, and 1 / sqrt(2 z)."""
+        refs, at = np.unique(self.at[own], return_inverse=True)
+        both = np.r_[refs, own]
+        return own, at, len(refs), self.r[both], self.top[both], np.sqrt(0.5 / self.z[:, both])[:, :, None]
 
     def all_shares(self, tile: np.ndarray) -> None:
         """A tile's shares of the divergences at several betas: Jensen-Shannon's as in
         shares(), and of the squared Hellinger distance what is to be taken from 1. The
         references of some rows are scored with them."""
         some = max(1, min(CELLS, TOGETHER) // len(tile))
-        for i in range(0, len(self.with_ref), some):
-            own = self.with_ref[i : i + some]
-            refs, at = np.unique(self.at[own], return_inverse=True)
-            both, n = np.r_[refs, own], len(refs)
-            x = self.below(both, self.r[both] @ tile.T)
-            scale = np.sqrt(0.5 / self.z[:, both])[:, :, None]
-            q = np.empty((len(own), len(tile)))
-            for root, by, found in zip(self.halves.of(x), scale, self.found, strict=True):
+        if some not in self.parts:  # the last tile may be narrower
+            self.parts[some] = [self.part(self.with_ref[i : i + some]) for i in range(0, len(self.with_ref), some)]
+        for own, at, n, r, top, scale in self.parts[some]:
+            x = _below(r @ tile.T, top)
+            q, shares = np.empty((len(own), len(tile))), np.empty((len(self.betas), 2, len(own)))
+            for root, by, share in zip(self.halves.of(x), scale, shares, strict=True):
                 np.multiply(root, by, out=x)  # the roots of p / 2 and q / 2
                 p = x[n:]
+                np.maximum(x[:n], FLOOR**0.5, out=x[:n])
                 np.take(x[:n], at, axis=0, out=q, mode="clip")
-                found[1, own] -= 2 * np.vecdot(p, q)
+                np.vecdot(p, q, out=share[1])
                 np.multiply(q, q, out=q)
                 p *= p
                 q += p
-                np.maximum(q, FLOOR, out=q)
-                found[0, own] -= np.vecdot(q, np.log(q, out=p))
+                np.vecdot(q, np.log(q, out=p), out=share[0])
+            shares[:, 1] *= 2
+            self.found[:, :, own] -= shares
 
     def second(self, tile: np.ndarray) -> None:
         if self.together:
@@ -452,7 +463,7 @@ def _run(points: DataFrame, bank: DataFrame, kind: type[Scalars], betas: tuple[f
         return kind(keys, r, at, betas, **how)
 
     if way == "auto":
-        way = "array" if bank_numbers(bank) <= BROADCAST_NUMBERS else "matrix"
+        way = "array" if bank_numbers(bank) <= HELD_NUMBERS else "matrix"
     if way == "array":
         return _with_broadcast(rows, bank, make, schema, {s["layer"]: s["n"] * max(1, len(betas)) for s in sizes}, TASK_CELLS if kind is Cells else TASK_WORK)
     passes = len(betas) + 1 if kind is Cells else kind.passes
@@ -497,7 +508,7 @@ def _with_broadcast(rows: DataFrame, bank: DataFrame, make: Maker, schema: str,
 
 def _tiles(patterns: pa.RecordBatch, column: str = "m_hat") -> list[Tile]:
     cut = [patterns.slice(i, TILE) for i in range(0, len(patterns), TILE)]
-    return [Tile(_matrix(t.column(column)), t.column("pattern_id"), t.column("row_norm")) for t in cut]
+    return [Tile(_matrix(t.column(column)), *[t.column(c).take(pa.array(np.arange(len(t)))) for c in ("pattern_id", "row_norm")]) for t in cut]  # a slice would be broadcast with all that it was cut from
 
 
 def _quiet(run: Callable) -> Callable:
